@@ -9,9 +9,11 @@ summed again by the next 12 bits, then by the last 12. No row is ever sorted, an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quorate.llm.common import Workspace
+
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 CAP = 2
@@ -112,3 +114,37 @@ def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mixed rows themselves: each as often as the mix holds it, those of 0 copies left out."""
     kept = mixed.where("mix_copies > 0").select(*[F.col(c) for c in columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
     return kept.drop("mix_copy")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mix(docs, Workspace(spark, "op7"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 9) AS BIGINT) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         list_extract([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS weight
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
+c AS (SELECT *, first_value(level) OVER (ORDER BY CASE WHEN most >= level * weight THEN 0 ELSE 1 END, most / weight, level) AS common FROM o),
+t AS (SELECT source, source_size, least(most, common * weight) AS target FROM c),
+b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+u AS (SELECT source, h, sum(size) AS unit FROM d GROUP BY source, h),
+r AS (SELECT *, sum(unit) OVER (PARTITION BY source ORDER BY h) AS upto FROM u),
+k AS (
+  SELECT r.source, r.h, r.upto - r.unit / 2.0 <= b.target - b.whole * b.source_size AS more
+  FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
+SELECT d.doc_id, d.size, b.source_size, b.target, CAST(d.size * least(2, b.whole + CASE WHEN k.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.h = d.h
+"""
