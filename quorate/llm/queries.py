@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorate.llm import decontamination, mixing
+from quorate.llm import decontamination, language_id, mixing
 
-QUERIES = {"op6_decontamination": decontamination.query, "op7_mixing": mixing.query}
+QUERIES = {"op2_language_id": language_id.query, "op6_decontamination": decontamination.query, "op7_mixing": mixing.query}
 ORACLES = {"op6_decontamination": decontamination.SQL, "op7_mixing": mixing.SQL}
