@@ -81,8 +81,8 @@ def item_blocks(items: DataFrame, key: str, text: str, most_words: int) -> list[
     return blocks
 
 
-def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
-    """All rows of docs with a column `scan`: n_words, hit (numbers of the hit words), items, spans (character offsets).
+def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS, out: str = "scan") -> DataFrame:
+    """All rows of docs with a column `out`: n_words, hit (numbers of the hit words), items, spans (character offsets).
 
     Null and empty texts have no words and no hits. Null item texts and items without words have no windows; items that
     share an id count as one item; an item without id makes hits but is not listed. Items up to MOST_WORDS words are one
@@ -106,14 +106,14 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
         found = found.withColumn(f"scan__{k}", udf(F.col(text)))
     parts = [F.col(f"scan__{k}") for k in range(len(blocks))]
     if len(parts) == 1:
-        return found.withColumnRenamed("scan__0", "scan")
+        return found.drop(out).withColumnRenamed("scan__0", out)
     union = F.struct(parts[0]["n_words"].alias("n_words"), *[F.array_sort(F.array_distinct(F.concat(*[p[c] for p in parts]))).alias(c) for c in ("hit", "items", "spans")])
-    return found.withColumn("scan", union).drop(*[f"scan__{k}" for k in range(len(blocks))])
+    return found.withColumn(out, union).drop(*[f"scan__{k}" for k in range(len(blocks))])
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    return scan(docs, items, **options).where(F.size("scan.hit") == 0).select(*[F.col(c) for c in docs.columns])
+    return scan(docs, items, out="__scan", **options).where(F.size("__scan.hit") == 0).select(*[F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,8 +130,8 @@ def compare(texts: list[str | None], langs: list[str], p: np.ndarray) -> tuple[l
 _RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
-def identify(docs: DataFrame, langs: list[str], p: np.ndarray, text: str = "text") -> DataFrame:
-    """All rows of docs with a column `language`: (lang, score).
+def identify(docs: DataFrame, langs: list[str], p: np.ndarray, text: str = "text", out: str = "language") -> DataFrame:
+    """All rows of docs with a column `out`: (lang, score).
 
     Null texts and texts without a letter are `und` with score 0, as are all texts if nothing was learned. Whole texts
     count, however long. Equal texts get equal results.
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, text: str = "text
 
     predicted.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.withColumn("language", F.arrow_udf(predicted, kind).asNondeterministic()(F.col(text)))
+    return docs.withColumn(out, F.arrow_udf(predicted, kind).asNondeterministic()(F.col(text)))
 
 
 def held_out(key: str = "doc_id"):

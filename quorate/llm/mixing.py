@@ -18,6 +18,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 CAP = 2
 BITS, LEVELS = 12, 3
+MIX_COLUMNS = ("mix_size", "mix_hash", "mix_source", "mix_source_size", "mix_target", "mix_whole", "mix_limit", "mix_copies")
 #: Tables with a row per source are broadcast up to so many sources; beyond, Spark joins them by shuffles.
 MOST_SOURCES = 100_000
 
@@ -89,9 +90,10 @@ def mix(docs: DataFrame, ws, key: str = "doc_id", text: str = "text", source: st
 
     Each source repeats all its rows floor(target / size) times and once more those below its hash threshold. The result
     depends on ids, texts and sources alone, so reruns agree. Null texts have no words; they and empty ones are taken or
-    left by their hash like others. A null source is a source. Null ids share one hash; repeated rows go together.
-    Source statistics are as many rows as there are sources, broadcast after a check of their number.
+    left by their hash like others. A null source is a source. Null ids share one hash; repeated rows go together. Columns of
+    docs that are named like MIX_COLUMNS are replaced. Source statistics are as many rows as there are sources, broadcast after a check of their number.
     """
+    docs = docs.drop(*MIX_COLUMNS)
     named = docs.select("*", words(F.col(text)).alias("mix_size"), row_hash(F.col(key)).alias("mix_hash"))
     narrow = ws.save(named.select(F.col(source).alias("source"), F.col("mix_size").alias("size"), F.col("mix_hash").alias("h")), "sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from quorate.llm import decontamination, language_id, mixing
+from quorate.llm import decontamination, language_id, mixing, resharding, token_files
 
-QUERIES = {"op2_language_id": language_id.query, "op6_decontamination": decontamination.query, "op7_mixing": mixing.query}
+QUERIES = {
+    "op1_resharding": resharding.query,
+    "op2_language_id": language_id.query,
+    "op5_token_files": token_files.query,
+    "op6_decontamination": decontamination.query,
+    "op7_mixing": mixing.query,
+}
 ORACLES = {"op6_decontamination": decontamination.SQL, "op7_mixing": mixing.SQL}
