@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorate.llm import decontamination, jaccard_join, language_id, mixing, resharding, token_files
+from quorate.llm import decontamination, jaccard_join, language_id, mixing, resharding, token_files, url_filter
 
 QUERIES = {
     "op1_resharding": resharding.query,
@@ -10,6 +10,12 @@ QUERIES = {
     "op5_token_files": token_files.query,
     "op6_decontamination": decontamination.query,
     "op7_mixing": mixing.query,
+    "op8_url_filter": url_filter.query,
     "op9_jaccard_join": jaccard_join.query,
 }
-ORACLES = {"op6_decontamination": decontamination.SQL, "op7_mixing": mixing.SQL, "op9_jaccard_join": jaccard_join.SQL}
+ORACLES = {
+    "op6_decontamination": decontamination.SQL,
+    "op7_mixing": mixing.SQL,
+    "op8_url_filter": url_filter.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
+}
