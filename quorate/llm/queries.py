@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorate.llm import decontamination, jaccard_join, language_id, mixing, resharding, token_files, url_filter
+from quorate.llm import cover_tree_join, decontamination, jaccard_join, language_id, mixing, resharding, token_files, url_filter
 
 QUERIES = {
     "op1_resharding": resharding.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op7_mixing": mixing.query,
     "op8_url_filter": url_filter.query,
     "op9_jaccard_join": jaccard_join.query,
+    "op10_cover_tree_join": cover_tree_join.query,
 }
 ORACLES = {
     "op6_decontamination": decontamination.SQL,
     "op7_mixing": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op10_cover_tree_join": cover_tree_join.SQL,
 }
