@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quorate.llm import cover_tree_join, decontamination, jaccard_join, language_id, mixing, resharding, token_files, url_filter
+from quorate.llm import cover_tree_join, decontamination, jaccard_join, language_id, mixing, resharding, token_files, token_rollups, url_filter
 
 QUERIES = {
     "op1_resharding": resharding.query,
     "op2_language_id": language_id.query,
+    "op3_token_rollups": token_rollups.query,
     "op5_token_files": token_files.query,
     "op6_decontamination": decontamination.query,
     "op7_mixing": mixing.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_cover_tree_join": cover_tree_join.query,
 }
 ORACLES = {
+    "op3_token_rollups": token_rollups.SQL,
     "op6_decontamination": decontamination.SQL,
     "op7_mixing": mixing.SQL,
     "op8_url_filter": url_filter.SQL,
