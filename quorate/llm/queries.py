@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quorate.llm import cover_tree_join, decontamination, jaccard_join, language_id, mixing, resharding, token_files, token_rollups, url_filter
+from quorate.llm import cover_tree_join, decontamination, jaccard_join, language_id, mixing, resharding, token_files, token_rollups, toxicity, url_filter
 
 QUERIES = {
     "op1_resharding": resharding.query,
     "op2_language_id": language_id.query,
     "op3_token_rollups": token_rollups.query,
+    "op4_toxicity": toxicity.query,
     "op5_token_files": token_files.query,
     "op6_decontamination": decontamination.query,
     "op7_mixing": mixing.query,
