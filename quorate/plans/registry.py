@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quorate.operators import scores, votes
 from quorate.plans import scores as score_plans
+from quorate.plans import stats as stat_plans
 from quorate.plans import votes as vote_plans
 from quorate.plans.fixtures import panel, truth
 
-QUERIES = vote_plans.QUERIES | score_plans.QUERIES
+QUERIES = vote_plans.QUERIES | score_plans.QUERIES | stat_plans.QUERIES
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
