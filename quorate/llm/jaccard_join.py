@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorate.llm.common import Workspace, components
@@ -222,6 +222,11 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, k: int
     return ws.save(both.mapInArrow(linked, "a long, b long").distinct(), name)
 
 
+def shared(posts: DataFrame, by: str) -> DataFrame:
+    """The keys s that postings of more than one `by` have; partial aggregates hold two numbers a key."""
+    return posts.groupBy("s").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo <> hi").select("s")
+
+
 def join(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: (key, n_shingles, component_id), component_id the smallest key that links reach.
 
@@ -249,25 +254,35 @@ def join(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text"
     sketch = frequency_sketch(rows, k)
     small = boundary(few, float((2.0 ** sketch[sketch > 0]).mean()) if sketch.any() else 0.0)
     keyed = ws.save(keys(rows, sketch, small, k, percent), "keys")
-    own = keyed.join(placed, F.col("id") == F.col("node")).select("node", "n", "comp", "listed", "subsets")
     pairs = None
     for kind in ("listed", "subsets"):
-        posts = own.select(F.explode(kind).alias("s"), "node", "comp", F.col("n").cast("int").alias("n"))
-        other = posts.select(*[F.col(c).alias(f"{c}_") for c in posts.columns])
+        posts = keyed.where("id is not null").select(F.posexplode(kind).alias("pos", "s"), "id")
+        live = posts.join(shared(posts, "id"), "s", "left_semi")
+        live = ws.save(live.join(placed, F.col("id") == F.col("node")).select("s", "pos", "node", "n", "comp").dropDuplicates(["s", "node"]), f"live-{kind}")
+        own = Window.partitionBy("node")  # a set's own postings
+        live = live.join(shared(live, "comp"), "s", "left_semi").select("s", "node", "comp", F.col("n").cast("int").alias("n"), F.row_number().over(own.orderBy("pos")).alias("u"), F.count("*").over(own).cast("int").alias("all"))
+        live = ws.save(live, f"met-{kind}-posts")
+        other = live.select(*[F.col(c).alias(f"{c}_") for c in live.columns])
         fits = (F.col("s") == F.col("s_")) & (F.col("comp") != F.col("comp_")) & (F.col("node") > F.col("node_"))
         fits &= F.least("n", "n_") * 100 >= F.greatest("n", "n_") * percent
+        need = F.lit(1)
         if kind == "listed":
-            fits &= F.greatest("n", "n_") > small
-        met = posts.join(other, fits).groupBy(F.col("node").alias("a"), F.col("node_").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n_").alias("n_"))
+            # what two sets share beyond their common postings is at most what one of them has without a posting; all shared
+            # postings stand in one order, so the first of k is followed by k - 1 on both sides
+            beyond = lambda n: F.ceil(n * percent / 100) - 1
+            need = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("n_")) * percent / (100 + percent)) - F.greatest(beyond(F.col("n")), beyond(F.col("n_"))))
+            fits &= (F.greatest("n", "n_") > small) & (F.col("all") - F.col("u") + 1 >= need) & (F.col("all_") - F.col("u_") + 1 >= need)
+        found = live.join(other, fits).select(F.col("node").alias("a"), F.col("node_").alias("b"), need.alias("need")).distinct()
         if kind == "listed":
-            beyond = lambda n: F.ceil(n * percent / 100) - 1  # noqa: E731  elements of a set that have no posting
-            need = F.ceil((F.col("n") + F.col("n_")) * percent / (100 + percent))
-            met = met.where(F.col("c") + F.greatest(beyond(F.col("n")), beyond(F.col("n_"))) >= need)
-        found = ws.save(met.select("a", "b"), f"met-{kind}")
+            lists = live.groupBy("node").agg(F.collect_list("s").alias("l"))
+            for end in ("a", "b"):
+                found = found.join(lists.select(F.col("node").alias(f"n{end}"), F.col("l").alias(f"l{end}")), F.col(end) == F.col(f"n{end}"))
+            found = found.where(F.size(F.array_intersect("la", "lb")) >= F.col("need"))
+        found = ws.save(found.select("a", "b"), f"met-{kind}")
         pairs = found if pairs is None else pairs.union(found)
     second = verified(pairs.distinct(), rows, ws, "second", k, percent)
     final = ws.save(components(first.union(second), ws), "components")
-    ws.drop("keys", "minima", "near", "met-listed", "met-subsets")
+    ws.drop("keys", "near", *[f"{x}-{kind}{y}" for kind in ("listed", "subsets") for x, y in (("live", ""), ("met", "-posts"), ("met", ""))])
 
     # back to rows: a row's node, the node's component, the smallest id of rows in it
     by_set = nodes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "node")
