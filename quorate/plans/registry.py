@@ -9,10 +9,11 @@ from quorate.operators import scores, votes
 from quorate.plans import ranks as rank_plans
 from quorate.plans import scores as score_plans
 from quorate.plans import stats as stat_plans
+from quorate.plans import texts as text_plans
 from quorate.plans import votes as vote_plans
 from quorate.plans.fixtures import panel, truth
 
-QUERIES = vote_plans.QUERIES | score_plans.QUERIES | stat_plans.QUERIES | rank_plans.QUERIES
+QUERIES = vote_plans.QUERIES | score_plans.QUERIES | stat_plans.QUERIES | rank_plans.QUERIES | text_plans.QUERIES
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
