@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorate.llm.common import small_batches
 from quorate.llm.language_id import _SYMBOLS, _counted, _table, held_out
 
 #: Labelled rows that the classifier is fitted on at most, but for chance, and features it has.
-MOST_LABELLED, MOST_FEATURES, LEAST_TOXIC = 20_000, 600, 3
+MOST_LABELLED, MOST_FEATURES, LEAST_TOXIC = 20_000, 400, 3
 PREFIXES = (3, 4, 5, 6)
 #: What a character can stand for.
 STANDS_FOR = {
@@ -46,7 +47,7 @@ class Model:
     """Log probabilities of a symbol after two others, interpolated with shorter contexts."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        n = np.zeros(_SYMBOLS**3)
+        n = np.zeros(_SYMBOLS**3, np.float32)
         n[grams] = counts
         n = n.reshape((_SYMBOLS,) * 3)
         one = n.sum(axis=(0, 1)) + 0.1
@@ -55,7 +56,7 @@ class Model:
         two = (two + 5 * one) / (two.sum(axis=1, keepdims=True) + 5)
         for a in range(_SYMBOLS):
             n[a] = (n[a] + 5 * two) / (n[a].sum(axis=1, keepdims=True) + 5)
-        self.logs = np.log(n).astype(np.float32)
+        self.logs = np.log(n, out=n)
 
     def __call__(self, a: int, b: int, c: int) -> float:
         return float(self.logs[a, b, c])
@@ -169,7 +170,8 @@ class Reader:
 def language_model(docs: DataFrame, text: str = "text") -> Model:
     """The character model of all texts; what reaches the driver is bounded by the alphabet's trigrams."""
     rows = docs.where(F.col(text).isNotNull()).select(F.lit("all").alias("lang"), F.col(text).alias("text"))
-    counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    with small_batches(docs.sparkSession):
+        counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     return Model(counts.gram.to_numpy(dtype=int), counts.n.to_numpy(dtype=float))
 
 
@@ -233,6 +235,7 @@ def fit(labelled: DataFrame, model: Model) -> Classifier:
     for i, found in enumerate(data.found):
         at = place[np.asarray(found, int)]
         x[i, at[at >= 0]] = 1
+    del data
     w = np.zeros(x.shape[1])
     w[-1] = np.log(n1 / n0)
     ridge = np.full(len(w), 0.1)
@@ -240,7 +243,10 @@ def fit(labelled: DataFrame, model: Model) -> Classifier:
     for _ in range(12):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         v = np.maximum(p * (1 - p), 1e-5)
-        h = (x * v[:, None].astype(np.float32)).T @ x + np.diag(ridge)
+        h = np.diag(ridge)
+        for at in range(0, len(x), 2000):
+            part = x[at : at + 2000]
+            h += (part * v[at : at + 2000, None].astype(np.float32)).T @ part
         step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-4:
