@@ -45,7 +45,11 @@ def vote03(s, d):
     return votes.by_total_and_median(p, exact=True).select("case_id", text(), "votes", F.col("conf_median").cast("double").alias("conf_median"))
 
 
-VOTE03 = VOTE02[: VOTE02.rindex("SELECT")] + "SELECT case_id, array_to_string(answer, '|') AS answer, votes, round(md, 6) AS conf_median FROM r WHERE r = 1"
+VOTE03 = f"""WITH {PANEL},
+l AS (SELECT case_id, digits AS answer, sum(confidence) AS cs, list(confidence ORDER BY confidence) AS v FROM panel GROUP BY case_id, digits),
+t AS (SELECT *, len(v) AS votes, v[(len(v) + 1) // 2] + v[(len(v) + 2) // 2] AS md2 FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY votes DESC, cs DESC, md2 DESC, CAST(answer AS BIGINT[])) AS r FROM t)
+SELECT case_id, array_to_string(answer, '|') AS answer, votes, CAST(md2 AS DOUBLE) / 2 AS conf_median FROM r WHERE r = 1"""
 
 
 def vote04(s, d):
