@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, checkpointed in spark.checkpoint.dir; where that is unset (tests) a local folder is set first."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where it is unset (tests) a local folder is set first."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
         where = "file://" + tempfile.mkdtemp(prefix="quorate-")
         spark.conf.set("spark.checkpoint.dir", where)
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other call gets."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quorate.operators import scores, votes
 from quorate.plans import generated as generated_plans
 from quorate.plans import ranks as rank_plans
+from quorate.plans import roundtrips as roundtrip_plans
 from quorate.plans import scores as score_plans
 from quorate.plans import searches as search_plans
 from quorate.plans import stats as stat_plans
@@ -15,7 +16,7 @@ from quorate.plans import texts as text_plans
 from quorate.plans import votes as vote_plans
 from quorate.plans.fixtures import panel, truth
 
-QUERIES = vote_plans.QUERIES | score_plans.QUERIES | stat_plans.QUERIES | rank_plans.QUERIES | text_plans.QUERIES | search_plans.QUERIES | generated_plans.QUERIES
+QUERIES = vote_plans.QUERIES | score_plans.QUERIES | stat_plans.QUERIES | rank_plans.QUERIES | text_plans.QUERIES | search_plans.QUERIES | generated_plans.QUERIES | roundtrip_plans.QUERIES
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
