@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorate.llm.common import Workspace, components
+from quorate.llm.common import Workspace, components, small_batches
 
 SHINGLE, PERCENT = 5, 80
 PERMUTATIONS = 8
@@ -41,7 +41,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -112,6 +112,11 @@ def boundary(sizes: dict[int, int], list_length: float, most: int = MOST_SMALL,
     return min(range(most + 1), key=cost)
 
 
+def _each(column: pa.Array) -> Iterator:
+    """A column's values one by one, so that a batch's texts are not all copied at once."""
+    return (x.as_py() for x in column)
+
+
 def _batched(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c for _, c in columns], [n for n, _ in columns])
 
@@ -130,13 +135,14 @@ def signatures(docs: DataFrame, k: int = SHINGLE, permutations: int = PERMUTATIO
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, h, minima = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in _each(batch.column(1)):
                 s = shingles(t, k)
                 n.append(len(s))
                 h.append(xxhash.xxh128_digest(s.tobytes()))
                 minima.append(np.array([_mix(s * o).min() for o in odd], np.uint64) if len(s) else s)
             both = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
             yield _batched(("id", batch.column(0)), ("n", pa.array(n, pa.int64())), ("h1", pa.array(both[:, 0])), ("h2", pa.array(both[:, 1])), ("minima", _lists(minima)))
+        _words.clear()  # the worker lives on
 
     return docs.mapInArrow(signed, "id long, n long, h1 long, h2 long, minima array<long>")
 
@@ -151,9 +157,10 @@ def frequency_sketch(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for t in batch.column(1).to_pylist():
+            for t in _each(batch.column(1)):
                 cells = (shingles(t, k) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
                 np.add.at(counts, cells, 1)
+        _words.clear()
         if counts.any():
             yield from sent(dict(enumerate(counts.reshape(-1, 1 << CHUNK_BITS))))
 
@@ -174,7 +181,9 @@ def frequency_sketch(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
     kind = "chunk int, counts binary"
     chunks = docs.mapInArrow(counted, kind).repartition("chunk", F.floor(F.rand(7) * 8)).mapInArrow(added, kind).repartition("chunk").mapInArrow(added, kind)
     out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
-    for c, x in chunks.toLocalIterator():
+    with small_batches(docs.sparkSession):
+        found = chunks.collect()  # as many rows as the sketch has chunks
+    for c, x in found:
         kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) >> CHUNK_BITS]
         out[c] = np.frexp(np.frombuffer(x, kind).astype(np.float64))[1]
     return out.ravel()
@@ -189,13 +198,14 @@ def keys(docs: DataFrame, sketch: np.ndarray, small: int, k: int = SHINGLE, perc
         rank = sent.value
         for batch in batches:
             listed, subsets = [], []
-            for t in batch.column(1).to_pylist():
+            for t in _each(batch.column(1)):
                 s = shingles(t, k)
                 r = rank[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                 listed.append(s[np.lexsort((s, r))][: prefix(len(s), percent)] if len(s) >= edge else s[:0])
                 sizes = subset_sizes(len(s), small, percent) if 0 < len(s) <= small else ()
                 subsets.append(np.array([xxhash.xxh64_intdigest(np.array(x, np.uint64).tobytes(), seed=c) for c in sizes for x in combinations(s.tolist(), c)], np.uint64))
             yield _batched(("id", batch.column(0)), ("listed", _lists(listed)), ("subsets", _lists(subsets)))
+        _words.clear()
 
     return docs.mapInArrow(keyed, "id long, listed array<long>, subsets array<long>")
 
@@ -209,7 +219,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, k: int
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for ta, tb in zip(_each(batch.column(2)), _each(batch.column(3)), strict=True):
                 if tb not in held:
                     if len(held) > 200:
                         held.clear()

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorate.llm.common import small_batches
+
 DIMENSIONS = 1024
 SEED = 20240229
 UNDETERMINED = "und"
@@ -54,24 +56,25 @@ def gram_vectors(grams: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts by language of one partition's texts, sent on whenever 16 languages are in hand."""
+    """Trigram counts by language of one partition's texts, sent on whenever 12 languages are in hand."""
 
     def out():
         for lang, n in held.items():
             g = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n[g], pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n[g].astype(np.int64))], ["lang", "gram", "n"])
         held.clear()
 
     held: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if lang not in held and len(held) >= 16:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            lang, text = lang.as_py(), text.as_py()
+            if lang not in held and len(held) >= 12:
                 yield from out()
             if lang not in held:
-                held[lang] = np.zeros(_GRAMS, np.int64)
+                held[lang] = np.zeros(_GRAMS, np.int32)
             g = trigrams(text)
-            if len(g) > 5000:
-                held[lang] += np.bincount(g, minlength=_GRAMS)
+            if len(g) > 200_000:
+                held[lang] += np.bincount(g, minlength=_GRAMS).astype(np.int32)
             else:
                 np.add.at(held[lang], g, 1)
     yield from out()
@@ -93,7 +96,9 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[
             v += np.sqrt(part.n.to_numpy()) @ gram_vectors(part.gram.to_numpy(), dimensions).astype(np.float32)
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "v": [v]})
 
-    found = sorted((r.lang, r.v) for r in counts.groupBy("lang").applyInPandas(bundle, "lang string, v array<double>").collect())
+    with small_batches(labelled.sparkSession):
+        rows = counts.groupBy("lang").applyInPandas(bundle, "lang string, v array<double>").collect()  # one per language
+    found = sorted((r.lang, r.v) for r in rows)
     langs = [x for x, _ in found]
     p = np.array([v for _, v in found]).reshape(len(langs), dimensions)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
@@ -139,7 +144,11 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, text: str = "text
     sent = docs.sparkSession.sparkContext.broadcast((langs, p))
 
     def predicted(texts: pa.Array) -> pa.Array:
-        names, scores = compare(texts.to_pylist(), *sent.value)
+        names, scores = [], []
+        for at in range(0, len(texts), 256):
+            some = compare(texts.slice(at, 256).to_pylist(), *sent.value)
+            names += some[0]
+            scores += some[1].tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     predicted.__annotations__ = {"texts": pa.Array, "return": pa.Array}

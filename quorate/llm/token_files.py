@@ -29,7 +29,7 @@ END = 0
 #: A range of documents that one task encodes, in bytes of text.
 RANGE_BYTES = 24_000_000
 #: Encoded pieces that a worker remembers before it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
@@ -84,6 +84,10 @@ class Encoder:
         marks = dict(zip(".,", self._ids([".", ","]), strict=True))
         self.later.update((p, self.later[p[:-1]] + marks[p[-1]]) for p in ended)
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.later.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text the bytes of its ids in self.kind."""
         out: list = [None] * len(texts)
@@ -92,8 +96,7 @@ class Encoder:
             out[i] = ids
         split = [(i, x.split(" ")) for i, x in enumerate(texts) if out[i] is None]
         if len(self.later) + len(self.first) > MEMORY:
-            self.first.clear()
-            self.later.clear()
+            self.forget()
         new_first = list({p[0] for _, p in split} - self.first.keys())
         self.first.update(zip(new_first, self._ids(new_first), strict=True))
         self._learn(set().union(*[p[1:] for _, p in split]))
@@ -182,8 +185,8 @@ def write(docs: DataFrame, ws: Workspace, tokenizer: str, key: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 400):
+                piece = batch.slice(at, 400)
                 for doc, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
                     if file is None:
                         file = _File(folder, f"{part:06d}-{k:06d}-{uuid.uuid4().hex[:8]}.arrow", enc.kind, length)
@@ -193,6 +196,7 @@ def write(docs: DataFrame, ws: Workspace, tokenizer: str, key: str = "doc_id", t
                         file, k = None, k + 1
         if file is not None:
             yield row()
+        enc.forget()  # the worker lives on
 
     ordered = rows.repartitionByRange(max(1, -(-total // RANGE_BYTES)), F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
     manifest = ws.save(ordered.mapInArrow(written, MANIFEST), "manifest")
