@@ -1,7 +1,8 @@
 """Deterministic plurality votes: one answer per group, with tie-breaks that no run can change.
 
 Every vote groups records by case and answer, then takes the best tally by a sort key. Both steps are partial aggregates, so
-nothing is sorted and no group is collected. Records with a null answer do not vote.
+nothing is sorted and no group is collected: what is shuffled twice is tallies, where dealing out the records by case once would
+put all of a large case's records in one task. Records with a null answer do not vote.
 """
 
 from __future__ import annotations

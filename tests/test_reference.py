@@ -174,6 +174,38 @@ def test_sources(spark, tmp_path):
     assert records.scrubbed(spark.createDataFrame([("me@x.org", "me@x.org")], "a string, text string")).first() == ("<email>", "me@x.org")
 
 
+def test_random_numbers():
+    import pyarrow as pa
+
+    from quorate.plans import generated
+
+    def splitmix(x):
+        m = (1 << 64) - 1
+        z = (x + 0x9E3779B97F4A7C15) & m
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+        z ^= z >> 31
+        return z - (1 << 64) if z >> 63 else z
+
+    def mulberry(a):
+        m = (1 << 32) - 1
+        a = a + 0x6D2B79F5 & m
+        t = (a ^ a >> 15) * (a | 1) & m
+        t ^= t + ((t ^ t >> 7) * (t | 61) & m) & m
+        return (t ^ t >> 14) / (1 << 32)
+
+    x = [0, 1, 7, 123456789]
+    assert generated.splitmix64(pa.array(x, pa.int64())).to_pylist() == [splitmix(v) for v in x]
+    assert generated.mulberry32(pa.array(x, pa.int64())).to_pylist() == [mulberry(v) for v in x]
+
+
+def test_votes_shuffle_tallies_only(spark):
+    """A vote scans four columns and shuffles twice, without a window or a sort of the input."""
+    won = votes.by_mean_confidence(spark.read.parquet(f"{DATA}/lineitem.parquet").select(F.col("l_orderkey").alias("case_id"), F.array("l_returnflag").alias("answer"), F.col("l_discount").cast("decimal(12,4)").alias("confidence")))
+    plan = won._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan and "Python" not in plan
+
+
 def test_audit_chain(spark):
     rounds = spark.createDataFrame([(1, "a", None), (2, "b", "a"), (3, "c", "x")], "round int, digest string, parent string")
     assert [r.round for r in audits.chain_breaks(rounds).collect()] == [3]
