@@ -22,6 +22,19 @@ SYSTEMS = {
 }
 
 
+def check_gate(base_roles: Sequence[str], decision_roles: Sequence[str], min_agree: int, support_roles: Sequence[str], min_support: int, known: Sequence[str]) -> None:
+    """Raises ValueError for a declared gate that names unknown roles, has an empty side or asks for nothing."""
+    for name, roles in (("base_roles", base_roles), ("decision_roles", decision_roles), ("support_roles", support_roles)):
+        if not roles and not (name == "support_roles" and min_support == 0):
+            raise ValueError(f"{name} is empty")
+        if unknown := sorted(set(roles) - set(known)):
+            raise ValueError(f"{name} has unknown roles: {unknown}")
+        if len(set(roles)) < len(roles):
+            raise ValueError(f"{name} repeats a role")
+    if min_agree < 1 or min_support < 0:
+        raise ValueError("min_agree is to be 1 at least and min_support 0 at least")
+
+
 def final_pick(records: DataFrame, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """An explicit final record if there is one, else the last stage's, then the smallest job id."""
     key = F.struct(F.coalesce(F.col("is_final_output"), F.lit(False)).cast("int") * -1, -F.col("stage_index"), F.col("job_id"))

@@ -60,17 +60,22 @@ def seq08(s, d):
 SEQ08 = f"SELECT unnest(['published', 'recomputed']) AS side, (SELECT count(*) FROM ({SEQ06}) WHERE r_name = 'ASIA' AND tier = 1) AS n"
 
 
+#: Fixed values of two public generators: an increment and two multipliers of 64 bits, an increment of 32 bits.
+SPLITMIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+MULBERRY = 0x6D2B79F5
+
+
 def splitmix64(seeds: pa.Array) -> pa.Array:
     """The first number of each seed's generator, as a signed 64-bit number."""
-    z = seeds.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z = seeds.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(SPLITMIX[0])
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(SPLITMIX[1])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(SPLITMIX[2])
     return pa.array((z ^ (z >> np.uint64(31))).view(np.int64))
 
 
 def mulberry32(seeds: pa.Array) -> pa.Array:
     """The first number of each seed's generator, from 0 up to 1."""
-    a = seeds.to_numpy(zero_copy_only=False).astype(np.uint32) + np.uint32(0x6D2B79F5)
+    a = seeds.to_numpy(zero_copy_only=False).astype(np.uint32) + np.uint32(MULBERRY)
     t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
     t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
     return pa.array((t ^ (t >> np.uint32(14))).astype(np.float64) / 4294967296.0)

@@ -61,6 +61,13 @@ def test_gates(spark):
     assert decisions.decide(ballots(spark, (["2"], 0.5, "judge")), "judge").first().override
 
 
+def test_gate_configuration():
+    decisions.check_gate(["proposer"], ["judge"], 1, ["critic"], 1, ["proposer", "judge", "critic"])
+    for bad in ((["x"], ["judge"], 1, ["critic"], 1), ([], ["judge"], 1, ["critic"], 1), (["judge"], ["judge", "judge"], 1, ["critic"], 1), (["judge"], ["judge"], 0, ["critic"], 1)):
+        with pytest.raises(ValueError):
+            decisions.check_gate(*bad, ["proposer", "judge", "critic"])
+
+
 def test_null_answers_are_wrong(spark):
     t = spark.createDataFrame([(1, ["1"]), (2, ["2"])], "case_id int, truth array<string>")
     r = spark.createDataFrame([(1, 1, None), (2, 1, ["2"])], "case_id int, slot int, answer array<string>")
