@@ -128,11 +128,28 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in the smallest unsigned kind that holds them."""
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if x.max() <= np.iinfo(t).max)).tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) >> CHUNK_BITS]).astype(np.int64)
+
+
 def signatures(docs: DataFrame, k: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(id, n, h1, h2, minima) of rows (id, t): the set's size, a 128-bit hash of it, and minima under permutations."""
+    """Of rows (id, t), in one pass over the texts, two kinds of rows.
+
+    Without chunk, one per text: (id, n, h1, h2, minima), the set's size, a 128-bit hash of it, and minima under
+    permutations. With chunk: (chunk, counts), how often shingles occur in a partition by the low bits of their hash, in
+    2 ** SKETCH_BITS counters of which a row carries 2 ** CHUNK_BITS.
+    """
     odd = np.random.default_rng(7).integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2) + np.uint64(1)
+    names = ["id", "n", "h1", "h2", "minima", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             n, h, minima = [], [], []
             for t in _each(batch.column(1)):
@@ -140,52 +157,40 @@ def signatures(docs: DataFrame, k: int = SHINGLE, permutations: int = PERMUTATIO
                 n.append(len(s))
                 h.append(xxhash.xxh128_digest(s.tobytes()))
                 minima.append(np.array([_mix(s * o).min() for o in odd], np.uint64) if len(s) else s)
+                np.add.at(counts, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
             both = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-            yield _batched(("id", batch.column(0)), ("n", pa.array(n, pa.int64())), ("h1", pa.array(both[:, 0])), ("h2", pa.array(both[:, 1])), ("minima", _lists(minima)))
+            own = [batch.column(0), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), _lists(minima)]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(n), t) for t in kinds[5:]]], names)
         _words.clear()  # the worker lives on
+        if counts.any():
+            for c, x in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds[:5]], pa.array([c], pa.int32()), pa.array([_narrow(x)])], names)
 
-    return docs.mapInArrow(signed, "id long, n long, h1 long, h2 long, minima array<long>")
+    return docs.mapInArrow(signed, "id long, n long, h1 long, h2 long, minima array<long>, chunk int, counts binary")
 
 
-def frequency_sketch(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
-    """How often shingles occur, by the low bits of their hash, over all rows (id, t): a logarithm in one byte.
+def frequency_sketch(parts: DataFrame) -> np.ndarray:
+    """How often shingles occur in all texts, by the low bits of their hash: a logarithm in one byte, from rows (chunk, counts).
 
-    Each partition counts in an array of fixed size and sends it in chunks; chunks are added up as they stream in. The
-    result has 2 ** SKETCH_BITS bytes however large the corpus is.
+    Chunks are added up as they stream in, first in eight places each, then in one. The result has 2 ** SKETCH_BITS bytes
+    however large the corpus is.
     """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for t in _each(batch.column(1)):
-                cells = (shingles(t, k) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-                np.add.at(counts, cells, 1)
-        _words.clear()
-        if counts.any():
-            yield from sent(dict(enumerate(counts.reshape(-1, 1 << CHUNK_BITS))))
-
-    def sent(chunks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for c, x in chunks.items():
-            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if x.max() <= np.iinfo(t).max)
-            yield _batched(("chunk", pa.array([c], pa.int32())), ("counts", pa.array([x.astype(kind).tobytes()], pa.binary())))
-
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) >> CHUNK_BITS]
-                more = np.frombuffer(x, kind).astype(np.int64)
-                sums[c] = sums[c] + more if c in sums else more
-        yield from sent(sums)
+            for c, x in zip(_each(batch.column(0)), _each(batch.column(1)), strict=True):
+                sums[c] = sums[c] + _wide(x) if c in sums else _wide(x)
+        for c, x in sums.items():
+            yield _batched(("chunk", pa.array([c], pa.int32())), ("counts", pa.array([_narrow(x)], pa.binary())))
 
     kind = "chunk int, counts binary"
-    chunks = docs.mapInArrow(counted, kind).repartition("chunk", F.floor(F.rand(7) * 8)).mapInArrow(added, kind).repartition("chunk").mapInArrow(added, kind)
+    chunks = parts.repartition("chunk", F.floor(F.rand(7) * 8)).mapInArrow(added, kind).repartition("chunk").mapInArrow(added, kind)
     out = np.zeros((1 << SKETCH_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
-    with small_batches(docs.sparkSession):
+    with small_batches(parts.sparkSession):
         found = chunks.collect()  # as many rows as the sketch has chunks
     for c, x in found:
-        kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(x) >> CHUNK_BITS]
-        out[c] = np.frexp(np.frombuffer(x, kind).astype(np.float64))[1]
+        out[c] = np.frexp(_wide(x).astype(np.float64))[1]
     return out.ravel()
 
 
@@ -245,7 +250,8 @@ def join(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text"
     large groups of copies and very long texts are handled like all others. Extra columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    signed = ws.save(signatures(rows, k), "signatures")
+    both = ws.save(signatures(rows, k), "signatures")
+    signed = both.where("chunk is null").drop("chunk", "counts")
     sets = signed.where("n > 0 and id is not null")
     nodes = ws.save(sets.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("minima").alias("minima")), "nodes")
 
@@ -261,7 +267,7 @@ def join(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text"
 
     # keys of small and large sets
     few = {r["n"]: r["c"] for r in nodes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    sketch = frequency_sketch(rows, k)
+    sketch = frequency_sketch(both.where("chunk is not null").select("chunk", "counts"))
     small = boundary(few, float((2.0 ** sketch[sketch > 0]).mean()) if sketch.any() else 0.0)
     keyed = ws.save(keys(rows, sketch, small, k, percent), "keys")
     pairs = None
