@@ -290,7 +290,7 @@ def join(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text"
             fits &= (F.greatest("n", "n_") > small) & (F.col("all") - F.col("u") + 1 >= need) & (F.col("all_") - F.col("u_") + 1 >= need)
         found = live.join(other, fits).select(F.col("node").alias("a"), F.col("node_").alias("b"), need.alias("need")).distinct()
         if kind == "listed":
-            lists = live.groupBy("node").agg(F.collect_list("s").alias("l"))
+            lists = ws.save(live.groupBy("node").agg(F.collect_list("s").alias("l")), "lists")  # written, so that a hot node's join can be split
             for end in ("a", "b"):
                 found = found.join(lists.select(F.col("node").alias(f"n{end}"), F.col("l").alias(f"l{end}")), F.col(end) == F.col(f"n{end}"))
             found = found.where(F.size(F.array_intersect("la", "lb")) >= F.col("need"))
@@ -298,7 +298,7 @@ def join(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "text"
         pairs = found if pairs is None else pairs.union(found)
     second = verified(pairs.distinct(), rows, ws, "second", k, percent)
     final = ws.save(components(first.union(second), ws), "components")
-    ws.drop("keys", "near", *[f"{x}-{kind}{y}" for kind in ("listed", "subsets") for x, y in (("live", ""), ("met", "-posts"), ("met", ""))])
+    ws.drop("keys", "near", "lists", *[f"{x}-{kind}{y}" for kind in ("listed", "subsets") for x, y in (("live", ""), ("met", "-posts"), ("met", ""))])
 
     # back to rows: a row's node, the node's component, the smallest id of rows in it
     by_set = nodes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "node")
