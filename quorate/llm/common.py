@@ -16,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="quorate-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)  # with its scheme, so that it means the same to Spark and Arrow
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 @contextlib.contextmanager
