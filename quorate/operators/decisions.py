@@ -74,6 +74,31 @@ def decide(records: DataFrame, system: str, by: Sequence[str] = ("case_id",)) ->
     return both.select(*by, "plurality", answer.alias("answer"), F.col("open").alias("gate_open"), (~answer.eqNullSafe(F.col("plurality"))).alias("override"))
 
 
+def decide_all(records: DataFrame, systems: Sequence[str] = tuple(SYSTEMS), by: Sequence[str] = ("case_id",)) -> DataFrame:
+    """What decide() gives for several systems, with a column method: the records are aggregated once for all of them."""
+    by = list(by)
+    base = votes.by_mean_confidence(records.where(F.col("role") == "proposer"), by).select(*by, F.col("answer").alias("plurality"))
+    own = lambda r: F.when(F.col("role") == r, F.col("answer"))
+    facts = [x for r in ("critic", "verifier", "judge") for x in (F.count_if(F.col("role") == r).alias(f"n_{r}"), F.count_if(own(r).isNotNull()).alias(f"v_{r}"), F.min(own(r)).alias(f"lo_{r}"), F.max(own(r)).alias(f"hi_{r}"))]
+    first = F.min_by(own("judge"), F.when(F.col("role") == "judge", F.col("slot"))).alias("first_judge")
+    one = records.groupBy(*by).agg(*facts, first, F.collect_set(own("critic")).alias("any_critic"))
+    rows = []
+    for name in systems:
+        rule = SYSTEMS[name]
+        agreed, gate = F.col("first_judge"), F.lit(None).cast("boolean")
+        if rule:
+            roles = list(rule["all_of"])
+            agreed, gate = F.col(f"lo_{roles[0]}"), F.lit(True)
+            for r, n in rule["all_of"].items():
+                gate &= (F.col(f"n_{r}") == n) & (F.col(f"v_{r}") == n) & F.coalesce((F.col(f"lo_{r}") == F.col(f"hi_{r}")) & (F.col(f"lo_{r}") == agreed), F.lit(False))
+            if "any_of" in rule:
+                gate &= F.coalesce(F.array_contains(f"any_{rule['any_of']}", agreed), F.lit(False))
+        rows.append(F.struct(F.lit(name).alias("method"), agreed.alias("agreed"), gate.alias("gate_open")))
+    long = one.join(base, by, "left").select(*by, "plurality", F.explode(F.array(*rows)).alias("x")).select(*by, "plurality", "x.*")
+    answer = F.when(F.col("gate_open").isNull() | F.col("gate_open"), F.col("agreed")).otherwise(F.col("plurality"))
+    return long.select("method", *by, "plurality", answer.alias("answer"), "gate_open", (~answer.eqNullSafe(F.col("plurality"))).alias("override"))
+
+
 def agreement_gate(records: DataFrame, base_roles: Sequence[str], decision_roles: Sequence[str], min_agree: int, support_roles: Sequence[str], min_support: int, by: Sequence[str] = ("case_id",)) -> DataFrame:
     """A declared gate: the decision roles' plurality replaces the base roles' if enough of them and enough supporters share it."""
     by = list(by)

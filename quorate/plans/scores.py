@@ -186,12 +186,7 @@ AGG06 = f"WITH {PANEL}, {TRUTH}, {SCORED}, b AS (SELECT block, count(*) AS n, co
 
 def decided(s, d):
     """Decisions of all systems, long."""
-    p, t = small_panel(s, d), truth(s, d)
-    out = None
-    for system in decisions.SYSTEMS:
-        one = decisions.decide(p, system).withColumn("method", F.lit(system))
-        out = one if out is None else out.unionByName(one)
-    x = scores.score_records(out, t)
+    x = scores.score_records(decisions.decide_all(small_panel(s, d)), truth(s, d))
     right = scores.is_right(F.col("plurality"), F.col("truth"))
     return x.withColumn("harmful", right & ~F.col("exact"))
 
