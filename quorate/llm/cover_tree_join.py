@@ -205,9 +205,19 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, key: str = "vec_id", vect
     blocks = ws.save(blocks, "blocks")
     head = blocks.select("label", "block", "centre", "radius")
     other = head.select(*[F.col(c).alias(f"{c}_") for c in head.columns])
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre_", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)) - F.col("radius") - F.col("radius_")
-    pairs = head.join(other, (F.col("label") == F.col("label_")) & (F.col("block") <= F.col("block_")) & (gap <= math.sqrt(2 - 2 * cosine) + MARGIN)).select("block", "block_", F.size("centre").alias("dims"))
-    pairs = ws.save(pairs, "pairs")
+    apart = F.sqrt(F.aggregate(F.zip_with("centre", "centre_", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    reach, far = F.col("radius") + F.col("radius_"), math.sqrt(2 - 2 * cosine)
+    pairs = head.join(other, (F.col("label") == F.col("label_")) & (F.col("block") <= F.col("block_")) & (apart - reach <= far + MARGIN))
+    pairs = ws.save(pairs.select("block", "block_", F.size("centre").alias("dims"), (apart + reach <= far - MARGIN).alias("whole")), "pairs")
+    # blocks so close that all their points link are not descended: their sizes count, and one point of each connects them
+    whole = pairs.where("whole").select("block", "block_")
+    ends = whole.union(whole.where("block <> block_").select("block_", "block")).toDF("w_block", "with")
+    sizes = blocks.select(F.col("block").alias("with"), F.aggregate("ns", F.lit(0).cast("long"), lambda s, n: s + n).alias("size"))
+    held = ends.join(sizes, "with").groupBy("w_block").agg(F.sum("size").alias("size"), F.bool_or(F.col("w_block") == F.col("with")).alias("own"))
+    each = blocks.join(held, F.col("block") == F.col("w_block")).select("block", "size", "own", F.explode(F.arrays_zip("points", "ns")).alias("p"))
+    taken = each.select(F.col("p.points").alias("a"), F.col("block").alias("b"), (F.col("size") - F.when(F.col("own"), F.col("p.ns")).otherwise(0)).alias("k"))
+    taken = taken.union(whole.where("block <> block_").select(F.col("block").alias("a"), F.col("block_").alias("b"), F.lit(0).cast("long").alias("k")))
+    pairs = pairs.where("not whole").drop("whole")
     side = lambda end: blocks.select(*[F.col(c).alias(f"{c}{end}") for c in ("block", "points", "ns", "x")])
     both = pairs.join(side(""), "block").join(side("_"), "block_")
 
@@ -241,7 +251,7 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, key: str = "vec_id", vect
                     yield pd.DataFrame({"a": q, "b": q, "k": back})[back > 0]
                 yield pd.DataFrame({"a": [p[i] for i, _ in edges], "b": [q[j] for _, j in edges], "k": 0}, dtype="int64")
 
-    results = ws.save(both.repartition("block", "block_").mapInPandas(joined, "a long, b long, k long"), "results")
+    results = ws.save(both.repartition("block", "block_").mapInPandas(joined, "a long, b long, k long").union(taken), "results")
     own = results.groupBy("a").agg(F.sum("k").alias("k")).withColumnRenamed("a", "c_point")
     cc = components(results.where("a <> b").select("a", "b"), ws)
     by = points.select(F.col("label").alias("p_label"), F.col("vec").alias("p_vec"), "point", "n")
