@@ -104,8 +104,10 @@ def links(a: np.ndarray, ua: np.ndarray, ta: Tree, b: np.ndarray, ub: np.ndarray
         d = distances(ua[ca[rows]], ub[cb[cols]])
         reach = ta.radius[level][rows][:, None] + tb.radius[level][cols][None, :]
         taken = part & (d + reach <= far - MARGIN)
-        for i, j in np.argwhere(taken):
-            out[np.ix_(ta.node[level] == rows[i], tb.node[level] == cols[j])] = True
+        if taken.any():
+            whole = np.zeros_like(here)
+            whole[np.ix_(rows, cols)] = taken
+            out |= whole[np.ix_(ta.node[level], tb.node[level])]
         alive = np.zeros_like(here)
         alive[np.ix_(rows, cols)] = part & ~taken & (d - reach <= far + MARGIN)
     return out
