@@ -2,10 +2,11 @@
 
 Equal vectors of a label are one point. The points of a label are dealt to cells around pivots, which are the upper levels of a
 cover tree fitted on a bounded sample, and cells to blocks of bounded size. Each block gets a cover tree of its own:
-nested levels of centres with halving radii, every node knowing the true distance of its farthest point. Blocks of a label
-whose covering balls come within the threshold are joined by descending both trees at once: a pair of nodes too far apart
-for their radii is dropped, a pair close enough for all their points is taken whole, any other goes on to its children,
-and points meet by their cosine in the end. Pivots and sample decide only how much is pruned; the pairs are exact.
+nested levels of centres with halving radii, every node knowing the true distance of its farthest point. The descent goes
+by pairs from the top: cells of a label whose covering balls come within the threshold, blocks of such cells whose balls
+do, then both blocks' trees at once. A pair of nodes too far apart for their radii is dropped, a pair close enough for all
+their points is taken whole, any other goes on to its children, and points meet by their cosine in the end. Pivots and
+sample decide only how much is pruned; the pairs are exact.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.llm.common import Workspace, components
@@ -36,6 +37,11 @@ def distances(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ v.T)))
 
 
+def apart(a: str, b: str) -> Column:
+    """Distance of two columns' vectors."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
 def net(d: np.ndarray, radius: float, first: list[int]) -> list[int]:
     """Centres among points with distances d, `first` included, such that each point is within radius of one and later ones are apart."""
     centres, open_ = list(first), np.ones(len(d), bool)
@@ -200,17 +206,29 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, key: str = "vec_id", vect
         u = unit(x)
         c = u.mean(axis=0)
         far = float(np.linalg.norm(u - c, axis=1).max())
-        return pd.DataFrame({"label": [pdf.label.iloc[0]], "block": [int(pdf.point.min())], "centre": [c.tolist()], "radius": [far], "points": [pdf.point.tolist()], "ns": [pdf.n.tolist()], "dims": [x.shape[1]], "x": [(x.astype(np.float32) if (x.astype(np.float32) == x).all() else x).tobytes()]})
+        name, cell = pdf.label.iloc[0], int(pdf.cell.iloc[0])
+        pivot = sent.value[name][cell] if name in sent.value else np.zeros(x.shape[1])
+        reach = float(np.linalg.norm(u - pivot, axis=1).max())
+        return pd.DataFrame({"label": [name], "cell": [cell], "pivot": [pivot.tolist()], "reach": [reach], "block": [int(pdf.point.min())], "centre": [c.tolist()], "radius": [far], "points": [pdf.point.tolist()], "ns": [pdf.n.tolist()], "dims": [x.shape[1]], "x": [(x.astype(np.float32) if (x.astype(np.float32) == x).all() else x).tobytes()]})
 
     # small cells of a label share blocks: what has fewer points than a block is packed by cell all the same, its ball being small
-    blocks = dealt.groupBy("label", "cell", "part").applyInPandas(packed, "label string, block long, centre array<double>, radius double, points array<long>, ns array<long>, dims int, x binary")
+    blocks = dealt.groupBy("label", "cell", "part").applyInPandas(packed, "label string, cell int, pivot array<double>, reach double, block long, centre array<double>, radius double, points array<long>, ns array<long>, dims int, x binary")
     blocks = ws.save(blocks, "blocks")
-    head = blocks.select("label", "block", "centre", "radius")
-    other = head.select(*[F.col(c).alias(f"{c}_") for c in head.columns])
-    apart = F.sqrt(F.aggregate(F.zip_with("centre", "centre_", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    reach, far = F.col("radius") + F.col("radius_"), math.sqrt(2 - 2 * cosine)
-    pairs = head.join(other, (F.col("label") == F.col("label_")) & (F.col("block") <= F.col("block_")) & (apart - reach <= far + MARGIN))
-    pairs = ws.save(pairs.select("block", "block_", F.size("centre").alias("dims"), (apart + reach <= far - MARGIN).alias("whole")), "pairs")
+    far = math.sqrt(2 - 2 * cosine)
+    # cells whose balls are near; a label has PIVOTS cells at most
+    cells = blocks.groupBy("label", "cell").agg(F.first("pivot").alias("pivot"), F.max("reach").alias("reach"))
+    other = cells.select(*[F.col(c).alias(f"{c}_") for c in cells.columns])
+    near = cells.join(other, (F.col("label") == F.col("label_")) & (F.col("cell") <= F.col("cell_")) & (apart("pivot", "pivot_") - F.col("reach") - F.col("reach_") <= far + MARGIN))
+    near = ws.save(near.select(F.col("label").alias("in"), F.col("cell").alias("c"), F.col("cell_").alias("d")), "near-cells")
+    # blocks meet by pair of cells, so that a large label is many groups
+    head = blocks.select("label", "cell", "block", "centre", "radius")
+    left = head.join(near, (F.col("label") == F.col("in")) & (F.col("cell") == F.col("c"))).drop("in", "cell")
+    right = head.join(near, (F.col("label") == F.col("in")) & (F.col("cell") == F.col("d"))).drop("in", "cell")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
+    reach, gap = F.col("radius") + F.col("radius_"), apart("centre", "centre_")
+    met = (F.col("label") == F.col("label_")) & (F.col("c") == F.col("c_")) & (F.col("d") == F.col("d_"))
+    pairs = left.join(right, met & ((F.col("c") < F.col("d")) | (F.col("block") <= F.col("block_"))) & (gap - reach <= far + MARGIN))
+    pairs = ws.save(pairs.select("block", "block_", F.size("centre").alias("dims"), (gap + reach <= far - MARGIN).alias("whole")), "pairs")
     # blocks so close that all their points link are not descended: their sizes count, and one point of each connects them
     whole = pairs.where("whole").select("block", "block_")
     ends = whole.union(whole.where("block <> block_").select("block_", "block")).toDF("w_block", "with")
