@@ -279,7 +279,7 @@ def test_propagation(spark, ws):
     assert got["fan"].distrust > 0 and got["friend"].trust > 0 and not got["friend"].distrust and not got["fan"].trust
 
 
-def test_cover_tree_join(spark, ws):
+def test_cover_tree_join(spark, ws, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 8))
     x = np.concatenate([base, base + rng.normal(scale=0.1, size=base.shape), base + rng.normal(scale=0.25, size=base.shape), base[:5], 2 * base[5:8]]).astype(np.float32)
@@ -301,7 +301,8 @@ def test_cover_tree_join(spark, ws):
                 todo.append(j)
         want[i] = (len(links[i]), min(seen), min(seen) == i)
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>, label int").withColumn("point", F.lit(1)).withColumn("cell", F.lit(1))
-    for block in (7, 2000):
+    for block, sample in ((7, 20_000), (2000, 20_000), (7, 0)):  # without a sample there are no pivots: one cell a label
+        monkeypatch.setattr(cover_tree_join, "SAMPLE", sample)
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree_join.near_duplicates(df, Workspace(spark, "tree"), block=block).collect()}
         assert got == want
     assert cover_tree_join.near_duplicates(df.limit(0), ws).count() == 0
