@@ -46,13 +46,31 @@ def interval(distribution: DataFrame, metric: str, level: float = 0.95, by: Sequ
     return distribution.groupBy(*by).agg(F.percentile(metric, F.lit(a)).alias("low"), F.percentile(metric, F.lit(1 - a)).alias("high"))
 
 
+#: What ln(n!) has beyond Stirling's formula, exactly for small n; a series gives it for larger ones.
+_STIRLING = [0.0, *(math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) for n in range(1, 16))]
+
+
+def _stirling_rest(n: Column) -> Column:
+    series = 1 / (12 * n) - 1 / (360 * F.pow(n, F.lit(3))) + 1 / (1260 * F.pow(n, F.lit(5))) - 1 / (1680 * F.pow(n, F.lit(7)))
+    return F.when(n < len(_STIRLING), F.get(F.array(*[F.lit(x) for x in _STIRLING]), n.cast("int"))).otherwise(series)
+
+
 def mcnemar(only_left: Column, only_right: Column) -> Column:
-    """Exact two-sided p of discordant counts: twice the binomial tail at one half, at most 1; 1 without any."""
-    n, k = only_left + only_right, F.least(only_left, only_right)
-    step = lambda s, i: F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), start, step, lambda s: s["sum"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided p of discordant counts: twice the binomial tail at one half, at most 1; 1 without any.
+
+    The log of the tail's largest term, at the smaller count k, comes from Stirling's formula and its rest; the others follow
+    downwards as ratios to it. The ratio j terms below is exp(-j^2 / (n + 1)) at most, so that 7.1 sqrt(n + 1) of them hold all
+    that a double can tell.
+    """
+    n, k = (only_left + only_right).cast("double"), F.least(only_left, only_right).cast("double")
+    away = (n - 2 * k) / n
+    spread = n / 2 * ((1 - away) * F.log1p(-away) + (1 + away) * F.log1p(away))
+    top = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - spread + F.log(n / (2 * math.pi * k * (n - k))) / 2
+    top = F.when(k == 0, -n * math.log(2)).otherwise(top)
+    below = F.least(k, F.ceil(7.1 * F.sqrt(n + 1))).cast("long")
+    step = lambda s, j: F.struct((s["term"] * (k - j) / (n - k + 1 + j)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+    ratios = F.aggregate(F.sequence(F.lit(0).cast("long"), below), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(top + F.log(ratios))))
 
 
 def holm(tests: DataFrame, p: str = "p", key: str = "test") -> DataFrame:

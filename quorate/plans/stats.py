@@ -106,7 +106,7 @@ def discordant(s, d):
 
 
 def stat08(s, d):
-    return discordant(s, d).select("test", "only_a", "only_b", F.round(stats.mcnemar(F.least("only_a", F.lit(40)), F.least("only_b", F.lit(40))), 9).alias("p"))
+    return discordant(s, d).select("test", "only_a", "only_b", F.round(stats.mcnemar(F.col("only_a"), F.col("only_b")), 9).alias("p"))
 
 
 MCNEMAR = """mc AS (
@@ -116,7 +116,7 @@ STAT08 = f"WITH {PAIRED}, {MCNEMAR} SELECT test, only_a, only_b, round(p, 9) AS
 
 
 def stat09(s, d):
-    tests = discordant(s, d).select("test", F.round(stats.mcnemar(F.least("only_a", F.lit(40)), F.least("only_b", F.lit(40))), 9).alias("p"))
+    tests = discordant(s, d).select("test", F.round(stats.mcnemar(F.col("only_a"), F.col("only_b")), 9).alias("p"))
     return stats.holm(tests).select("test", "p", r9("adjusted"))
 
 
@@ -156,7 +156,7 @@ def stat12(s, d):
     wide = decided(s, d).groupBy("case_id").pivot("method", ["deliberative", "dual", "gated", "judge", "verified"]).agg(F.max(F.col("exact").cast("int")))
     names = ["deliberative", "dual", "gated", "judge", "verified"]
     got = stats.contrasts(wide, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
-    p = F.round(stats.mcnemar(F.least("losses", F.lit(30)), F.least("wins", F.lit(30))), 9)
+    p = F.round(stats.mcnemar(F.col("losses"), F.col("wins")), 9)
     return stats.holm(got.withColumn("p", p), key="contrast").select("contrast", r9("estimate"), "wins", "losses", "ties", "p", r9("adjusted"))
 
 
