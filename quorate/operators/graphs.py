@@ -97,6 +97,61 @@ def batches(order: Sequence[str], edges: Sequence[tuple[str, str]], most: int) -
     return out
 
 
+def depths(edges: DataFrame, jobs: DataFrame) -> DataFrame:
+    """jobs (job, group) with depth, the number of jobs before a job in its chain.
+
+    Each job may need one other of its group and be needed by one, and a group is one chain; else ValueError. A round
+    doubles the steps that each job has looked back, so that a chain takes as many rounds as its length has binary digits.
+    """
+    e = edges.select(F.col("job").alias("j"), "needs").distinct()
+    known = jobs.select(F.col("job").alias("needs"), F.col("group").alias("of"))
+    back = cut(jobs.join(e, F.col("job") == F.col("j"), "left").join(known, "needs", "left").select("job", "group", F.col("needs").alias("to"), (F.col("of") == F.col("group")).alias("own")))
+    several = [back.groupBy("job"), back.where("to is not null").groupBy("to"), back.where("to is null").groupBy("group")]
+    if not back.where("to is not null and not coalesce(own, false)").isEmpty() or any(not x.count().where("count > 1").isEmpty() for x in several):
+        raise ValueError("not one chain a group")
+    back = back.select("job", "group", "to", F.when(F.col("to").isNull(), 0).otherwise(1).alias("depth"))
+    done, left = back.where("to is null"), back.where("to is not null")
+    for _ in range(back.count().bit_length() + 1):
+        if left.isEmpty():
+            return done.select("job", "group", "depth")
+        far = done.union(left).select(F.col("job").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
+        step = cut(left.join(far, "to").select("job", "group", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth")))
+        done, left = done.union(step.where("to is null")), step.where("to is not null")  # who has reached its chain's start is not joined again
+    raise ValueError("a cycle")
+
+
+def chain_schedule(jobs: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(job, place, batch): fair_schedule() and batches() of jobs (job, group) and edges (job, needs), where each group is one chain.
+
+    A group then has one ready job until it ends: round d of the turns is the jobs of depth d by their groups' SHA-256. Places
+    are counted by partition of the sorted jobs. While a round has `most` groups, needs lie `most` places back, and batches are
+    full; later ones hold the next job of each of the fewer groups left.
+    """
+    ordered = depths(edges, jobs).orderBy("depth", F.sha2(F.col("group").cast("binary"), 256)).withColumn("id", F.monotonically_increasing_id())
+    ordered = cut(ordered.select("job", "group", "depth", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")))
+    starts, n = [], 0
+    for r in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
+        starts.append((r.part, n))
+        n += r.n
+    start = ordered.sparkSession.createDataFrame(starts, "part int, start long")
+    placed = ordered.join(F.broadcast(start), "part").select("job", "group", "depth", (F.col("start") + F.col("at")).alias("place"))
+    few = placed.groupBy("depth").agg(F.count("*").alias("n")).where(F.col("n") < most).agg(F.min("depth")).first()[0]
+    full = F.floor(F.col("place") / most).cast("int")
+    if few is None:
+        return placed.select("job", F.col("place").cast("int"), full.alias("batch"))
+    before = placed.where(F.col("depth") < few).count()
+    last = (before - 1) // most
+    room = (last + 1) * most - before
+    tail = [r["group"] for r in placed.where(F.col("depth") == few).orderBy("place").collect()]  # fewer than `most`
+    needs = {r["group"]: r["place"] for r in placed.where((F.col("depth") == few - 1) & F.col("group").isin(tail)).collect()}
+    batch = F.lit(None).cast("int")
+    for g in tail:
+        early = room > 0 and needs.get(g, 0) // most < last
+        room -= early
+        batch = F.when(F.col("group") == g, F.col("depth") + (last - few + (not early))).otherwise(batch)
+    return placed.select("job", F.col("place").cast("int"), F.when(F.col("depth") < few, full).otherwise(batch).cast("int").alias("batch"))
+
+
 def role_plan(blocks: DataFrame, roles: Sequence[tuple[str, int]]) -> DataFrame:
     """One row per block, role and index, with the stage and the ids of all jobs of earlier roles as dependencies."""
     plan = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(r).alias("role"), F.lit(n).alias("n")) for s, (r, n) in enumerate(roles)])

@@ -361,12 +361,8 @@ DAG04 = f"{_TURNS}, s AS (SELECT conv_id FROM j WHERE conv_id % 10 = 0 AND turn
 
 
 def dag01(s, d):
-    """The schedule and batches of the first ten conversations' turns, made on the driver."""
-    own = jobs(s, d).where("conv_id < 10")
-    e = [tuple(r) for r in edges(s, d).where("int(split(needs, '-')[0]) < 10").collect()]  # ten conversations
-    order = graphs.fair_schedule([(r.job, str(r.conv_id)) for r in own.collect()], e)
-    batch = graphs.batches(order, e, 4)
-    return s.createDataFrame([(j, i, batch[j]) for i, j in enumerate(order)], "job string, place int, batch int")
+    """The schedule and batches of all conversations' turns."""
+    return graphs.chain_schedule(jobs(s, d).select("job", F.col("conv_id").cast("string").alias("group")), edges(s, d), 4)
 
 
 def dag05(s, d):

@@ -2,10 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from quorate.operators import stats
+from quorate.operators import graphs, stats
 from quorate.plans import stats as stat_plans
+from quorate.plans import texts as text_plans
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -24,3 +26,23 @@ def test_mcnemar_queries_count_all_discordant_cases(spark):
     assert {r.test: r.p for r in stat_plans.stat09(spark, SMALL).collect()} == {t: a for t, (a, _) in p.items()}
     for r in stat_plans.stat12(spark, SMALL).collect():
         assert abs(r.p - stats.binomial_two_sided(min(r.wins, r.losses), r.wins + r.losses)) <= 1e-9, r
+
+
+def test_chain_schedule_equals_driver(spark):
+    for lengths in ([3, 3, 7, 1, 2, 5, 7, 9, 20], [1, 4], [2, 2, 2, 2, 2], [5, 6, 7, 8], [1, 1, 1, 1, 1, 6, 6, 6]):
+        jobs = [(f"{g}-{t}", f"g{g}") for g, n in enumerate(lengths) for t in range(n)]
+        edges = [(f"{g}-{t}", f"{g}-{t - 1}") for g, n in enumerate(lengths) for t in range(1, n)]
+        order = graphs.fair_schedule(jobs, edges)
+        batch = graphs.batches(order, edges, 4)
+        got = graphs.chain_schedule(spark.createDataFrame(jobs, "job string, group string"), spark.createDataFrame(edges, "job string, needs string"), 4).collect()
+        assert sorted(map(tuple, got)) == sorted((j, i, batch[j]) for i, j in enumerate(order)), lengths
+    for bad in ([("a", "b"), ("b", "a")], [("b", "a"), ("c", "a")], [("b", "x")]):
+        with pytest.raises(ValueError):
+            graphs.chain_schedule(spark.createDataFrame([(x, "g") for x in "abc"], "job string, group string"), spark.createDataFrame(bad, "job string, needs string"), 4)
+
+
+def test_schedule_of_all_conversations(spark):
+    jobs, edges = [(r.job, str(r.conv_id)) for r in text_plans.jobs(spark, SMALL).collect()], [tuple(r) for r in text_plans.edges(spark, SMALL).collect()]
+    order = graphs.fair_schedule(jobs, edges)
+    batch = graphs.batches(order, edges, 4)
+    assert sorted(map(tuple, text_plans.dag01(spark, SMALL).collect())) == sorted((j, i, batch[j]) for i, j in enumerate(order))
