@@ -1,13 +1,17 @@
 """Queries and operators over whole tables and large counts, against brute force on the driver."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quorate.operators import graphs, stats
+from quorate.plans import scores as score_plans
+from quorate.plans import searches as search_plans
 from quorate.plans import stats as stat_plans
 from quorate.plans import texts as text_plans
+from quorate.plans.fixtures import ledger, read, truth
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -46,3 +50,17 @@ def test_schedule_of_all_conversations(spark):
     order = graphs.fair_schedule(jobs, edges)
     batch = graphs.batches(order, edges, 4)
     assert sorted(map(tuple, text_plans.dag01(spark, SMALL).collect())) == sorted((j, i, batch[j]) for i, j in enumerate(order))
+
+
+def test_reconcile_all_customers_and_attempts(spark):
+    valid = {r.job_id for r in ledger(spark, SMALL).where("status = 'valid_output'").collect()}
+    results = {r.c_custkey for r in read(spark, SMALL, "customer").collect()}
+    want = {(k, "result_without_attempt") for k in results - valid} | {(k, "attempt_without_result") for k in valid - results} | {(k, "digest_differs") for k in results & valid if k % 10 == 0}
+    got = [(r.job_id, r.problem) for r in search_plans.aud12(spark, SMALL).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_cells_count_all_cases(spark):
+    want = Counter((r.family, r.tier) for r in truth(spark, SMALL).where("block = '1-URGENT'").collect())
+    got = {(r.family, r.tier): r.cases for r in score_plans.join11(spark, SMALL).collect()}
+    assert {k: n for k, n in got.items() if n} == dict(want)
