@@ -9,13 +9,17 @@ per file with its documents and their lengths.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,31 +30,30 @@ from quorate.llm.common import Workspace
 LENGTH, BATCH = 2048, 64
 FILE_TOKENS, FILE_DOCS = 8_000_000, 200_000
 END = 0
-#: A range of documents that one task encodes, in bytes of text.
-RANGE_BYTES = 24_000_000
-#: Encoded pieces that a worker remembers before it starts afresh.
-MEMORY = 400_000
-
-_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-
-
-def _unsafe(x: str) -> bool:
-    """Whether a space stands at an end or after other white space."""
-    return x[:1] == " " or x[-1:] == " " or any(a + " " in x for a in _SPACES if not x.isascii() or a.isascii())
-
-
+#: A range of documents that one task encodes, in bytes of text, and how many ranges there are at most: beyond, ranges grow
+#: and a task writes more files.
+RANGE_BYTES, MOST_RANGES = 24_000_000, 20_000
+#: Bytes of encoded pieces that a worker remembers before it starts afresh, what an entry costs besides its own bytes, and the
+#: longest piece that is remembered beyond its batch.
+MEMORY, ENTRY, LONGEST = 80_000_000, 220, 64
+
+#: So many bytes of text are encoded at once, unless a text is longer.
+CHUNK = 8_000_000
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _kept: dict = {}
 
 
 class Encoder:
     """Encodes texts exactly as the tokenizer does, remembering the ids of pieces between single spaces.
 
-    A byte-level tokenizer never joins what stands before a single space that follows a non-space with what stands from it
-    on; so the ids of a text are those of its pieces, each with the space before it. Texts in which a space stands beside
-    other white space or at an end go to the tokenizer whole.
+    A byte-level tokenizer with the usual split into words never joins what stands before a single space with what stands
+    from it on, unless white space follows that space; so the ids of a text are those of its pieces, each with the space
+    before it. Texts in which white space or the end follows a space go to the tokenizer whole, as do all texts of a
+    tokenizer of another kind. Pieces are remembered from task to task, up to MEMORY bytes.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,8 +61,15 @@ class Encoder:
         self.size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a token's bytes; its letters stand for one each
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)
+        parts = json.loads(self.tokenizer.to_str())
+        split, added = parts["pre_tokenizer"] or {}, parts["added_tokens"]
+        self.by_piece = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        self.by_piece &= not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in added)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
@@ -75,34 +85,80 @@ class Encoder:
         data = flat.tobytes()
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces that a space precedes; a full stop or comma after a letter is a word of its own, so its piece is put together."""
-        new = pieces - self.later.keys()
-        ended = {p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()}
-        plain = list((new - ended | {p[:-1] for p in ended}) - self.later.keys())
-        self.later.update(zip(plain, self._ids_of_pieces(plain), strict=True))
-        marks = dict(zip(".,", self._ids([".", ","]), strict=True))
-        self.later.update((p, self.later[p[:-1]] + marks[p[-1]]) for p in ended)
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Ids of pieces that a space precedes; returns those that are too long to be remembered.
+
+        Marks after a letter are words of their own, so a piece that ends in marks is put together.
+        """
+        later, ended, plain = self.later, [], set()
+        for p in pieces:
+            if p in later:
+                continue
+            head = p.rstrip(_MARKS)
+            if head != p and "A" <= head[-1:] < "\u2000" and head[-1].isalpha() and not self.special.search(p):
+                ended.append((p, head, p[len(head) :]))
+                p = head
+            if p not in later:
+                plain.add(p)
+        plain = list(plain)
+        later.update(zip(plain, self._ids_of_pieces(plain), strict=True))
+        tails = list({t for _, _, t in ended if t not in self.tails})
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        for p, head, tail in ended:
+            later[p] = later[head] + self.tails[tail]
+        new = [*plain, *(p for p, _, _ in ended)]
+        self.held += sum(map(len, new)) * 2 + sum(map(len, tails)) * 2 + ENTRY * (len(new) + len(tails))
+        return [p for p in new if len(p) > LONGEST]
 
     def forget(self) -> None:
         self.first.clear()
         self.later.clear()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text the bytes of its ids in self.kind."""
-        out: list = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if _unsafe(x)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        split = [(i, x.split(" ")) for i, x in enumerate(texts) if out[i] is None]
-        if len(self.later) + len(self.first) > MEMORY:
+        self.tails.clear()
+        self.held = 0
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Per text the bytes of its ids in self.kind; texts without nulls.
+
+        Distinct pieces are looked up once; their ids are gathered by the pieces' numbers.
+        """
+        if not self.by_piece:
+            return self._ids(texts.to_pylist())
+        if not len(texts):
+            return []
+        if self.held > MEMORY:
             self.forget()
-        new_first = list({p[0] for _, p in split} - self.first.keys())
-        self.first.update(zip(new_first, self._ids(new_first), strict=True))
-        self._learn(set().union(*[p[1:] for _, p in split]))
-        later = self.later.__getitem__
-        for i, p in split:
-            out[i] = self.first[p[0]] + b"".join(map(later, p[1:]))
+        lists = pc.split_pattern(texts, " ")
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        firsts = pc.list_element(lists, 0).dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        words, starts = coded.dictionary.to_pylist(), firsts.dictionary.to_pylist()
+        at[ends[:-1]] = len(words) + firsts.indices.to_numpy()  # the first piece of a text has no space before it
+        bad = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        used = np.zeros(len(words) + len(starts), bool)
+        used[at] = True
+        known = [w if u and not b else "" for w, u, b in zip(words, used.tolist(), bad.tolist(), strict=False)]
+        long = self._learn([w for w in known if w])
+        new = [w for w in starts if w not in self.first]
+        self.first.update(zip(new, self._ids(new), strict=True))
+        self.held += sum(map(len, new)) * 2 + ENTRY * len(new)
+        ids = [*map(self.later.get, known, repeat(b"")), *map(self.first.__getitem__, starts)]
+        width = self.kind().itemsize
+        pool, sizes = np.frombuffer(b"".join(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        first = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        upto = np.cumsum(n)
+        data = pool[np.arange(upto[-1]) + np.repeat(first[at] - upto + n, n)].tobytes()
+        cuts = (np.concatenate(([0], upto))[ends] * width).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        places = np.flatnonzero(np.concatenate((bad, np.zeros(len(starts), bool)))[at])
+        whole = np.unique(np.searchsorted(ends, places, "right") - 1).tolist()
+        for i, x in zip(whole, self._ids([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = x
+        for held, names in ((self.later, long), (self.first, [w for w in new if len(w) > LONGEST])):
+            for w in names:
+                self.held -= 2 * len(w) + ENTRY
+                del held[w]
         return out
 
 
@@ -158,6 +214,25 @@ class _File:
         self.sink.close()
 
 
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Batches of (key, text) put together or cut, so that each has about `size` bytes of text; a longer text is one by itself."""
+    held, n = [], 0
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) + n
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(upto, size, "right")), at if held else at + 1)
+            if end > at:
+                held.append(batch.slice(at, end - at))
+            if end < batch.num_rows:
+                yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
+                held, upto = [], upto - (upto[end - 1] if end else n)
+            at = end
+        n = int(upto[-1]) if batch.num_rows else n
+    if held:
+        yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
+
+
 MANIFEST = "part int, k int, file string, n_sequences long, n_tokens long, docs array<long>, lengths array<long>"
 
 
@@ -184,21 +259,19 @@ def write(docs: DataFrame, ws: Workspace, tokenizer: str, key: str = "doc_id", t
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                piece = batch.slice(at, 400)
-                for doc, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
-                    if file is None:
-                        file = _File(folder, f"{part:06d}-{k:06d}-{uuid.uuid4().hex[:8]}.arrow", enc.kind, length)
-                    file.add(doc, ids + end)
-                    if file.tokens >= FILE_TOKENS or len(file.docs) >= FILE_DOCS:
-                        yield row()
-                        file, k = None, k + 1
+        for keys, texts in chunks(batches):
+            for doc, ids in zip(keys.to_pylist(), enc.encode(texts), strict=True):
+                if file is None:
+                    file = _File(folder, f"{part:06d}-{k:06d}-{uuid.uuid4().hex[:8]}.arrow", enc.kind, length)
+                file.add(doc, ids + end)
+                if file.tokens >= FILE_TOKENS or len(file.docs) >= FILE_DOCS:
+                    yield row()
+                    file, k = None, k + 1
         if file is not None:
             yield row()
-        enc.forget()  # the worker lives on
 
-    ordered = rows.repartitionByRange(max(1, -(-total // RANGE_BYTES)), F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
+    ranges = min(MOST_RANGES, max(1, -(-total // RANGE_BYTES)))
+    ordered = rows.repartitionByRange(ranges, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
     manifest = ws.save(ordered.mapInArrow(written, MANIFEST), "manifest")
     return manifest.withColumn("folder", F.lit(folder))
 
