@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame functions only.
 
-Every row has a fixed 36-bit hash of its id. A source that is to give a fraction of its words takes the rows whose hash
+Every row has a fixed 36-bit hash of its id and text. A source that is to give a fraction of its words takes the rows whose hash
 is below a threshold, and the threshold comes from nested histograms: words are summed by source and the hash's first
 12 bits, the bucket in which the running sum crosses the budget is found, and only the rows of that boundary bucket are
 summed again by the next 12 bits, then by the last 12. No row is ever sorted, and what a histogram holds is bounded by
@@ -28,10 +28,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def row_hash(key: Column) -> Column:
-    """The first 36 bits of the id's MD5."""
-    text = F.coalesce(key.cast("string"), F.lit("null"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 9), 16, 10).cast("long")
+def row_hash(key: Column, text: Column) -> Column:
+    """The first 36 bits of the MD5 of id and text, so that rows without an id or with the same one are told apart by their texts."""
+    both = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 9), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
@@ -39,8 +39,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, ca
 
     Sources in code point order, null last, take the weights in turn. total times all words are shared by weight; no
     target goes above cap times its source's size, and the excess is shared again by weight among the others until none is
-    above. In closed form: in ascending order of cap x size / weight the first sources reach their caps, and all others
-    get one common amount per unit of weight.
+    above. In closed form: in ascending order of cap x size / weight, ties by code point, the first sources reach their caps,
+    and all from the first that need not reach its own on get one common amount per unit of weight. The windows are over one
+    row per source, which is what one task sorts (and spills).
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
@@ -50,7 +51,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, ca
     after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     everything = Window.partitionBy()
     s = s.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(total)) - before) / after)
-    s = s.withColumn("common", F.min(F.when(F.col("most") >= F.col("level") * F.col("weight"), F.struct(F.col("most") / F.col("weight"), "level"))).over(everything)["level"])
+    s = s.withColumn("place", F.row_number().over(order))
+    s = s.withColumn("common", F.min(F.when(F.col("most") >= F.col("level") * F.col("weight"), F.struct("place", "level"))).over(everything)["level"])
     capped = F.coalesce(F.least("most", F.col("common") * F.col("weight")), F.col("most"))
     return s.select("source", "source_size", "weight", capped.alias("target"))
 
@@ -90,11 +92,11 @@ def mix(docs: DataFrame, ws, key: str = "doc_id", text: str = "text", source: st
 
     Each source repeats all its rows floor(target / size) times and once more those below its hash threshold. The result
     depends on ids, texts and sources alone, so reruns agree. Null texts have no words; they and empty ones are taken or
-    left by their hash like others. A null source is a source. Null ids share one hash; repeated rows go together. Columns of
+    left by their hash like others. A null source is a source. Rows of the same id and text go together. Columns of
     docs that are named like MIX_COLUMNS are replaced. Source statistics are as many rows as there are sources, broadcast after a check of their number.
     """
     docs = docs.drop(*MIX_COLUMNS)
-    named = docs.select("*", words(F.col(text)).alias("mix_size"), row_hash(F.col(key)).alias("mix_hash"))
+    named = docs.select("*", words(F.col(text)).alias("mix_size"), row_hash(F.col(key), F.col(text)).alias("mix_hash"))
     narrow = ws.save(named.select(F.col(source).alias("source"), F.col("mix_size").alias("size"), F.col("mix_hash").alias("h")), "sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = ws.save(targets(sizes, weights, total, cap), "targets")
@@ -125,21 +127,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 9) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 9) AS BIGINT) AS h
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          list_extract([3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS weight
   FROM d GROUP BY source),
-o AS (
-  SELECT *, 2.0::DOUBLE * source_size AS most,
-         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-         / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
-c AS (SELECT *, first_value(level) OVER (ORDER BY CASE WHEN most >= level * weight THEN 0 ELSE 1 END, most / weight, level) AS common FROM o),
-t AS (SELECT source, source_size, least(most, common * weight) AS target FROM c),
+-- share what is left among the open sources, cap those above their most, and share again until none is above
+g(step, source, source_size, weight, target, open, more) AS (
+  SELECT 0, source, source_size, weight, 0.0::DOUBLE, true, true FROM s
+  UNION ALL
+  SELECT step + 1, source, source_size, weight,
+         CASE WHEN NOT open THEN target WHEN share > 2.0::DOUBLE * source_size THEN 2.0::DOUBLE * source_size ELSE share END,
+         open AND share <= 2.0::DOUBLE * source_size, bool_or(open AND share > 2.0::DOUBLE * source_size) OVER ()
+  FROM (
+    SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(CASE WHEN NOT open THEN target END) OVER (), 0))
+              / sum(CASE WHEN open THEN weight END) OVER () * weight AS share
+    FROM g WHERE more)),
+t AS (SELECT source, source_size, target FROM g WHERE step = (SELECT max(step) FROM g)),
 b AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 u AS (SELECT source, h, sum(size) AS unit FROM d GROUP BY source, h),

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -133,6 +134,46 @@ def test_decontamination(spark):
     assert decontamination.clean(df, it.limit(0)).count() == 7 and decontamination.scan(df.limit(0), it).count() == 0
 
 
+def shared_targets(sizes):
+    """Share, cap, share again."""
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    open_, left, want = set(sizes), 1.5 * sum(sizes.values()), {}
+    while True:
+        w = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / w > 2 * sizes[s]}
+        if not over:
+            return want | {s: left * weight[s] / w for s in open_}
+        for s in over:
+            want[s] = 2.0 * sizes[s]
+        left -= sum(want[s] for s in over)
+        open_ -= over
+
+
+@pytest.mark.parametrize("sizes", [{"a": 3000, "b": 1000}, {"a": 900, "b": 1000, "c": 2000, "d": 900}, {"a": 0, "b": 0}, {"a": 0, "b": 7}, {"a": 3, "b": 1, "c": 2, None: 3}, {None: 5}, {"a": 10**9, "b": 1, "c": 1, "d": 10**9, "e": 333, "f": 2}])
+def test_targets(spark, sizes):
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == {s: pytest.approx(t) for s, t in shared_targets(sizes).items()}
+
+
+def test_mixing_sql(spark, tmp_path):
+    """The SQL against the query where sources tie, ids are null or repeated, and a source has no words."""
+    rows = [(i if i % 7 else None, " ".join(["w"] * (1 + i % 9)) + f" {i}", "en", ("a", "b", "c", "d")[i % 4], 0) for i in range(400)]
+    rows += [(500, None, "en", "empty", 0), (500, "x", "en", None, 0), (501, "same", "en", "a", 0), (501, "same", "en", "a", 0)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.query(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.SQL).df()
+    key = lambda df: sorted(map(str, df[["doc_id", "size", "source_size", "target", "taken"]].astype(float).values.tolist()))
+    assert key(got) == key(want)
+
+
+def test_mixing_many_null_ids(spark, ws):
+    rows = [(None, f"word {i} " + "x " * (i % 5), "en", "ab"[i % 2], 0) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), ws).groupBy("source").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.first("mix_target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) <= 7 for r in got)
+
+
 def test_mixing(spark, ws):
     got = [r.asDict() for r in mixing.mix(docs(spark), ws).select("doc_id", "source", "mix_size", "mix_source_size", "mix_target", "mix_copies").collect()]
     sizes, taken, targets = Counter(), Counter(), {}
@@ -141,18 +182,7 @@ def test_mixing(spark, ws):
         taken[r["source"]] += r["mix_size"] * r["mix_copies"]
         targets[r["source"]] = r["mix_target"]
         assert 0 <= r["mix_copies"] <= 2
-    total = sum(sizes.values())
-    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted((x for x in sizes if x is not None)) + [None])}
-    open_, left, want = set(sizes), 1.5 * total, {}
-    while True:  # share, cap, share again
-        w = sum(weight[s] for s in open_)
-        over = {s for s in open_ if left * weight[s] / w > 2 * sizes[s]}
-        if not over:
-            want |= {s: left * weight[s] / w for s in open_}
-            break
-        for s in over:
-            want[s], left = 2.0 * sizes[s], left - 2 * sizes[s]
-        open_ -= over
+    want = shared_targets(sizes)
     assert {s: pytest.approx(t) for s, t in want.items()} == targets
     assert all(abs(taken[s] - targets[s]) <= 3000 / 2 + 1 for s in sizes)  # half of the longest document
     again = [r.asDict() for r in mixing.mix(docs(spark).repartition(7), Workspace(spark, "again")).select("doc_id", "source", "mix_size", "mix_source_size", "mix_target", "mix_copies").collect()]
@@ -243,8 +273,26 @@ def test_token_files(spark, ws, monkeypatch):
 
 def test_encoder_equals_tokenizer():
     e = token_files.Encoder(token_files.default_tokenizer())
-    x = ["", " a", "a ", "a  b", "a\n b c", "x <|endoftext|> y", "it's, don't. 's 12ab!!", "a\tb c", "日本 語, é. x", ". . ., a.", "a b\n\nc d\n", "a\u00a0 b c"] * 2
-    assert e.encode(x) == [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, e.kind).tobytes() for t in x]
+    assert e.by_piece
+    x = ["", " a", "a ", "a  b", "a\n b c", "x <|endoftext|> y", "it's, don't. 's 12ab!!", "a\tb c", "日本 語, é. x", ". . ., a.", "a b\n\nc d\n", "a\u00a0 b c", "a\n \nb", "a \nb", " \n", "a   b", "w" * 300 + " " + "v" * 300 + ".", "a's' 'b' _c_ 1.5 x$$$ y.***", "\u00b2. x\u2160, \u0e01."] * 2
+    rng = np.random.default_rng(11)
+    parts = [" ", " ", "\n", "\t", "a", "Bc", "é", "1", ".", ",", "'s", "'", "$", "_", "\u00a0", "語", "-"]
+    x += ["".join(rng.choice(parts, n)) for n in range(1, 60) for _ in range(5)]
+    want = [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, e.kind).tobytes() for t in x]
+    assert e.encode(pa.array(x)) == want and e.encode(pa.array(x)) == want and max(map(len, e.later)) <= token_files.LONGEST
+    e.held = token_files.MEMORY + 1
+    assert e.encode(pa.array(x[:9])) == want[:9] and 0 < e.held < 10_000
+    assert e.encode(pa.array([], pa.string())) == []
+    e.by_piece = False
+    assert e.encode(pa.array(x)) == want
+
+
+def test_chunks():
+    t = ["a" * n for n in (3, 0, 50, 4, 4, 4, 0, 9, 1, 30, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(t[a:b], pa.string())], ["k", "t"]) for a, b in ((0, 1), (1, 1), (1, 5), (5, 9), (9, 11))]
+    got = list(token_files.chunks(iter(batches), 10))
+    assert [i for k, _ in got for i in k.to_pylist()] == list(range(11)) and [x for _, c in got for x in c.to_pylist()] == t
+    assert all(len(c) == 1 or sum(map(len, c.to_pylist())) <= 10 for _, c in got) and list(token_files.chunks(iter([]), 10)) == []
 
 
 def judge(url):
