@@ -9,31 +9,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def floor_percentile(values: Column, p: float) -> Column:
-    """The sorted value at floor((n - 1) p), counted from 0."""
-    kept = F.sort_array(F.collect_list(values))
-    return F.element_at(kept, (F.floor((F.size(kept) - 1) * p) + 1).cast("int"))
+#: Replicates of a bootstrap and random sign patterns, unless the caller asks for other numbers.
+REPLICATES, FLIPS = 50_000, 100_000
+#: Draws that one row stands for before they are made.
+DRAWS = 10_000
+
+
+def floor_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the sorted value at floor((n - 1) p), counted from 0, for each named p; nulls do not count.
+
+    Values are counted first, so that a window runs over a group's distinct values and no group is collected.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(value))
+    n = F.sum("c").over(Window.partitionBy(by))
+    placed = counts.select(by, value, upto.alias("upto"), n.alias("n"))
+    return placed.groupBy(by).agg(*[F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def draws(strata: DataFrame, replicates: int, seed: str) -> DataFrame:
     """(replicate, stratum, draw, pos): with replacement, from strata (stratum, n), positions 0 to n - 1.
 
-    A draw is a number from the MD5 of seed, replicate, stratum and draw modulo n, so that any engine gets the same.
+    A draw is a number from the MD5 of seed, replicate, stratum and draw modulo n, so that any engine gets the same. Draws
+    are made from rows of DRAWS each that are dealt out first, so that neither a row nor a task grows with a stratum.
     """
-    spark = strata.sparkSession
-    grid = strata.crossJoin(F.broadcast(spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))))  # replicates rows
-    each = grid.select("replicate", "stratum", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("draw"))
+    starts = strata.select("stratum", "n", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"), F.lit(DRAWS).cast("long"))).alias("start"))
+    parts = starts.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("stratum", "start", "replicate")
+    each = parts.select("replicate", "stratum", "n", F.explode(F.sequence("start", F.least(F.col("n") - 1, F.col("start") + DRAWS - 1))).alias("draw"))
     word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "stratum", "draw").cast("binary")), 1, 8), 16, 10).cast("long")
     return each.select("replicate", "stratum", "draw", (word % F.col("n")).alias("pos"))
 
 
-def bootstrap(cases: DataFrame, metrics: Sequence[str], replicates: int, seed: str, stratum: str = "stratum", order: str = "case_id") -> DataFrame:
+def numbered(cases: DataFrame, stratum: str, order: str, buckets: int = 1024) -> DataFrame:
+    """Cases with pos, their number from 0 within the stratum, by bucket of the order column's hash and then by the column.
+
+    A window runs within a bucket; where a bucket begins comes from the buckets' counts, so that no stratum is in one task.
+    """
+    own = cases.withColumn("bucket", F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % buckets)
+    sizes = own.groupBy(F.col(stratum).alias("b_stratum"), F.col("bucket").alias("b_bucket")).agg(F.count("*").alias("c"))
+    earlier = Window.partitionBy("b_stratum").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("b_stratum", "b_bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("begin"))
+    inner = F.row_number().over(Window.partitionBy(stratum, "bucket").orderBy(order)) - 1
+    both = own.withColumn("inner", inner).join(begins, F.col(stratum).eqNullSafe(F.col("b_stratum")) & (F.col("bucket") == F.col("b_bucket")))
+    return both.withColumn("pos", F.col("begin") + F.col("inner")).drop("bucket", "b_stratum", "b_bucket", "begin", "inner")
+
+
+def bootstrap(cases: DataFrame, metrics: Sequence[str], replicates: int = REPLICATES, seed: str = "", stratum: str = "stratum", order: str = "case_id") -> DataFrame:
     """Means of each metric per replicate; all metrics of a replicate share its draws, strata keep their sizes.
 
     Draws are counted by stratum and position first, so that the join with the cases is one row per case and replicate.
     """
-    w = Window.partitionBy(stratum)
-    placed = cases.select(F.col(stratum).cast("string").alias("stratum"), *metrics, (F.row_number().over(w.orderBy(order)) - 1).alias("pos"))
+    placed = numbered(cases.select(F.col(stratum).cast("string").alias("stratum"), *metrics, order), "stratum", order).drop(order)
     sizes = placed.groupBy("stratum").agg(F.count("*").alias("n"))
     weights = draws(sizes, replicates, seed).groupBy("replicate", "stratum", "pos").agg(F.count("*").alias("k"))
     both = weights.join(placed, ["stratum", "pos"])
@@ -83,25 +109,35 @@ def holm(tests: DataFrame, p: str = "p", key: str = "test") -> DataFrame:
 
 def sign_flip_exact(differences: DataFrame, value: str = "diff", order: str = "case_id") -> DataFrame:
     """p of the sum's size over all 2^n sign patterns of the nonzero differences; n is to be 20 at most."""
-    items = differences.where(F.col(value) != 0).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("d"))
-    n = items.first()["d"]
-    spark = differences.sparkSession
-    if len(n or []) > 20:
+    own = differences.where(F.col(value) != 0).select(order, value)
+    if own.limit(21).count() > 20:
         raise ValueError("more than 20 nonzero differences: use sign_flip_sampled")
-    total = abs(sum(n or []))
-    flips = spark.range(1 << len(n or []))
-    signed = sum((F.when((F.shiftright("id", i) % 2) == 1, float(-x)).otherwise(float(x)) for i, x in enumerate(n or [])), F.lit(0.0))
+    n = [r[1] for r in sorted(own.collect())]
+    spark = differences.sparkSession
+    total = abs(sum(n))
+    flips = spark.range(1 << len(n))
+    signed = sum((F.when((F.shiftright("id", i) % 2) == 1, float(-x)).otherwise(float(x)) for i, x in enumerate(n)), F.lit(0.0))
     return flips.agg(F.count("*").alias("patterns"), (F.count_if(F.abs(signed) >= total - 1e-12) / F.count("*")).alias("p"))
 
 
-def sign_flip_sampled(differences: DataFrame, rounds: int, seed: str, value: str = "diff", order: str = "case_id") -> DataFrame:
-    """p from random sign patterns, (extreme + 1) / (rounds + 1); signs come from an MD5 of seed, round and case."""
-    own = differences.where(F.col(value) != 0).select(order, value)
+def sign_flip_sampled(differences: DataFrame, rounds: int = FLIPS, seed: str = "", value: str = "diff") -> DataFrame:
+    """p from random sign patterns, (extreme + 1) / (rounds + 1).
+
+    Differences of equal size are one class, and a round needs only how many of a class change sign: so many bits of MD5
+    words of seed, round, size and place are counted, 60 differences a word.
+    """
     spark = differences.sparkSession
-    grid = own.crossJoin(F.broadcast(spark.range(rounds).select(F.col("id").alias("round"))))  # rounds rows
-    odd = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "round", order).cast("binary")), 1, 8), 16, 10).cast("long") % 2
-    sums = grid.groupBy("round").agg(F.abs(F.sum(F.when(odd == 1, -F.col(value)).otherwise(F.col(value)))).alias("s"), F.abs(F.sum(value)).alias("t"))
-    return sums.agg(F.count("*").alias("rounds"), ((F.count_if(F.col("s") >= F.col("t")) + 1) / (F.count("*") + 1)).alias("p"))
+    sizes = differences.where(F.col(value) != 0).groupBy(F.abs(value).cast("double").alias("size")).agg(F.count("*").alias("n"), F.sum(F.signum(value)).cast("long").alias("net"))
+    words = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 60) - 1)).alias("place"))
+    each = words.select("*", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 1000))).alias("part")).repartition("size", "place", "part")
+    each = each.select("*", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.lit(rounds - 1)))).alias("round"))
+    word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "round", F.round(F.col("size"), 6).cast("decimal(38,6)"), "place").cast("binary")), 1, 15), 16, 10).cast("long")
+    kept = F.when(F.col("n") - F.col("place") * 60 < 60, F.expr("shiftleft(1L, cast(n - place * 60 as int)) - 1")).otherwise(F.lit((1 << 60) - 1))
+    ones = each.groupBy("round", "size").agg(F.sum(F.bit_count(word.bitwiseAND(kept))).alias("ones"), F.first("n").alias("n"), F.first("net").alias("net"))
+    sums = ones.groupBy("round").agg(F.abs(F.sum(F.col("size") * (F.col("n") - 2 * F.col("ones")))).alias("s"), F.abs(F.sum(F.col("size") * F.col("net"))).alias("t"))
+    none = spark.range(1).select(F.lit(rounds).cast("long").alias("rounds"))
+    got = sums.agg(F.count_if(F.col("s") >= F.col("t") - 1e-9).alias("extreme"), F.count("*").alias("made"))
+    return none.crossJoin(got).select("rounds", F.when(F.col("made") == 0, 1.0).otherwise((F.col("extreme") + 1) / (F.col("rounds") + 1)).alias("p"))  # one row each
 
 
 def classification(low: Column, high: Column, low90: Column, high90: Column, margin: float = 0.10) -> Column:

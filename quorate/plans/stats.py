@@ -9,7 +9,8 @@ from quorate.operators import stats
 from quorate.plans.fixtures import read
 from quorate.plans.scores import SYSTEMS_SQL, decided
 
-ROUNDS, SEED = 40, "quorate"
+#: Replicates and sign patterns of the queries; the operators' own defaults are stats.REPLICATES and stats.FLIPS.
+ROUNDS, FLIPS, SEED = 1000, 100_000, "quorate"
 
 
 def paired(s, d):
@@ -27,7 +28,7 @@ PAIRED = """pd AS (
 
 def _boot_sql(stratum: str = "stratum", metrics=("a", "b")) -> str:
     sums = ", ".join(f"CAST(sum(k * {m}) AS DOUBLE) / sum(k) AS {m}" for m in metrics)
-    return f"""pl AS (SELECT CAST({stratum} AS VARCHAR) AS stratum, {', '.join(metrics)}, row_number() OVER (PARTITION BY {stratum} ORDER BY case_id) - 1 AS pos FROM pd),
+    return f"""pl AS (SELECT CAST({stratum} AS VARCHAR) AS stratum, {', '.join(metrics)}, row_number() OVER (PARTITION BY {stratum} ORDER BY CAST('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 8) AS BIGINT) % 1024, case_id) - 1 AS pos FROM pd),
 sz AS (SELECT stratum, count(*) AS n FROM pl GROUP BY stratum),
 dr AS (SELECT replicate, stratum, n, unnest(range(n)) AS draw FROM sz, range({ROUNDS}) t(replicate)),
 wt AS (SELECT replicate, stratum, CAST('0x' || substr(md5('{SEED}|' || replicate || '|' || stratum || '|' || draw), 1, 8) AS BIGINT) % n AS pos, count(*) AS k FROM dr GROUP BY ALL),
@@ -38,6 +39,11 @@ def r9(c):
     return F.round(c, 9).alias(c)
 
 
+def p9(p):
+    """A p rounded; exact tests give sums of powers of a half, and the nudge keeps these off the middle between two roundings."""
+    return F.round(p + 1e-12, 9).alias("p")
+
+
 def stat01(s, d):
     p = F.array(*[F.lit(x) for x in (0.025, 0.25, 0.5, 0.9)])
     got = read(s, d, "documents").groupBy("lang").agg(F.percentile("n_chars", p).alias("q"))
@@ -48,7 +54,7 @@ STAT01 = "SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {p}), 9) AS
 
 
 def stat02(s, d):
-    return read(s, d, "documents").groupBy("lang").agg(stats.floor_percentile(F.col("n_chars"), 0.3).alias("p30"), stats.floor_percentile(F.col("n_chars"), 0.975).alias("p975"))
+    return stats.floor_percentiles(read(s, d, "documents"), "lang", "n_chars", {"p30": 0.3, "p975": 0.975})
 
 
 STAT02 = "WITH l AS (SELECT lang, list(n_chars ORDER BY n_chars) AS v FROM documents GROUP BY lang) SELECT lang, v[CAST(floor((len(v) - 1) * 0.3) AS BIGINT) + 1] AS p30, v[CAST(floor((len(v) - 1) * 0.975) AS BIGINT) + 1] AS p975 FROM l"
@@ -106,36 +112,41 @@ def discordant(s, d):
 
 
 def stat08(s, d):
-    return discordant(s, d).select("test", "only_a", "only_b", F.round(stats.mcnemar(F.col("only_a"), F.col("only_b")), 9).alias("p"))
+    return discordant(s, d).select("test", "only_a", "only_b", p9(stats.mcnemar(F.col("only_a"), F.col("only_b"))))
 
 
 MCNEMAR = """mc AS (
   SELECT test, only_a, only_b, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END AS p
-  FROM (SELECT test, only_a, only_b, least(only_a, 40) + least(only_b, 40) AS n, least(only_a, only_b, 40) AS k FROM (SELECT stratum AS test, count(*) FILTER (diff < 0) AS only_a, count(*) FILTER (diff > 0) AS only_b FROM pd GROUP BY stratum)))"""
-STAT08 = f"WITH {PAIRED}, {MCNEMAR} SELECT test, only_a, only_b, round(p, 9) AS p FROM mc"
+  FROM (SELECT test, only_a, only_b, only_a + only_b AS n, least(only_a, only_b) AS k FROM (SELECT stratum AS test, count(*) FILTER (diff < 0) AS only_a, count(*) FILTER (diff > 0) AS only_b FROM pd GROUP BY stratum)))"""
+STAT08 = f"WITH {PAIRED}, {MCNEMAR} SELECT test, only_a, only_b, round(p + 1e-12, 9) AS p FROM mc"
 
 
 def stat09(s, d):
-    tests = discordant(s, d).select("test", F.round(stats.mcnemar(F.col("only_a"), F.col("only_b")), 9).alias("p"))
+    tests = discordant(s, d).select("test", p9(stats.mcnemar(F.col("only_a"), F.col("only_b"))))
     return stats.holm(tests).select("test", "p", r9("adjusted"))
 
 
-STAT09 = f"""WITH {PAIRED}, {MCNEMAR}, t AS (SELECT test, round(p, 9) AS p FROM mc),
+STAT09 = f"""WITH {PAIRED}, {MCNEMAR}, t AS (SELECT test, round(p + 1e-12, 9) AS p FROM mc),
 r AS (SELECT test, p, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1) * p) AS w FROM t)
 SELECT test, p, round(max(w) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM r"""
 
 
 def stat10(s, d):
-    own = paired(s, d).where("diff <> 0 and case_id % 3 = 0").orderBy("case_id").limit(12)
-    exact = stats.sign_flip_exact(own).select(F.lit("exact").alias("kind"), F.col("patterns").alias("n"), r9("p"))
-    sampled = stats.sign_flip_sampled(paired(s, d), 50, SEED).select(F.lit("sampled").alias("kind"), F.col("rounds").alias("n"), r9("p"))
+    """Exactly over the sums of blocks, of which there are few by nature, and sampled over all cases."""
+    blocks = paired(s, d).groupBy(F.col("stratum").alias("case_id")).agg(F.sum("diff").alias("diff"))
+    exact = stats.sign_flip_exact(blocks).select(F.lit("exact").alias("kind"), F.col("patterns").alias("n"), r9("p"))
+    sampled = stats.sign_flip_sampled(paired(s, d), FLIPS, SEED).select(F.lit("sampled").alias("kind"), F.col("rounds").alias("n"), r9("p"))
     return exact.union(sampled)
 
 
 STAT10 = f"""WITH {PAIRED},
-o AS (SELECT diff, row_number() OVER (ORDER BY case_id) - 1 AS i FROM (SELECT * FROM pd WHERE diff <> 0 AND case_id % 3 = 0 ORDER BY case_id LIMIT 12)),
+o AS (SELECT diff, row_number() OVER (ORDER BY case_id) - 1 AS i FROM (SELECT stratum AS case_id, sum(diff) AS diff FROM pd GROUP BY stratum HAVING sum(diff) <> 0)),
 f AS (SELECT p, abs(sum(CASE WHEN (p >> i) % 2 = 1 THEN -diff ELSE diff END)) AS s, abs(sum(diff)) AS t FROM o, (SELECT unnest(range(CAST(pow(2, (SELECT count(*) FROM o)) AS BIGINT))) AS p) GROUP BY p),
-g AS (SELECT r, abs(sum(CASE WHEN CAST('0x' || substr(md5('{SEED}|' || r || '|' || case_id), 1, 8) AS BIGINT) % 2 = 1 THEN -diff ELSE diff END)) AS s, abs(sum(diff)) AS t FROM pd, range(50) q(r) WHERE diff <> 0 GROUP BY r)
+z AS (SELECT count(*) AS n, abs(sum(diff)) AS t FROM pd WHERE diff <> 0),
+w AS (SELECT n, t, unnest(range((n + 59) // 60)) AS place FROM z),
+g AS (
+  SELECT r, abs(any_value(n) - 2 * sum(bit_count(CAST('0x' || substr(md5('{SEED}|' || r || '|1.000000|' || place), 1, 15) AS BIGINT) & CASE WHEN n - place * 60 < 60 THEN (1::BIGINT << (n - place * 60)::INTEGER) - 1 ELSE (1::BIGINT << 60) - 1 END))) AS s, any_value(t) AS t
+  FROM w, range({FLIPS}) q(r) GROUP BY r)
 SELECT 'exact' AS kind, count(*) AS n, round(CAST(count(*) FILTER (s >= t) AS DOUBLE) / count(*), 9) AS p FROM f
 UNION ALL SELECT 'sampled', count(*), round(CAST(count(*) FILTER (s >= t) + 1 AS DOUBLE) / (count(*) + 1), 9) FROM g"""
 
@@ -151,13 +162,17 @@ q AS (SELECT quantile_cont(round(diff, 12), 0.025) AS l, quantile_cont(round(dif
 SELECT CASE WHEN l > 0 OR h < 0 THEN 'superior' WHEN l9 >= -0.1 AND h9 <= 0.1 THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM q"""
 
 
+def pairs_of_systems(s, d):
+    """All pairs of systems over the cases that both decide."""
+    names = ["deliberative", "dual", "gated", "judge", "verified"]
+    wide = decided(s, d).groupBy("case_id").pivot("method", names).agg(F.max(F.col("exact").cast("int")))
+    return stats.contrasts(wide, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
+
+
 def stat12(s, d):
     """The family of all pairs of systems: estimates, exact tests and their joint correction."""
-    wide = decided(s, d).groupBy("case_id").pivot("method", ["deliberative", "dual", "gated", "judge", "verified"]).agg(F.max(F.col("exact").cast("int")))
-    names = ["deliberative", "dual", "gated", "judge", "verified"]
-    got = stats.contrasts(wide, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
-    p = F.round(stats.mcnemar(F.col("losses"), F.col("wins")), 9)
-    return stats.holm(got.withColumn("p", p), key="contrast").select("contrast", r9("estimate"), "wins", "losses", "ties", "p", r9("adjusted"))
+    p = p9(stats.mcnemar(F.col("losses"), F.col("wins")))
+    return stats.holm(pairs_of_systems(s, d).withColumn("p", p), key="contrast").select("contrast", r9("estimate"), "wins", "losses", "ties", "p", r9("adjusted"))
 
 
 _FAMILY = f"""WITH {SYSTEMS_SQL},
@@ -166,8 +181,8 @@ c AS (
   FROM sys x JOIN sys y ON x.case_id = y.case_id AND x.method < y.method GROUP BY 1)"""
 STAT12 = f"""{_FAMILY},
 p AS (
-  SELECT *, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 9) AS p
-  FROM (SELECT *, least(wins, 30) + least(losses, 30) AS n, least(wins, losses, 30) AS k FROM c)),
+  SELECT *, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END + 1e-12, 9) AS p
+  FROM (SELECT *, wins + losses AS n, least(wins, losses) AS k FROM c)),
 r AS (SELECT *, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p, contrast) + 1) * p) AS w FROM p)
 SELECT contrast, round(estimate, 9) AS estimate, wins, losses, ties, p, round(max(w) OVER (ORDER BY p, contrast ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM r"""
 
@@ -189,7 +204,7 @@ STAT14 = f"WITH pd0 AS (WITH {PAIRED} SELECT * FROM pd), pd AS (SELECT case_id,
 
 
 def stat15(s, d):
-    return stat12(s, d).select("contrast", "estimate")
+    return pairs_of_systems(s, d).select("contrast", r9("estimate"))
 
 
 STAT15 = f"{_FAMILY} SELECT contrast, round(estimate, 9) AS estimate FROM c"
