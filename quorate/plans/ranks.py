@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quorate.operators import ledgers, ranks, sets
@@ -212,71 +213,76 @@ def _state(f):
     return STATE.format(v=f("valid_output"), p=f("protocol_violation"), s=f("schema_invalid"), i=f("infrastructure_failure"))
 
 
-def short(s, d, most=3):
-    """Ledgers cut after a few attempts, so that jobs are in all states."""
-    return ledger(s, d).where(F.col("attempt_number") <= F.col("job_id") % most + 1)
+def daily(s, d):
+    """The ledger with a job for each user and day, whose few attempts leave jobs in all states."""
+    w = Window.partitionBy("job_id", "batch").orderBy("ts", "event_id")
+    return ledger(s, d).withColumn("attempt_number", F.row_number().over(w)).withColumn("job_id", F.concat_ws(" ", "job_id", "batch"))
 
 
-SHORT = LEDGER + ", short AS (SELECT * FROM ledger WHERE attempt_number <= job_id % 3 + 1)"
+DAILY = LEDGER + """, daily AS (
+  SELECT * REPLACE (job_id || ' ' || batch AS job_id, CAST(row_number() OVER (PARTITION BY job_id, batch ORDER BY ts, event_id) AS INTEGER) AS attempt_number) FROM ledger)"""
 
 
 def ledg01(s, d):
-    return ledgers.lineage_states(short(s, d))
+    return ledgers.lineage_states(daily(s, d))
 
 
-LEDG01 = f"""WITH {SHORT}, x AS (SELECT job_id, count(*) AS n, min(attempt_number) FILTER (status IN ('valid_output', 'schema_invalid')) AS a, arg_min(status, attempt_number) FILTER (status IN ('valid_output', 'schema_invalid')) AS o FROM short GROUP BY job_id),
+LEDG01 = f"""WITH {DAILY}, x AS (SELECT job_id, count(*) AS n, min(attempt_number) FILTER (status IN ('valid_output', 'schema_invalid')) AS a, arg_min(status, attempt_number) FILTER (status IN ('valid_output', 'schema_invalid')) AS o FROM daily GROUP BY job_id),
 y AS (SELECT *, CASE WHEN a IS NOT NULL AND a <= 3 THEN 'closed' WHEN n >= 3 THEN 'exhausted' ELSE 'open' END AS state FROM x)
 SELECT job_id, state, CASE WHEN state = 'closed' THEN o END AS outcome, CASE WHEN state = 'closed' THEN a END AS selected_attempt, CASE WHEN state = 'open' THEN n + 1 END AS next_attempt FROM y"""
 
 
 def ledg02(s, d):
-    return ledgers.job_states(short(s, d))
+    return ledgers.job_states(daily(s, d))
 
 
-LEDG02 = f"WITH {SHORT} SELECT job_id, count(*) AS attempts, {_state(lambda x: f'count(*) FILTER (status = {chr(39)}{x}{chr(39)})')} AS state FROM short GROUP BY job_id"
+LEDG02 = f"WITH {DAILY} SELECT job_id, count(*) AS attempts, {_state(lambda x: f'count(*) FILTER (status = {chr(39)}{x}{chr(39)})')} AS state FROM daily GROUP BY job_id"
 
 
 def ledg03(s, d):
-    l = ledger(s, d).where("attempt_number <= 6").withColumn("request_sha256", F.when(F.col("event_id") % 29 == 0, "changed").otherwise("same"))
+    l = daily(s, d).withColumn("request_sha256", F.when(F.col("event_id") % 29 == 0, "changed").otherwise("same"))
     l = l.withColumn("attempt_number", F.when(F.col("event_id") % 31 == 0, F.col("attempt_number") + 10).otherwise(F.col("attempt_number")))
     return ledgers.problems(l)
 
 
-LEDG03 = f"""WITH {LEDGER}, a AS (SELECT job_id, event_id, status, CASE WHEN event_id % 29 = 0 THEN 'changed' ELSE 'same' END AS rq, CASE WHEN event_id % 31 = 0 THEN attempt_number + 10 ELSE attempt_number END AS attempt_number FROM ledger WHERE attempt_number <= 6),
+LEDG03 = f"""WITH {DAILY}, a AS (SELECT job_id, event_id, status, CASE WHEN event_id % 29 = 0 THEN 'changed' ELSE 'same' END AS rq, CASE WHEN event_id % 31 = 0 THEN attempt_number + 10 ELSE attempt_number END AS attempt_number FROM daily),
 b AS (SELECT *, coalesce(bool_or(status = 'valid_output') OVER (PARTITION BY job_id ORDER BY attempt_number, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late,
       row_number() OVER (PARTITION BY job_id ORDER BY attempt_number, event_id) AS k, first_value(rq) OVER (PARTITION BY job_id ORDER BY attempt_number, event_id) AS f FROM a)
 SELECT job_id, attempt_number, 'after_close' AS problem FROM b WHERE late UNION ALL SELECT job_id, attempt_number, 'not_contiguous' FROM b WHERE k <> attempt_number UNION ALL SELECT job_id, attempt_number, 'request_changed' FROM b WHERE rq <> f"""
 
 
 def ledg04(s, d):
-    return ledgers.selected(short(s, d))
+    return ledgers.selected(daily(s, d))
 
 
-LEDG04 = f"""WITH {SHORT}, a AS (SELECT *, coalesce(min(attempt_number) FILTER (status = 'valid_output') OVER (PARTITION BY job_id), max(attempt_number) OVER (PARTITION BY job_id)) AS att FROM short),
+LEDG04 = f"""WITH {DAILY}, a AS (SELECT *, coalesce(min(attempt_number) FILTER (status = 'valid_output') OVER (PARTITION BY job_id), max(attempt_number) OVER (PARTITION BY job_id)) AS att FROM daily),
 b AS (SELECT *, count(*) FILTER (status <> 'valid_output' AND attempt_number < att) OVER (PARTITION BY job_id) AS failures FROM a) SELECT job_id, attempt_number, status, failures FROM b WHERE attempt_number = att"""
 
 
 def ledg05(s, d):
-    planned = read(s, d, "customer").select(F.col("c_custkey").alias("job_id")).where("job_id <= 160")
-    return ledgers.closed_gate(planned, short(s, d))
+    """Planned are all jobs of the ledger and one of New Year's Day for each customer."""
+    planned = daily(s, d).select("job_id").union(read(s, d, "customer").select(F.concat_ws(" ", "c_custkey", F.lit("2024-01-01"))))
+    return ledgers.closed_gate(planned, daily(s, d))
 
 
-LEDG05 = f"WITH st AS ({LEDG02}), x AS (SELECT c_custkey, coalesce(state = 'open', true) AS o FROM customer LEFT JOIN st ON c_custkey = job_id WHERE c_custkey <= 160) SELECT count(*) AS planned, count(*) FILTER (NOT o) AS closed, count(*) FILTER (o) AS open, count(*) FILTER (o) = 0 AS may_read_truth FROM x"
+LEDG05 = f"""WITH {DAILY}, st AS (SELECT job_id, {_state(lambda x: f'count(*) FILTER (status = {chr(39)}{x}{chr(39)})')} AS state FROM daily GROUP BY job_id),
+p AS (SELECT job_id FROM daily UNION SELECT c_custkey || ' 2024-01-01' FROM customer), x AS (SELECT coalesce(state = 'open', true) AS o FROM p LEFT JOIN st USING (job_id))
+SELECT count(*) AS planned, count(*) FILTER (NOT o) AS closed, count(*) FILTER (o) AS open, count(*) FILTER (o) = 0 AS may_read_truth FROM x"""
 
 
 def ledg06(s, d):
-    last = ledgers.last_event(short(s, d)).select("job_id", F.col("event_id").alias("last"))
-    return last.join(ledgers.last_event(short(s, d), True).select("job_id", F.col("event_id").alias("last_valid")), "job_id")
+    last = ledgers.last_event(daily(s, d)).select("job_id", F.col("event_id").alias("last"))
+    return last.join(ledgers.last_event(daily(s, d), True).select("job_id", F.col("event_id").alias("last_valid")), "job_id")
 
 
-LEDG06 = f"WITH {SHORT} SELECT job_id, arg_max(event_id, attempt_number) AS last, arg_max(event_id, attempt_number + CASE WHEN status = 'valid_output' THEN 1000 ELSE 0 END) AS last_valid FROM short GROUP BY job_id"
+LEDG06 = f"WITH {DAILY} SELECT job_id, arg_max(event_id, attempt_number) AS last, arg_max(event_id, attempt_number + CASE WHEN status = 'valid_output' THEN 1000 ELSE 0 END) AS last_valid FROM daily GROUP BY job_id"
 
 
 def ledg08(s, d):
-    return ledgers.replay(ledger(s, d).where("attempt_number <= 5"))
+    return ledgers.replay(daily(s, d))
 
 
-LEDG08 = f"WITH {LEDGER}, x AS (SELECT * FROM ledger WHERE attempt_number <= 5) SELECT job_id, attempt_number, {_state(lambda x: f'count(*) FILTER (status = {chr(39)}{x}{chr(39)}) OVER w')} AS state FROM x WINDOW w AS (PARTITION BY job_id ORDER BY attempt_number ROWS UNBOUNDED PRECEDING)"
+LEDG08 = f"WITH {DAILY} SELECT job_id, attempt_number, {_state(lambda x: f'count(*) FILTER (status = {chr(39)}{x}{chr(39)}) OVER w')} AS state FROM daily WINDOW w AS (PARTITION BY job_id ORDER BY attempt_number ROWS UNBOUNDED PRECEDING)"
 
 RELIABLE = """count(*) AS attempts, count(*) FILTER (attempt_number > 1) AS retries, count(*) FILTER (status = 'valid_output') AS valid_output, count(*) FILTER (status = 'schema_invalid') AS schema_invalid,
 count(*) FILTER (status = 'infrastructure_failure') AS infrastructure_failure, count(*) FILTER (status = 'protocol_violation') AS protocol_violation, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(value) AS DOUBLE) / count(*) AS mean_value,

@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from quorate.operators.ledgers import state_of
-
-KINDS = ("valid_output", "protocol_violation", "schema_invalid", "infrastructure_failure")
-COUNTS = "valid long, protocol long, schema long, infra long"
-
 
-def counted(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds a job's new statuses to its counts."""
-    n = list(state.get) if state.exists else [0, 0, 0, 0]
-    for pdf in batches:
-        for i, k in enumerate(KINDS):
-            n[i] += int((pdf.status == k).sum())
-    state.update(tuple(n))
-    yield pd.DataFrame({"job_id": [key[0]], "valid": [n[0]], "protocol": [n[1]], "schema": [n[2]], "infra": [n[3]]})
+from quorate.operators import ledgers
 
 
 def job_states(attempts: DataFrame) -> DataFrame:
-    """A stream of (job_id, attempts, state) whenever a job has new attempts; the state is as in the batch operator.
+    """A stream of (job_id, attempts, state) whenever a job has new attempts, in update mode: the batch operator as it is.
 
-    State is four numbers per job. The same attempt must not arrive twice; drop duplicates within a watermark before, if it can.
+    State is a few counts per job, kept in the JVM. The same attempt must not arrive twice; drop duplicates within a watermark before, if it can.
     """
-    counts = attempts.select("job_id", "status").groupBy("job_id").applyInPandasWithState(counted, f"job_id long, {COUNTS}", COUNTS, "update", GroupStateTimeout.NoTimeout)
-    return counts.select("job_id", (F.col("valid") + F.col("protocol") + F.col("schema") + F.col("infra")).alias("attempts"), state_of(F.col("valid"), F.col("protocol"), F.col("schema"), F.col("infra")).alias("state"))
+    return ledgers.job_states(attempts)
 
 
 def windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
