@@ -73,8 +73,8 @@ def fit_binomial(values: Column, degree: int) -> Column:
 
 
 def floor_div(a: Column, b: Column) -> Column:
-    """Division of whole numbers rounded down."""
-    return ((a - floor_mod(a, b)) / b).cast("long")
+    """Division of whole numbers rounded down, in whole numbers throughout."""
+    return F.call_function("div", a - floor_mod(a, b), b)
 
 
 def floor_mod(a: Column, b: Column) -> Column:

@@ -26,7 +26,7 @@ def binomial(c: Column, x: Column) -> Column:
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(1).cast("long").alias("term"), F.lit(0).cast("long").alias("j"))
 
     def step(s: Column, a: Column) -> Column:
-        more = ((s["term"] * (x - s["j"])) / (s["j"] + 1)).cast("long")
+        more = F.call_function("div", s["term"] * (x - s["j"]), s["j"] + 1)
         return F.struct((s["sum"] + a * s["term"]).alias("sum"), more.alias("term"), (s["j"] + 1).alias("j"))
 
     return F.aggregate(c, start, step, lambda s: s["sum"])

@@ -12,6 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share; where it is unset (tests) a local folder is set first."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quorate-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():

@@ -76,7 +76,7 @@ def src07(s, d):
     path = new_path(s, "events")
     n = F.col("event_id") % 10
     line = F.when(n == 0, F.concat(F.to_json(F.struct(F.col("event_type").alias("type"))), F.lit(" x"))).otherwise(F.to_json(F.struct(F.col("event_type").alias("type"))))
-    read(s, d, "events").select(line.alias("value"), (F.col("user_id") % 5).alias("part")).repartition(1).write.partitionBy("part").text(path)
+    read(s, d, "events").select(line.alias("value"), (F.col("user_id") % 5).alias("part")).write.partitionBy("part").text(path)
     v = records.decode_events(s, path, ["error"])
     return v.agg(F.sum("lines").alias("lines"), F.sum("broken").alias("broken"), F.bool_or("forbidden").alias("forbidden"))
 
