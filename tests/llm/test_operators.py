@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import duckdb
 import numpy as np
@@ -366,21 +366,85 @@ def test_cover_tree_radii():
             assert set(t.centres[level - 1]) <= set(c) and (t.parent[level][node] == t.node[level - 1]).all()
 
 
-def test_toxicity(spark):
+def toxic_texts():
     rng = np.random.default_rng(2)
     words = [a + b + c for a in ("re", "to", "an", "ing") for b in ("th", "er", "on") for c in ("al", "is", "ed")]
     clean = [" ".join(rng.choice(words, 20)) for _ in range(200)]
-    bad = [x + " stupid idiot " + x[:30] for x in clean[:60]]
+    return clean, [x + " stupid idiot bad " + x[:30] for x in clean[:60]]
+
+
+def test_toxicity(spark):
+    clean, bad = toxic_texts()
     model = toxicity.language_model(spark.createDataFrame([(x,) for x in clean + bad] + [(None,)], "text string"))
-    assert [toxicity.read_word(w, model)[-1] for w in ("stup1d", "5tupid", "stuuuupid", "s.t.u.p.i.d", "1d1ot", "idiot!!")] == ["stupid", "stupid", "stupid", "stupid", "idiot", "idiot"]
+    for w in ("stup1d", "5tupid", "stuuuupid", "s.t.u.p.i.d", "s...t...u...p...i...d", "sstupid", "$$tupid", "$tup1d"):
+        assert toxicity.read_word(w, model)[-1] == "stupid", w
+    assert [toxicity.read_word(w, model)[-1] for w in ("1d1ot", "idiot!!", "iidiot", "idiott")] == ["idiot"] * 4
+    reader = toxicity.Reader(model, None)
+    for t in ("an I D I O T here", "x i  d  i  o  t", "i\nd\ni\no\nt", "i-d i*o.t!", "b a d", "b.a.d, no", "so i d i o t a"):
+        assert {"=idiot", "=bad"} & set(reader.of_text(t)), t
     assert "idiot" in toxicity.restore_text("an I D I O T here", model)
     rows = [(x, 0) for x in clean[60:]] + [(x, 1) for x in bad] + [(None, 1), ("x", None)]
     c = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), model)
-    probe = [("an 1d10t and stup1d one", 1), (clean[70], 0), ("ing i d i o t, s t u p i d ed", 1), ("", 0), (None, 0), ("a" * 20_000, 0)]
-    got = toxicity.score(spark.createDataFrame(probe, "text string, want int").withColumn("toxicity", F.lit("x")), model, c).collect()
-    assert [int(r.toxicity >= 0.5) for r in got] == [y for _, y in probe]
+    probe = [("an 1d10t and stup1d one", 1), (clean[70], 0), ("ing i d i o t, s t u p i d ed", 1), ("", 0), (None, 0), ("a" * 20_000, 0), (clean[70], 0), ("!1|" * 3000, 0)]
+    df = spark.createDataFrame(probe, "text string, want int").withColumn("toxicity", F.lit("x")).withColumn("y", F.lit("x"))
+    got = toxicity.score(df, model, c).collect()
+    assert len(got) == len(probe) and [int(r.toxicity >= 0.5) for r in got] == [y for _, y in probe]
+    assert toxicity.score(df.limit(0), model, c).count() == 0
+    again = toxicity.fit(spark.createDataFrame([*rows[::-1], *rows[:9]], "text string, toxic int").repartition(3), model)  # order and copies tell nothing
+    assert again.number == c.number and np.allclose(again.sums, c.sums)
     one = toxicity.fit(spark.createDataFrame(rows[:5], "text string, toxic int"), model)
-    assert 0 <= one.score(set()) < 0.5
+    assert 0 <= one.score(Counter()) < 0.5
+    assert 0 <= toxicity.fit(spark.createDataFrame([], "text string, toxic int"), model).score(Counter()) <= 1
+
+
+def test_viterbi_equals_enumeration(spark):
+    """The decoded word has the best score of all paths through the lattice."""
+    clean, bad = toxic_texts()
+    model = toxicity.language_model(spark.createDataFrame([(x,) for x in clean + bad], "text string"))
+
+    def score(path):
+        total, a, b = 0.0, 0, 0
+        for text, cost in path:
+            total += cost
+            if text:
+                s = int(language_id._table()[ord(text)])
+                total, a, b = total + model(a, b, s), b, s
+        return total + model(a, b, 0)
+
+    words = ["stup1d", "5tupid", "sttuupiid", "1!1|", "6ooddd", "a", "", "x.y-8", "b4d", "ll", "é€3"]
+    for w in words:
+        paths = list(product(*[toxicity.options(w, i) for i in range(len(w))]))
+        best = max(map(score, paths))
+        got = toxicity.restore(w, model)
+        assert any("".join(t for t, _ in p) == got and score(p) >= best - 1e-4 for p in paths), (w, got)
+    flat = toxicity.Model(np.array([1]), np.array([1.0]))  # nearly all letters alike: equal paths, and still one answer
+    assert toxicity.restore("11", flat) == toxicity.restore("11", flat)
+
+
+def test_logistic_weights():
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 6)) < 0.3
+    x[:, 5] = x[:, 4]  # equal columns
+    y = (rng.random(300) < 1 / (1 + np.exp(-(4.0 * x[:, 0] - 3.0 * x[:, 1] - 1)))).astype(float)
+    w = toxicity.weights([np.flatnonzero(r).tolist() for r in x], y, 6, 0.1)
+    full = np.column_stack([x, np.ones(300)])
+    slope = full.T @ (y - 1 / (1 + np.exp(-full @ w))) - np.array([0.1] * 6 + [0.01]) * w
+    assert np.abs(slope).max() < 1e-2 and w[0] > 2 and w[1] < -1 and np.isclose(w[4], w[5])
+
+
+def test_toxicity_query(spark, tmp_path):
+    """The registered query on a small fixture: ids, flags, and held-out rows right."""
+    clean, bad = toxic_texts()
+    rows = [(i, t) for i, t in enumerate(clean + bad)] + [(900, None), (901, ""), (None, bad[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 200)) for i in range(260)] + [(900, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {i for i, _ in rows}
+    for r in got:
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        if r.doc_id is not None and r.doc_id < 260 and r.held_out:
+            assert r.predicted == int(r.doc_id >= 200)
 
 
 def test_item_digest_is_hex(spark):
