@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has: each name with a random end, for columns that a step adds beside a caller's own."""
+    end = uuid.uuid4().hex
+    return [f"__{name}_{end}" for name in names]
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """What runs meanwhile goes to Python in batches of at most so many rows: texts are long, and a batch is held on both sides."""

@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from quorate.llm.common import fresh
+
 WINDOW = 10
 #: So many words of items at most go into one automaton and one broadcast; more items make more automata.
 MOST_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KEEP = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
-_HITS = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+_HITS = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _built: dict = {}
 
 
@@ -49,7 +52,7 @@ def automaton(items: list[tuple], window: int):
 
 
 def scan_text(text: str | None, number: dict, a) -> dict:
-    """Words, numbers of the hit words, items with occurring windows, and offsets of the hit runs in the original text."""
+    """Words, numbers of the hit words, and items with occurring windows."""
     w = words(text) if text else []
     hit: set[int] = set()
     items: set = set()
@@ -57,15 +60,20 @@ def scan_text(text: str | None, number: dict, a) -> dict:
         for end, (length, ids) in a.iter(tuple(map(number.get, w, repeat(0)))):
             hit.update(range(end - length + 1, end + 1))
             items |= ids
-    spans = []
+    return {"n_words": len(w), "hit": sorted(hit), "items": sorted(x for x in items if x is not None)}
+
+
+def spans(text: str | None, hit: list[int] | None) -> list[dict]:
+    """Offsets in the original text of the runs of hit words, whose numbers are in order."""
+    found: list[dict] = []
     if hit:
         places = [m.span() for m in _WORD.finditer(text)]
-        for i in sorted(hit):
-            if i - 1 in hit:
-                spans[-1]["end"] = places[i][1]
+        for k, i in enumerate(hit):
+            if k and hit[k - 1] == i - 1:
+                found[-1]["end"] = places[i][1]
             else:
-                spans.append({"start": places[i][0], "end": places[i][1]})
-    return {"n_words": len(w), "hit": sorted(hit), "items": sorted(x for x in items if x is not None), "spans": spans}
+                found.append({"start": places[i][0], "end": places[i][1]})
+    return found
 
 
 def item_blocks(items: DataFrame, key: str, text: str, most_words: int) -> list[list[tuple]]:
@@ -81,39 +89,52 @@ def item_blocks(items: DataFrame, key: str, text: str, most_words: int) -> list[
     return blocks
 
 
+def _hits_udf(sent, this: str, k: int):
+    """The function of a text column that scans with automaton k of one scan."""
+
+    def hits(texts: pa.Array) -> pa.Array:
+        if (this, k) not in _built:
+            for old in [x for x in _built if x[0] != this]:
+                del _built[old]
+            _built[this, k] = automaton(*sent.value)
+        number, a = _built[this, k]
+        return pa.array([scan_text(x.as_py(), number, a) for x in texts], _HITS)
+
+    hits.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(hits, from_arrow_type(_HITS)).asNondeterministic()
+
+
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS, out: str = "scan") -> DataFrame:
     """All rows of docs with a column `out`: n_words, hit (numbers of the hit words), items, spans (character offsets).
 
     Null and empty texts have no words and no hits. Null item texts and items without words have no windows; items that
     share an id count as one item; an item without id makes hits but is not listed. Items up to MOST_WORDS words are one
-    automaton; more are several, each scanned in turn, and their results are united.
+    automaton; more are several, each scanned in turn, whose hits and items are united before spans are made of them. A
+    worker holds all automata of a scan. Repeated rows are scanned each; a column of docs named like `out` is replaced.
     """
     spark = docs.sparkSession
-    found = docs
+    docs = docs.drop(out)
     blocks = item_blocks(items, item_key, item_text, most_words)
-    for k, block in enumerate(blocks):
-        sent, name = spark.sparkContext.broadcast((block, window)), uuid.uuid4().hex
-
-        def hits(texts: pa.Array) -> pa.Array:
-            if name not in _built:
-                _built.clear() if len(_built) > 8 else None
-                _built[name] = automaton(*sent.value)
-            number, a = _built[name]
-            return pa.array([scan_text(x.as_py(), number, a) for x in texts], _HITS)
-
-        hits.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        udf = F.arrow_udf(hits, from_arrow_type(_HITS)).asNondeterministic()
-        found = found.withColumn(f"scan__{k}", udf(F.col(text)))
-    parts = [F.col(f"scan__{k}") for k in range(len(blocks))]
-    if len(parts) == 1:
-        return found.drop(out).withColumnRenamed("scan__0", out)
-    union = F.struct(parts[0]["n_words"].alias("n_words"), *[F.array_sort(F.array_distinct(F.concat(*[p[c] for p in parts]))).alias(c) for c in ("hit", "items", "spans")])
-    return found.withColumn(out, union).drop(*[f"scan__{k}" for k in range(len(blocks))])
+    names = [fresh("scan")[0] for _ in blocks]
+    this = uuid.uuid4().hex
+    found = docs
+    for k, (block, column) in enumerate(zip(blocks, names, strict=True)):
+        found = found.withColumn(column, _hits_udf(spark.sparkContext.broadcast((block, window)), this, k)(F.col(text)))
+
+    def placed(texts: pa.Array, hit: pa.Array) -> pa.Array:
+        return pa.array([spans(x.as_py() if len(h) else None, h) for x, h in zip(texts, hit.to_pylist(), strict=True)], _SPANS)
+
+    placed.__annotations__ = {"texts": pa.Array, "hit": pa.Array, "return": pa.Array}
+    parts = [F.col(c) for c in names]
+    both = lambda c: parts[0][c] if len(parts) == 1 else F.array_sort(F.array_distinct(F.concat(*[p[c] for p in parts])))
+    at = F.arrow_udf(placed, from_arrow_type(_SPANS))(F.col(text), both("hit"))
+    return found.select(*[F.col(c) for c in docs.columns], F.struct(parts[0]["n_words"].alias("n_words"), both("hit").alias("hit"), both("items").alias("items"), at.alias("spans")).alias(out))
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
-    return scan(docs, items, out="__scan", **options).where(F.size("__scan.hit") == 0).select(*[F.col(c) for c in docs.columns])
+    (own,) = fresh("scan")
+    return scan(docs, items, out=own, **options).where(F.size(f"{own}.hit") == 0).select(*[F.col(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

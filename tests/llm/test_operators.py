@@ -129,7 +129,13 @@ def test_decontamination(spark):
     assert got[5]["items"] == [2] and len(got[5]["hit"]) == 4 and got[7]["hit"] == [1, 2, 3] and got[7]["items"] == []
     assert len(got[6]["hit"]) == 550 and not got[2]["hit"] and not got[3]["n_words"] and not got[4]["hit"]
     blocks = {r.doc_id: r["found"] for r in decontamination.scan(df, it, out="found", most_words=3).collect()}
-    assert all(blocks[i]["hit"] == got[i]["hit"] and blocks[i]["items"] == got[i]["items"] for i in got)
+    assert blocks == got
+    clash = df.withColumn("scan__0", F.lit(1)).withColumn("__scan", F.lit(2))
+    assert decontamination.scan(clash, it, most_words=3).columns == ["doc_id", "text", "scan__0", "__scan", "scan"] and decontamination.clean(clash, it).columns == clash.columns
+    over = spark.createDataFrame([(1, "one two three"), (2, "three four five")], "item_id long, text string")
+    for most in (1, 100):
+        (row,) = decontamination.scan(spark.createDataFrame([("one two three four five",)], "text string"), over, most_words=most).collect()
+        assert [tuple(x) for x in row.scan.spans] == [(0, 23)] and row.scan.hit == [0, 1, 2, 3, 4]
     assert sorted(r.doc_id for r in decontamination.clean(df, it).collect()) == [2, 3, 4]
     assert decontamination.clean(df, it.limit(0)).count() == 7 and decontamination.scan(df.limit(0), it).count() == 0
 
