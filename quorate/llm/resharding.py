@@ -15,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorate.llm.common import Workspace
+from quorate.llm.common import Workspace, fresh
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 #: Blocks of an old shard; each is about a thousandth of it, so that new shards differ by less than that.
@@ -121,20 +121,21 @@ def plan(placed: DataFrame, new_shards: int) -> DataFrame:
 
 
 def reshard(docs: DataFrame, ws: Workspace, old_shard: Column, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, plan): all rows of docs with old_shard, shard and slot; rows that move are read back from their new files.
+    """(rows, plan): all rows of docs with old_shard, block, shard and slot_from; rows that move are read back from their new files.
 
-    New shards' bytes are equal up to a block, unless single rows are larger than a shard's share. Slots count a shard's
-    rows from 0 without gaps, by old shard, block, id and text. Null texts have ROW_BYTES bytes; null ids share a block;
-    repeated rows get a slot each. Columns of docs that are named like results are replaced. Files are written for moved blocks only, by new shard; all others stay where they are.
-    An empty table gives no rows.
+    New shards' bytes are equal up to a block, unless single rows are larger than a shard's share; no law here asks that
+    equal texts stay together, and they do not. Null texts have ROW_BYTES bytes; a row without an id falls into a block by its
+    text; repeated rows are rows each. Columns of docs that are named like results are replaced. Files are written for moved
+    blocks only, by new shard; all others stay where they are. An empty table gives no rows.
     """
     docs = docs.drop("old_shard", "block", "shard", "slot_from")
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+    block = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key))), F.lit(blocks)).cast("int")
     placed = docs.select(old_shard.cast("int").alias("old_shard"), block.alias("block"), row_bytes(F.col(text)).alias("size"))
     to = ws.save(plan(placed, new_shards).coalesce(1), "plan")
-    to_small = F.broadcast(to.select(F.col("old_shard").alias("p_old"), F.col("block").alias("p_block"), "shard", "slot_from"))  # shards x BLOCKS rows at most
+    p_old, p_block = fresh("old", "block")
+    to_small = F.broadcast(to.select(F.col("old_shard").alias(p_old), F.col("block").alias(p_block), "shard", "slot_from"))  # shards x BLOCKS rows at most
     named = docs.select("*", old_shard.cast("int").alias("old_shard"), block.alias("block"))
-    named = named.join(to_small, (F.col("old_shard") == F.col("p_old")) & (F.col("block") == F.col("p_block"))).drop("p_old", "p_block")
+    named = named.join(to_small, (F.col("old_shard") == F.col(p_old)) & (F.col("block") == F.col(p_block))).drop(p_old, p_block)
     moved = named.where("shard <> old_shard")
     path = f"{ws.path}/shards"
     moved.repartition("shard", "block").write.partitionBy("shard").parquet(path)
@@ -143,9 +144,12 @@ def reshard(docs: DataFrame, ws: Workspace, old_shard: Column, new_shards: int =
     return rows, to
 
 
-def slots(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds slot to rows of reshard(): numbers run within a block, from the plan's start of that block."""
-    w = Window.partitionBy("old_shard", "block").orderBy(F.col(key), F.crc32(F.col(text).cast("binary")))
+def slots(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds slot to rows of reshard(): a shard's rows count from 0 without gaps, by old shard, block and then by `order`.
+
+    Numbers run within a block, from the plan's start of that block, so that no shard is in one task.
+    """
+    w = Window.partitionBy("old_shard", "block").orderBy(*order)
     return rows.withColumn("slot", F.col("slot_from") + F.row_number().over(w) - 1)
 
 
@@ -155,5 +159,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = reshard(docs, Workspace(spark, "op1"), old)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     narrow = rows.select("doc_id", "old_shard", "block", "shard", "slot_from", row_bytes(F.col("text")).alias("size"), crc.alias("text_crc32"))
-    w = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32")
-    return narrow.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot_from") + F.row_number().over(w) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    placed = slots(narrow, F.col("doc_id"), F.col("text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
