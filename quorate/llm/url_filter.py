@@ -8,13 +8,23 @@ host's distrust exceeds its trust by the threshold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.llm.common import Workspace
+from quorate.llm.common import Workspace, fresh
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 1.0
+DAMPING, THRESHOLD = 0.85, 1.0
+#: Rounds go on until one changes trust and distrust together, of a sum of 2 at most, by less than TOLERANCE; what is still to move
+#: is then 6 times that at most. ROUNDS make sure of it, as a round's change is DAMPING times the last one's at most. CHECKED
+#: rounds are one plan and one written table.
+TOLERANCE = 2e-3
+ROUNDS = math.ceil(math.log(TOLERANCE / 4) / math.log(DAMPING))
+CHECKED = 4
+#: A host with more edges than this sends to them in parts.
+HOT = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,9 +52,9 @@ def matched(host_: Column, path_: Column, rules=RULES) -> Column:
     return out
 
 
-def edges(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Distinct (src, dst) of rows with a column __host: absolute links in the html, and both ways between a host and its parent domain."""
-    links = F.regexp_extract_all(F.col(html), F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?(https?://[^\"'\s>]+)"), 1)
+def edges(pages: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of rows (__host, html): absolute links in the html, and both ways between a host and its parent domain."""
+    links = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?(https?://[^\"'\s>]+)"), 1)
     named = pages.where(F.col("__host") != "").select(F.col("__host").alias("src"), F.explode(F.array_distinct(F.transform(links, host))).alias("dst"))
     named = named.where("dst <> '' and dst <> src").distinct()
     hosts = pages.select(F.col("__host").alias("h")).union(named.select("dst")).where("h <> ''").distinct()
@@ -55,12 +65,13 @@ def edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return named.union(parent).union(parent.select("dst", "src")).distinct()
 
 
-def propagate(graph: DataFrame, seeds: DataFrame, ws: Workspace, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(graph: DataFrame, seeds: DataFrame, ws: Workspace, damping: float = DAMPING, tolerance: float = TOLERANCE, hot: int = HOT) -> DataFrame:
     """(host, trust, distrust) from (src, dst) and seeds (host, trust, distrust), each of sum 1 or 0.
 
     Each round sends a host's trust in equal parts along its outgoing edges and its distrust in equal parts against its incoming
-    ones; what a host without such edges holds is not sent on. Contributions are summed by partial aggregates. Every
-    second round's result is a written table.
+    ones; what a host without such edges holds is not sent on. Rounds go on until the summed change is below the
+    tolerance, so that hosts are reached however far they are from a seed, while what is beyond them is less than that.
+    Contributions are summed by partial aggregates; the edges of a host with more than `hot` are dealt to several keys.
     """
     out_n = graph.groupBy("src").agg(F.count("*").alias("out_n")).withColumnRenamed("src", "o")
     in_n = graph.groupBy("dst").agg(F.count("*").alias("in_n")).withColumnRenamed("dst", "i")
@@ -68,39 +79,59 @@ def propagate(graph: DataFrame, seeds: DataFrame, ws: Workspace, damping: float
     arcs = counted.select(F.col("src").alias("from"), F.col("dst").alias("to"), (1 / F.col("out_n")).alias("t"), F.lit(0.0).alias("d"))
     arcs = arcs.union(counted.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (1 / F.col("in_n")).alias("d")))
     arcs = ws.save(arcs.groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "arcs")
+    wide = arcs.groupBy("from").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("from").alias("w"), F.ceil(F.col("n") / hot).alias("parts"))
+    wide = ws.save(wide, "wide")  # as many rows as there are hot hosts, the edges' number over `hot` at most
+    split = wide.limit(1).count() > 0
+    if split:
+        arcs = arcs.join(wide, F.col("from") == F.col("w"), "left").withColumn("part", F.pmod(F.xxhash64("to"), F.coalesce("parts", F.lit(1)))).drop("w", "parts")
+        arcs = ws.save(arcs, "parted")
     base = ws.save(seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust")), "seeds")
-    state = seeds
-    for k in range(rounds):
-        flow = arcs.join(state, F.col("from") == F.col("host")).select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"))
-        state = flow.union(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 2 or k == rounds - 1:
-            state = ws.save(state, f"state-{k}")
+    state, k, change, sums = seeds, 0, tolerance, [F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")]
+    while change >= tolerance:
+        for _ in range(CHECKED):
+            last, on = state, F.col("from") == F.col("host")
+            if split:
+                state = state.join(wide, F.col("host") == F.col("w"), "left").select("host", "trust", "distrust", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("h_part"))
+                on &= F.col("part") == F.col("h_part")
+            flow = arcs.join(state, on).select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"))
+            flow = flow.union(base)
+            state = flow.groupBy("host").agg(*sums)
+        k += CHECKED
+        # the last round's table has what was before beside it
+        old = last.select("host", F.lit(0.0), F.lit(0.0), F.col("trust").alias("old_t"), F.col("distrust").alias("old_d"))
+        both = flow.select("*", F.lit(0.0).alias("old_t"), F.lit(0.0).alias("old_d")).union(old).groupBy("host").agg(*sums, F.sum("old_t").alias("old_t"), F.sum("old_d").alias("old_d"))
+        both = ws.save(both, f"state-{k}")
+        change = both.agg(F.sum(F.abs(F.col("trust") - F.col("old_t")) + F.abs(F.col("distrust") - F.col("old_d")))).first()[0] or 0.0
+        state = both.select("host", "trust", "distrust")
+        ws.drop(f"state-{k - CHECKED}")
     return state
 
 
 def judge(pages: DataFrame, ws: Workspace, url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """All rows of pages with host, path, rule and verdict.
 
-    Urls that are null or lack :// have empty host and path; they and urls of hosts that propagation never reaches are
-    allowed. Null or empty html has no links. Repeated rows count in the seeds as often as they occur. Columns of pages that
-    are named like results are replaced. A host with a third of all pages is a row of its graph once.
+    Urls that are null or lack :// have empty host and path; they, urls of hosts that propagation never reaches and hosts whose
+    distrust equals their trust are allowed. Null or empty html has no links. Repeated rows count in the seeds as often as
+    they occur. Columns of pages that are named like results are replaced. A host with a third of all pages is a row of its
+    graph once.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "__host", "__rule")
-    named = pages.select("*", host(F.col(url)).alias("__host"))
-    ruled = matched(F.col("__host"), path(F.col(url)), rules)
-    graph = ws.save(edges(named.select("__host", F.col(html).alias(html)), html), "edges")
-    seeds = named.select(F.col("__host").alias("host"), ruled["verdict"].alias("v")).where("host <> ''").groupBy("host").agg(F.count_if(F.col("v") == "allow").alias("a"), F.count_if(F.col("v") == "block").alias("b"))
+    pages = pages.drop("host", "path", "rule", "verdict")
+    own, bad_host, hit = fresh("host", "bad", "rule")
+    named = pages.select("*", host(F.col(url)).alias(own))
+    ruled = matched(F.col(own), path(F.col(url)), rules)
+    graph = ws.save(edges(named.select(F.col(own).alias("__host"), F.col(html).alias("html"))), "edges")
+    seeds = named.select(F.col(own).alias("host"), ruled["verdict"].alias("v")).where("host <> ''").groupBy("host").agg(F.count_if(F.col("v") == "allow").alias("a"), F.count_if(F.col("v") == "block").alias("b"))
     seeds = ws.save(seeds, "seed-counts")
     all_a, all_b = seeds.agg(F.sum("a"), F.sum("b")).first()
     seeds = seeds.select("host", (F.col("a") / max(1, all_a or 0)).alias("trust"), (F.col("b") / max(1, all_b or 0)).alias("distrust"))
     ranks = propagate(graph, seeds, ws)
-    bad = ranks.where(F.col("distrust") > F.col("trust") * threshold).select(F.col("host").alias("bad_host"))
+    bad = ranks.where(F.col("distrust") > F.col("trust") * threshold).select(F.col("host").alias(bad_host))
     bad = ws.save(bad, "bad")
     if bad.count() <= 100_000:  # else Spark's own choice of join
         bad = F.broadcast(bad)
-    found = named.join(bad, F.col("__host") == F.col("bad_host"), "left").withColumn("__rule", ruled)
-    own = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
-    return found.select(*[F.col(c) for c in pages.columns], F.col("__host").alias("host"), path(F.col(url)).alias("path"), F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", own).alias("verdict"))
+    found = named.join(bad, F.col(own) == F.col(bad_host), "left").withColumn(hit, ruled)
+    verdict = F.when(F.col(bad_host).isNotNull(), "block").otherwise("allow")
+    return found.select(*[F.col(c) for c in pages.columns], F.col(own).alias("host"), path(F.col(url)).alias("path"), F.col(f"{hit}.rule").alias("rule"), F.coalesce(f"{hit}.verdict", verdict).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +141,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     start = r"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS x FROM pages),
 q AS (
   SELECT page_id, html, coalesce(translate(regexp_extract(x, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -139,17 +170,17 @@ se AS (
   SELECT host, count(*) FILTER (v = 'allow') * 1.0::DOUBLE / greatest(1, sum(count(*) FILTER (v = 'allow')) OVER ()) AS trust,
          count(*) FILTER (v = 'block') * 1.0::DOUBLE / greatest(1, sum(count(*) FILTER (v = 'block')) OVER ()) AS distrust
   FROM v WHERE host <> '' GROUP BY host),
-s0 AS (SELECT * FROM se)"""
-    step = """,
-s{b} AS MATERIALIZED (
-  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-    SELECT ar.t AS host, ar.wt * s{a}.trust * {d} AS trust, ar.wd * s{a}.distrust * {d} AS distrust FROM ar JOIN s{a} ON ar.f = s{a}.host
-    UNION ALL SELECT host, trust * {e}, distrust * {e} FROM se) GROUP BY host)"""
+z(k, host, trust, distrust) AS (
+  SELECT 0, host, trust, distrust FROM se
+  UNION ALL
+  SELECT k + 1, host, sum(trust), sum(distrust) FROM (
+    SELECT z.k, ar.t AS host, ar.wt * z.trust * {d} AS trust, ar.wd * z.distrust * {d} AS distrust FROM ar JOIN z ON ar.f = z.host WHERE z.k < {n}
+    UNION ALL SELECT q.k, se.host, se.trust * {e}, se.distrust * {e} FROM se, (SELECT DISTINCT k FROM z WHERE k < {n}) q) GROUP BY k, host)"""
     end = f"""
 SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.v, CASE WHEN z.distrust > z.trust * {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM v LEFT JOIN s{ROUNDS} z ON v.host = z.host
+FROM v LEFT JOIN (SELECT * FROM z WHERE k = {ROUNDS}) z ON v.host = z.host
 """
-    return start + "".join(step.format(a=k, b=k + 1, d=f"{DAMPING}::DOUBLE", e=f"{1 - DAMPING}::DOUBLE") for k in range(ROUNDS)) + end
+    return start.replace("{n}", str(ROUNDS)).replace("{d}", f"{DAMPING}::DOUBLE").replace("{e}", f"{1 - DAMPING}::DOUBLE") + end
 
 
 SQL = _sql()

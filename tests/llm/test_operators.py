@@ -200,15 +200,37 @@ def test_mixing(spark, ws):
 
 def test_resharding(spark, ws):
     old = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4))
-    moved, plan = resharding.reshard(docs(spark), ws, old, new_shards=5, blocks=16)
-    out = resharding.slots(moved).collect()
-    assert len(out) == docs(spark).count()
-    assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, ((r.doc_id, r.text) for r in docs(spark).collect())))
+    df = docs(spark).withColumn("p_old", F.lit(1)).withColumn("p_block", F.lit(1))
+    moved, plan = resharding.reshard(df, ws, old, new_shards=5, blocks=16)
+    out = resharding.slots(moved, F.col("doc_id"), F.crc32(F.col("text").cast("binary"))).collect()
+    assert len(out) == df.count()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, ((r.doc_id, r.text) for r in df.collect())))
     by = defaultdict(list)
     for r in out:
         by[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
-    assert resharding.reshard(docs(spark).limit(0), Workspace(spark, "none"), old)[0].count() == 0
+    assert resharding.reshard(df.limit(0), Workspace(spark, "none"), old)[0].count() == 0
+
+
+def test_resharding_law_and_moves(spark, tmp_path):
+    """The query: shards' bytes nearly equal, and hardly more bytes moved than any assignment must move."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i) if i % 50 else None, "é" * int(n)) for i, n in enumerate(rng.integers(0, 300, 12_000))] + [(7, None), (7, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("x")).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = resharding.query(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want and {r.law for r in got} == {"bytes"}
+    size, held, slots = Counter(), Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += r["size"]
+        held[r.old_shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert set(size) == set(range(40)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    share = sum(size.values()) / 40
+    assert max(abs(n - share) for n in size.values()) < 700  # about the largest row; a block has less
+    moved = sum(r["size"] for r in got if r.shard != r.old_shard)
+    least = sum(held.values()) - sum(min(held[j], share) for j in range(40))  # what stands above a shard's share must move
+    assert abs(moved - least) <= 40 * 700
 
 
 def test_flow_moves_least():
@@ -325,12 +347,38 @@ def test_url_filter(spark, ws):
     assert url_filter.judge(df.limit(0), Workspace(spark, "none")).count() == 0
 
 
-def test_propagation(spark, ws):
-    """Distrust flows against links: who links to a blocked host is distrusted."""
-    g = spark.createDataFrame([("fan", "bad"), ("good", "friend")], "src string, dst string")
+def test_url_filter_clashing_names(spark, ws):
+    df = spark.createDataFrame([(1, "http://a.com/x", None), (2, None, None)], "page_id long, url string, html string")
+    for c in ("bad_host", "__host", "__rule", "v", "h", "from", "to", "src", "trust", "w"):
+        df = df.withColumn(c, F.lit("x"))
+    got = url_filter.judge(df, ws)
+    assert got.columns == [*df.columns, "host", "path", "rule", "verdict"] and got.count() == 2
+
+
+def test_propagation(spark):
+    """Distrust flows against links: who links to a blocked host is distrusted, however many links away."""
+    chain = [("fan", "bad"), ("good", "friend")] + [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n12", "bad"), ("friend", "n0")]
+    g = spark.createDataFrame(chain, "src string, dst string")
     s = spark.createDataFrame([("good", 1.0, 0.0), ("bad", 0.0, 1.0)], "host string, trust double, distrust double")
-    got = {r.host: r for r in url_filter.propagate(g, s, ws).collect()}
-    assert got["fan"].distrust > 0 and got["friend"].trust > 0 and not got["friend"].distrust and not got["fan"].trust
+    out, into = defaultdict(list), defaultdict(list)
+    for a, b in chain:
+        out[a].append(b)
+        into[b].append(a)
+    trust, distrust = {"good": 1.0}, {"bad": 1.0}
+    for _ in range(300):
+        new_t, new_d = Counter({"good": 0.15}), Counter({"bad": 0.15})
+        for h, x in trust.items():
+            for b in out[h]:
+                new_t[b] += 0.85 * x / len(out[h])
+        for h, x in distrust.items():
+            for b in into[h]:
+                new_d[b] += 0.85 * x / len(into[h])
+        trust, distrust = new_t, new_d
+    for hot in (100_000, 1):  # all edges in one part, each in a part of its own
+        got = {r.host: r for r in url_filter.propagate(g, s, Workspace(spark, "p"), tolerance=1e-6, hot=hot).collect()}
+        assert got["n0"].distrust > 0 and got["friend"].trust > 0 and not got["fan"].trust
+        for h in {x for e in chain for x in e}:
+            assert abs((got[h].trust if h in got else 0) - trust[h]) < 1e-5 and abs((got[h].distrust if h in got else 0) - distrust[h]) < 1e-5
 
 
 def test_cover_tree_join(spark, ws, monkeypatch):
