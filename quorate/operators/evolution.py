@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from hashlib import sha256
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.operators import lineage, scores
+
 
 def draw(n: int, *parts) -> int:
     """A number below n from a SHA-256 of the parts."""
@@ -51,23 +53,32 @@ def challenge(parents: DataFrame, children: DataFrame, keys: Sequence[str]) -> D
     return both.select("slot", F.when(won, F.col("child")).otherwise(F.col("parent")).alias("survivor"), won.alias("replaced"))
 
 
-def policies(spark, features: int, values: Sequence[int] = (0, 1, 2), most: int = 81) -> DataFrame:
+def policies(spark, features: int, values: Sequence[int] = (0, 1, 2, 3), most: int = 25_000) -> DataFrame:
     """(policy, weights): the first `most` weight lists in base len(values)."""
     base = len(values)
     digit = lambda i: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("id") / base**i) % base + 1).cast("int"))
     return spark.range(min(most, base**features)).select(F.col("id").cast("int").alias("policy"), F.array(*[digit(i) for i in range(features)]).alias("weights"))
 
 
-def evaluate(candidates: DataFrame, policies: DataFrame, case: str) -> DataFrame:
-    """Per policy how many cases it answers right, and a signature of its choices; candidates are (case, answer, features, right).
+def patterns(candidates: DataFrame, case: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, options, n): how many cases have the same candidates; options are a case's (answer, features, right), as many as its jobs at most.
 
-    The policies, a parameter's number of rows, are broadcast; choices are partial aggregates by policy and case.
+    A policy chooses alike on equal candidates, so that it is tried on each pattern once, however many cases have it.
     """
-    score = F.aggregate(F.zip_with("weights", "features", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    chosen = candidates.crossJoin(F.broadcast(policies)).select("policy", case, "answer", "right", F.round(score, 9).alias("score"))
-    best = chosen.groupBy("policy", case).agg(F.min_by(F.struct("answer", "right"), F.struct(-F.col("score"), F.col("answer"))).alias("x"))
-    mark = F.xxhash64(case, "x.answer").cast("decimal(38,0)")
-    return best.groupBy("policy").agg(F.count("*").alias("cases"), F.count_if("x.right").alias("exact"), F.sum(mark).cast("string").alias("signature"))
+    options = F.array_sort(F.collect_list(F.struct("answer", "features", "right")))
+    return candidates.groupBy(case, *by).agg(options.alias("options")).groupBy("options", *by).agg(F.count("*").alias("n"))
+
+
+def evaluate(patterns: DataFrame, policies: DataFrame) -> DataFrame:
+    """Per policy how many cases it answers right, and a signature of its choices; of equal scores the smaller answer is chosen.
+
+    Policies, a parameter's number of rows, are broadcast to the patterns; what is shuffled is one row a policy and task.
+    """
+    dot = lambda o: F.aggregate(F.zip_with("weights", o["features"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("options", lambda o: F.struct((-F.round(dot(o), 9)).alias("score"), o["answer"].alias("answer"), o["right"].alias("right"))))
+    chosen = patterns.crossJoin(F.broadcast(policies)).select("policy", "options", "n", best.alias("x"))
+    mark = F.xxhash64("options", "x.answer").cast("decimal(38,0)")
+    return chosen.groupBy("policy").agg(F.sum("n").alias("cases"), F.sum(F.when(F.col("x.right"), F.col("n")).otherwise(0)).alias("exact"), F.sum(mark).cast("string").alias("signature"))
 
 
 def survivors(scored: DataFrame, keep: int) -> DataFrame:
@@ -76,11 +87,69 @@ def survivors(scored: DataFrame, keep: int) -> DataFrame:
     return scored.withColumn("own", own).where("own = 1").drop("own").orderBy(F.desc("exact"), "policy").limit(keep)
 
 
+def permille(case: str) -> Column:
+    """A case's number from 0 to 999, by its MD5."""
+    return F.conv(F.substring(F.md5(F.col(case).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 1000
+
+
 def halving(candidates: DataFrame, all_policies: DataFrame, case: str, panels: Sequence[tuple[float, int]]) -> DataFrame:
-    """Successive halving: each panel is the share of cases whose hash is below it, and keeps so many policies."""
-    left = all_policies
+    """Successive halving over growing panels, and the last survivors' scores on cases that no panel had.
+
+    A panel is the share of cases whose number is below it, the last one the largest, and keeps so many policies. Returns
+    (policy, cases, exact, holdout_cases, holdout_exact).
+    """
+    numbered = candidates.withColumn("permille", permille(case))
+    left, scored = all_policies, None
     for share, keep in panels:
-        own = candidates.where(F.pmod(F.xxhash64(case), F.lit(1000)) < int(share * 1000))
-        best = survivors(evaluate(own, left, case), keep)
-        left = left.join(best.select("policy"), "policy", "left_semi")
-    return evaluate(candidates, left, case)
+        own = patterns(numbered.where(F.col("permille") < int(share * 1000)), case)
+        scored = lineage.cut(survivors(evaluate(own, left), keep))  # `keep` rows
+        left = all_policies.join(scored.select("policy"), "policy", "left_semi")
+    rest = patterns(numbered.where(F.col("permille") >= int(panels[-1][0] * 1000)), case)
+    held = evaluate(rest, left).select("policy", F.col("cases").alias("holdout_cases"), F.col("exact").alias("holdout_exact"))
+    return scored.select("policy", "cases", "exact").join(held, "policy", "left")
+
+
+def submask_votes(votes: DataFrame, truth: DataFrame, most_members: int = 12) -> DataFrame:
+    """What any set of voters would have answered: (block, present, own, cases, exact, terms) from votes (case_id, member, answer, confidence).
+
+    `present` has a bit for each member that voted on a case; `own` is any part of it. A set of members answers a case as its
+    part that is present does, by count, mean confidence and answer, so that all sets are scored from this table, whose rows
+    are bounded by the members and not by the cases. A case is read once.
+    """
+    vote = F.struct("member", "answer", "confidence")
+    bit = F.call_function("shiftleft", F.lit(1), F.col("member").cast("int"))
+    present = F.aggregate(F.array_distinct(F.collect_list(bit)), F.lit(0), lambda s, x: s + x)
+    cases = votes.where(F.col("answer").isNotNull() & (F.col("member") < most_members)).groupBy("case_id").agg(F.collect_list(vote).alias("votes"), present.alias("present"))
+    parts = cases.select("case_id", "present", "votes", F.explode(F.filter(F.sequence(F.lit(1), F.col("present")), lambda m: m.bitwiseAND(F.col("present")) == m)).alias("own"))
+    each = parts.select("case_id", "present", "own", F.inline("votes")).where(F.col("own").bitwiseAND(bit) != 0)
+    # a case's rows stay where its votes were put together
+    tally = each.groupBy("case_id", "present", "own", "answer").agg(F.count("*").alias("votes"), (F.sum("confidence").cast("double") / F.count("*")).alias("mean"))
+    won = tally.groupBy("case_id", "present", "own").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("mean")).alias("m"), "answer"))["answer"].alias("answer"))
+    known = won.join(truth.select("case_id", "truth", "block"), "case_id")
+    terms = F.aggregate(scores.right_terms(F.col("answer"), F.col("truth")), F.lit(0), lambda s, x: s + x)
+    scored = known.select("block", "present", "own", scores.is_right(F.col("answer"), F.col("truth")).alias("exact"), terms.alias("terms"))
+    return scored.groupBy("block", "present", "own").agg(F.count("*").alias("cases"), F.count_if("exact").alias("exact"), F.sum("terms").alias("terms"))
+
+
+def subsets(spark, members: int, least: int = 3, most: int = 25_000) -> DataFrame:
+    """(subset, size): the bit masks of all sets of `least` members at least, or `most` of them by the order of their MD5."""
+    every = spark.range(1, 1 << members).select(F.col("id").cast("int").alias("subset"), F.bit_count("id").alias("size")).where(F.col("size") >= least)
+    return every if (1 << members) <= most else every.orderBy(F.md5(F.col("subset").cast("string").cast("binary"))).limit(most)
+
+
+def subset_scores(table: DataFrame, sets: DataFrame) -> DataFrame:
+    """(subset, size, block, exact, terms) of all sets from submask_votes(); sets x present masks rows meet the table by an equality."""
+    seen = F.broadcast(table.select("present").distinct())  # 2 ** members rows at most
+    ask = sets.crossJoin(seen).select("subset", "size", F.col("present").alias("p"), F.col("subset").bitwiseAND(F.col("present")).alias("o"))
+    both = ask.join(table, (F.col("p") == F.col("present")) & (F.col("o") == F.col("own")))
+    return both.groupBy("subset", "size", "block").agg(F.sum("exact").alias("exact"), F.sum("terms").alias("terms"))
+
+
+def transfer(scored: DataFrame, train: str, test: str, top: int = 100) -> DataFrame:
+    """What sets chosen by one block do on another: the winner, and mean, median and range of the best `top` sets' exact answers there."""
+    on = lambda b: F.coalesce(F.sum(F.when(F.col("block") == b, F.col("exact"))), F.lit(0))
+    terms = F.coalesce(F.sum(F.when(F.col("block") == train, F.col("terms"))), F.lit(0))
+    wide = scored.groupBy("subset", "size").agg(on(train).alias("train"), terms.alias("train_terms"), on(test).alias("test"))
+    best = wide.orderBy(F.desc("train"), F.desc("train_terms"), "size", "subset").limit(top)
+    first = F.min_by("subset", F.struct(-F.col("train"), -F.col("train_terms"), "size", "subset"))
+    return best.agg(F.lit(train).alias("train"), F.lit(test).alias("test"), first.alias("selected"), F.avg("test").alias("mean"), F.percentile("test", F.lit(0.5)).alias("median"), F.min("test").alias("least"), F.max("test").alias("most"))

@@ -5,31 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quorate.operators import audits, evolution, ranks, scores, votes
+from quorate.operators import audits, evolution, ranks, scores
+from quorate.operators.lineage import cut
 from quorate.plans.fixtures import LEDGER, PANEL, TRUTH, ledger, panel, plurality_sql, read, truth
 from quorate.plans.scores import SCORED, SYSTEMS_SQL, decided, scored
 
 SHA = "sha256(CAST({} AS VARCHAR))".format
 
 
+LENSES = 8
+
+
+def submasks(s, d):
+    """Suppliers work under one of eight lenses; orders' priorities are blocks."""
+    votes = panel(s, d).select("case_id", (F.col("l_suppkey") % LENSES).alias("member"), "answer", "confidence")
+    return evolution.subset_scores(evolution.submask_votes(votes, truth(s, d)), evolution.subsets(s, LENSES))
+
+
 def agg23(s, d):
-    """Every subset of three stages voted as a panel: exact cases in the weakest and in all blocks."""
-    p = panel(s, d).select("case_id", "answer", "confidence", "stage")
-    subsets = s.createDataFrame([(m,) for m in range(1, 8)], "subset int")
-    own = p.crossJoin(F.broadcast(subsets)).where(F.expr("(subset div cast(pow(2, stage) as int)) % 2 = 1"))  # seven subsets
-    won = votes.by_mean_confidence(own, ["subset", "case_id"]).select("subset", "case_id", "answer").join(truth(s, d), "case_id")
-    b = won.groupBy("subset", "block").agg(F.count_if(scores.is_right(F.col("answer"), F.col("truth"))).alias("x"))
-    out = b.groupBy("subset").agg(F.min("x").alias("weakest_block"), F.sum("x").alias("exact"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weakest_block"), F.desc("exact"), "subset")))
-
-
-AGG23 = f"""WITH {PANEL}, {TRUTH},
-o AS (SELECT subset, panel.* FROM panel, range(1, 8) u(subset) WHERE (subset >> stage) % 2 = 1),
+    """Every set of three lenses and more, voted as a panel, by its weakest block, exact cases, terms and size."""
+    out = submasks(s, d).groupBy("subset", "size").agg(F.min("exact").alias("weakest_block"), F.sum("exact").alias("exact"), F.sum("terms").alias("terms"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weakest_block"), F.desc("exact"), F.desc("terms"), "size", "subset")))  # one row a set
+
+
+SUBSETS = f"""{PANEL}, {TRUTH},
+o AS (SELECT subset, panel.* FROM panel, range(1, {1 << LENSES}) u(subset) WHERE bit_count(subset) >= 3 AND (subset >> (l_suppkey % {LENSES})) % 2 = 1),
 t AS (SELECT subset, case_id, answer, count(*) AS v, CAST(sum(confidence) AS DOUBLE) / count(*) AS c FROM o GROUP BY subset, case_id, answer),
 r AS (SELECT *, row_number() OVER (PARTITION BY subset, case_id ORDER BY v DESC, c DESC, answer) AS k FROM t),
-b AS (SELECT subset, block, count(*) FILTER (answer = truth) AS x FROM r JOIN truth USING (case_id) WHERE k = 1 GROUP BY subset, block),
-y AS (SELECT CAST(subset AS INTEGER) AS subset, min(x) AS weakest_block, CAST(sum(x) AS BIGINT) AS exact FROM b GROUP BY subset)
-SELECT *, CAST(row_number() OVER (ORDER BY weakest_block DESC, exact DESC, subset) AS INTEGER) AS place FROM y"""
+b AS (
+  SELECT CAST(subset AS INTEGER) AS subset, CAST(bit_count(subset) AS INTEGER) AS size, block, count(*) FILTER (answer = truth) AS exact,
+         CAST(sum(CASE WHEN answer[1] = truth[1] THEN 1 ELSE 0 END + CASE WHEN answer[2] = truth[2] THEN 1 ELSE 0 END) AS BIGINT) AS terms
+  FROM r JOIN truth USING (case_id) WHERE k = 1 GROUP BY 1, 2, block)"""
+AGG23 = f"""WITH {SUBSETS},
+y AS (SELECT subset, size, min(exact) AS weakest_block, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(terms) AS BIGINT) AS terms FROM b GROUP BY subset, size)
+SELECT *, CAST(row_number() OVER (ORDER BY weakest_block DESC, exact DESC, terms DESC, size, subset) AS INTEGER) AS place FROM y"""
+
+
+def agg23_transfer(s, d):
+    """Sets chosen by the urgent block on the high one, and the other way round."""
+    scored = cut(submasks(s, d))  # sets x blocks rows
+    return evolution.transfer(scored, "1-URGENT", "2-HIGH").union(evolution.transfer(scored, "2-HIGH", "1-URGENT"))
+
+
+def _transfer_sql(train: str, test: str) -> str:
+    return f"""SELECT '{train}' AS train, '{test}' AS test, min(subset) FILTER (place = 1) AS selected, avg(z) AS mean, quantile_cont(z, 0.5) AS median, min(z) AS least, max(z) AS most FROM (
+  SELECT *, row_number() OVER (ORDER BY tr DESC, tt DESC, size, subset) AS place FROM (
+    SELECT subset, size, CAST(coalesce(sum(exact) FILTER (block = '{train}'), 0) AS BIGINT) AS tr, CAST(coalesce(sum(terms) FILTER (block = '{train}'), 0) AS BIGINT) AS tt, CAST(coalesce(sum(exact) FILTER (block = '{test}'), 0) AS BIGINT) AS z
+    FROM b GROUP BY subset, size)) WHERE place <= 100"""
+
+
+AGG23_TRANSFER = f"WITH {SUBSETS} {_transfer_sql('1-URGENT', '2-HIGH')} UNION ALL {_transfer_sql('2-HIGH', '1-URGENT')}"
 
 
 def _entries(s, d):
@@ -55,25 +80,50 @@ def evo05(s, d):
 EVO05 = f"{ENTRIES} SELECT l_suppkey AS champion FROM e ORDER BY exact DESC, terms DESC, sha256(CAST(l_suppkey AS VARCHAR)) LIMIT 1"
 
 
+ROLES = ("proposer", "critic", "verifier", "judge")
+
+
 def candidates(s, d):
     """Per order and answer its support by role, and whether it is right."""
-    c = panel(s, d).groupBy("case_id", "answer").agg(*[F.count_if(F.col("role") == r).cast("double").alias(r) for r in ("proposer", "critic", "judge")])
-    return c.join(truth(s, d), "case_id").select("case_id", "answer", F.array("proposer", "critic", "judge").alias("features"), scores.is_right(F.col("answer"), F.col("truth")).alias("right"))
+    c = panel(s, d).groupBy("case_id", "answer").agg(*[F.count_if(F.col("role") == r).cast("double").alias(r) for r in ROLES])
+    return c.join(truth(s, d), "case_id").select("case_id", "answer", F.array(*ROLES).alias("features"), scores.is_right(F.col("answer"), F.col("truth")).alias("right"))
 
 
 def evo06(s, d):
-    return evolution.evaluate(candidates(s, d), evolution.policies(s, 3), "case_id").select("policy", "cases", "exact")
+    """All 256 policies of weights 0 to 3 for four roles."""
+    return evolution.evaluate(evolution.patterns(candidates(s, d), "case_id"), evolution.policies(s, 4)).select("policy", "cases", "exact")
 
 
-EVO06 = f"""WITH {PANEL}, {TRUTH},
-c AS (SELECT case_id, answer, count(*) FILTER (role = 'proposer') AS f0, count(*) FILTER (role = 'critic') AS f1, count(*) FILTER (role = 'judge') AS f2 FROM panel GROUP BY case_id, answer),
-s AS (SELECT policy, case_id, answer, f0 * (policy % 3) + f1 * (policy // 3 % 3) + f2 * (policy // 9 % 3) AS sc FROM c, range(27) p(policy)),
-r AS (SELECT *, row_number() OVER (PARTITION BY policy, case_id ORDER BY sc DESC, answer) AS k FROM s)
-SELECT CAST(policy AS INTEGER) AS policy, count(*) AS cases, count(*) FILTER (answer = truth) AS exact FROM r JOIN truth USING (case_id) WHERE k = 1 GROUP BY policy"""
+CHOICES = f"""{PANEL}, {TRUTH},
+c AS (SELECT case_id, answer, {', '.join(f"count(*) FILTER (role = '{r}') AS f{i}" for i, r in enumerate(ROLES))} FROM panel GROUP BY case_id, answer),
+s AS (SELECT policy, case_id, answer, f0 * (policy % 4) + f1 * (policy // 4 % 4) + f2 * (policy // 16 % 4) + f3 * (policy // 64 % 4) AS sc FROM c, range(256) p(policy)),
+r AS (SELECT *, row_number() OVER (PARTITION BY policy, case_id ORDER BY sc DESC, answer) AS k FROM s),
+x AS (SELECT policy, case_id, answer, answer = truth AS ok, CAST('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000 AS pm FROM r JOIN truth USING (case_id) WHERE k = 1)"""
+EVO06 = f"WITH {CHOICES} SELECT CAST(policy AS INTEGER) AS policy, count(*) AS cases, count(*) FILTER (ok) AS exact FROM x GROUP BY policy"
+PANELS = ((0.12, 80), (0.24, 16), (0.48, 5))
 
 
 def evo06_race(s, d):
-    return evolution.halving(candidates(s, d), evolution.policies(s, 3), "case_id", [(0.1, 12), (0.4, 4)]).select("policy", "cases", "exact")
+    """Panels of growing size keep fewer and fewer policies; the last ones are scored on cases that no panel had."""
+    return evolution.halving(candidates(s, d), evolution.policies(s, 4), "case_id", PANELS)
+
+
+def _race_sql() -> str:
+    rounds, left = [], "SELECT DISTINCT policy FROM x"
+    for i, (share, keep) in enumerate(PANELS):
+        rounds.append(f"""e{i} AS (
+  SELECT policy, count(*) AS cases, count(*) FILTER (ok) AS exact, md5(string_agg(case_id || ':' || answer[1] || answer[2], ',' ORDER BY case_id)) AS sig
+  FROM x WHERE pm < {int(share * 1000)} AND policy IN ({left}) GROUP BY policy),
+k{i} AS (
+  SELECT policy, cases, exact FROM (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY exact DESC, policy) AS o FROM e{i}) WHERE o = 1 ORDER BY exact DESC, policy LIMIT {keep})""")
+        left = f"SELECT policy FROM k{i}"
+    last = len(PANELS) - 1
+    return f"""WITH {CHOICES}, {', '.join(rounds)},
+h AS (SELECT policy, count(*) AS holdout_cases, count(*) FILTER (ok) AS holdout_exact FROM x WHERE pm >= {int(PANELS[-1][0] * 1000)} GROUP BY policy)
+SELECT CAST(policy AS INTEGER) AS policy, cases, exact, holdout_cases, holdout_exact FROM k{last} LEFT JOIN h USING (policy)"""
+
+
+EVO06_RACE = _race_sql()
 
 
 def evo01(s, d):
@@ -234,7 +284,7 @@ def ext_windows(s, d):
 EXT = "SELECT CAST(CAST(CAST(ts AS DATE) AS TIMESTAMP) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
 
 QUERIES = {
-    "AGG23_subset_search": (agg23, AGG23), "EVO01_generation": (evo01, None), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, None),
+    "AGG23_subset_search": (agg23, AGG23), "AGG23_transfer": (agg23_transfer, AGG23_TRANSFER), "EVO01_generation": (evo01, None), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, EVO06_RACE),
     "AUD01_manifests": (aud01, AUD01), "AUD02_structure": (aud02, AUD02), "AUD04_recompute": (aud04, AUD04), "AUD05_suite": (aud05, AUD05), "AUD07_chain": (aud07, AUD07), "AUD10_cumulative": (aud10, AUD10), "AUD11_roles": (aud11, AUD11), "AUD12_reconcile": (aud12, AUD12),
     "AUD13_completeness": (aud13, AUD13), "AUD14_concurrency": (aud14, _aud14()), "AUD17_file_classes": (aud17, AUD17), "REP01_accuracy": (rep01, REP01), "REP02_families": (rep02, REP02), "EXT_event_windows": (ext_windows, EXT),
 }
