@@ -1,12 +1,12 @@
-"""Near duplicates among embeddings: cover trees, traversed in pairs.
-
-Equal vectors of a label are one point. The points of a label are dealt to cells around pivots, which are the upper levels of a
-cover tree fitted on a bounded sample, and cells to blocks of bounded size. Each block gets a cover tree of its own:
-nested levels of centres with halving radii, every node knowing the true distance of its farthest point. The descent goes
-by pairs from the top: cells of a label whose covering balls come within the threshold, blocks of such cells whose balls
-do, then both blocks' trees at once. A pair of nodes too far apart for their radii is dropped, a pair close enough for all
-their points is taken whole, any other goes on to its children, and points meet by their cosine in the end. Pivots and
-sample decide only how much is pruned; the pairs are exact.
+"""Near duplicates among embeddings: a cover tree, traversed in pairs.
+
+Equal vectors of a label are one point. A label's points are a node; a node with more points than a block holds is divided among
+centres that a net of halving radii gives on a bounded sample of it, and so on level by level in Spark, until each node is
+a block. Every node has a covering ball, from its blocks' true radii upwards. Pairs of nodes are then descended level by
+level from the top: a pair whose balls are farther apart than the threshold is dropped, any other goes on to the pairs of its
+children. Pairs of blocks are descended by trees of their own, the same levels continued: a pair of nodes too far apart
+for their radii is dropped, a pair close enough for all their points is taken whole, any other goes on to its children, and
+points meet by their cosine in the end. Samples and centres decide only how much is pruned; the pairs are exact.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from quorate.llm.common import Workspace, components
 
 COSINE = 0.93
-#: Points of a block, pivots of a label, and rows of the sample that pivots come from.
-BLOCK, PIVOTS, SAMPLE = 2000, 64, 20_000
+#: Points of a block, children of a node at most, rows that a node's centres are picked from, and of a node that one task deals out.
+BLOCK, FAN, SAMPLE, PART = 2000, 64, 1200, 50_000
 #: Radii of the levels on the unit sphere; below the last one each point is a node.
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
 #: Distances are computed with an error well below this; bounds give way by it, so that cosines decide.
 MARGIN = 1e-6
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -149,21 +150,97 @@ def spanning(m: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def pivots_of(sample: pd.DataFrame, share: float, block: int = BLOCK) -> dict:
-    """Per label unit vectors: the first centres of a cover tree over the sample, about two for each block that the label fills."""
-    out = {}
-    for label, part in sample.groupby("label"):
-        most = max(1, min(PIVOTS, math.ceil(2 * len(part) / share / block)))
-        u = unit(np.stack(part.vec.to_numpy()).astype(float))
-        u = u[: 40 * most]
-        d, held = distances(u, u), [0]
-        for r in RADII:
-            more = net(d, r, held)
-            held = more[:most]
-            if len(more) > most:
-                break
-        out[label] = u[held]
-    return out
+def pick(sample: np.ndarray, most: int, radii=RADII) -> np.ndarray:
+    """Centres among sampled unit vectors: those of the first level of halving radii that has `most` or more, and these `most` at most."""
+    d, held = distances(sample, sample), [0]
+    for r in radii:
+        more = net(d, r, held)
+        held = more[:most]
+        if len(more) >= most:
+            break
+    return sample[held]
+
+
+def grown(points: DataFrame, ws: Workspace, block: int) -> tuple[DataFrame, int]:
+    """(points with path, depth): a node is a label and a path of child numbers, and no node has more than `block` points.
+
+    A level's big nodes are dealt out in parts of bounded size, each together with its node's centres. Where a sample gives
+    one centre only, all points being nearly alike, they are divided by hash, so that every level makes nodes smaller.
+    """
+    names = ["label", "vec", "point", "n", "hash", "path"]
+    open_, done, depth = ws.save(points.select(*names[:-1], F.array().cast("array<int>").alias("path")), "level-0"), [], 0
+    while True:
+        sizes = ws.save(open_.groupBy("label", "path").agg(F.count("*").alias("c")).toDF("s_label", "s_path", "c"), f"sizes-{depth}")
+        both = open_.join(sizes, (F.col("label") == F.col("s_label")) & (F.col("path") == F.col("s_path")))
+        done.append(both.where(F.col("c") <= block).select(*names))
+        if not sizes.where(F.col("c") > block).limit(1).count():
+            break
+        big = both.where(F.col("c") > block).withColumn("parts", F.ceil(F.col("c") / PART))
+        few = big.where(F.pmod(F.xxhash64("hash", F.lit(depth)), F.lit(1_000_000)) < F.ceil(F.lit(1e6 * SAMPLE) / F.col("c")))
+
+        def centred(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("hash").iloc[: 2 * SAMPLE]  # a sample by hash has about SAMPLE rows
+            c = pick(unit(np.stack(pdf.vec.to_numpy()).astype(float)), max(2, min(FAN, math.ceil(2 * pdf.c.iloc[0] / block))))
+            return pd.DataFrame({"c_label": [pdf.label.iloc[0]], "c_path": [pdf.path.iloc[0]], "parts": [pdf.parts.iloc[0]], "centres": [c.ravel().tolist()]})
+
+        centres = few.groupBy("label", "path").applyInPandas(centred, "c_label string, c_path array<int>, parts long, centres array<double>")
+        centres = centres.select("c_label", "c_path", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("c_part"))
+
+        def dealt(pdf: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf):
+                return pdf.reindex(columns=names)
+            u = unit(np.stack(pdf.vec.to_numpy()).astype(float))
+            centres = np.array(c.centres.iloc[0]).reshape(-1, u.shape[1]) if len(c) else u[:1]
+            if len(centres) > 1:
+                at = (u @ centres.T).argmax(axis=1)
+            else:
+                mixed = (pdf.hash.to_numpy().astype(np.uint64) + np.uint64(len(pdf.path.iloc[0]) + 1) * _ODD) * _ODD  # another number on each level
+                at = (mixed >> np.uint64(33)) % np.uint64(max(2, math.ceil(2 * pdf.c.iloc[0] / block)))
+            pdf["path"] = [[*p, int(k)] for p, k in zip(pdf.path, at, strict=True)]
+            return pdf[names]
+
+        parted = big.withColumn("part", F.pmod(F.xxhash64("hash", F.lit(-1)), F.col("parts")))
+        open_ = parted.groupBy("label", "path", "part").cogroup(centres.groupBy("c_label", "c_path", "c_part")).applyInPandas(dealt, "label string, vec array<double>, point long, n long, hash long, path array<int>")
+        depth += 1
+        open_ = ws.save(open_, f"level-{depth}")
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out, depth
+
+
+def balls(blocks: DataFrame, depth: int, ws: Workspace) -> list[DataFrame]:
+    """Per level from the top (label, path, block, centre, radius): its nodes, and blocks that end above it, with covering balls; only blocks have a block."""
+    levels = [ws.save(blocks.select("label", "path", "block", "centre", "radius"), f"balls-{depth}")]
+    for k in reversed(range(depth)):
+        kids = levels[0].withColumn("up", F.slice("path", 1, k))
+        middle = kids.groupBy("label", "up").agg(F.min_by("centre", "path").alias("middle"), F.count("*").alias("kids"), F.max(F.size("path")).alias("steps"))
+        middle = middle.toDF("m_label", "m_up", "middle", "kids", "steps")
+        both = kids.join(middle, (F.col("label") == F.col("m_label")) & (F.col("up") == F.col("m_up")))
+        here = both.groupBy("label", "up").agg(F.max(F.when(F.size("path") <= k, F.col("block"))).alias("block"), F.min_by("middle", "path").alias("centre"), F.max(apart("centre", "middle") + F.col("radius")).alias("radius"))
+        levels.insert(0, ws.save(here.select("label", F.col("up").alias("path"), "block", "centre", "radius"), f"balls-{k}"))
+    return levels
+
+
+def near_pairs(levels: list[DataFrame], ws: Workspace, cosine: float) -> DataFrame:
+    """(block, block_, dims, whole): the pairs of a label's blocks, each with itself too, whose balls come within the threshold.
+
+    Pairs of nodes become pairs of their children and are pruned level by level, so that what has been pruned above is never
+    looked at below. `whole` are pairs so close that all their points link.
+    """
+    far = math.sqrt(2 - 2 * cosine)
+    reach, gap = F.col("radius") + F.col("radius_"), apart("centre", "centre_")
+    pairs = levels[0].select("label", F.col("path").alias("a"), F.col("path").alias("b"))
+    top = levels[0].select(*[F.col(c).alias(f"{c}_") for c in levels[0].columns])
+    got = levels[0].join(top, (F.col("label") == F.col("label_")) & (F.col("path") == F.col("path_")))
+    for k, nodes in enumerate(levels[1:]):
+        kids = nodes.withColumn("up", F.slice("path", 1, k))
+        other = kids.select(*[F.col(c).alias(f"{c}_") for c in kids.columns])
+        left = pairs.withColumnRenamed("label", "in").join(kids, (F.col("in") == F.col("label")) & (F.col("a") == F.col("up")))
+        met = (F.col("label") == F.col("label_")) & (F.col("b") == F.col("up_")) & ((F.col("a") != F.col("b")) | (F.col("path") <= F.col("path_")))
+        got = ws.save(left.join(other, met).where(gap - reach <= far + MARGIN).select(*nodes.columns, *[f"{c}_" for c in nodes.columns]), f"pairs-{k + 1}")
+        pairs = got.select("label", F.col("path").alias("a"), F.col("path_").alias("b"))
+    return ws.save(got.where(gap - reach <= far + MARGIN).select("block", "block_", F.size("centre").alias("dims"), (gap + reach <= far - MARGIN).alias("whole")), "pairs")
 
 
 def near_duplicates(vectors: DataFrame, ws: Workspace, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -171,9 +248,8 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, key: str = "vec_id", vect
 
     Rows with a null label or key, or whose vector is null, zero, empty or holds a null or a non-finite number, link with nothing;
     vectors of different length do not link. n_links counts other rows, equal vectors among them. Rows that share a key
-    count as one for the components. Extra columns are not read. No label, cell or group of copies is ever in one task.
+    count as one for the components. Extra columns are not read. No label, node or group of copies is ever in one task.
     """
-    spark = vectors.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), v.alias("vec"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -182,53 +258,22 @@ def near_duplicates(vectors: DataFrame, ws: Workspace, key: str = "vec_id", vect
     clean = F.transform("vec", lambda x: x + F.lit(0.0))
     points = good.groupBy(F.concat_ws(":", F.size("vec"), F.col("label").cast("string")).alias("label"), clean.alias("vec")).agg(F.min("id").alias("point"), F.count("*").alias("n"))
     points = ws.save(points.withColumn("hash", F.xxhash64("vec")), "points")
-    total = points.count()
-    if not total:
+    if not points.limit(1).count():
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    share = min(1.0, SAMPLE / total)
-    sample = points.where(F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).select("label", "vec").toPandas()
-    sent = spark.sparkContext.broadcast(pivots_of(sample, share, block))  # SAMPLE rows at most, but for chance
-
-    def celled(batches):
-        for pdf in batches:
-            pdf["cell"] = 0
-            for name, at in pdf.groupby("label").groups.items():
-                if name in sent.value:
-                    pdf.loc[at, "cell"] = (unit(np.stack(pdf.loc[at, "vec"].to_numpy())) @ sent.value[name].T).argmax(axis=1)
-            yield pdf
-
-    placed = ws.save(points.mapInPandas(celled, "label string, vec array<double>, point long, n long, hash long, cell int"), "placed")
-    room = placed.groupBy("label", "cell").agg(F.count("*").alias("c")).select(F.col("label").alias("r_label"), F.col("cell").alias("r_cell"), F.ceil(F.col("c") / (block * 0.8)).alias("parts"))
-    dealt = placed.join(room, (F.col("label") == F.col("r_label")) & (F.col("cell") == F.col("r_cell"))).withColumn("part", F.pmod(F.xxhash64("hash", F.lit(2)), F.col("parts")))
+    placed, depth = grown(points, ws, block)
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point")
         x = np.stack(pdf.vec.to_numpy())
         u = unit(x)
         c = u.mean(axis=0)
         far = float(np.linalg.norm(u - c, axis=1).max())
-        name, cell = pdf.label.iloc[0], int(pdf.cell.iloc[0])
-        pivot = sent.value[name][cell] if name in sent.value else np.zeros(x.shape[1])
-        reach = float(np.linalg.norm(u - pivot, axis=1).max())
-        return pd.DataFrame({"label": [name], "cell": [cell], "pivot": [pivot.tolist()], "reach": [reach], "block": [int(pdf.point.min())], "centre": [c.tolist()], "radius": [far], "points": [pdf.point.tolist()], "ns": [pdf.n.tolist()], "dims": [x.shape[1]], "x": [(x.astype(np.float32) if (x.astype(np.float32) == x).all() else x).tobytes()]})
+        narrow = x.astype(np.float32)
+        return pd.DataFrame({"label": [pdf.label.iloc[0]], "path": [pdf.path.iloc[0]], "block": [int(pdf.point.min())], "centre": [c.tolist()], "radius": [far], "points": [pdf.point.tolist()], "ns": [pdf.n.tolist()], "dims": [x.shape[1]], "x": [(narrow if (narrow == x).all() else x).tobytes()]})
 
-    # small cells of a label share blocks: what has fewer points than a block is packed by cell all the same, its ball being small
-    blocks = dealt.groupBy("label", "cell", "part").applyInPandas(packed, "label string, cell int, pivot array<double>, reach double, block long, centre array<double>, radius double, points array<long>, ns array<long>, dims int, x binary")
+    blocks = placed.groupBy("label", "path").applyInPandas(packed, "label string, path array<int>, block long, centre array<double>, radius double, points array<long>, ns array<long>, dims int, x binary")
     blocks = ws.save(blocks, "blocks")
-    far = math.sqrt(2 - 2 * cosine)
-    # cells whose balls are near; a label has PIVOTS cells at most
-    cells = blocks.groupBy("label", "cell").agg(F.first("pivot").alias("pivot"), F.max("reach").alias("reach"))
-    other = cells.select(*[F.col(c).alias(f"{c}_") for c in cells.columns])
-    near = cells.join(other, (F.col("label") == F.col("label_")) & (F.col("cell") <= F.col("cell_")) & (apart("pivot", "pivot_") - F.col("reach") - F.col("reach_") <= far + MARGIN))
-    near = ws.save(near.select(F.col("label").alias("in"), F.col("cell").alias("c"), F.col("cell_").alias("d")), "near-cells")
-    # blocks meet by pair of cells, so that a large label is many groups
-    head = blocks.select("label", "cell", "block", "centre", "radius")
-    left = head.join(near, (F.col("label") == F.col("in")) & (F.col("cell") == F.col("c"))).drop("in", "cell")
-    right = head.join(near, (F.col("label") == F.col("in")) & (F.col("cell") == F.col("d"))).drop("in", "cell")
-    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
-    reach, gap = F.col("radius") + F.col("radius_"), apart("centre", "centre_")
-    met = (F.col("label") == F.col("label_")) & (F.col("c") == F.col("c_")) & (F.col("d") == F.col("d_"))
-    pairs = left.join(right, met & ((F.col("c") < F.col("d")) | (F.col("block") <= F.col("block_"))) & (gap - reach <= far + MARGIN))
-    pairs = ws.save(pairs.select("block", "block_", F.size("centre").alias("dims"), (gap + reach <= far - MARGIN).alias("whole")), "pairs")
+    pairs = near_pairs(balls(blocks, depth, ws), ws, cosine)
     # blocks so close that all their points link are not descended: their sizes count, and one point of each connects them
     whole = pairs.where("whole").select("block", "block_")
     ends = whole.union(whole.where("block <> block_").select("block_", "block")).toDF("w_block", "with")

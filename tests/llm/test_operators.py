@@ -403,13 +403,38 @@ def test_cover_tree_join(spark, ws, monkeypatch):
                 todo.append(j)
         want[i] = (len(links[i]), min(seen), min(seen) == i)
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>, label int").withColumn("point", F.lit(1)).withColumn("cell", F.lit(1))
-    for block, sample in ((7, 20_000), (2000, 20_000), (7, 0)):  # without a sample there are no pivots: one cell a label
+    for block, sample, part in ((2000, 1200, 50_000), (7, 1200, 5), (14, 0, 50_000)):  # without a sample nodes are divided by hash
         monkeypatch.setattr(cover_tree_join, "SAMPLE", sample)
+        monkeypatch.setattr(cover_tree_join, "PART", part)
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree_join.near_duplicates(df, Workspace(spark, "tree"), block=block).collect()}
         assert got == want
     assert cover_tree_join.near_duplicates(df.limit(0), ws).count() == 0
 
 
+def test_cover_tree_of_one_direction(spark):
+    """Vectors of one direction are at no distance from one another: no centre divides them, and all link."""
+    v = [(i, [float(i + 1), 2.0 * (i + 1)], 0) for i in range(60)]
+    got = cover_tree_join.near_duplicates(spark.createDataFrame(v, "vec_id long, embedding array<double>, label int"), Workspace(spark, "line"), block=7).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(59, 0)} and sum(r.kept for r in got) == 1
+
+
+def test_cover_tree_prunes(spark):
+    """Clusters: nearly all pairs of blocks are pruned."""
+    share = {}
+    for n in (40, 160):
+        rng = np.random.default_rng(6)
+        centres = rng.normal(size=(n, 16))
+        x = np.repeat(centres, 25, axis=0) + rng.normal(scale=0.05, size=(25 * n, 16))
+        df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        ws = Workspace(spark, "prune")
+        got = cover_tree_join.near_duplicates(df, ws, block=50)
+        assert got.where("kept").count() == n
+        blocks, pairs = spark.read.parquet(f"{ws.path}/blocks").count(), spark.read.parquet(f"{ws.path}/pairs").count()
+        assert blocks >= 25 * n / 50 and pairs <= blocks * (blocks + 1) / 2
+        share[n] = pairs / (blocks * (blocks + 1) / 2)
+    assert max(share.values()) < 0.25
+
+
 def test_cover_tree_radii():
     u = cover_tree_join.unit(np.random.default_rng(1).normal(size=(200, 4)))
     t = cover_tree_join.Tree(u)
