@@ -99,12 +99,13 @@ def sampled(cells: DataFrame, key: Sequence[str], waves: Sequence[int] = WAVES)
     Each wave is a written table; bounds are tested before the prefix is searched.
     """
     names = [*key, "family", "tier"]
+    shown = {t: n for t, n in VISIBLE.items() if cells.where(F.col("tier") == t).limit(1).count()}
     left, out, begun = cells.select(*names).distinct(), None, 0
     for end in waves:
         tries = draw_programs(left.withColumn("attempt", F.explode(F.sequence(F.lit(begun + 1), F.lit(end)))), [*key, "attempt"])
         good = cut(tries.where(fair(F.col("program"), F.col("tier"))))
         # written before it is looked at, so that an audit is made once
-        told = cut(good.withColumn("audit", F.coalesce(*[F.when(F.col("tier") == t, programs.audit(F.col("program"), n)) for t, n in VISIBLE.items()])))
+        told = cut(good.withColumn("audit", F.coalesce(*[F.when(F.col("tier") == t, programs.audit(F.col("program"), n)) for t, n in shown.items()])))
         told = told.where(F.col("audit.itself") & (F.col("audit.continuations") == 1) & ((F.col("tier") == 1) | (F.col("audit.lower_tier") == 0)))
         found = cut(told.groupBy(*names).agg(F.min_by(F.struct("attempt", "program", F.col("audit.candidates").alias("candidates")), "attempt").alias("x")).select(*names, "x.*"))
         out, begun = found if out is None else out.union(found), end

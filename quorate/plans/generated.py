@@ -77,19 +77,10 @@ def seq03_families(s, d):
     return found.select("r_name", "family", "tier", text_of(F.col("p")).alias("program"))
 
 
-def seq04_audit(s, d):
-    return first_programs(s, d).select("r_name", "family", "tier", programs_.audit(F.col("program"), 12).alias("x")).select("r_name", "family", "tier", "x.*")
-
-
 def seq05_families(s, d):
     return first_programs(s, d).select("r_name", "family", "tier", programs_.tier(F.col("program")).alias("least_tier"), programs_.in_bounds(F.col("program"), 12).alias("in_bounds"))
 
 
-def seq06_families(s, d):
-    found = sampling.sampled(cells(s, d), ["r_name"]).withColumnRenamed("program", "p")
-    return found.select("r_name", "family", "tier", "attempt", "candidates", text_of(F.col("p")).alias("program"), F.to_json(programs_.evaluate(F.col("p"), 19)).alias("terms"))
-
-
 def seq08(s, d):
     """Cases regenerated and compared with a copy in which one was changed."""
     a = cases(s, d)
@@ -261,7 +252,7 @@ def evo02(s, d):
 
 
 QUERIES = {
-    "SEQ02_families": (seq02_families, None), "SEQ03_families": (seq03_families, None), "SEQ04_audit": (seq04_audit, None), "SEQ05_families": (seq05_families, None), "SEQ06_families": (seq06_families, None),
+    "SEQ02_families": (seq02_families, None), "SEQ03_families": (seq03_families, None), "SEQ05_families": (seq05_families, None),
     "SEQ02_programs": (seq02, SEQ02), "SEQ06_rejection_sampling": (cases, SEQ06), "SEQ08_regeneration": (seq08, SEQ08), "FN09_random_numbers": (fn09, None), "FN12_named_sequences": (fn12, FN12), "FN15_iso_times": (fn15, FN15),
     "VAL08_scored_items": (val08, VAL08), "VAL09_compliance": (val09, VAL09), "EVO02_crossover": (evo02, None), "EVO07_founders": (evo07, EVO07), "AUD03_provenance": (aud03, AUD03), "AUD08_reproduction": (aud08, AUD08), "AUD09_replacement": (aud09, _aud09()),
     "AUD15_scoring_checks": (aud15, AUD15), "AUD16_development_gate": (aud16, AUD16), "SNK05_summary": (snk05, SNK05),
