@@ -1,9 +1,10 @@
 """Language identification by hyperdimensional profiles.
 
 Each of 128 symbols (separator, a to z, further letters by code point) has three random +-1 vectors that are rotations of
-one another, one per place in a trigram. Their product binds a trigram, the sum of all trigrams of a text bundles its
-profile, and a language's prototype is the bundle of all its training texts. A text goes to the prototype with the
-largest cosine; prototypes are compared without what all of them share.
+one another, one per place in a trigram. Their product binds a trigram. A text's trigrams, each weighted by the square root of
+how often it occurs so that the commonest do not drown the others, are summed to bundle its profile; a language's prototype
+bundles the counts of all its training texts alike. A text goes to the prototype with the largest cosine, of equal ones to the
+first language in order; prototypes are compared without what all of them share.
 """
 
 from __future__ import annotations

@@ -255,6 +255,20 @@ def test_language_id(spark):
     assert all(r.language.lang == r.want and 0 <= r.language.score <= 1 for r in got)
     none, q = language_id.prototypes(df.limit(0))
     assert none == [] and language_id.identify(df.limit(2), none, q).select("language.lang").distinct().collect()[0][0] == "und"
+    empty = language_id.identify(spark.createDataFrame(probe, "text string, want string").limit(0), langs, p)
+    assert empty.count() == 0
+    twice = language_id.identify(spark.createDataFrame([("das haus",), ("das haus",)], "text string"), langs, p).select("language").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    # the prototypes summed the plain way: square roots of trigram counts by bound vectors, less the mean, of length 1
+    plain = []
+    for lang in langs:
+        n = Counter()
+        for t in (r.text for r in df.where(F.col("lang") == lang).collect()):
+            n.update(language_id.trigrams(t or "").tolist())
+        v = sum((np.sqrt(c) * language_id.gram_vectors(np.array([g]))[0] for g, c in sorted(n.items())), np.zeros(language_id.DIMENSIONS))
+        plain.append(v / max(np.linalg.norm(v), 1e-12))
+    plain = np.array(plain) - np.mean(plain, axis=0)
+    assert np.allclose(p, plain / np.linalg.norm(plain, axis=1, keepdims=True), atol=1e-5)
     v = language_id.gram_vectors(np.array([5, 5, 900]), 256)  # binding is fixed and nearly orthogonal
     assert (v[0] == v[1]).all() and abs(int(v[0].astype(int) @ v[2])) < 100
 
