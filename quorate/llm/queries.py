@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorate.llm import cover_tree_join, decontamination, jaccard_join, language_id, mixing, resharding, token_files, token_rollups, toxicity, url_filter
+from quorate.llm import cover_tree_join, decontamination, importance, jaccard_join, language_id, mixing, resharding, token_files, token_rollups, toxicity, url_filter
 
 QUERIES = {
     "op1_resharding": resharding.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_cover_tree_join": cover_tree_join.query,
+    "op13_importance": importance.query,
 }
 ORACLES = {
     "op3_token_rollups": token_rollups.SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_url_filter": url_filter.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_cover_tree_join": cover_tree_join.SQL,
+    "op13_importance": importance.SQL,
 }
