@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quorate.llm import cover_tree_join, decontamination, importance, jaccard_join, language_id, mixing, resharding, token_files, token_rollups, toxicity, url_filter
+from quorate.llm import cover_tree_join, decontamination, importance, jaccard_join, language_id, mixing, prefix_trie, resharding, threshold_search, token_files, token_rollups, toxicity, url_filter
 
 QUERIES = {
     "op1_resharding": resharding.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_cover_tree_join": cover_tree_join.query,
+    "op11_threshold_search": threshold_search.query,
+    "op12_prefix_trie": prefix_trie.query,
     "op13_importance": importance.query,
 }
 ORACLES = {
@@ -24,5 +26,7 @@ ORACLES = {
     "op8_url_filter": url_filter.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_cover_tree_join": cover_tree_join.SQL,
+    "op11_threshold_search": threshold_search.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
     "op13_importance": importance.SQL,
 }
