@@ -7,11 +7,15 @@ from collections import defaultdict
 from collections.abc import Sequence
 from hashlib import sha256
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorate.operators.lineage import cut
 
+#: Jobs of a group that isn't one chain; such a group is a row.
+MOST_JOBS = 200_000
+
 
 def ready(jobs: DataFrame, edges: DataFrame, closed: DataFrame) -> DataFrame:
     """Jobs that are not closed and all of whose dependencies are."""
@@ -120,36 +124,149 @@ def depths(edges: DataFrame, jobs: DataFrame) -> DataFrame:
     raise ValueError("a cycle")
 
 
-def chain_schedule(jobs: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(job, place, batch): fair_schedule() and batches() of jobs (job, group) and edges (job, needs), where each group is one chain.
+def _hashed(kind: str, of: Column, seed: str | None) -> Column:
+    """SHA-256 of a job or group; with a seed, of seed, kind and name between zero characters."""
+    text = of if seed is None else F.concat(F.lit(f"{seed}\0{kind}\0"), of)
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _in_turn(groups: pd.Series) -> pd.Series:
+    """Of each group's (job, digest, needs) the jobs in the order in which a heap of ready ones by digest gives them; null where a cycle leaves some."""
 
-    A group then has one ready job until it ends: round d of the turns is the jobs of depth d by their groups' SHA-256. Places
-    are counted by partition of the sorted jobs. While a round has `most` groups, needs lie `most` places back, and batches are
-    full; later ones hold the next job of each of the fewer groups left.
+    def order(rows) -> list[str] | None:
+        waits = {r["job"]: len(r["needs"]) for r in rows}
+        digest, after, out = {r["job"]: r["digest"] for r in rows}, defaultdict(list), []
+        for r in rows:
+            for x in r["needs"]:
+                after[x].append(r["job"])
+        heap = [(digest[j], j) for j, n in waits.items() if not n]
+        heapq.heapify(heap)
+        while heap:
+            _, job = heapq.heappop(heap)
+            out.append(job)
+            for x in after[job]:
+                waits[x] -= 1
+                if not waits[x]:
+                    heapq.heappush(heap, (digest[x], x))
+        return out if len(out) == len(rows) else None
+
+    return groups.map(order)
+
+
+def turns(jobs: DataFrame, edges: DataFrame, seed: str | None = None) -> DataFrame:
+    """(job, group, turn): the order, from 0, in which a group's jobs come up if its turn always goes to the ready job of smallest SHA-256.
+
+    Jobs are (job, group), edges (job, needs); repeated edges count once. Groups that are one chain may be of any length: their
+    order is found by rounds of doubling. Any other group is one row of a task, and has MOST_JOBS jobs at most. A repeated
+    job, a dependency that isn't a job or is of another group, a cycle and a larger group raise ValueError.
     """
-    ordered = depths(edges, jobs).orderBy("depth", F.sha2(F.col("group").cast("binary"), 256)).withColumn("id", F.monotonically_increasing_id())
-    ordered = cut(ordered.select("job", "group", "depth", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")))
+    e = edges.select(F.col("job").alias("j"), "needs").distinct()
+    known = jobs.select(F.col("job").alias("needs"), F.col("group").alias("of"))
+    links = cut(jobs.join(e, F.col("job") == F.col("j"), "left").join(known, "needs", "left").select("job", "group", "needs", "of"))
+    strange = e.join(jobs.select(F.col("job").alias("j")), "j", "left_anti")
+    if not jobs.groupBy("job").count().where("count > 1").isEmpty():
+        raise ValueError("a repeated job")
+    if not links.where("needs is not null and of is null").isEmpty() or not strange.isEmpty():
+        raise ValueError("an unknown dependency")
+    if not links.where("of <> group").isEmpty():
+        raise ValueError("a dependency of another group")
+    per = links.groupBy("group", "job").agg(F.count("needs").alias("n_needs"))
+    used = links.where("needs is not null").groupBy("group", "needs").agg(F.count("*").alias("n_used")).groupBy("group").agg(F.max("n_used").alias("most_used"))
+    sizes = per.groupBy("group").agg(F.count("*").alias("n"), F.max("n_needs").alias("most_needs"), F.count_if(F.col("n_needs") == 0).alias("starts"))
+    shape = sizes.join(used, "group", "left").select("group", "n", ((F.col("most_needs") <= 1) & (F.coalesce("most_used", F.lit(0)) <= 1) & (F.col("starts") == 1)).alias("chain"))
+    shape = cut(shape)
+    if not shape.where(~F.col("chain") & (F.col("n") > MOST_JOBS)).isEmpty():
+        raise ValueError(f"a group of more than {MOST_JOBS} jobs that is no chain")
+    chains = shape.where("chain").select("group")
+    lined = links.join(chains, "group", "left_semi")
+    in_chains = depths(lined.where("needs is not null").select("job", "needs"), lined.select("job", "group")).withColumnRenamed("depth", "turn")
+    job = F.struct("job", _hashed("call", F.col("job"), seed).alias("digest"), "needs")
+    rows = links.join(chains, "group", "left_anti").groupBy("group", "job").agg(F.collect_list("needs").alias("needs")).groupBy("group").agg(F.collect_list(job).alias("rows"))
+    ordered = cut(rows.select("group", F.pandas_udf(_in_turn, "array<string>")("rows").alias("order")))
+    if not ordered.where("order is null").isEmpty():
+        raise ValueError("a cycle")
+    return in_chains.select("job", "group", "turn").union(ordered.select("group", F.posexplode("order").alias("turn", "job")).select("job", "group", "turn"))
+
+
+def places(turned: DataFrame, seed: str | None = None) -> DataFrame:
+    """turned (job, group, turn) with place, from 0: all groups' first turns by the groups' SHA-256, then their second ones, and so on.
+
+    As a group has a ready job until it ends, this is the order that taking turns gives. Places are counted by partition of
+    the sorted jobs, so that no task sees them all.
+    """
+    ordered = turned.orderBy("turn", _hashed("group", F.col("group"), seed)).withColumn("id", F.monotonically_increasing_id())
+    ordered = cut(ordered.select(*turned.columns, F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")))
     starts, n = [], 0
     for r in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
         starts.append((r.part, n))
         n += r.n
     start = ordered.sparkSession.createDataFrame(starts, "part int, start long")
-    placed = ordered.join(F.broadcast(start), "part").select("job", "group", "depth", (F.col("start") + F.col("at")).alias("place"))
-    few = placed.groupBy("depth").agg(F.count("*").alias("n")).where(F.col("n") < most).agg(F.min("depth")).first()[0]
+    return ordered.join(F.broadcast(start), "part").select(*turned.columns, (F.col("start") + F.col("at")).alias("place"))
+
+
+def _tail(most: int, first: int, room: int):
+    """Batches of what fewer than `most` groups have left, `room` of them in batch `first`: the ready ones first by place."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        waits, after, soonest = {}, defaultdict(list), {}
+        jobs = set(pdf.job)
+        for r in pdf.itertuples(index=False):
+            inner = [x for x in r.needs if x in jobs]
+            waits[r.job], soonest[r.job] = len(inner), first if r.needed < first else first + 1
+            for x in inner:
+                after[x].append(r.job)
+        place, out = dict(zip(pdf.job, pdf.place, strict=True)), {}
+        coming = defaultdict(list)
+        for j, n in waits.items():
+            if not n:
+                coming[soonest[j]].append(j)
+        heap, batch = [], first
+        while len(out) < len(jobs):
+            for j in coming.pop(batch, []):
+                heapq.heappush(heap, (place[j], j))
+            for _ in range(min(len(heap), room if batch == first else most)):
+                _, j = heapq.heappop(heap)
+                out[j] = batch
+                for x in after[j]:
+                    waits[x] -= 1
+                    soonest[x] = max(soonest[x], batch + 1)
+                    if not waits[x]:
+                        coming[soonest[x]].append(x)
+            batch += 1
+        return pd.DataFrame({"job": list(out), "batch": list(out.values())})
+
+    return run
+
+
+def schedule(jobs: DataFrame, edges: DataFrame, most: int, seed: str | None = None) -> DataFrame:
+    """(job, group, turn, place, batch): turns(), places() and batches of at most `most` jobs, none with a dependency in its own batch.
+
+    A batch holds the first ready jobs by place. While a turn has `most` groups or more, what a job needs lies `most` places or more before
+    it, so that batches are full and a job's is its place divided by `most`. What the fewer groups that last longer have
+    left is dealt out by one task; it is less than `most` groups' jobs, and chains among them may be long.
+    """
+    placed = cut(places(turns(jobs, edges, seed), seed))
+    few = placed.groupBy("turn").agg(F.count("*").alias("n")).where(F.col("n") < most).agg(F.min("turn")).first()[0]
     full = F.floor(F.col("place") / most).cast("int")
+    early = placed.withColumn("batch", full)
     if few is None:
-        return placed.select("job", F.col("place").cast("int"), full.alias("batch"))
-    before = placed.where(F.col("depth") < few).count()
-    last = (before - 1) // most
-    room = (last + 1) * most - before
-    tail = [r["group"] for r in placed.where(F.col("depth") == few).orderBy("place").collect()]  # fewer than `most`
-    needs = {r["group"]: r["place"] for r in placed.where((F.col("depth") == few - 1) & F.col("group").isin(tail)).collect()}
-    batch = F.lit(None).cast("int")
-    for g in tail:
-        early = room > 0 and needs.get(g, 0) // most < last
-        room -= early
-        batch = F.when(F.col("group") == g, F.col("depth") + (last - few + (not early))).otherwise(batch)
-    return placed.select("job", F.col("place").cast("int"), F.when(F.col("depth") < few, full).otherwise(batch).cast("int").alias("batch"))
+        return early
+    early, late = early.where(F.col("turn") < few), placed.where(F.col("turn") >= few)
+    before = early.count()
+    first = max(0, (before - 1) // most)
+    room = (first + 1) * most - before
+    e = edges.select(F.col("job").alias("j"), F.col("needs").alias("x")).distinct()
+    done = early.select(F.col("job").alias("d"), F.col("batch").alias("needed"))
+    left = late.select("job", "place").join(e, F.col("job") == F.col("j"), "left").join(done, F.col("x") == F.col("d"), "left")
+    left = left.groupBy("job", "place").agg(F.collect_list("x").alias("needs"), F.coalesce(F.max("needed"), F.lit(-1)).alias("needed"))
+    dealt = left.groupBy().applyInPandas(_tail(most, first, room), "job string, batch int").withColumnRenamed("job", "j")
+    return early.union(late.join(dealt, F.col("job") == F.col("j")).drop("j"))
+
+
+def chain_schedule(jobs: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(job, place, batch) of schedule(), for groups that are one chain each; else ValueError."""
+    depths(edges, jobs)
+    return schedule(jobs, edges, most).select("job", F.col("place").cast("int"), "batch")
 
 
 def role_plan(blocks: DataFrame, roles: Sequence[tuple[str, int]]) -> DataFrame:

@@ -361,11 +361,70 @@ def dag04(s, d):
 DAG04 = f"{_TURNS} SELECT conv_id || '-' || turn AS job, CAST(max(turn) OVER (PARTITION BY conv_id) - turn AS INTEGER) AS depth FROM j"
 
 
+def _turn_sql(jobs: str, edges: str) -> str:
+    """CTEs: jb (job, grp) and ed (job, needs) as given, dp with each job's digest and needs, tn (job, grp, turn), pl with place; a group's turn is taken step by step."""
+    return f"""jb AS ({jobs}), ed AS ({edges}),
+dp AS (SELECT jb.job, jb.grp, sha256(jb.job) AS h, coalesce(list(DISTINCT ed.needs) FILTER (ed.needs IS NOT NULL), []) AS deps FROM jb LEFT JOIN ed ON ed.job = jb.job GROUP BY jb.job, jb.grp),
+t(grp, k, done) AS (
+  SELECT DISTINCT grp, 0, []::VARCHAR[] FROM jb
+  UNION ALL SELECT grp, k + 1, list_append(done, x) FROM (SELECT t.grp, t.k, t.done, min_by(dp.job, dp.h) AS x FROM t JOIN dp ON dp.grp = t.grp AND NOT list_contains(t.done, dp.job) AND list_has_all(t.done, dp.deps) GROUP BY t.grp, t.k, t.done)),
+tn AS (SELECT done[k] AS job, grp, k - 1 AS turn FROM t WHERE k > 0),
+pl AS (SELECT tn.*, deps, row_number() OVER (ORDER BY turn, sha256(tn.grp)) - 1 AS place FROM tn JOIN dp USING (job))"""
+
+
+def _batch_sql(most: int) -> str:
+    """CTE bt (job, batch): batch by batch the first ready jobs by place."""
+    return f"""z(b, done) AS (
+  SELECT 0, []::VARCHAR[]
+  UNION ALL SELECT b + 1, list_concat(done, list(job)) FROM (SELECT z.b, z.done, pl.job, row_number() OVER (ORDER BY pl.place) AS r FROM z JOIN pl ON NOT list_contains(z.done, pl.job) AND list_has_all(z.done, pl.deps)) WHERE r <= {most} GROUP BY b, done),
+bt AS (SELECT pl.job, min(b) - 1 AS batch FROM z JOIN pl ON list_contains(z.done, pl.job) GROUP BY pl.job)"""
+
+
 def dag01(s, d):
     """The schedule and batches of all conversations' turns."""
     return graphs.chain_schedule(jobs(s, d).select("job", F.col("conv_id").cast("string").alias("group")), edges(s, d), 4)
 
 
+_CONV_JOBS = "SELECT DISTINCT conv_id || '-' || turn AS job, CAST(conv_id AS VARCHAR) AS grp FROM conversations"
+_CONV_EDGES = "SELECT conv_id || '-' || turn AS job, conv_id || '-' || (turn - 1) AS needs FROM (SELECT DISTINCT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS low FROM conversations) WHERE turn > low"
+DAG01 = f"WITH RECURSIVE {_turn_sql(_CONV_JOBS, _CONV_EDGES)}, {_batch_sql(4)} SELECT job, CAST(place AS INTEGER) AS place, CAST(batch AS INTEGER) AS batch FROM pl JOIN bt USING (job)"
+ROLES = [("proposer", 4), ("critic", 2), ("judge", 1)]
+
+
+def dag02(s, d):
+    """Role plans of all nations, and one more role plan that lasts longer, in batches of 10."""
+    plan = graphs.role_plan(read(s, d, "nation").select(F.col("n_name").alias("block")), ROLES)
+    long = graphs.role_plan(read(s, d, "region").where("r_regionkey < 3").select(F.col("r_name").alias("block")), [("solver", 9), ("verifier", 3), ("synthesizer", 2)])
+    plan = plan.union(long)
+    needs = plan.select("job", F.explode("dependencies").alias("needs"))
+    return graphs.schedule(plan.select("job", F.col("block").alias("group")), needs, 10).select("job", F.col("turn").cast("int"), F.col("place").cast("int"), "batch")
+
+
+_ROLE_JOBS = """SELECT n_name AS grp, stage, n_name || '-' || role || '-' || lpad(CAST(i AS VARCHAR), 2, '0') AS job FROM nation, (SELECT *, unnest(range(1, n + 1)) AS i FROM (VALUES (0, 'proposer', 4), (1, 'critic', 2), (2, 'judge', 1)) r(stage, role, n))
+  UNION ALL SELECT r_name, stage, r_name || '-' || role || '-' || lpad(CAST(i AS VARCHAR), 2, '0') FROM region, (SELECT *, unnest(range(1, n + 1)) AS i FROM (VALUES (0, 'solver', 9), (1, 'verifier', 3), (2, 'synthesizer', 2)) r(stage, role, n)) WHERE r_regionkey < 3"""
+DAG02 = f"""WITH RECURSIVE rj AS ({_ROLE_JOBS}), {_turn_sql("SELECT job, grp FROM rj", "SELECT a.job, b.job AS needs FROM rj a JOIN rj b ON a.grp = b.grp AND b.stage < a.stage")}, {_batch_sql(10)}
+SELECT job, CAST(turn AS INTEGER) AS turn, CAST(place AS INTEGER) AS place, CAST(batch AS INTEGER) AS batch FROM pl JOIN bt USING (job)"""
+
+
+def order_lines(s, d):
+    """Lines of orders as jobs, an order being a group; a line needs those before it whose numbers fit its own by a rule."""
+    lines = read(s, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    before = lines.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i"))
+    name = lambda i: F.concat_ws("-", "l_orderkey", i)
+    fits = (F.col("l_orderkey") == F.col("o")) & (F.col("i") < F.col("l_linenumber")) & ((7 * F.col("i") + 3 * F.col("l_linenumber") + F.col("o")) % 3 == 0)
+    return lines.select(name("l_linenumber").alias("job"), F.col("l_orderkey").cast("string").alias("group")), lines.join(before, fits).select(name("l_linenumber").alias("job"), name("i").alias("needs"))
+
+
+def win13(s, d):
+    """A fair order of all order lines."""
+    return graphs.places(graphs.turns(*order_lines(s, d))).select("job", F.col("turn").cast("int"), "place")
+
+
+WIN13 = f"""WITH RECURSIVE ln AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS i FROM lineitem),
+{_turn_sql("SELECT o || '-' || i AS job, CAST(o AS VARCHAR) AS grp FROM ln", "SELECT a.o || '-' || a.i AS job, b.o || '-' || b.i AS needs FROM ln a JOIN ln b ON a.o = b.o AND b.i < a.i AND (7 * b.i + 3 * a.i + a.o) % 3 = 0")}
+SELECT job, CAST(turn AS INTEGER) AS turn, place FROM pl"""
+
+
 def dag05(s, d):
     blocks = read(s, d, "nation").select(F.col("n_name").alias("block"))
     plan = graphs.role_plan(blocks, [("proposer", 4), ("critic", 2), ("judge", 1)])
@@ -402,5 +461,5 @@ QUERIES = {
     "VAL01_canonical_answer": (val01, VAL01), "VAL02_unwrap": (val02, VAL02), "VAL03_item_errors": (val03, VAL03), "VAL04_document_errors": (val04, VAL04), "VAL05_schema": (val05, VAL05), "VAL06_attempt_class": (val06, VAL06), "VAL07_salvage": (val07, VAL07),
     "VAL10_leak_guard": (val10, VAL10), "VAL11_slot_name": (val11, VAL11), "VAL12_safe_numbers": (val12, VAL12), "VAL13_rule_text": (val13, VAL13), "SRC03_strict_json": (src03, SRC03), "SRC08_last_wins": (src08, SRC08), "SRC09_final_message": (src09, SRC09), "SNK03_canonical_json": (snk03, SNK03),
     "SEQ01_poly": (seq01_poly, SEQ_POLY), "SEQ01_affine": (seq01_affine, SEQ_AFFINE), "SEQ01_lin2": (seq01_lin2, SEQ_LIN2), "SEQ01_modaffine": (seq01_modaffine, SEQ_MOD), "SEQ01_others": (seq01_others, SEQ_OTHERS), "SEQ03_recognise": (seq03, SEQ03), "SEQ04_ambiguity": (seq04, SEQ04),
-    "SEQ05_tiers": (seq05, SEQ05), "SEQ07_assignments": (seq07, SEQ07), "JOIN10_ready": (join10, JOIN10), "DAG01_schedule": (dag01, None), "DAG03_cycles": (dag03, DAG03), "DAG04_closure": (dag04, DAG04), "DAG05_role_plan": (dag05, DAG05), "DAG06_role_audit": (dag06, DAG06), "DAG07_lineage": (dag07, DAG07),
+    "SEQ05_tiers": (seq05, SEQ05), "SEQ07_assignments": (seq07, SEQ07), "JOIN10_ready": (join10, JOIN10), "DAG01_schedule": (dag01, DAG01), "DAG02_batches": (dag02, DAG02), "WIN13_fair_order": (win13, WIN13), "DAG03_cycles": (dag03, DAG03), "DAG04_closure": (dag04, DAG04), "DAG05_role_plan": (dag05, DAG05), "DAG06_role_audit": (dag06, DAG06), "DAG07_lineage": (dag07, DAG07),
 }
