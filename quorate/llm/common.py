@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +63,52 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _at(spark: SparkSession, path: str):
+    """The path for the file system, and the file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def dir_files(spark: SparkSession, path: str) -> bool:
+    p, files = _at(spark, path)
+    return files.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it isn't there."""
+    p, files = _at(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(p)) if files.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, files = _at(spark, path)
+    files.delete(p, True)
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Moves a folder with files to a name that nothing has, in one step; False, and nothing moves, if something has it.
+
+    On a local disk this is rename(2), which fails on a folder with files; elsewhere the file system's rename without
+    overwriting, which HDFS does in one step. An object store without a rename of folders isn't a place for this.
+    """
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    (a, files), (b, _) = _at(spark, source), _at(spark, target)
+    files.mkdirs(b.getParent())
+    try:
+        if files.getUri().getScheme() == "file":
+            options = spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+            options[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+            one = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.move(one(a), one(b), options)
+        else:
+            options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+            options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b, options)
+    except Py4JJavaError:
+        if not files.exists(b):
+            raise
+        return False
+    return True
 
 
 def components(edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:

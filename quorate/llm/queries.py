@@ -20,7 +20,6 @@ QUERIES = {
     "op13_importance": importance.query,
 }
 ORACLES = {
-    "op3_token_rollups": token_rollups.SQL,
     "op6_decontamination": decontamination.SQL,
     "op7_mixing": mixing.SQL,
     "op8_url_filter": url_filter.SQL,

@@ -275,15 +275,54 @@ def test_language_id(spark):
 
 def test_token_rollups(spark, ws):
     d = spark.createDataFrame([(1, "a b", "en", "s"), (2, None, None, None), (2, "x", "en", "s"), (3, "p-q r", "en", "s")], "doc_id long, text string, lang string, source string")
+    d = d.withColumn("tokens", F.lit("x")).withColumn("docs", F.lit("x")).withColumn("tokenizer", F.lit("x")).withColumn("n_tokens", F.lit("x")).withColumn("batch", F.lit("x"))
     one = token_rollups.counted(d, "words_v1")
     none = one.limit(0)
-    r = token_rollups.Rollup(spark, f"{ws.path}/r")
-    assert r.commit("a", token_rollups.deltas(none, one)) and not r.commit("a", token_rollups.deltas(none, one))
+    r = token_rollups.Rollup(spark, f"{ws.path}/r", every=2)
+    assert r.totals().count() == 0 and r.batches() == [] and not r.compact()
+    assert r.commit("a/1 _x.y", token_rollups.deltas(none, one)) and not r.commit("a/1 _x.y", token_rollups.deltas(none, one))
     assert r.commit("b", token_rollups.deltas(one.where("doc_id = 1"), none))
+    assert common.children(spark, f"{r.path}/snapshots") == ["000000000001"]
     assert r.commit("c", token_rollups.deltas(one.where("doc_id = 3"), token_rollups.counted(d.where("doc_id = 3"), "words_v2")))
-    got = {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals(["a", "b", "c", "absent"]).collect()}
-    assert got == {("s", "en", "words_v1"): (1, 1), (None, None, "words_v1"): (1, 0), ("s", "en", "words_v2"): (1, 4)}
-    assert r.totals([]).count() == 0
+    assert r.commit("empty", token_rollups.deltas(none, none))
+    want = {("s", "en", "words_v1"): (1, 1), (None, None, "words_v1"): (1, 0), ("s", "en", "words_v2"): (1, 4)}
+    totals = lambda: {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
+    assert totals() == want and r.batches() == ["a/1 _x.y", "b", "c", "empty"]
+    assert not r.commit("b", token_rollups.deltas(none, one)) and totals() == want
+    assert r.commit("d", token_rollups.deltas(none, one.where("doc_id = 1"))) and r.compact()
+    assert totals() == want | {("s", "en", "words_v1"): (2, 3)}
+
+
+def test_writers_of_one_batch_count_once(spark, ws):
+    from concurrent.futures import ThreadPoolExecutor
+
+    changes = spark.createDataFrame([("s", "en", "t", 1, 5)], "source string, lang string, tokenizer string, docs long, tokens long")
+    for k in range(3):
+        path = f"{ws.path}/r{k}"
+        with ThreadPoolExecutor(4) as pool:
+            won = list(pool.map(lambda _: token_rollups.Rollup(spark, path, every=1).commit("same", changes), range(4)))  # noqa: B023
+            mixed = list(pool.map(lambda i: token_rollups.Rollup(spark, path, every=1).commit(f"own-{i}", changes), range(4)))  # noqa: B023
+        assert sorted(won) == [False, False, False, True] and all(mixed)
+        assert [tuple(x) for x in token_rollups.Rollup(spark, path).totals().collect()] == [("s", "en", "t", 5, 25)]
+        assert common.children(spark, f"{path}/attempts") == []
+
+
+def test_rollup_of_tokenizer_ids(spark, ws, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.default_tokenizer())
+    got = token_rollups.counted(docs(spark), token_rollups.BPE).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in docs(spark).collect())
+    docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    want = defaultdict(lambda: [0, 0])
+    for r in docs(spark).collect():
+        k = None if r.doc_id is None else r.doc_id % 10
+        if k != 0:
+            again = k is not None and 1 <= k <= 4
+            n = len(tok.encode(r.text or "", add_special_tokens=False).ids) if again else len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            sums = want[r.source, r.lang, token_rollups.BPE if again else "words_v1"]
+            sums[0], sums[1] = sums[0] + 1, sums[1] + n
+    assert {tuple(r)[:3]: [*tuple(r)[3:]] for r in token_rollups.query(spark, str(tmp_path)).collect()} == dict(want)
 
 
 def test_token_files(spark, ws, monkeypatch):
