@@ -1,4 +1,4 @@
-"""Paired statistics: percentiles, counter-based bootstraps, exact tests and corrections."""
+"""Paired statistics: percentiles, exact tests and corrections; bootstraps are in resampling."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Replicates of a bootstrap and random sign patterns, unless the caller asks for other numbers.
 REPLICATES, FLIPS = 50_000, 100_000
-#: Draws that one row stands for before they are made.
-DRAWS = 10_000
 
 
 def floor_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
@@ -27,45 +25,6 @@ def floor_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, fl
     return placed.groupBy(by).agg(*[F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
-def draws(strata: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """(replicate, stratum, draw, pos): with replacement, from strata (stratum, n), positions 0 to n - 1.
-
-    A draw is a number from the MD5 of seed, replicate, stratum and draw modulo n, so that any engine gets the same. Draws
-    are made from rows of DRAWS each that are dealt out first, so that neither a row nor a task grows with a stratum.
-    """
-    starts = strata.select("stratum", "n", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"), F.lit(DRAWS).cast("long"))).alias("start"))
-    parts = starts.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).repartition("stratum", "start", "replicate")
-    each = parts.select("replicate", "stratum", "n", F.explode(F.sequence("start", F.least(F.col("n") - 1, F.col("start") + DRAWS - 1))).alias("draw"))
-    word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "stratum", "draw").cast("binary")), 1, 8), 16, 10).cast("long")
-    return each.select("replicate", "stratum", "draw", (word % F.col("n")).alias("pos"))
-
-
-def numbered(cases: DataFrame, stratum: str, order: str, buckets: int = 1024) -> DataFrame:
-    """Cases with pos, their number from 0 within the stratum, by bucket of the order column's hash and then by the column.
-
-    A window runs within a bucket; where a bucket begins comes from the buckets' counts, so that no stratum is in one task.
-    """
-    own = cases.withColumn("bucket", F.conv(F.substring(F.md5(F.col(order).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % buckets)
-    sizes = own.groupBy(F.col(stratum).alias("b_stratum"), F.col("bucket").alias("b_bucket")).agg(F.count("*").alias("c"))
-    earlier = Window.partitionBy("b_stratum").orderBy("b_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select("b_stratum", "b_bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("begin"))
-    inner = F.row_number().over(Window.partitionBy(stratum, "bucket").orderBy(order)) - 1
-    both = own.withColumn("inner", inner).join(begins, F.col(stratum).eqNullSafe(F.col("b_stratum")) & (F.col("bucket") == F.col("b_bucket")))
-    return both.withColumn("pos", F.col("begin") + F.col("inner")).drop("bucket", "b_stratum", "b_bucket", "begin", "inner")
-
-
-def bootstrap(cases: DataFrame, metrics: Sequence[str], replicates: int = REPLICATES, seed: str = "", stratum: str = "stratum", order: str = "case_id") -> DataFrame:
-    """Means of each metric per replicate; all metrics of a replicate share its draws, strata keep their sizes.
-
-    Draws are counted by stratum and position first, so that the join with the cases is one row per case and replicate.
-    """
-    placed = numbered(cases.select(F.col(stratum).cast("string").alias("stratum"), *metrics, order), "stratum", order).drop(order)
-    sizes = placed.groupBy("stratum").agg(F.count("*").alias("n"))
-    weights = draws(sizes, replicates, seed).groupBy("replicate", "stratum", "pos").agg(F.count("*").alias("k"))
-    both = weights.join(placed, ["stratum", "pos"])
-    return both.groupBy("replicate").agg(*[(F.sum(F.col("k") * F.col(m)) / F.sum("k")).alias(m) for m in metrics])
-
-
 def interval(distribution: DataFrame, metric: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """The linear-interpolation percentiles at both ends of the level."""
     a = (1 - level) / 2

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quorate.operators import stats
+from quorate.operators import resampling, stats
 from quorate.plans.fixtures import read
 from quorate.plans.scores import SYSTEMS_SQL, decided
 
-#: Replicates and sign patterns of the queries; the operators' own defaults are stats.REPLICATES and stats.FLIPS.
-ROUNDS, FLIPS, SEED = 1000, 100_000, "quorate"
+#: Replicates and sign patterns of the queries; the operators' own defaults.
+ROUNDS, FLIPS, SEED = stats.REPLICATES, stats.FLIPS, "quorate"
 
 
 def paired(s, d):
@@ -27,12 +27,27 @@ PAIRED = """pd AS (
 
 
 def _boot_sql(stratum: str = "stratum", metrics=("a", "b")) -> str:
-    sums = ", ".join(f"CAST(sum(k * {m}) AS DOUBLE) / sum(k) AS {m}" for m in metrics)
-    return f"""pl AS (SELECT CAST({stratum} AS VARCHAR) AS stratum, {', '.join(metrics)}, row_number() OVER (PARTITION BY {stratum} ORDER BY CAST('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 8) AS BIGINT) % 1024, case_id) - 1 AS pos FROM pd),
-sz AS (SELECT stratum, count(*) AS n FROM pl GROUP BY stratum),
-dr AS (SELECT replicate, stratum, n, unnest(range(n)) AS draw FROM sz, range({ROUNDS}) t(replicate)),
-wt AS (SELECT replicate, stratum, CAST('0x' || substr(md5('{SEED}|' || replicate || '|' || stratum || '|' || draw), 1, 8) AS BIGINT) % n AS pos, count(*) AS k FROM dr GROUP BY ALL),
-bs AS (SELECT replicate, {sums} FROM wt JOIN pl USING (stratum, pos) GROUP BY replicate)"""
+    """CTE bs (replicate, metrics): bootstraps by class counts of pd, a step at a time."""
+    names = ", ".join(metrics)
+    text = ", ".join(f"coalesce(CAST({m} AS VARCHAR), '')" for m in metrics)
+    return f"""cl AS MATERIALIZED (SELECT CAST({stratum} AS VARCHAR) AS stratum, {names}, count(*) AS n FROM pd GROUP BY ALL),
+pn AS MATERIALIZED (SELECT stratum, CAST(ceil(sum(n) / {resampling.POOL}) AS BIGINT) AS pools FROM cl WHERE n < {resampling.HEAVY} GROUP BY stratum),
+lt AS MATERIALIZED (SELECT cl.*, CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 13) AS BIGINT) % pools AS pool FROM cl JOIN pn ON pn.stratum = cl.stratum WHERE n < {resampling.HEAVY}),
+it AS MATERIALIZED (
+  SELECT stratum, pool, n, mn, row_number() OVER (PARTITION BY stratum ORDER BY pool, mn) - 1 AS item FROM (
+    SELECT stratum, -1 AS pool, n, [{names}] AS mn FROM cl WHERE n >= {resampling.HEAVY} UNION ALL SELECT stratum, pool, CAST(sum(n) AS BIGINT), min([{names}]) FROM lt GROUP BY stratum, pool)),
+ce AS MATERIALIZED (SELECT stratum, pool, {names}, row_number() OVER (PARTITION BY stratum, pool ORDER BY {names}) - 1 AS pos FROM (SELECT *, unnest(range(n)) FROM lt)),
+dp AS MATERIALIZED (SELECT greatest(1, CAST(floor(log2(greatest(1, max(item)))) AS INTEGER) + CASE WHEN max(item) > 0 THEN 1 ELSE 0 END) AS depth FROM it),
+sp AS MATERIALIZED (
+  SELECT stratum, level, item >> (depth - level) AS node, sum(CASE WHEN (item >> (depth - level - 1)) & 1 = 0 THEN n ELSE 0 END)::BIGINT AS part, sum(n)::BIGINT AS whole FROM it, dp, range(32) l(level) WHERE level < depth GROUP BY ALL),
+st AS MATERIALIZED (SELECT replicate, stratum, k FROM (SELECT stratum, sum(n)::BIGINT AS k FROM it GROUP BY stratum), range({ROUNDS}) t(replicate)),
+{resampling.binomial_sql("st", "sp", SEED)},
+lf AS MATERIALIZED (SELECT replicate, t.stratum, it.item, it.pool, it.n, it.mn, t.k FROM tree t JOIN dp ON t.level = dp.depth JOIN it ON it.stratum = t.stratum AND it.item = t.node WHERE t.attempt = 0),
+dr AS ({resampling.pool_sql("lf", SEED)}),
+al AS (
+  SELECT replicate, k, {', '.join(f'k * mn[{i + 1}] AS {m}' for i, m in enumerate(metrics))} FROM lf WHERE pool < 0
+  UNION ALL SELECT replicate, 1, {names} FROM dr JOIN ce ON ce.stratum = dr.stratum AND ce.pool = dr.pool AND ce.pos = dr.pos),
+bs AS (SELECT replicate, {', '.join(f'CAST(sum({m}) AS DOUBLE) / sum(k) AS {m}' for m in metrics)} FROM al GROUP BY replicate)"""
 
 
 def r9(c):
@@ -68,42 +83,42 @@ STAT03 = "SELECT lang, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars
 
 
 def boot(s, d):
-    return stats.bootstrap(paired(s, d), ["a", "b"], ROUNDS, SEED)
+    return resampling.bootstrap(paired(s, d), ["a", "b"], ROUNDS, SEED)
 
 
 def stat04(s, d):
     return stats.interval(boot(s, d), "b").select(r9("low"), r9("high"))
 
 
-STAT04 = f"WITH {PAIRED}, {_boot_sql()} SELECT round(quantile_cont(b, 0.025), 9) AS low, round(quantile_cont(b, 0.975), 9) AS high FROM bs"
+STAT04 = f"WITH RECURSIVE {PAIRED}, {_boot_sql()} SELECT round(quantile_cont(b, 0.025), 9) AS low, round(quantile_cont(b, 0.975), 9) AS high FROM bs"
 
 
 def stat05(s, d):
     return boot(s, d).select("replicate", r9("a"), r9("b"))
 
 
-STAT05 = f"WITH {PAIRED}, {_boot_sql()} SELECT CAST(replicate AS INTEGER) AS replicate, round(a, 9) AS a, round(b, 9) AS b FROM bs"
+STAT05 = f"WITH RECURSIVE {PAIRED}, {_boot_sql()} SELECT CAST(replicate AS INTEGER) AS replicate, round(a, 9) AS a, round(b, 9) AS b FROM bs"
 
 
 def stat06(s, d):
     both = paired(s, d).withColumn("stratum", F.concat_ws(":", "stratum", (F.col("case_id") % 3).cast("string")))
-    return stats.bootstrap(both, ["diff"], ROUNDS, SEED).select("replicate", r9("diff"))
+    return resampling.bootstrap(both, ["diff"], ROUNDS, SEED).select("replicate", r9("diff"))
 
 
-STAT06 = f"WITH pd0 AS (WITH {PAIRED} SELECT * FROM pd), pd AS (SELECT * REPLACE (stratum || ':' || (case_id % 3) AS stratum) FROM pd0), {_boot_sql(metrics=('diff',))} SELECT CAST(replicate AS INTEGER) AS replicate, round(diff, 9) AS diff FROM bs"
+STAT06 = f"WITH RECURSIVE pd0 AS (WITH {PAIRED} SELECT * FROM pd), pd AS (SELECT * REPLACE (stratum || ':' || (case_id % 3) AS stratum) FROM pd0), {_boot_sql(metrics=('diff',))} SELECT CAST(replicate AS INTEGER) AS replicate, round(diff, 9) AS diff FROM bs"
 
 
 def stat07(s, d):
     one = paired(s, d).withColumn("stratum", F.lit("all"))
     blocks = paired(s, d).groupBy("stratum").agg(F.sum("diff").alias("diff"), F.count("*").alias("n")).select(F.col("stratum").alias("case_id"), F.lit("blocks").alias("stratum"), "diff", "n")
-    whole = stats.bootstrap(one, ["diff"], ROUNDS, SEED).select("replicate", F.round("diff", 9).alias("by_case"))
-    clusters = stats.bootstrap(blocks, ["diff", "n"], ROUNDS, SEED).select("replicate", F.round(F.col("diff") / F.col("n"), 9).alias("by_block"))
+    whole = resampling.bootstrap(one, ["diff"], ROUNDS, SEED).select("replicate", F.round("diff", 9).alias("by_case"))
+    clusters = resampling.bootstrap(blocks, ["diff", "n"], ROUNDS, SEED).select("replicate", F.round(F.col("diff") / F.col("n"), 9).alias("by_block"))
     return whole.join(clusters, "replicate")
 
 
 STAT07 = f"""WITH x AS (WITH {PAIRED} SELECT * FROM pd),
-one AS (WITH pd AS (SELECT * REPLACE ('all' AS stratum) FROM x), {_boot_sql(metrics=('diff',))} SELECT * FROM bs),
-two AS (WITH pd AS (SELECT stratum AS case_id, 'blocks' AS stratum, sum(diff) AS diff, count(*) AS n0 FROM x GROUP BY x.stratum), {_boot_sql(metrics=('diff', 'n0'))} SELECT * FROM bs)
+one AS (WITH RECURSIVE pd AS (SELECT * REPLACE ('all' AS stratum) FROM x), {_boot_sql(metrics=('diff',))} SELECT * FROM bs),
+two AS (WITH RECURSIVE pd AS (SELECT stratum AS case_id, 'blocks' AS stratum, sum(diff) AS diff, count(*) AS n0 FROM x GROUP BY x.stratum), {_boot_sql(metrics=('diff', 'n0'))} SELECT * FROM bs)
 SELECT CAST(one.replicate AS INTEGER) AS replicate, round(one.diff, 9) AS by_case, round(two.diff / two.n0, 9) AS by_block FROM one JOIN two ON one.replicate = two.replicate"""
 
 
@@ -152,12 +167,12 @@ UNION ALL SELECT 'sampled', count(*), round(CAST(count(*) FILTER (s >= t) + 1 AS
 
 
 def stat11(s, d):
-    b = stats.bootstrap(paired(s, d), ["diff"], ROUNDS, SEED).withColumn("diff", F.round("diff", 12))
+    b = resampling.bootstrap(paired(s, d), ["diff"], ROUNDS, SEED).withColumn("diff", F.round("diff", 12))
     q = b.agg(*[F.percentile("diff", F.lit(p)).alias(n) for p, n in ((0.025, "low"), (0.975, "high"), (0.05, "low90"), (0.95, "high90"))])
     return q.select(stats.classification(*[F.col(c) for c in ("low", "high", "low90", "high90")]).alias("verdict"))
 
 
-STAT11 = f"""WITH {PAIRED}, {_boot_sql(metrics=('diff',))},
+STAT11 = f"""WITH RECURSIVE {PAIRED}, {_boot_sql(metrics=('diff',))},
 q AS (SELECT quantile_cont(round(diff, 12), 0.025) AS l, quantile_cont(round(diff, 12), 0.975) AS h, quantile_cont(round(diff, 12), 0.05) AS l9, quantile_cont(round(diff, 12), 0.95) AS h9 FROM bs)
 SELECT CASE WHEN l > 0 OR h < 0 THEN 'superior' WHEN l9 >= -0.1 AND h9 <= 0.1 THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM q"""
 
@@ -196,11 +211,11 @@ SELECT bool_or((net - diff) * net < 0) AS direction_changes, any_value(most >= 0
 
 
 def stat14(s, d):
-    b = stats.bootstrap(paired(s, d).withColumn("b", F.col("n_chars")).withColumn("a", F.col("a") + 1), ["a", "b"], ROUNDS, SEED)
+    b = resampling.bootstrap(paired(s, d).withColumn("b", F.col("n_chars")).withColumn("a", F.col("a") + 1), ["a", "b"], ROUNDS, SEED)
     return b.select("replicate", F.round(stats.log_ratio(F.col("a"), F.col("b")), 6).alias("log_ratio"))
 
 
-STAT14 = f"WITH pd0 AS (WITH {PAIRED} SELECT * FROM pd), pd AS (SELECT case_id, stratum, a + 1 AS a, n_chars AS b FROM pd0), {_boot_sql()} SELECT CAST(replicate AS INTEGER) AS replicate, round(ln(b / a), 6) AS log_ratio FROM bs"
+STAT14 = f"WITH RECURSIVE pd0 AS (WITH {PAIRED} SELECT * FROM pd), pd AS (SELECT case_id, stratum, a + 1 AS a, n_chars AS b FROM pd0), {_boot_sql()} SELECT CAST(replicate AS INTEGER) AS replicate, round(ln(b / a), 6) AS log_ratio FROM bs"
 
 
 def stat15(s, d):
