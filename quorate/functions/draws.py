@@ -36,6 +36,21 @@ def below(n: Column, *label: Column | str) -> Column:
     return F.coalesce(*[F.when(w < limit, w % n) for w in tried[:-1]], tried[-1] % n)
 
 
+def below_of(pair: Column, n: Column) -> Column:
+    """A long from 0 to n - 1 from two words, as below() makes it; should both be refused, whose chance is below (n / 2^52)^2, the second one is taken modulo n."""
+    limit = F.lit(1 << BITS) - F.lit(1 << BITS) % n
+    return F.when(pair["first"] < limit, pair["first"] % n).otherwise(pair["second"] % n)
+
+
+def pairs(many: int, *label: Column | str) -> Column:
+    """An array of `many` pairs of words, by the label and the pair's number."""
+
+    def pair(i: Column) -> Column:
+        return let(F.md5(F.concat_ws("|", *label, i).cast("binary")), lambda h: F.struct(_word(h, 0).alias("first"), _word(h, 1).alias("second")))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(many - 1)), pair)
+
+
 def choice(options: Sequence, *label: Column | str) -> Column:
     """One of the options, each as likely."""
     return F.get(F.array(*[F.lit(o) for o in options]), below(F.lit(len(options)).cast("long"), *label).cast("int"))

@@ -1,4 +1,4 @@
-"""Programs of eight sequence families: evaluated, recognised from a prefix, and placed in tiers, as column expressions.
+"""Programs of eight sequence families: evaluated, placed in tiers and held against bounds, as column expressions; recognisers finds them from a prefix.
 
 A program is a struct of one type for all families: `family`; `shape`, its sizes; `seeds`, its first terms; `rows`, its lists of
 coefficients. POLY has (degree) and one row; PDELTA (period, degree), a seed and a row a phase; AFFINE (period), a seed, multipliers
@@ -10,16 +10,14 @@ two rows; MODAFFINE (period, modulus), a seed, multipliers and biases. Terms are
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from math import comb
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quorate.functions import sequences
-from quorate.functions.sequences import binomial
 
 # Fixed values of the families.
+FAMILIES = ("POLY", "PDELTA", "AFFINE", "LIN2", "LAGPOLY", "INTERLEAVE", "GROWBLOCK", "MODAFFINE")
 MULTIPLIERS = (-3, -2, -1, 2, 3)
 WEIGHTS = (-2, -1, 1, 2)
 STRAND_MULTIPLIERS = (-2, -1, 2)
@@ -55,13 +53,6 @@ def phase(values: Column, period: int, r: Column | int) -> Column:
     return F.filter(values, lambda _, i: i % period == r)
 
 
-def fit(values: Column, degree: int) -> Column:
-    """Coefficients of the binomial polynomial through the first degree + 1 values if it meets all values, else null; values is a variable."""
-    head = [reduce(lambda a, b: a + b, [F.get(values, F.lit(j)) * ((-1) ** (k - j) * comb(k, j)) for j in range(k + 1)]) for k in range(degree + 1)]
-    meets = lambda c: F.forall(F.transform(values, lambda v, n: v == binomial(c, n.cast("bigint"))), lambda ok: ok)
-    return F.when(F.size(values) > degree, let(longs(*head), lambda c: F.when(meets(c), c)))
-
-
 def bounded(values: Column, most: int) -> Column:
     return F.forall(values, lambda v: F.abs(v) <= most)
 
@@ -75,167 +66,32 @@ def several(rows: Column) -> Column:
     return F.size(F.array_distinct(rows)) > 1
 
 
-def kept(found: list[Column]) -> Column:
-    return F.array_compact(F.array(*found))
-
-
-def product(options: Column, strands: int) -> Column:
-    """All lists with one element of each of `strands` lists."""
-    out = F.transform(F.get(options, F.lit(0)), lambda a: F.array(a))
-    with_next = lambda k: lambda head: F.transform(F.get(options, F.lit(k)), lambda b: F.concat(head, F.array(b)))
-    for k in range(1, strands):
-        out = F.flatten(F.transform(out, with_next(k)))
-    return out
-
-
-def poly(x: Column) -> Column:
-    one = lambda d: let(fit(x, d), lambda c: F.when(led(c) & (F.element_at(c, -1) != 0), program("POLY", longs(d), longs(), F.array(c))))
-    return kept([one(d) for d in range(2, 6)])
-
-
-def pdelta(x: Column) -> Column:
-    def one(deltas: Column, p: int, d: int) -> Column:
-        rows = F.transform(steps(p), lambda r: let(phase(deltas, p, r), lambda v: fit(v, d)))
-        fine = lambda c: F.forall(c, lambda r: r.isNotNull() & bounded(r, MOST_COEFFICIENT)) & several(c)
-        return let(rows, lambda c: F.when(fine(c) & (F.abs(F.get(x, F.lit(0))) <= MOST_SEED), program("PDELTA", longs(p, d), F.slice(x, 1, 1), c)))
-
-    return let(sequences.differences(x), lambda deltas: kept([one(deltas, p, d) for p, d in PDELTA_SHAPES]))
-
-
-def _turns(x: Column, period: int, choices: Column, bias: Callable[[Column, Column, Column], Column], fine: Callable[[Column], Column], first: int = 1) -> Column:
-    """Per phase the (m, b) for which each term of the phase after the first ones has bias b."""
-    at = lambda r: F.filter(F.sequence(F.lit(first), F.size(x) - 1), lambda i: (i - first) % period == r)
-    of = lambda m, r: let(F.array_distinct(F.transform(at(r), lambda i: bias(m, F.get(x, i), F.get(x, i - 1)))), lambda b: F.when((F.size(b) == 1) & fine(F.get(b, F.lit(0))), F.struct(m.cast("bigint").alias("m"), F.get(b, F.lit(0)).alias("b"))))
-    return F.transform(steps(period), lambda r: F.array_compact(F.transform(choices, lambda m: of(m, r))))
-
-
-def _of_turns(family: str, shape: Column, x: Column, found: Column, period: int) -> Column:
-    rows = lambda c: F.array(F.transform(c, lambda y: y["m"]), F.transform(c, lambda y: y["b"]))
-    return F.transform(product(found, period), lambda c: program(family, shape, F.slice(x, 1, 1), rows(c)))
-
-
-def affine(x: Column) -> Column:
-    fine = lambda b: F.abs(b) <= MOST_COEFFICIENT
-    one = lambda p: let(_turns(x, p, longs(*MULTIPLIERS), lambda m, a, b: a - m * b, fine), lambda o: _of_turns("AFFINE", longs(p), x, o, p))
-    return F.when(F.abs(F.get(x, F.lit(0))) <= MOST_SEED, F.concat(*[one(p) for p in (1, 2, 3)])).otherwise(F.array().cast(f"array<{TYPE}>"))
-
-
-def lin2(x: Column) -> Column:
-    pairs = F.array(*[longs(u, v) for u in WEIGHTS for v in WEIGHTS])
-    term = lambda i, k: F.get(x, i - k)
-
-    def one(p: int) -> Callable[[Column], Column]:
-        return lambda w: of_weights(w, p)
-
-    def of_weights(w: Column, p: int) -> Column:
-        each = F.transform(F.sequence(F.lit(2), F.size(x) - 1), lambda i: term(i, 0) - F.get(w, F.lit(0)) * term(i, 1) - F.get(w, F.lit(1)) * term(i, 2))
-        turns = let(each, lambda b: F.transform(steps(p), lambda r: F.array_distinct(phase(b, p, r))))
-        fine = lambda t: F.forall(t, lambda y: (F.size(y) == 1) & bounded(y, MOST_COEFFICIENT))
-        return let(turns, lambda t: F.when(fine(t), program("LIN2", longs(p), F.slice(x, 1, 2), F.array(w, F.flatten(t)))))
-
-    found = F.concat(*[F.array_compact(F.transform(pairs, one(p))) for p in (1, 2, 3)])
-    return F.when(bounded(F.slice(x, 1, 2), MOST_SEED) & (F.size(x) > 2), found).otherwise(F.array().cast(f"array<{TYPE}>"))
-
-
-def lagpoly(x: Column) -> Column:
-    def one(lag: int, d: int) -> Column:
-        strand = lambda r: phase(x, lag, r)
-        rows = F.transform(steps(lag), lambda r: let(sequences.differences(strand(r)), lambda v: fit(v, d)))
-        fine = lambda c: F.forall(c, lambda r: r.isNotNull() & bounded(r, MOST_COEFFICIENT)) & several(c)
-        return let(rows, lambda c: F.when(fine(c) & bounded(F.slice(x, 1, lag), MOST_SEED), program("LAGPOLY", longs(lag, d), F.slice(x, 1, lag), c)))
-
-    return kept([one(lag, d) for lag, d in LAGPOLY_SHAPES])
-
-
-def _atom(v: Column) -> Column:
-    """What a strand can be: (degree or 0, seed, row)."""
-    as_atom = lambda kind, seed, row: F.struct(F.lit(kind).cast("bigint").alias("kind"), seed.cast("bigint").alias("seed"), row.alias("row"))
-    of_degree = lambda d: lambda c: F.when(led(c) & (F.element_at(c, -1) != 0), as_atom(d, F.lit(0), c))
-    polys = [let(fit(v, d), of_degree(d)) for d in (1, 2, 3)]
-    first = F.get(v, F.lit(0))
-
-    def line(m: int) -> Column:
-        biases = F.array_distinct(F.zip_with(F.slice(v, 2, F.size(v)), F.slice(v, F.lit(1), F.size(v) - 1), lambda a, b: a - m * b))
-        return let(biases, lambda b: F.when((F.size(b) == 1) & bounded(b, MOST_COEFFICIENT) & (F.abs(first) <= MOST_SEED), as_atom(0, first, longs(F.lit(m), F.get(b, F.lit(0))))))
-
-    return kept([*polys, *[line(m) for m in STRAND_MULTIPLIERS]])
-
-
 def strand_terms(kind: Column, seed: Column, row: Column, count: int) -> Column:
     get = lambda i: F.array(F.get(row, F.lit(i)))
     return F.when(kind > 0, sequences.poly(row, count)).otherwise(sequences.affine(seed, get(0), get(1), count))
 
 
-def interleave(x: Column) -> Column:
-    def one(k: int) -> Column:
-        options = F.transform(steps(k), lambda r: let(phase(x, k, r), _atom))
-        apart = lambda c: F.size(F.array_distinct(F.transform(c, lambda y: strand_terms(y["kind"], y["seed"], y["row"], 9)))) == k
-        rows = lambda c, name: F.transform(c, lambda y: y[name])
-        made = lambda c: program("INTERLEAVE", F.concat(longs(k), rows(c, "kind")), rows(c, "seed"), rows(c, "row"))
-        return let(options, lambda o: F.transform(F.filter(product(o, k), apart), made))
-
-    return F.concat(one(2), one(3))
-
-
-def growblock(x: Column) -> Column:
-    """Blocks of l0, l0 + 1 ... terms: the places of a term are fixed by its number, for up to 60 terms."""
-
-    def one(l0: int) -> Column:
-        places = [(b, t) for b in range(12) for t in range(l0 + b)][:60]
-        block, offset = longs(*[b for b, _ in places]), longs(*[t for _, t in places])
-        at = lambda name, i: F.get(name, i)
-        starts = F.filter(x, lambda _, i: at(offset, i) == 0)
-        second = F.filter(F.sequence(F.lit(1), F.size(x) - 1), lambda i: at(offset, i) == 1)
-        seen = F.transform(second, lambda i: F.struct(at(block, i).alias("x"), (F.get(x, i) - F.get(x, i - 1)).alias("y")))
-        even = F.forall(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (at(offset, i) < 2) | (F.get(x, i) - F.get(x, i - 1) == F.get(x, i - 1) - F.get(x, i - 2)))
-
-        def slopes(s: Column) -> list[Column]:
-            y = lambda i: F.get(s, F.lit(i))["y"]
-            rise = y(1) - y(0)
-            straight = F.forall(s, lambda p: p["y"] == y(0) + rise * (p["x"] - F.get(s, F.lit(0))["x"]))
-            return [F.when((F.size(s) > 0) & F.forall(s, lambda p: p["y"] == y(0)), longs(y(0))), F.when((F.size(s) > 1) & straight, longs(y(0) - rise * F.get(s, F.lit(0))["x"], rise))]
-
-        def made(v: Column, d: Column, dv: int, dd: int) -> Column:
-            fine = led(v) & bounded(d, MOST_COEFFICIENT) & F.exists(d, lambda y: y != 0)
-            return F.when(fine, program("GROWBLOCK", longs(l0, dv, dd), longs(), F.array(v, d)))
-
-        pair = lambda s, dv, dd: lambda c: let(slopes(s)[dd], lambda d: made(c, d, dv, dd))
-        every = lambda v, s: kept([let(fit(v, dv), pair(s, dv, dd)) for dv in (1, 2, 3) for dd in (0, 1)])
-        return F.when(even, let(starts, lambda v: let(seen, lambda s: every(v, s)))).otherwise(F.array().cast(f"array<{TYPE}>"))
-
-    return F.concat(one(1), one(2))
-
-
-def modaffine(x: Column) -> Column:
-    moduli = F.filter(longs(*PRIMES), lambda m: (m > F.array_max(x)) & (F.array_min(x) >= 0))
-
-    def one(mod: Column, p: int) -> Column:
-        found = _turns(x, p, longs(*range(2, 10)), lambda m, a, b: F.pmod(a - m * b, mod), lambda b: F.lit(True))
-        return let(found, lambda o: _of_turns("MODAFFINE", longs(F.lit(p), mod), x, o, p))
-
-    return F.flatten(F.transform(moduli, lambda mod: F.concat(one(mod, 1), one(mod, 2))))
-
-
-def recognise(x: Column) -> Column:
-    """All programs of all families, within their bounds, whose first terms are the prefix x, an array of six BIGINTs at least."""
-    return let(x, lambda v: F.concat(poly(v), pdelta(v), affine(v), lin2(v), lagpoly(v), interleave(v), growblock(v), modaffine(v)))
-
-
-def evaluate(p: Column, count: int) -> Column:
-    """The first `count` terms of a program."""
+def evaluate_family(family: str, p: Column, count: int) -> Column:
+    """The first `count` terms of a program of that family."""
     shape = lambda i: F.get(p["shape"], F.lit(i))
     row = lambda i: F.get(p["rows"], F.lit(i))
-    seed = F.get(p["seeds"], F.lit(0))
-    lagged = F.coalesce(*[F.when(shape(0) == lag, sequences.lagpoly(p["seeds"], p["rows"], count, lag)) for lag in (2, 3, 4)])
-    strands = F.transform(F.slice(p["shape"], 2, 3), lambda kind, i: strand_terms(kind, F.get(p["seeds"], i), F.get(p["rows"], i), (count + 1) // 2))
-    braided = let(strands, lambda s: F.transform(steps(count), lambda n: F.get(F.get(s, (n % shape(0)).cast("int")), F.floor(n / shape(0)).cast("int"))))
     weight = lambda i: F.get(row(0), F.lit(i))
-    by_family = {
-        "POLY": sequences.poly(row(0), count), "PDELTA": sequences.pdelta(seed, p["rows"], count), "AFFINE": sequences.affine(seed, row(0), row(1), count),
-        "LIN2": sequences.lin2(p["seeds"], weight(0), weight(1), row(1), count), "LAGPOLY": lagged, "INTERLEAVE": braided,
-        "GROWBLOCK": sequences.growblock(shape(0), row(0), row(1), count), "MODAFFINE": sequences.modaffine(seed, row(0), row(1), shape(1), count),
-    }
-    return F.coalesce(*[F.when(p["family"] == name, terms) for name, terms in by_family.items()])
+    seed = F.get(p["seeds"], F.lit(0))
+    if family == "LAGPOLY":
+        return F.coalesce(*[F.when(shape(0) == lag, sequences.lagpoly(p["seeds"], p["rows"], count, lag)) for lag in (2, 3, 4)])
+    if family == "INTERLEAVE":
+        strands = F.transform(F.slice(p["shape"], 2, 3), lambda kind, i: strand_terms(kind, F.get(p["seeds"], i), F.get(p["rows"], i), (count + 1) // 2))
+        return let(strands, lambda s: F.transform(steps(count), lambda n: F.get(F.get(s, (n % shape(0)).cast("int")), F.floor(n / shape(0)).cast("int"))))
+    return {
+        "POLY": lambda: sequences.poly(row(0), count), "PDELTA": lambda: sequences.pdelta(seed, p["rows"], count), "AFFINE": lambda: sequences.affine(seed, row(0), row(1), count),
+        "LIN2": lambda: sequences.lin2(p["seeds"], weight(0), weight(1), row(1), count), "GROWBLOCK": lambda: sequences.growblock(shape(0), row(0), row(1), count),
+        "MODAFFINE": lambda: sequences.modaffine(seed, row(0), row(1), shape(1), count),
+    }[family]()
+
+
+def evaluate(p: Column, count: int) -> Column:
+    """The first `count` terms of a program of any family."""
+    return F.coalesce(*[F.when(p["family"] == name, evaluate_family(name, p, count)) for name in FAMILIES])
 
 
 def tier(p: Column) -> Column:
@@ -250,31 +106,18 @@ def tier(p: Column) -> Column:
     return F.coalesce(*[F.when(p["family"] == name, t) for name, t in by_family.items()])
 
 
-def in_bounds(p: Column, visible: int, targets: int = 5) -> Column:
-    """Whether a program makes a fair case: terms within bounds, six different ones at least, no run above three (but in blocks), no jump
-    by more than four digits (but modulo), and modulo two wraps and no term twice."""
+def in_bounds(p: Column, terms: Column, visible: Column, targets: int = 5) -> Column:
+    """Whether a program whose terms are given, visible + targets of them at least, makes a fair case: terms within bounds, six different ones at least,
+    no run above three (but in blocks), no jump by more than four digits (but modulo), and modulo two wraps and no term twice."""
 
-    def fair(v: Column) -> Column:
-        seen, hidden = F.slice(v, 1, visible), F.slice(v, visible + 1, targets)
+    def judged(v: Column) -> Column:
+        seen, hidden = F.slice(v, F.lit(1), visible), F.slice(v, visible + 1, F.lit(targets))
         digits = F.transform(v, lambda y: F.length(F.abs(y).cast("string")))
-        jumps = F.exists(F.zip_with(F.slice(digits, 1, visible + targets - 1), F.slice(digits, 2, visible + targets - 1), lambda a, b: b - a), lambda j: j > 4)
+        jumps = F.exists(F.zip_with(F.slice(digits, F.lit(1), visible + targets - 1), F.slice(digits, F.lit(2), visible + targets - 1), lambda a, b: b - a), lambda j: j > 4)
         turn = lambda name, i: F.get(F.get(p["rows"], F.lit(name)), (i % F.get(p["shape"], F.lit(0))).cast("int"))
         wraps = F.size(F.filter(steps(visible - 1), lambda i: turn(0, i) * F.get(v, i) + turn(1, i) >= F.get(p["shape"], F.lit(1))))
         is_mod, is_block = p["family"] == "MODAFFINE", p["family"] == "GROWBLOCK"
-        fine = bounded(seen, VISIBLE_MOST) & bounded(hidden, TARGET_MOST) & (F.size(F.array_distinct(seen)) >= 6)
-        return fine & (is_block | (sequences.longest_run(seen) <= 3)) & (is_mod | ~jumps) & (~is_mod | ((wraps >= 2) & (F.size(F.array_distinct(v)) == visible + targets)))
-
-    return let(evaluate(p, visible + targets), fair)
-
-
-def audit(p: Column, visible: int, targets: int = 5) -> Column:
-    """How ambiguous a program's first `visible` terms are: candidates, different sequences and continuations among them, candidates of a
-    lower tier, and whether the program itself is among them; a continuation is the next `targets` terms."""
-
-    def counted(found: Column, own: Column) -> Column:
-        prints = F.transform(found, lambda c: evaluate(c, 25))
-        return let(prints, lambda t: F.struct(
-            F.size(found).alias("candidates"), F.size(F.array_distinct(t)).alias("sequences"), F.size(F.array_distinct(F.transform(t, lambda y: F.slice(y, visible + 1, targets)))).alias("continuations"),
-            F.size(F.filter(found, lambda c: tier(c) < tier(p))).alias("lower_tier"), F.array_contains(t, own).alias("itself")))
+        good = bounded(seen, VISIBLE_MOST) & bounded(hidden, TARGET_MOST) & (F.size(F.array_distinct(seen)) >= 6)
+        return good & (is_block | (sequences.longest_run(seen) <= 3)) & (is_mod | ~jumps) & (~is_mod | ((wraps >= 2) & (F.size(F.array_distinct(v)) == visible + targets)))
 
-    return let(evaluate(p, 25), lambda own: let(recognise(F.slice(own, 1, visible)), lambda found: counted(found, own)))
+    return let(F.slice(terms, F.lit(1), visible + targets), judged)

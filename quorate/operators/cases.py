@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import count, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions import programs
-from quorate.functions.programs import longs, program
+from quorate.functions.draws import below_of, pairs
+from quorate.functions.programs import FAMILIES, longs, program
 from quorate.operators.lineage import cut
+from quorate.operators.recognisers import FINGERPRINT, audit
 
-FAMILIES = ("POLY", "PDELTA", "AFFINE", "LIN2", "LAGPOLY", "INTERLEAVE", "GROWBLOCK", "MODAFFINE")
 # Fixed values of the tiers 1 to 3: terms shown, and limits of coefficients and seeds.
 VISIBLE, COEFFICIENT, SEED = {1: 12, 2: 13, 3: 14}, {1: 5, 2: 7, 3: 9}, {1: 12, 2: 20, 3: 30}
+#: Numbers that a program is drawn from, at most.
+NUMBERS = 48
 #: Attempts of a case, in waves: most cells need few, so later waves see only the cells that are still open.
 WAVES = (4, 20, 200, 2_000, 20_000)
 
@@ -31,7 +35,8 @@ def drawn(family: str, level: int, draw: Callable[[int, int], Column]) -> Column
         """The last coefficient is not 0."""
         last = near()
         head = [first(), *[near() for _ in range(degree - 1)]] if degree else []
-        return longs(*head, F.when(last == 0, choice([v for v in range(-c, c + 1) if v])).otherwise(last))
+        other = draw(0, 2 * c - 1) - c  # -c to c - 1, and from 0 on one more
+        return longs(*head, F.when(last == 0, F.when(other < 0, other).otherwise(other + 1)).otherwise(last))
 
     def rows(most: int, degrees: Sequence[int], n: Column, degree: Column) -> Column:
         each = F.coalesce(*[F.when(degree == d, F.array(*[vector(d) for _ in range(most)])) for d in degrees])
@@ -70,46 +75,61 @@ def drawn(family: str, level: int, draw: Callable[[int, int], Column]) -> Column
 
 
 def draw_programs(cells: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Cells (key, family, tier) with a program each, from the MD5 of the key's columns, family and tier."""
+    """Cells (key, family, tier) with a program each, drawn by the key's columns, family and tier; numbers are unbiased."""
 
-    def of(family: str, level: int) -> Column:
-        number = count()
+    def spans(family: str, level: int) -> list[int]:
+        """How many values each number of a program may have, in the order in which they are drawn."""
+        found: list[int] = []
+        drawn(family, level, lambda low, high: found.append(high - low + 1) or F.lit(0))
+        return found
 
-        def draw(low: int, high: int) -> Column:
-            text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(f"{family}|{level}|{next(number)}"))
-            return low + F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % (high - low + 1)
+    def of(family: str) -> DataFrame:
+        part = cells.where(F.col("family") == family).withColumn("words", pairs(NUMBERS, *[F.col(k).cast("string") for k in key], "family", F.col("tier").cast("string")))
+        for level in VISIBLE:  # numbers first, in one array, as their expressions would fill the program's
+            part = part.withColumn(f"numbers_{level}", F.zip_with(F.slice("words", 1, len(spans(family, level))), longs(*spans(family, level)), below_of))
+        made = []
+        for level in VISIBLE:
+            number = count()
+            made.append(F.when(F.col("tier") == level, drawn(family, level, lambda low, high, n=number, c=f"numbers_{level}": low + F.get(c, F.lit(next(n))))))
+        return part.withColumn("program", F.coalesce(*made)).drop("words", *[f"numbers_{t}" for t in VISIBLE])
 
-        return F.when((F.col("family") == family) & (F.col("tier") == level), drawn(family, level, draw))
+    return reduce(DataFrame.union, [of(f) for f in FAMILIES])
 
-    return cells.withColumn("program", F.coalesce(*[of(f, t) for f in FAMILIES for t in VISIBLE]))
 
+def with_terms(drawn_: DataFrame) -> DataFrame:
+    """Drawn programs with FINGERPRINT terms and the number of visible ones."""
+    drawn_ = cut(drawn_)  # its families are branches, and so are these
+    parts = [drawn_.where(F.col("family") == f).withColumn("terms", programs.evaluate_family(f, F.col("program"), FINGERPRINT)) for f in FAMILIES]
+    return reduce(DataFrame.union, parts).withColumn("visible", F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in VISIBLE.items()]))
 
-def fair(p: Column, level: Column) -> Column:
+
+def fair(p: Column, level: Column, terms: Column, visible: Column) -> Column:
     """Whether a program has its tier and differing rows, and makes a case within bounds."""
     alike = p["family"].isin("PDELTA", "LAGPOLY") & (F.size(F.array_distinct(p["rows"])) == 1)
     turns = p["family"].isin("AFFINE", "MODAFFINE") & (F.size(F.get(p["rows"], F.lit(0))) > 1) & (F.size(F.array_distinct(F.arrays_zip(F.get(p["rows"], F.lit(0)), F.get(p["rows"], F.lit(1))))) == 1)
-    bounds = F.coalesce(*[F.when(level == t, programs.in_bounds(p, n)) for t, n in VISIBLE.items()])
-    return ~alike & ~turns & (programs.tier(p) == level) & bounds
+    return ~alike & ~turns & (programs.tier(p) == level) & programs.in_bounds(p, terms, visible)
 
 
 def sampled(cells: DataFrame, key: Sequence[str], waves: Sequence[int] = WAVES) -> DataFrame:
-    """Per cell the first attempt whose program is fair, is found again from its prefix, has one continuation there, and above tier 1 no
-    easier reading: (key, family, tier, attempt, program, candidates). A cell for which no attempt serves has no row.
+    """Per cell the first attempt whose program is fair, is found again from its prefix, has one continuation there, and below tier 3 no
+    easier reading: (key, family, tier, attempt, program, terms, visible, candidates). A cell for which no attempt serves has no row.
 
-    Each wave is a written table; bounds are tested before the prefix is searched.
+    Waves of attempts go to the cells that are still open; bounds are tested before prefixes are searched, and each wave is
+    a written table.
     """
     names = [*key, "family", "tier"]
-    shown = {t: n for t, n in VISIBLE.items() if cells.where(F.col("tier") == t).limit(1).count()}
-    left, out, begun = cells.select(*names).distinct(), None, 0
+    left, out, begun = cut(cells.select(*names).distinct()), None, 0
     for end in waves:
-        tries = draw_programs(left.withColumn("attempt", F.explode(F.sequence(F.lit(begun + 1), F.lit(end)))), [*key, "attempt"])
-        good = cut(tries.where(fair(F.col("program"), F.col("tier"))))
-        # written before it is looked at, so that an audit is made once
-        told = cut(good.withColumn("audit", F.coalesce(*[F.when(F.col("tier") == t, programs.audit(F.col("program"), n)) for t, n in shown.items()])))
-        told = told.where(F.col("audit.itself") & (F.col("audit.continuations") == 1) & ((F.col("tier") == 1) | (F.col("audit.lower_tier") == 0)))
-        found = cut(told.groupBy(*names).agg(F.min_by(F.struct("attempt", "program", F.col("audit.candidates").alias("candidates")), "attempt").alias("x")).select(*names, "x.*"))
+        tries = with_terms(draw_programs(left.withColumn("attempt", F.explode(F.sequence(F.lit(begun + 1), F.lit(end)))), [*key, "attempt"]))
+        good = tries.where(fair(F.col("program"), F.col("tier"), F.col("terms"), F.col("visible")))
+        good = cut(good.withColumn("id", F.monotonically_increasing_id()))
+        told = audit(good.select("id", "program", "terms", "visible"), probes=False)
+        serves = F.col("itself") & (F.col("continuations") == 1) & ((F.col("tier") == 3) | (F.col("lower_tier") == 0))
+        told = good.join(told.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).where(serves)
+        first = F.min_by(F.struct("attempt", "program", "terms", "visible", "candidates"), "attempt")
+        found = cut(told.groupBy(*names).agg(first.alias("y")).select(*names, "y.*"))
         out, begun = found if out is None else out.union(found), end
-        left = left.join(found.select(*names), names, "left_anti")
-        if not left.limit(1).count():
+        left = cut(left.join(found.select(*names), names, "left_anti"))
+        if left.isEmpty():
             break
     return out

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quorate.functions import programs as programs_
 from quorate.functions import sequences
-from quorate.operators import audits, decisions, evolution, scores, validators, votes
+from quorate.operators import audits, decisions, evolution, recognisers, scores, validators, votes
 from quorate.operators import cases as sampling
+from quorate.operators.lineage import cut
 from quorate.plans.fixtures import PANEL, SMALL, TRUTH, panel, plurality_sql, read, small_panel, truth
 
 SEED, ATTEMPTS, TERMS = "quorate", 40, 12
@@ -71,14 +72,55 @@ def seq02_families(s, d):
     return first_programs(s, d).withColumnRenamed("program", "p").select("r_name", "family", "tier", text_of(F.col("p")).alias("program"), F.to_json(programs_.evaluate(F.col("p"), 12)).alias("terms"))
 
 
+def keyed(s, d):
+    """The first programs with ids, their terms and the number of visible ones."""
+    return cut(sampling.with_terms(first_programs(s, d)).withColumn("id", F.monotonically_increasing_id()))
+
+
 def seq03_families(s, d):
     """All programs of all families that each cell's first twelve terms admit."""
-    found = first_programs(s, d).select("r_name", "family", "tier", F.explode(programs_.recognise(programs_.evaluate(F.col("program"), 12))).alias("p"))
-    return found.select("r_name", "family", "tier", text_of(F.col("p")).alias("program"))
+    k = keyed(s, d)
+    found = recognisers.recognise(k.select("id", F.slice("terms", 1, 12).alias("x")))
+    return k.select("id", "r_name", "family", "tier").join(found.select("id", text_of(F.col("program")).alias("program")), "id").drop("id")
+
+
+def seq04_families(s, d):
+    """The ambiguity of each cell's first program, at three lengths of prefix."""
+    k = keyed(s, d)
+    told = recognisers.audit(k.select("id", "program", "terms", "visible"))
+    told = told.withColumn("families", F.array_join("families", ","))
+    return k.select("id", "r_name", "family", "tier", text_of(F.col("program")).alias("program")).join(told, "id").drop("id")
 
 
 def seq05_families(s, d):
-    return first_programs(s, d).select("r_name", "family", "tier", programs_.tier(F.col("program")).alias("least_tier"), programs_.in_bounds(F.col("program"), 12).alias("in_bounds"))
+    k = sampling.with_terms(first_programs(s, d))
+    return k.select("r_name", "family", "tier", programs_.tier(F.col("program")).alias("least_tier"), programs_.in_bounds(F.col("program"), F.col("terms"), F.lit(12)).alias("in_bounds"))
+
+
+def published(s, d):
+    """A case for each region, family and tier, by rejection sampling of up to 20,000 attempts."""
+    return sampling.sampled(cells(s, d), ["r_name"])
+
+
+def seq06_families(s, d):
+    p = published(s, d)
+    return p.select("r_name", "family", "tier", "attempt", text_of(F.col("program")).alias("program"), "visible", "candidates", F.to_json("terms").alias("terms"))
+
+
+def seq08_families(s, d):
+    """Cases verified from their cells: the attempt's program drawn again, its terms, tier, bounds and audit; one was changed by hand, and fails."""
+    p = cut(published(s, d))
+    changed = (F.col("r_name") == "ASIA") & (F.col("family") == "POLY") & (F.col("tier") == 1)
+    p = p.withColumn("terms", F.when(changed, F.transform("terms", lambda v, i: F.when(i == 3, v + 1).otherwise(v))).otherwise(F.col("terms")))
+    names = ["r_name", "family", "tier"]
+    again = sampling.with_terms(sampling.draw_programs(p.select(*names, "attempt"), ["r_name", "attempt"])).select(*[F.col(c).alias(f"n_{c}") for c in (*names, "program", "terms")])
+    both = cut(p.join(again, [F.col(c) == F.col(f"n_{c}") for c in names]).withColumn("id", F.monotonically_increasing_id()))
+    told = recognisers.audit(both.select("id", F.col("program"), "terms", "visible"), probes=False)
+    told = told.select(F.col("id").alias("of"), F.col("itself"), F.col("continuations"), F.col("candidates").alias("found"))
+    checked = both.join(told, F.col("id") == F.col("of"), "left")
+    return checked.select(
+        *names, text_of(F.col("program")).eqNullSafe(text_of(F.col("n_program"))).alias("same_program"), (F.col("terms") == F.col("n_terms")).alias("same_terms"), sampling.fair(F.col("program"), F.col("tier"), F.col("terms"), F.col("visible")).alias("fair"),
+        F.coalesce(F.col("itself") & (F.col("continuations") == 1) & (F.col("found") == F.col("candidates")), F.lit(False)).alias("same_audit"))
 
 
 def seq08(s, d):
@@ -252,7 +294,7 @@ def evo02(s, d):
 
 
 QUERIES = {
-    "SEQ02_families": (seq02_families, None), "SEQ03_families": (seq03_families, None), "SEQ05_families": (seq05_families, None),
+    "SEQ02_families": (seq02_families, None), "SEQ03_families": (seq03_families, None), "SEQ04_families": (seq04_families, None), "SEQ05_families": (seq05_families, None), "SEQ06_families": (seq06_families, None), "SEQ08_families": (seq08_families, None),
     "SEQ02_programs": (seq02, SEQ02), "SEQ06_rejection_sampling": (cases, SEQ06), "SEQ08_regeneration": (seq08, SEQ08), "FN09_random_numbers": (fn09, None), "FN12_named_sequences": (fn12, FN12), "FN15_iso_times": (fn15, FN15),
     "VAL08_scored_items": (val08, VAL08), "VAL09_compliance": (val09, VAL09), "EVO02_crossover": (evo02, None), "EVO07_founders": (evo07, EVO07), "AUD03_provenance": (aud03, AUD03), "AUD08_reproduction": (aud08, AUD08), "AUD09_replacement": (aud09, _aud09()),
     "AUD15_scoring_checks": (aud15, AUD15), "AUD16_development_gate": (aud16, AUD16), "SNK05_summary": (snk05, SNK05),

@@ -1,12 +1,10 @@
 """Sequence programs against plain loops: evaluation, recognition of all families, tiers, and cases drawn until they are fair."""
 
 import json
-import os
 from itertools import product
 from math import comb
 
 import pytest
-from pyspark.sql import functions as F
 
 from quorate.functions import programs
 from quorate.operators import cases
@@ -151,14 +149,49 @@ def test_all_programs_of_a_prefix_are_found(spark, drawn):
         assert got[k] == candidates(x), (k, x)
 
 
-@pytest.mark.skipif(not os.environ.get("QUORATE_SLOW"), reason="takes minutes: set QUORATE_SLOW to run it")
+def test_audit_of_ambiguity(spark, drawn):
+    got = generated.seq04_families(spark, DATA).collect()
+    tier = lambda p: least_tier(p)
+    want = {}
+    for (region, family, level), (p, _) in drawn.items():
+        n = cases.VISIBLE[level]
+        v = terms(p, 25)
+        for probe in {n, n - 2, n - 4}:
+            found = candidates(v[:probe])
+            if found:
+                want[region, family, level, probe] = (len(found), ",".join(sorted({q[0] for q in found})), len({tuple(terms(q, 25)) for q in found}), len({tuple(terms(q, n + 5)[n:]) for q in found}), sum(tier(q) < tier(p) for q in found), tuple(v) in {tuple(terms(q, 25)) for q in found})
+    assert {(r.r_name, r.family, r.tier, r.probe): (r.candidates, r.families, r.sequences, r.continuations, r.lower_tier, r.itself) for r in got} == want
+
+
+def least_tier(p):
+    family, shape = p[0], p[1]
+    if family == "POLY":
+        return max(1, shape[0] - 2)
+    if family in ("AFFINE", "LIN2"):
+        return shape[0]
+    if family in ("PDELTA", "LAGPOLY"):
+        return 1 if shape == (2, 0) else 2 if shape in ((2, 1), (3, 1)) else 3
+    if family == "INTERLEAVE":
+        return 3 if max(shape[1:]) > 2 else 1 if shape[0] == 2 else 2
+    if family == "GROWBLOCK":
+        return shape[1]
+    return 1 if shape[0] == 1 and shape[1] <= 43 else 2 if shape[0] == 1 or shape[1] < 53 else 3
+
+
 def test_cases_are_fair_and_not_ambiguous(spark):
-    cells = spark.createDataFrame([(f, 2) for f in ("POLY", "INTERLEAVE", "MODAFFINE")], "family string, tier int").withColumn("split", F.lit("test"))
-    got = cases.sampled(cells, ["split"]).collect()
-    assert len(got) == 3
+    got = generated.seq06_families(spark, DATA).collect()
+    assert len(got) == 5 * 24
     for r in got:
         p, n = plain(r.program), cases.VISIBLE[r.tier]
         v = terms(p, n + 5)
+        assert json.loads(r.terms)[: n + 5] == v and r.visible == n
         found = candidates(v[:n])
         assert p in found and len(found) == r.candidates and {tuple(terms(q, n + 5)) for q in found} == {tuple(v)}
-        assert len(set(v[:n])) >= 6 and max(map(abs, v[:n])) <= 10**9 and r.attempt >= 1
+        assert r.tier == 3 or all(least_tier(q) >= least_tier(p) for q in found)
+        assert len(set(v[:n])) >= 6 and max(map(abs, v[:n])) <= 10**9 and 1 <= r.attempt <= 20_000
+
+
+def test_cases_are_verified(spark):
+    got = generated.seq08_families(spark, DATA).collect()
+    wrong = [(r.r_name, r.family, r.tier) for r in got if not (r.same_program and r.same_terms and r.fair and r.same_audit)]
+    assert len(got) == 5 * 24 and wrong == [("ASIA", "POLY", 1)]
