@@ -26,7 +26,7 @@ MOST_WORDS = 2_000_000
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KEEP = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
-_HITS = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+_HITS = {kind: pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(t))]) for kind, t in (("long", pa.int64()), ("string", pa.string()))}
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _built: dict = {}
 
@@ -76,10 +76,14 @@ def spans(text: str | None, hit: list[int] | None) -> list[dict]:
     return found
 
 
+def id_kind(items: DataFrame, key: str) -> str:
+    return "long" if dict(items.select(key).dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 def item_blocks(items: DataFrame, key: str, text: str, most_words: int) -> list[list[tuple]]:
-    """The items in blocks whose words are bounded; they come to the driver one partition at a time."""
+    """The items in blocks whose words are bounded; they come to the driver one partition at a time. Ids are longs, or strings where they aren't whole numbers."""
     blocks, n = [[]], 0
-    for item, x in items.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), text).toLocalIterator():
+    for item, x in items.where(F.col(text).isNotNull()).select(F.col(key).cast(id_kind(items, key)), text).toLocalIterator():
         size = len(words(x))
         if n and n + size > most_words:
             blocks.append([])
@@ -89,7 +93,7 @@ def item_blocks(items: DataFrame, key: str, text: str, most_words: int) -> list[
     return blocks
 
 
-def _hits_udf(sent, this: str, k: int):
+def _hits_udf(sent, this: str, k: int, kind: str):
     """The function of a text column that scans with automaton k of one scan."""
 
     def hits(texts: pa.Array) -> pa.Array:
@@ -98,17 +102,17 @@ def _hits_udf(sent, this: str, k: int):
                 del _built[old]
             _built[this, k] = automaton(*sent.value)
         number, a = _built[this, k]
-        return pa.array([scan_text(x.as_py(), number, a) for x in texts], _HITS)
+        return pa.array([scan_text(x.as_py(), number, a) for x in texts], _HITS[kind])
 
     hits.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(hits, from_arrow_type(_HITS)).asNondeterministic()
+    return F.arrow_udf(hits, from_arrow_type(_HITS[kind])).asNondeterministic()
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS, out: str = "scan") -> DataFrame:
     """All rows of docs with a column `out`: n_words, hit (numbers of the hit words), items, spans (character offsets).
 
     Null and empty texts have no words and no hits. Null item texts and items without words have no windows; items that
-    share an id count as one item; an item without id makes hits but is not listed. Items up to MOST_WORDS words are one
+    share an id count as one item; an item without id makes hits but is not listed; ids that aren't whole numbers are strings. Items up to MOST_WORDS words are one
     automaton; more are several, each scanned in turn, whose hits and items are united before spans are made of them. A
     worker holds all automata of a scan. Repeated rows are scanned each; a column of docs named like `out` is replaced.
     """
@@ -119,7 +123,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     this = uuid.uuid4().hex
     found = docs
     for k, (block, column) in enumerate(zip(blocks, names, strict=True)):
-        found = found.withColumn(column, _hits_udf(spark.sparkContext.broadcast((block, window)), this, k)(F.col(text)))
+        found = found.withColumn(column, _hits_udf(spark.sparkContext.broadcast((block, window)), this, k, id_kind(items, item_key))(F.col(text)))
 
     def placed(texts: pa.Array, hit: pa.Array) -> pa.Array:
         return pa.array([spans(x.as_py() if len(h) else None, h) for x, h in zip(texts, hit.to_pylist(), strict=True)], _SPANS)

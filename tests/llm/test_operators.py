@@ -325,6 +325,14 @@ def test_rollup_of_tokenizer_ids(spark, ws, tmp_path):
     assert {tuple(r)[:3]: [*tuple(r)[3:]] for r in token_rollups.query(spark, str(tmp_path)).collect()} == dict(want)
 
 
+def test_items_may_have_any_id(spark):
+    d = spark.createDataFrame([(1, "one two three"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("mmlu/1", "two three"), ("mmlu/10", "one"), (None, "nothing"), ("mmlu/2", "absent words")], "item_id string, text string")
+    got = {r.doc_id: (r.scan["items"], len(r.scan.hit)) for r in decontamination.scan(d, items).collect()}
+    assert got == {1: (["mmlu/1", "mmlu/10"], 3), 2: ([], 1), 3: ([], 0)}
+    assert [r.doc_id for r in decontamination.clean(d, items, most_words=1).collect()] == [3]
+
+
 def test_token_files(spark, ws, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_TOKENS", 5000)
     monkeypatch.setattr(token_files, "RANGE_BYTES", 20_000)
