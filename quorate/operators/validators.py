@@ -58,41 +58,8 @@ def salvage(items: DataFrame, planned: DataFrame, keys: Sequence[str]) -> DataFr
     return planned.join(alone, list(keys), "left")
 
 
-def forbidden_keys(json: Column, names: Sequence[str]) -> Column:
-    """Whether a JSON text has one of the names as a key at any depth."""
-    return json.rlike('"(' + "|".join(names) + r')"\s*:')
-
-
 def rule_scores(texts: DataFrame, rules: DataFrame, text: str, key: str) -> DataFrame:
     """Per key the rules of which all patterns are found in the text; rules are (rule, pattern), few."""
     pats = rules.groupBy("rule").agg(F.collect_list("pattern").alias("patterns"))
     hit = F.forall("patterns", lambda p: F.regexp_like(F.col(text), p))
     return texts.crossJoin(F.broadcast(pats)).where(hit).select(key, "rule")  # a row per rule
-
-
-def schema_errors(schema: dict, value: Column, path: str = "$") -> Column:
-    """Errors of a variant against a JSON schema's type, const, enum, required, properties, items sizes and number bounds.
-
-    The schema becomes one expression when the query is built; $ref, oneOf and anyOf are not known.
-    """
-    unknown = set(schema) - {"type", "const", "enum", "required", "properties", "minItems", "maxItems", "minimum", "maximum", "pattern", "minLength", "maxLength"}
-    if unknown:
-        raise ValueError(f"unknown at {path}: {sorted(unknown)}")
-    kinds = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}
-    parts = []
-    got = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    there = got.isNotNull()
-    if "type" in schema:
-        fits = got.isin("BIGINT", "DOUBLE") | got.startswith("DECIMAL") if schema["type"] == "number" else got.startswith(kinds[schema["type"]])
-        parts.append(F.when(there & ~fits, F.lit(f"{path}: type")))
-    text = F.try_variant_get(value, path, "string")
-    number = F.try_variant_get(value, path, "double")
-    size = F.size(F.try_variant_get(value, path, "array<variant>"))
-    tests = {
-        "const": lambda v: text == str(v), "enum": lambda v: text.isin(*[str(x) for x in v]), "pattern": lambda v: text.rlike(v), "minLength": lambda v: F.length(text) >= v, "maxLength": lambda v: F.length(text) <= v,
-        "minimum": lambda v: number >= v, "maximum": lambda v: number <= v, "minItems": lambda v: size >= v, "maxItems": lambda v: size <= v,
-    }
-    parts += [F.when(there & ~F.coalesce(test(schema[k]), F.lit(False)), F.lit(f"{path}: {k}")) for k, test in tests.items() if k in schema]
-    parts += [F.when(there & F.try_variant_get(value, f"{path}.{k}", "variant").isNull(), F.lit(f"{path}.{k}: required")) for k in schema.get("required", ())]
-    own = F.array_compact(F.array(*parts, F.lit(None).cast("string")))
-    return F.concat(own, *[schema_errors(s, value, f"{path}.{k}") for k, s in schema.get("properties", {}).items()])

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorate.functions import scalars, sequences
-from quorate.operators import graphs, validators
+from quorate.functions import draws, scalars, sequences
+from quorate.operators import documents, graphs, strategies, validators
 from quorate.plans.fixtures import PANEL, panel, read
 
 
@@ -145,13 +145,39 @@ SELECT m.conv_id, CAST(coalesce(n, 0) AS INTEGER) AS results, coalesce(n, 0) = 4
 FROM m LEFT JOIN n ON m.conv_id = n.conv_id LEFT JOIN e ON m.conv_id = e.conv_id"""
 
 
+TURN_SCHEMA = {
+    "$ref": "#/$defs/turn",
+    "$defs": {"turn": {
+        "type": "object", "required": ["turn", "role", "tag"], "additionalProperties": False,
+        "properties": {
+            "turn": {"type": "integer", "minimum": 1, "maximum": 5}, "role": {"enum": ["user", "assistant"]}, "tag": {"oneOf": [{"type": "string", "maxLength": 4}, {"type": "integer"}, {"const": True}]},
+            "size": {"type": "array", "prefixItems": [{"type": "integer", "maximum": 700}, {"type": "string", "pattern": "^t"}], "items": False}, "reply": {"$ref": "#/$defs/turn"}},
+    }},
+}
+
+
+def threads(s, d):
+    """(doc, value): each conversation as one document, a turn holding the next one as its reply."""
+    tag = F.get(F.array(*[F.lit(x) for x in ('"ab"', "5", "true", '"toolong"', '"1"', "false")]), ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))
+    size = F.concat(F.lit(',"size":['), F.length("text").cast("string"), F.when(F.col("turn") % 2 == 0, F.lit(',"x"]')).when(F.col("turn") % 5 == 3, F.lit(',"t",1]')).otherwise(F.lit(',"t"]')))
+    more = F.when((F.col("conv_id") + F.col("turn")) % 7 == 3, F.lit(',"ex\\u0074ra":1')).otherwise("")
+    own = F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"role":"'), "role", F.lit('","tag":'), tag, size, more)
+    turns = read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", own.alias("json")))).alias("t"))
+    nest = F.aggregate(F.reverse("t"), F.lit(""), lambda inner, x: F.concat(x["json"], F.when(inner != "", F.concat(F.lit(',"reply":'), inner)).otherwise(""), F.lit("}")))
+    return turns.select(F.col("conv_id").alias("doc"), F.try_parse_json(nest).alias("value"))
+
+
 def val05(s, d):
-    schema = {"type": "object", "required": ["k", "name"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 60}}}
-    e = read(s, d, "events").select("event_id", validators.strict_json(F.col("props")).alias("v"))
-    return e.select("event_id", F.array_join(F.array_sort(validators.schema_errors(schema, F.col("v"))), ",").alias("errors"))
+    return documents.check(threads(s, d), TURN_SCHEMA).select(F.col("doc").alias("conv_id"), "error")
 
 
-VAL05 = """SELECT event_id, array_to_string(list_filter(['$.k: maximum', '$.k: minimum', '$.name: required'], lambda x: (x = '$.k: maximum' AND CAST(json_extract(props, '$.k') AS BIGINT) > 60) OR (x = '$.k: minimum' AND CAST(json_extract(props, '$.k') AS BIGINT) < 10) OR x = '$.name: required'), ',') AS errors FROM events"""
+VAL05 = """WITH c AS (SELECT *, '$' || repeat('.reply', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER)) AS p FROM conversations),
+e AS (
+  SELECT conv_id, unnest([
+    CASE WHEN turn < 1 THEN p || '.turn: minimum' END, CASE WHEN turn > 5 THEN p || '.turn: maximum' END, CASE WHEN role NOT IN ('user', 'assistant') THEN p || '.role: enum' END,
+    CASE WHEN (conv_id + turn) % 6 IN (3, 5) THEN p || '.tag: oneOf' END, CASE WHEN (conv_id + turn) % 7 = 3 THEN p || '.extra: unexpected' END, CASE WHEN length(text) > 700 THEN p || '.size[0]: maximum' END,
+    CASE WHEN turn % 2 = 0 THEN p || '.size[1]: pattern' END, CASE WHEN turn % 2 = 1 AND turn % 5 = 3 THEN p || '.size: items' END]) AS error FROM c)
+SELECT conv_id, error FROM e WHERE error IS NOT NULL"""
 
 
 def val06(s, d):
@@ -173,11 +199,40 @@ VAL07 = f"WITH {PANEL}, v AS (SELECT case_id, stage AS part, count(*) AS n, min(
 
 
 def val10(s, d):
-    doc = F.to_json(F.struct("conv_id", F.struct(F.col("role"), F.when(F.col("turn") == 2, F.lit("x")).alias("gold")).alias("item")))
-    return read(s, d, "conversations").select("conv_id", "turn", validators.forbidden_keys(doc, ["gold", "truth"]).alias("leaks"))
+    """Keys that a document must not have, at any depth and with letters escaped."""
+    return documents.forbidden(threads(s, d), ["extra", "gold"]).select(F.col("doc").alias("conv_id"), "path")
+
+
+VAL10 = """SELECT conv_id, '$' || repeat('.reply', CAST(k AS INTEGER)) || '.extra' AS path
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) WHERE (conv_id + turn) % 7 = 3"""
+
 
+def batch(s, d):
+    """(doc, value): a strategy for each part, with a fault that its number names."""
+    k = F.col("p_partkey") % 16
+    pick = lambda normal, **faults: F.coalesce(*[F.when(k == int(n[1:]), F.lit(v)) for n, v in faults.items()], F.lit(normal))
+    stages = F.concat(
+        F.lit('[{"stage_id":"s1","role":'), pick('"proposer"', k2='"wizard"'), F.lit(',"count":'), pick("2", k11="14"), F.lit(',"scope":"all","reads":'), pick("[]", k4='["s2"]'), F.lit(',"lens_ids":'),
+        pick('["l1","l2"]', k6='["l1","l9"]', k11="[" + ",".join(['"l1"'] * 14) + "]"), F.lit(',"instruction":'), pick('"do"', k7='" "'), F.lit('},{"stage_id":'), pick('"s2"', k5='"s1"'),
+        F.lit(',"role":"judge","count":'), pick("1", k3="0", k11="2"), F.lit(',"scope":"disputed","reads":["s1"],"lens_ids":'), pick('["l3"]', k11='["l3","l3"]'), F.lit(',"instruction":"judge"}]'))
+    stages = F.when(k == 13, "[]").when(k == 14, "{}").otherwise(stages)
+    selector = pick('{"mode":"base_plurality"}', k8='{"mode":"best"}', k9='{"mode":"agreement_gate"}', k10='{"mode":"weighted_plurality","role_weights":{"judge":0}}', k1='{"mode":"agreement_gate","decision_roles":["judge"],"min_agree":1}')
+    name = F.when(k == 1, "").when(k == 12, "same").otherwise(F.col("p_partkey").cast("string"))
+    text = F.when(k == 15, "[]").otherwise(F.concat(F.lit('{"strategy_id":"'), name, F.lit('","stages":'), stages, F.lit(',"selector":'), selector, F.lit("}")))
+    return read(s, d, "part").select(F.col("p_partkey").alias("doc"), F.try_parse_json(text).alias("value"))
 
-VAL10 = "SELECT conv_id, turn, turn = 2 AS leaks FROM conversations"
+
+def val14(s, d):
+    lenses = read(s, d, "nation").select(F.concat(F.lit("l"), F.col("n_nationkey").cast("string")).alias("lens_id")).where("lens_id not in ('l9')")
+    return strategies.strategy_errors(batch(s, d), lenses).select(F.col("doc").alias("p_partkey"), "error")
+
+
+VAL14 = """WITH f(k, error) AS (VALUES
+  (1, '$.strategy_id: minLength'), (2, '$.stages[0].role: enum'), (2, '$.stages: no proposer'), (3, '$.stages[1].count: minimum'), (3, '$.stages[1].lens_ids: one per call'), (4, '$.stages[0].reads[0]: not an earlier stage'),
+  (5, '$.stages[1].stage_id: repeated'), (6, '$.stages[0].lens_ids[1]: unknown lens'), (7, '$.stages[0].instruction: pattern'), (8, '$.selector: anyOf'), (9, '$.selector: anyOf'), (10, '$.selector: anyOf'),
+  (11, '$.stages: too many calls'), (13, '$.stages: minItems'), (13, '$.stages: no proposer'), (14, '$.stages: type'), (14, '$.stages: no proposer'), (15, '$: type'))
+SELECT p_partkey, error FROM part JOIN f ON p_partkey % 16 = k
+UNION ALL SELECT p_partkey, '$.strategy_id: repeated' FROM part WHERE p_partkey % 16 IN (1, 12) QUALIFY row_number() OVER (PARTITION BY p_partkey % 16 ORDER BY p_partkey) > 1"""
 
 
 def val11(s, d):
@@ -343,6 +398,15 @@ _TURNS = "WITH j AS (SELECT DISTINCT conv_id, turn, min(turn) OVER (PARTITION BY
 JOIN10 = f"{_TURNS} SELECT conv_id || '-' || turn AS job FROM j WHERE turn > conv_id % 4 AND (turn = low OR turn - 1 <= conv_id % 4)"
 
 
+def fn11(s, d):
+    """Numbers and choices drawn by the part's number alone."""
+    n = F.col("p_size").cast("long") + 1
+    return read(s, d, "part").select("p_partkey", draws.below(n, F.lit("fn11"), "p_partkey").alias("number"), draws.choice(["red", "green", "blue"], F.lit("fn11"), "p_partkey", F.lit("colour")).alias("colour"))
+
+
+FN11 = f"""SELECT p_partkey, {draws.between_sql("(CAST(p_size AS BIGINT) + 1)", "'fn11'", "p_partkey")} AS number, (['red', 'green', 'blue'])[{draws.between_sql("3", "'fn11'", "p_partkey", "'colour'")} + 1] AS colour FROM part"""
+
+
 def dag03(s, d):
     e = edges(s, d)
     looped = e.union(s.createDataFrame([("x", "y"), ("y", "z"), ("z", "x")], "job string, needs string"))
@@ -457,9 +521,9 @@ DAG07 = "SELECT c.p_partkey AS child, p.p_partkey AS parent, CAST(c.p_brand <> p
 QUERIES = {
     "FN01_sha256": (fn01, "SELECT doc_id, sha256(text) AS digest FROM documents"), "FN02_opaque_id": (fn02, "SELECT p_partkey, 'E-' || upper(substr(sha256(p_brand || chr(31) || p_partkey), 1, 10)) AS id FROM part"), "FN03_safe_job_id": (fn03, FN03),
     "FN04_genome_id": (fn04, """SELECT p_partkey, 'G-' || upper(substr(sha256('{"brand":"' || p_brand || '","size":' || p_size || '}'), 1, 12)) AS id FROM part"""), "FN05_compaction": (fn05, FN05), "FN06_binomial_polynomial": (fn06, FN06), "FN07_difference_fit": (fn07, FN07),
-    "FN08_floor_division": (fn08, FN08), "FN13_links_and_scrub": (fn13, FN13), "FN14_prompt": (fn14, FN14), "FN16_subset_id": (fn16, FN16),
+    "FN08_floor_division": (fn08, FN08), "FN11_draws": (fn11, FN11), "FN13_links_and_scrub": (fn13, FN13), "FN14_prompt": (fn14, FN14), "FN16_subset_id": (fn16, FN16),
     "VAL01_canonical_answer": (val01, VAL01), "VAL02_unwrap": (val02, VAL02), "VAL03_item_errors": (val03, VAL03), "VAL04_document_errors": (val04, VAL04), "VAL05_schema": (val05, VAL05), "VAL06_attempt_class": (val06, VAL06), "VAL07_salvage": (val07, VAL07),
-    "VAL10_leak_guard": (val10, VAL10), "VAL11_slot_name": (val11, VAL11), "VAL12_safe_numbers": (val12, VAL12), "VAL13_rule_text": (val13, VAL13), "SRC03_strict_json": (src03, SRC03), "SRC08_last_wins": (src08, SRC08), "SRC09_final_message": (src09, SRC09), "SNK03_canonical_json": (snk03, SNK03),
+    "VAL10_leak_guard": (val10, VAL10), "VAL14_strategies": (val14, VAL14), "VAL11_slot_name": (val11, VAL11), "VAL12_safe_numbers": (val12, VAL12), "VAL13_rule_text": (val13, VAL13), "SRC03_strict_json": (src03, SRC03), "SRC08_last_wins": (src08, SRC08), "SRC09_final_message": (src09, SRC09), "SNK03_canonical_json": (snk03, SNK03),
     "SEQ01_poly": (seq01_poly, SEQ_POLY), "SEQ01_affine": (seq01_affine, SEQ_AFFINE), "SEQ01_lin2": (seq01_lin2, SEQ_LIN2), "SEQ01_modaffine": (seq01_modaffine, SEQ_MOD), "SEQ01_others": (seq01_others, SEQ_OTHERS), "SEQ03_recognise": (seq03, SEQ03), "SEQ04_ambiguity": (seq04, SEQ04),
     "SEQ05_tiers": (seq05, SEQ05), "SEQ07_assignments": (seq07, SEQ07), "JOIN10_ready": (join10, JOIN10), "DAG01_schedule": (dag01, DAG01), "DAG02_batches": (dag02, DAG02), "WIN13_fair_order": (win13, WIN13), "DAG03_cycles": (dag03, DAG03), "DAG04_closure": (dag04, DAG04), "DAG05_role_plan": (dag05, DAG05), "DAG06_role_audit": (dag06, DAG06), "DAG07_lineage": (dag07, DAG07),
 }
