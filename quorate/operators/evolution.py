@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from hashlib import sha256
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.functions import draws
 from quorate.operators import lineage, scores
 
+#: Members of sets that set_scores takes; a set is a long.
+MOST_MEMBERS = 52
+
 
 def draw(n: int, *parts) -> int:
     """A number below n from a SHA-256 of the parts."""
@@ -119,7 +125,9 @@ def submask_votes(votes: DataFrame, truth: DataFrame, most_members: int = 12) ->
     vote = F.struct("member", "answer", "confidence")
     bit = F.call_function("shiftleft", F.lit(1), F.col("member").cast("int"))
     present = F.aggregate(F.array_distinct(F.collect_list(bit)), F.lit(0), lambda s, x: s + x)
-    cases = votes.where(F.col("answer").isNotNull() & (F.col("member") < most_members)).groupBy("case_id").agg(F.collect_list(vote).alias("votes"), present.alias("present"))
+    if not votes.where((F.col("member") < 0) | (F.col("member") >= most_members)).isEmpty():
+        raise ValueError(f"members are numbered from 0 to {most_members - 1}; set_scores takes more")
+    cases = votes.where(F.col("answer").isNotNull()).groupBy("case_id").agg(F.collect_list(vote).alias("votes"), present.alias("present"))
     parts = cases.select("case_id", "present", "votes", F.explode(F.filter(F.sequence(F.lit(1), F.col("present")), lambda m: m.bitwiseAND(F.col("present")) == m)).alias("own"))
     each = parts.select("case_id", "present", "own", F.inline("votes")).where(F.col("own").bitwiseAND(bit) != 0)
     # a case's rows stay where its votes were put together
@@ -131,6 +139,78 @@ def submask_votes(votes: DataFrame, truth: DataFrame, most_members: int = 12) ->
     return scored.groupBy("block", "present", "own").agg(F.count("*").alias("cases"), F.count_if("exact").alias("exact"), F.sum("terms").alias("terms"))
 
 
+def drawn_sets(spark, members: int, least: int = 3, most: int = 25_000, seed: str = "") -> DataFrame:
+    """(subset, size): `most` different bit masks of `least` members or more, drawn by digests; all of them where there are no more than that many draws."""
+    mask = draws.words(F.lit(seed), "id")[0].bitwiseAND(F.lit((1 << members) - 1))
+    made = spark.range(2 * most).select("id", mask.alias("subset")).where(F.bit_count("subset") >= least)
+    first = made.groupBy("subset").agg(F.min("id").alias("id")).orderBy("id").limit(most)  # 2 * most rows
+    return first.select("subset", F.bit_count("subset").alias("size"))
+
+
+def set_scores(votes: DataFrame, truth: DataFrame, sets: DataFrame) -> DataFrame:
+    """(subset, size, block, exact, terms) of sets (subset, size) of up to MOST_MEMBERS members, from votes (case_id, member, answer, confidence).
+
+    A set answers a case as those of its members that voted on it do, by count, mean confidence and answer. Cases with the same
+    voters are put together; of these only as many parts are voted as the sets differ in, so that a case with few voters costs as
+    many votes as its voters have parts, and one with many as many as there are sets. Sets go to every task: they are a
+    parameter's number. Confidences are decimals of four places. Members outside 0 to MOST_MEMBERS - 1 raise ValueError.
+    """
+    if not votes.where((F.col("member") < 0) | (F.col("member") >= MOST_MEMBERS)).isEmpty():
+        raise ValueError(f"members are numbered from 0 to {MOST_MEMBERS - 1}")
+    chosen = sorted((r.subset, r.size) for r in sets.collect())
+    masks = np.array([m for m, _ in chosen], np.int64)
+    tally = votes.where(F.col("answer").isNotNull()).select("case_id", F.col("member").cast("long").alias("member"), "answer", (F.col("confidence") * 10_000).cast("long").alias("c"))
+    own = tally.groupBy("case_id", "answer").agg(F.collect_list("member").alias("members"), F.collect_list("c").alias("cs"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("member").cast("int"))).alias("mask"))
+    known = own.join(truth.select("case_id", "truth", "block"), "case_id")
+    terms = F.aggregate(scores.right_terms(F.col("answer"), F.col("truth")), F.lit(0), lambda s, x: s + x)
+    # an answer's members and confidences are collected one after another, so their order is the same
+    option = F.struct("answer", F.col("members"), "cs", scores.is_right(F.col("answer"), F.col("truth")).cast("int").alias("right"), terms.alias("terms"))
+    cases = known.groupBy("case_id", "block").agg(F.array_sort(F.collect_list(option)).alias("o"), F.bit_or("mask").alias("present"))
+    part = lambda name: F.transform("o", lambda x: x[name])
+    cases = cases.select("case_id", "block", "present", part("members").alias("members"), part("cs").alias("cs"), part("right").alias("right"), part("terms").alias("terms"))
+
+    def voted(batches):
+        sums: dict = {}
+        present, parts, inverse, tables = None, None, None, {}
+
+        def close():
+            for block, (exact, terms) in tables.items():
+                a, b = sums.setdefault(block, (np.zeros(len(masks), np.int64), np.zeros(len(masks), np.int64)))
+                a += exact[inverse]
+                b += terms[inverse]
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.present != present:
+                    if present is not None:
+                        close()
+                    present, tables = r.present, {}
+                    parts, inverse = np.unique(masks & np.int64(present), return_inverse=True)
+                best = None
+                for k, (members, cs) in enumerate(zip(r.members, r.cs, strict=True)):
+                    in_set = (parts[:, None] >> np.asarray(members, np.int64)[None, :]) & 1
+                    n = in_set.sum(axis=1)
+                    mean = (in_set @ np.asarray(cs, np.int64)) / 10_000 / np.maximum(n, 1)
+                    if best is None:
+                        best, at = (n, mean), np.zeros(len(parts), np.int64)
+                    else:  # answers come in order, so an equal one later doesn't win
+                        more = (n > best[0]) | ((n == best[0]) & (mean > best[1]))
+                        best, at = (np.where(more, n, best[0]), np.where(more, mean, best[1])), np.where(more, k, at)
+                exact, terms = tables.setdefault(r.block, (np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)))
+                some = best[0] > 0
+                exact += np.where(some, np.asarray(r.right)[at], 0)
+                terms += np.where(some, np.asarray(r.terms)[at], 0)
+        if present is not None:
+            close()
+        for block, (exact, terms) in sums.items():
+            yield pd.DataFrame({"block": block, "at": np.arange(len(masks)), "exact": exact, "terms": terms})
+
+    found = cases.repartition("present", F.pmod(F.xxhash64("case_id"), F.lit(8))).sortWithinPartitions("present").mapInPandas(voted, "block string, at int, exact long, terms long")
+    found = found.groupBy("block", "at").agg(F.sum("exact").alias("exact"), F.sum("terms").alias("terms"))
+    names = votes.sparkSession.createDataFrame([(i, m, s) for i, (m, s) in enumerate(chosen)], "i int, subset long, size int")
+    return found.join(names, F.col("at") == F.col("i")).select("subset", "size", "block", "exact", "terms")
+
+
 def subsets(spark, members: int, least: int = 3, most: int = 25_000) -> DataFrame:
     """(subset, size): the bit masks of all sets of `least` members at least, or `most` of them by the order of their MD5."""
     every = spark.range(1, 1 << members).select(F.col("id").cast("int").alias("subset"), F.bit_count("id").alias("size")).where(F.col("size") >= least)

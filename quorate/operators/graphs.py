@@ -54,6 +54,47 @@ def cyclic(edges: DataFrame, most: int = 64) -> bool:
     raise ValueError(f"deeper than {most}")
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """(job, cycle): the jobs that need themselves, directly or by others; jobs that need each other have one cycle, named by the smallest.
+
+    Jobs without dependents or dependencies are trimmed, round by round. Of the others each takes the largest job that reaches it as its
+    colour, a colour's cycle being what reaches its job within the colour; it is taken out, until no job is left.
+    """
+    loops = edges.where("job = needs").select("job").distinct()
+    left = cut(edges.where("job <> needs").select("job", "needs").distinct())
+    found = loops.select("job", F.col("job").alias("cycle"), F.lit(0).alias("rank"))
+    while True:
+        while True:  # trim
+            keep = left.join(left.select(F.col("job").alias("needs")).distinct(), "needs", "left_semi").join(left.select(F.col("needs").alias("job")).distinct(), "job", "left_semi")
+            keep = cut(keep.select("job", "needs"))
+            if keep.count() == left.count():
+                break
+            left = keep
+        if left.isEmpty():
+            break
+        colour = cut(left.select("job").union(left.select("needs")).distinct().select("job", F.col("job").alias("colour")))
+        while True:  # the largest job that a job's chain of dependents comes from
+            came = left.join(colour, "job").groupBy(F.col("needs").alias("n")).agg(F.max("colour").alias("c"))
+            step = cut(colour.join(came, F.col("job") == F.col("n"), "left").select("job", F.greatest("colour", F.coalesce("c", "colour")).alias("new"), "colour"))
+            moved = not step.where("new <> colour").isEmpty()
+            colour = step.select("job", F.col("new").alias("colour"))
+            if not moved:
+                break
+        of = colour.select(F.col("job").alias("j"), F.col("colour").alias("k"))
+        own = cut(left.join(of, F.col("job") == F.col("j")).drop("j").join(of.toDF("j", "l"), F.col("needs") == F.col("j")).where("k = l").select("job", "needs", "k"))
+        new = members = cut(colour.where("job = colour").select("job", "colour"))
+        while True:  # backwards from the colour's job
+            step = own.join(new.select(F.col("job").alias("needs"), F.col("colour").alias("k")), ["needs", "k"]).select("job", F.col("k").alias("colour")).distinct()
+            new = cut(step.join(members, "job", "left_anti"))
+            if new.isEmpty():
+                break
+            members = cut(members.union(new))
+        sizes = members.groupBy("colour").agg(F.count("*").alias("n"), F.min("job").alias("cycle")).where("n > 1")
+        found = found.union(members.join(sizes, "colour").select("job", "cycle", F.lit(1).alias("rank")))
+        left = cut(left.join(members.select("job"), "job", "left_anti").join(members.select(F.col("job").alias("needs")), "needs", "left_anti").select("job", "needs"))
+    return found.groupBy("job").agg(F.max_by("cycle", "rank").alias("cycle"))
+
+
 def fair_schedule(nodes: Sequence[tuple[str, str]], edges: Sequence[tuple[str, str]]) -> list[str]:
     """A topological order for the driver, of up to some ten thousand nodes (job, group) and edges (job, needs).
 

@@ -57,6 +57,19 @@ def _transfer_sql(train: str, test: str) -> str:
 AGG23_TRANSFER = f"WITH {SUBSETS} {_transfer_sql('1-URGENT', '2-HIGH')} UNION ALL {_transfer_sql('2-HIGH', '1-URGENT')}"
 
 
+def agg23_forty(s, d):
+    """25,000 sets of forty lenses, by weakest block, exact cases, terms and size."""
+    votes = panel(s, d).select("case_id", (F.col("l_suppkey") % FORTY).alias("member"), "answer", "confidence")
+    t = truth(s, d)
+    blocks = [r.block for r in t.select("block").distinct().collect()]  # five priorities
+    out = evolution.set_scores(votes, t, evolution.drawn_sets(s, FORTY, seed="lenses"))
+    least = F.when(F.count("*") == len(blocks), F.min("exact")).otherwise(0)
+    return out.groupBy("subset", "size").agg(least.alias("weakest_block"), F.sum("exact").alias("exact"), F.sum("terms").alias("terms"))
+
+
+FORTY = 40
+
+
 def _entries(s, d):
     return scored(s, d).groupBy("l_suppkey").agg(F.count_if("exact").alias("exact"), F.sum("terms").alias("terms"))
 
@@ -284,7 +297,7 @@ def ext_windows(s, d):
 EXT = "SELECT CAST(CAST(CAST(ts AS DATE) AS TIMESTAMP) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
 
 QUERIES = {
-    "AGG23_subset_search": (agg23, AGG23), "AGG23_transfer": (agg23_transfer, AGG23_TRANSFER), "EVO01_generation": (evo01, None), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, EVO06_RACE),
+    "AGG23_subset_search": (agg23, AGG23), "AGG23_forty": (agg23_forty, None), "AGG23_transfer": (agg23_transfer, AGG23_TRANSFER), "EVO01_generation": (evo01, None), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, EVO06_RACE),
     "AUD01_manifests": (aud01, AUD01), "AUD02_structure": (aud02, AUD02), "AUD04_recompute": (aud04, AUD04), "AUD05_suite": (aud05, AUD05), "AUD07_chain": (aud07, AUD07), "AUD10_cumulative": (aud10, AUD10), "AUD11_roles": (aud11, AUD11), "AUD12_reconcile": (aud12, AUD12),
     "AUD13_completeness": (aud13, AUD13), "AUD14_concurrency": (aud14, _aud14()), "AUD17_file_classes": (aud17, AUD17), "REP01_accuracy": (rep01, REP01), "REP02_families": (rep02, REP02), "EXT_event_windows": (ext_windows, EXT),
 }

@@ -408,12 +408,22 @@ FN11 = f"""SELECT p_partkey, {draws.between_sql("(CAST(p_size AS BIGINT) + 1)",
 
 
 def dag03(s, d):
-    e = edges(s, d)
-    looped = e.union(s.createDataFrame([("x", "y"), ("y", "z"), ("z", "x")], "job string, needs string"))
-    return s.createDataFrame([("as_is", graphs.cyclic(e)), ("with_loop", graphs.cyclic(looped))], "graph string, cyclic boolean")
+    """Cycles among turns, some conversations' first turns needing their last ones, and some turns themselves."""
+    c = read(s, d, "conversations").select("conv_id", "turn").distinct()
+    name = lambda t: F.concat_ws("-", "conv_id", t)
+    ends = c.groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high")).where("conv_id % 10 = 3")
+    back = ends.select(name("low").alias("job"), name("high").alias("needs"))
+    own = c.where("conv_id % 10 = 6 and turn = 2").select(name("turn").alias("job"), name("turn").alias("needs"))
+    return graphs.cycles(edges(s, d).union(back).union(own))
 
 
-DAG03 = "SELECT unnest(['as_is', 'with_loop']) AS graph, unnest([false, true]) AS cyclic"
+DAG03 = """WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS low, max(turn) OVER (PARTITION BY conv_id) AS high FROM conversations),
+e AS (
+  SELECT conv_id || '-' || turn AS job, conv_id || '-' || (turn - 1) AS needs FROM t WHERE turn > low
+  UNION SELECT conv_id || '-' || low, conv_id || '-' || high FROM t WHERE conv_id % 10 = 3
+  UNION SELECT conv_id || '-' || turn, conv_id || '-' || turn FROM t WHERE conv_id % 10 = 6 AND turn = 2),
+r(job, needs) AS (SELECT job, needs FROM e UNION SELECT r.job, e.needs FROM r JOIN e ON e.job = r.needs)
+SELECT a.job, min(b.needs) AS cycle FROM r a JOIN r b ON a.job = b.job JOIN r c ON c.job = b.needs AND c.needs = a.job WHERE a.job = a.needs GROUP BY a.job"""
 
 
 def dag04(s, d):

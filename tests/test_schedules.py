@@ -55,3 +55,16 @@ def test_graphs_that_have_no_schedule(spark, jobs, edges, what):
 
 def test_schedule_of_nothing(spark):
     assert scheduled(spark, [], [], 3).count() == 0
+
+
+def test_cycles(spark):
+    rng = random.Random(3)
+    for n, m in ((12, 16), (30, 40), (8, 30)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {(a, b) for a, b in pairs}
+        while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+            reach |= more
+        want = {f"{a:02}": f"{min(b for b in range(n) if (a, b) in reach and (b, a) in reach):02}" for a in range(n) if (a, a) in reach}
+        got = graphs.cycles(spark.createDataFrame([(f"{a:02}", f"{b:02}") for a, b in pairs], "job string, needs string")).collect()
+        assert {r.job: r.cycle for r in got} == want
+    assert graphs.cycles(spark.createDataFrame([], "job string, needs string")).count() == 0
