@@ -300,7 +300,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
     own = labels.where(~held_out(key)).where("toxic is not null").select(F.col(key).alias("__k"), "toxic")
     share = min(1.0, most / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("__k", F.lit(4)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.join(F.broadcast(own), F.col(key) == F.col("__k")).select("text", "toxic")  # about `most` rows
+    texts = docs.select(F.col(key).alias("__d"), "text")  # docs may have a column of labels themselves
+    return texts.join(F.broadcast(own), F.col("__d") == F.col("__k")).select("text", "toxic")  # about `most` rows
 
 
 def score(docs: DataFrame, model: Model, classifier: Classifier, text: str = "text", out: str = "toxicity") -> DataFrame:

@@ -333,6 +333,13 @@ def test_items_may_have_any_id(spark):
     assert [r.doc_id for r in decontamination.clean(d, items, most_words=1).collect()] == [3]
 
 
+def test_labels_in_the_documents_are_not_read(spark):
+    d = spark.createDataFrame([(i, f"text {i}", 5) for i in range(30)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = toxicity.training_rows(d, labels)
+    assert got.columns == ["text", "toxic"] and {r.toxic for r in got.collect()} == {0, 1}
+
+
 def test_token_files(spark, ws, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_TOKENS", 5000)
     monkeypatch.setattr(token_files, "RANGE_BYTES", 20_000)
