@@ -282,9 +282,6 @@ def agg22(s, d):
     return scores.violations(f, rules, "method")
 
 
-AGG22 = "SELECT unnest(['deliberative', 'dual', 'gated', 'judge', 'verified']) AS method, 'all_right' AS rule"
-
-
 def join01(s, d):
     bad = panel(s, d).withColumn("case_id", F.when(F.col("case_id") % 50 == 0, -F.col("case_id")).otherwise(F.col("case_id")))
     return scores.unknown_cases(bad, truth(s, d))
@@ -394,6 +391,13 @@ def snk04(s, d):
 
 SNK04 = f"WITH {SYSTEMS_SQL} SELECT case_id, {', '.join(f'max(CASE WHEN exact THEN 1 ELSE 0 END) FILTER (method = {chr(39)}{m}{chr(39)}) AS {m}' for m in sorted(decisions.SYSTEMS))} FROM sys GROUP BY case_id"
 
+AGG22 = f"""WITH {SMALL}, {TRUTH}, {SYSTEMS_SQL}, {plurality_sql('small', 'pl', "role = 'proposer'")},
+f AS (
+  SELECT method, count(*) AS n, count(*) FILTER (exact) AS x, count(*) FILTER (NOT exact AND coalesce(pl.answer = truth.truth, false)) AS h, count(sys.answer) AS f,
+         sum(CASE WHEN split_part(sys.answer, '|', 1) = truth.truth[1] THEN 1 ELSE 0 END + CASE WHEN split_part(sys.answer, '|', 2) = truth.truth[2] THEN 1 ELSE 0 END) AS t
+  FROM sys JOIN truth ON truth.case_id = sys.case_id LEFT JOIN pl ON pl.case_id = sys.case_id GROUP BY method)
+SELECT method, 'harmful_within_wrong' AS rule FROM f WHERE h > n - x UNION ALL SELECT method, 'terms_at_least_exact' FROM f WHERE 2 * x > t UNION ALL SELECT method, 'terms_within_format' FROM f WHERE t > 2 * f UNION ALL SELECT method, 'all_right' FROM f WHERE x <> n"""
+
 QUERIES = {
     **{f"DEC10_policy_{p}": (_dec10(p), q) for p, q in DEC10.items()},
     "DEC11_survivors": (dec11, DEC11), "DEC12_verified_system": (dec12, DEC12), "DEC13_oracle": (dec13, DEC13), "DEC14_linear_choice": (dec14, DEC14),

@@ -345,7 +345,13 @@ def seq03(s, d):
     return p.select("p_partkey", sequences.poly_degree(F.col("poly"), 1).alias("degree"), F.exists(sequences.affine_programs(F.col("aff")), lambda x: (x["m"] == F.col("m")) & (x["b"] == F.col("a"))).alias("affine_found"))
 
 
-SEQ03 = f"WITH {PROGRAMS} SELECT p_partkey, CASE WHEN c = 0 THEN 1 ELSE 2 END AS degree, true AS affine_found FROM pr"
+#: The lowest degree from 1 on whose next differences are all 0.
+DEGREE_SQL = "CASE WHEN len(list_distinct([v[i + 1] - v[i] FOR i IN range(1, 10)])) = 1 THEN 1 WHEN len(list_distinct([v[i + 2] - 2 * v[i + 1] + v[i] FOR i IN range(1, 9)])) = 1 THEN 2 WHEN len(list_distinct([v[i + 3] - 3 * v[i + 2] + 3 * v[i + 1] - v[i] FOR i IN range(1, 8)])) = 1 THEN 3 END"
+SEQ03 = f"""WITH RECURSIVE {PROGRAMS},
+r AS (SELECT *, [CAST(k AS BIGINT)] AS x FROM pr UNION ALL SELECT p_partkey, a, b, c, m, k, list_append(x, m * x[len(x)] + a) FROM r WHERE len(x) < 8),
+t AS (SELECT *, {POLY_SQL} AS v FROM r WHERE len(x) = 8),
+q AS (SELECT p_partkey, bool_or(q = m AND lo = hi AND lo = a) AS found FROM (SELECT p_partkey, m, a, q, min(x[i + 1] - q * x[i]) AS lo, max(x[i + 1] - q * x[i]) AS hi FROM t, (SELECT unnest([{', '.join(map(str, sequences.MULTIPLIERS))}]) AS q), range(1, 8) n(i) GROUP BY ALL) GROUP BY p_partkey)
+SELECT t.p_partkey, CAST({DEGREE_SQL} AS INTEGER) AS degree, found AS affine_found FROM t JOIN q ON q.p_partkey = t.p_partkey"""
 
 
 def seq04(s, d):
@@ -364,7 +370,8 @@ def seq05(s, d):
 
 SEQ05 = f"""WITH {PROGRAMS}, t AS (SELECT p_partkey, {POLY_SQL} AS v FROM pr), e AS (SELECT p_partkey, unnest(v) AS x, unnest(range(10)) AS i FROM t),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY p_partkey, x ORDER BY i) AS g FROM e), n AS (SELECT p_partkey, x, g, count(*) AS n FROM g GROUP BY ALL)
-SELECT p_partkey, 1 AS tier, CAST(max(n) AS INTEGER) AS run, max(abs(x)) <= 60 AS within_bounds FROM n GROUP BY p_partkey"""
+SELECT n.p_partkey, CAST(CASE WHEN any_value(degree) <= 3 THEN 1 WHEN any_value(degree) = 4 THEN 2 ELSE 3 END AS INTEGER) AS tier, CAST(max(n) AS INTEGER) AS run, max(abs(x)) <= 60 AS within_bounds
+FROM n JOIN (SELECT p_partkey, {DEGREE_SQL} AS degree FROM t) g ON g.p_partkey = n.p_partkey GROUP BY n.p_partkey"""
 
 
 def seq07(s, d):
@@ -517,7 +524,11 @@ def dag06(s, d):
     return damaged.groupBy("block").agg(F.count("*").alias("jobs"), F.count_if(F.size("dependencies") != want).alias("wrong")).where("jobs <> 7 or wrong > 0")
 
 
-DAG06 = "SELECT n_name AS block, CASE n_name WHEN 'NATION_3' THEN 6 ELSE 7 END AS jobs, CASE n_name WHEN 'NATION_3' THEN 0 ELSE 1 END AS wrong FROM nation WHERE n_name IN ('NATION_3', 'NATION_7')"
+DAG06 = """WITH p AS (SELECT n_name AS block, stage, role, unnest(range(1, n + 1)) AS i FROM nation, (VALUES (0, 'proposer', 4), (1, 'critic', 2), (2, 'judge', 1)) r(stage, role, n)),
+j AS (SELECT block, stage, role, block || '-' || role || '-' || lpad(CAST(i AS VARCHAR), 2, '0') AS job FROM p),
+g AS (SELECT j.block, j.role, j.job, count(k.job) AS n FROM j LEFT JOIN j k ON k.block = j.block AND k.stage < j.stage GROUP BY ALL),
+x AS (SELECT block, role, CASE WHEN job = 'NATION_7-judge-01' THEN least(n, 5) ELSE n END AS n FROM g WHERE NOT (block = 'NATION_3' AND role = 'judge'))
+SELECT * FROM (SELECT block, count(*) AS jobs, count(*) FILTER (n <> CASE role WHEN 'proposer' THEN 0 WHEN 'critic' THEN 4 ELSE 6 END) AS wrong FROM x GROUP BY block) WHERE jobs <> 7 OR wrong > 0"""
 
 
 def dag07(s, d):
