@@ -15,6 +15,8 @@ from quorate.operators import lineage, scores
 
 #: Members of sets that set_scores takes; a set is a long.
 MOST_MEMBERS = 52
+#: Scores of options by policies that evaluate() holds at once.
+SCORES = 2_000_000
 
 
 def draw(n: int, *parts) -> int:
@@ -66,31 +68,100 @@ def policies(spark, features: int, values: Sequence[int] = (0, 1, 2, 3), most: i
     return spark.range(min(most, base**features)).select(F.col("id").cast("int").alias("policy"), F.array(*[digit(i) for i in range(features)]).alias("weights"))
 
 
+def drawn_policies(spark, features: int, seeds: Sequence[Sequence[int]] = (), most: int = 5_000, high: int = 8, seed: str = "") -> DataFrame:
+    """(policy, weights): the seeds, numbered from 0, then lists of numbers from -high to high drawn by digests, `most` in all.
+
+    No list comes twice, and each drawn one has a number above 0.
+    """
+    drawn = F.array(*[(draws.below(F.lit(2 * high + 1).cast("long"), F.lit(seed), "id", F.lit(i)) - high).cast("int") for i in range(features)])
+    made = spark.range(2 * most).select((F.col("id") + len(seeds)).alias("policy"), drawn.alias("weights")).where(F.array_max("weights") > 0)
+    given = spark.createDataFrame([(i, list(w)) for i, w in enumerate(seeds)], "policy long, weights array<int>")
+    return given.union(made).groupBy("weights").agg(F.min("policy").alias("policy")).orderBy("policy").limit(most).select("policy", "weights")  # 2 * most rows
+
+
 def patterns(candidates: DataFrame, case: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, options, n): how many cases have the same candidates; options are a case's (answer, features, right), as many as its jobs at most.
+    """(by, options, n): how many cases have the same candidates; options are a case's (features, right) in order of the answers.
 
-    A policy chooses alike on equal candidates, so that it is tried on each pattern once, however many cases have it.
+    A policy chooses alike on equal candidates, so that it is tried on each pattern once, however many cases have it. Of a case's
+    candidates with equal features the smallest answer stays, as no policy prefers another one; so a case has as many options as
+    it has different features.
     """
-    options = F.array_sort(F.collect_list(F.struct("answer", "features", "right")))
-    return candidates.groupBy(case, *by).agg(options.alias("options")).groupBy("options", *by).agg(F.count("*").alias("n"))
+    first = candidates.groupBy(case, "features", *by).agg(F.min(F.struct("answer", "right")).alias("first"))
+    options = F.array_sort(F.collect_list(F.struct(F.col("first.answer").alias("answer"), "features", F.col("first.right").alias("right"))))
+    cases = first.groupBy(case, *by).agg(options.alias("options"))
+    places = F.transform("options", lambda o: F.struct(o["features"].alias("features"), o["right"].alias("right")))
+    return cases.select(places.alias("options"), *by).groupBy("options", *by).agg(F.count("*").alias("n"))
 
 
-def evaluate(patterns: DataFrame, policies: DataFrame) -> DataFrame:
-    """Per policy how many cases it answers right, and a signature of its choices; of equal scores the smaller answer is chosen.
+def evaluate(patterns: DataFrame, policies: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(policy, by, cases, exact, high, low): how many cases a policy answers right, per group of `by`; of equal scores the smaller answer is chosen.
 
-    Policies, a parameter's number of rows, are broadcast to the patterns; what is shuffled is one row a policy and task.
+    high and low, summed over a policy's groups, are its signature: equal for policies that choose alike on all patterns. All
+    policies' scores of a block of patterns are one product of matrices of SCORES numbers at most; scores are rounded to nine
+    places unless features and weights are whole. Policies go to every task, as they are a parameter's number; a task gives one
+    row a policy and group.
     """
-    dot = lambda o: F.aggregate(F.zip_with("weights", o["features"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    best = F.array_min(F.transform("options", lambda o: F.struct((-F.round(dot(o), 9)).alias("score"), o["answer"].alias("answer"), o["right"].alias("right"))))
-    chosen = patterns.crossJoin(F.broadcast(policies)).select("policy", "options", "n", best.alias("x"))
-    mark = F.xxhash64("options", "x.answer").cast("decimal(38,0)")
-    return chosen.groupBy("policy").agg(F.sum("n").alias("cases"), F.sum(F.when(F.col("x.right"), F.col("n")).otherwise(0)).alias("exact"), F.sum(mark).cast("string").alias("signature"))
+    names = policies.schema["policy"].dataType.simpleString()
+    known = sorted((r.policy, list(r.weights)) for r in policies.collect())
+    ids, weights = np.array([i for i, _ in known], np.int64), np.array([w for _, w in known], np.float64).T
+    marked = patterns.withColumn("mark", F.xxhash64("options"))
+    flat = marked.select(
+        *by, "n", F.size("options").alias("k"), F.flatten(F.transform("options", lambda o: F.transform(o["features"], lambda x: x.cast("double")))).alias("features"),
+        F.transform("options", lambda o: F.coalesce(o["right"], F.lit(False)).cast("int")).alias("right"), F.transform(F.sequence(F.lit(1), F.size("options")), lambda i: F.xxhash64("mark", i)).alias("marks"))
+
+    def tried(batches):
+        cells: dict = {}
+        signature = np.zeros((2, len(ids)), np.int64)
+        for pdf in batches:
+            keys = list(pdf[list(by)].itertuples(index=False, name=None)) if by else [()] * len(pdf)
+            for k, rows in pdf.reset_index(drop=True).groupby("k").indices.items():
+                width = max(1, min(len(ids), SCORES // k))
+                step = max(1, SCORES // (k * width))
+                for at in range(0, len(rows), step):
+                    block = pdf.iloc[rows[at : at + step]]
+                    feats = np.concatenate(block["features"].to_numpy()).reshape(len(block) * k, -1)
+                    right, marks = (np.stack(block[c].to_numpy()).astype(np.int64) for c in ("right", "marks"))
+                    n = block["n"].to_numpy(np.int64)
+                    group: dict = {}
+                    for i, r in enumerate(rows[at : at + step]):
+                        group.setdefault(keys[r], []).append(i)
+                    for start in range(0, len(ids), width):
+                        part = slice(start, start + width)
+                        got = feats @ weights[:, part]
+                        if not (np.array_equal(feats, np.rint(feats)) and np.array_equal(weights, np.rint(weights))):
+                            got = np.round(got, 9)
+                        place = got.reshape(len(block), k, -1).argmax(axis=1)  # the first of equal ones
+                        chosen = np.take_along_axis(marks, place, axis=1)
+                        signature[0, part] += (chosen >> 32).sum(axis=0)
+                        signature[1, part] += (chosen & 0xFFFFFFFF).sum(axis=0)
+                        exact = np.take_along_axis(right, place, axis=1) * n[:, None]
+                        for key, own in group.items():
+                            total = cells.setdefault(key, [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)])
+                            total[0][part] += n[own].sum()
+                            total[1][part] += exact[own].sum(axis=0)
+        for i, (key, (cases, exact)) in enumerate(cells.items()):
+            marks = signature if i == 0 else np.zeros_like(signature)
+            out = {"policy": ids} | {c: [v] * len(ids) for c, v in zip(by, key, strict=True)}
+            yield pd.DataFrame(out | {"cases": cases, "exact": exact, "high": marks[0], "low": marks[1]})
+
+    groups = "".join(f"`{c}` {patterns.schema[c].dataType.simpleString()}, " for c in by)
+    each = flat.mapInPandas(tried, f"policy {names}, {groups}cases long, exact long, high long, low long")
+    return each.groupBy("policy", *by).agg(*[F.sum(c).alias(c) for c in ("cases", "exact", "high", "low")])
+
+
+def fitness(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(policy, cases, exact, signature, worst_<by>) from evaluate(): in all, and the lowest rate of each column's groups."""
+    out = scored.groupBy("policy").agg(F.sum("cases").alias("cases"), F.sum("exact").alias("exact"), F.concat_ws("|", F.sum("high"), F.sum("low")).alias("signature"))
+    for c in by:
+        rates = scored.groupBy("policy", c).agg((F.sum("exact") / F.sum("cases")).alias("rate"))
+        out = out.join(rates.groupBy("policy").agg(F.min("rate").alias(f"worst_{c}")), "policy")
+    return out
 
 
-def survivors(scored: DataFrame, keep: int) -> DataFrame:
-    """The best `keep` policies, one of each signature."""
-    own = F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("exact"), "policy"))
-    return scored.withColumn("own", own).where("own = 1").drop("own").orderBy(F.desc("exact"), "policy").limit(keep)
+def survivors(scored: DataFrame, keep: int, order: Sequence[Column]) -> DataFrame:
+    """The best `keep` policies in this order, one of each signature."""
+    own = F.row_number().over(Window.partitionBy("signature").orderBy(*order))
+    return scored.withColumn("own", own).where("own = 1").drop("own").orderBy(*order).limit(keep)
 
 
 def permille(case: str) -> Column:
@@ -98,21 +169,24 @@ def permille(case: str) -> Column:
     return F.conv(F.substring(F.md5(F.col(case).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 1000
 
 
-def halving(candidates: DataFrame, all_policies: DataFrame, case: str, panels: Sequence[tuple[float, int]]) -> DataFrame:
+def halving(candidates: DataFrame, all_policies: DataFrame, case: str, panels: Sequence[tuple[float, int]], by: Sequence[str] = (), order: Sequence[Column] = ()) -> DataFrame:
     """Successive halving over growing panels, and the last survivors' scores on cases that no panel had.
 
-    A panel is the share of cases whose number is below it, the last one the largest, and keeps so many policies. Returns
-    (policy, cases, exact, holdout_cases, holdout_exact).
+    A panel is the share of cases whose number is below it, the last one the largest, and keeps so many policies, the first by
+    `order`, which may name exact, worst_<by>, weights and policy; by default more exact cases, then the smaller policy. Columns
+    of `by` are a case's own. Returns (policy, cases, exact, worst_<by>, holdout_cases, holdout_exact).
     """
+    order = list(order) or [F.desc("exact"), F.col("policy")]
     numbered = candidates.withColumn("permille", permille(case))
     left, scored = all_policies, None
     for share, keep in panels:
-        own = patterns(numbered.where(F.col("permille") < int(share * 1000)), case)
-        scored = lineage.cut(survivors(evaluate(own, left), keep))  # `keep` rows
+        own = patterns(numbered.where(F.col("permille") < int(share * 1000)), case, by)
+        tried = lineage.cut(evaluate(own, left, by))  # policies x groups rows
+        scored = lineage.cut(survivors(fitness(tried, by).join(all_policies, "policy"), keep, order))  # `keep` rows
         left = all_policies.join(scored.select("policy"), "policy", "left_semi")
     rest = patterns(numbered.where(F.col("permille") >= int(panels[-1][0] * 1000)), case)
     held = evaluate(rest, left).select("policy", F.col("cases").alias("holdout_cases"), F.col("exact").alias("holdout_exact"))
-    return scored.select("policy", "cases", "exact").join(held, "policy", "left")
+    return scored.drop("signature", "weights").join(held, "policy", "left")
 
 
 def submask_votes(votes: DataFrame, truth: DataFrame, most_members: int = 12) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quorate.functions import draws
 from quorate.operators import audits, evolution, ranks, scores
 from quorate.operators.lineage import cut
 from quorate.plans.fixtures import LEDGER, PANEL, TRUTH, ledger, panel, plurality_sql, read, truth
@@ -139,6 +140,76 @@ SELECT CAST(policy AS INTEGER) AS policy, cases, exact, holdout_cases, holdout_e
 EVO06_RACE = _race_sql()
 
 
+SHARES, SELECTORS = ("job", "strategy", "lens", "proposer", "reviewer"), 5_000
+#: Shares of an order's cases and how many selectors each panel keeps; a third of the cases is in none.
+SELECTOR_PANELS = ((1 / 6, 800), (1 / 3, 160), (2 / 3, 25))
+SELECTOR_FEATURES = 12
+
+
+def selector_candidates(s, d):
+    """Per order and answer twelve features in whole millionths, which any engine sums alike, and whether it is right."""
+    a = scores.archive(panel(s, d), "case_id", "slot", "l_suppkey", "stage").withColumn("reviewer_support", F.expr("critic_support + verifier_support + judge_support"))
+    w = Window.partitionBy("case_id")
+    sums = {f"{c}_total": F.greatest(F.sum(f"{c}_support").over(w), F.lit(1)) for c in SHARES}  # of no support at all each share is 0
+    millionths = [
+        *[f"1000000 * {c}_support div {c}_total" for c in SHARES], "cast(floor(1000000 * mean_confidence) as bigint)", "cast(floor(1000000 * max_confidence) as bigint)", "1000000 * lens_support div job_support",
+        "if(proposer_support > 0 and reviewer_support > 0, 1000000L, 0L)", "1000000 * reviewer_support div job_support", "1000000 * job_support * lens_support div (job_total * lens_total)", "1000000 div job_support"]
+    c = a.withColumns(sums).select("case_id", "answer", F.array(*[F.expr(m) for m in millionths]).alias("features"))
+    return c.join(truth(s, d), "case_id").select("case_id", "answer", "features", scores.is_right(F.col("answer"), F.col("truth")).alias("right"), "family", "tier")
+
+
+def evo06_selectors(s, d):
+    """5,000 selectors of twelve weights from -8 to 8 race over panels of growing size, by exact cases, weakest family, weakest tier and small weights."""
+    seeds = [[8 if i == j else 0 for i in range(SELECTOR_FEATURES)] for j in range(3)]  # one for each of three features alone
+    drawn = cut(evolution.drawn_policies(s, SELECTOR_FEATURES, seeds, SELECTORS, seed="selectors"))
+    size = F.aggregate("weights", F.lit(0), lambda t, x: t + F.abs(x))
+    order = [F.desc("exact"), F.desc("worst_family"), F.desc("worst_tier"), size, F.desc("weights")]
+    return evolution.halving(selector_candidates(s, d), drawn, "case_id", SELECTOR_PANELS, ["family", "tier"], order)
+
+
+def _selectors_sql() -> str:
+    n, million = SELECTOR_FEATURES, "1000000 *"
+    seeds = ", ".join(f"({j}, {[8 if i == j else 0 for i in range(n)]})" for j in range(3))
+    weights = ", ".join(f"CAST({draws.between_sql('17', chr(39) + 'selectors' + chr(39), 'id', repr(str(i)))} AS INTEGER) - 8" for i in range(n))
+    total = lambda c: f"greatest(sum({c}_support) OVER (PARTITION BY case_id), 1)"
+    feats = ", ".join([
+        *[f"{million} {c}_support // {c}_total" for c in SHARES], f"floor({million} mean_confidence)", f"floor({million} max_confidence)", f"{million} lens_support // job_support",
+        f"CASE WHEN proposer_support > 0 AND reviewer_support > 0 THEN 1000000 ELSE 0 END", f"{million} reviewer_support // job_support", f"{million} job_support * lens_support // (job_total * lens_total)", "1000000 // job_support"])
+    dot = " + ".join(f"w[{i}] * f[{i}]" for i in range(1, n + 1))
+    rounds, left = [], "SELECT policy, w FROM q"
+    for i, (share, keep) in enumerate((*SELECTOR_PANELS, (None, None))):
+        within = f"pm < {int(share * 1000)}" if keep else f"pm >= {int(SELECTOR_PANELS[-1][0] * 1000)}"
+        rounds.append(f"""x{i} AS (
+  SELECT policy, case_id, any_value(family) AS family, any_value(tier) AS tier, arg_min({{'answer': answer, 'ok': ok}}, {{'s': -({dot}), 'a': answer}}) AS got
+  FROM c, ({left}) WHERE {within} GROUP BY policy, case_id),
+e{i} AS (
+  SELECT policy, count(*) AS cases, count(*) FILTER (got.ok) AS exact, sum(CAST(hash(case_id, got.answer) AS HUGEINT) % 1000000007) || '|' || sum(CAST(hash(got.answer, case_id) AS HUGEINT) % 998244353) AS sig FROM x{i} GROUP BY policy)""")
+        if keep:
+            worst = ", ".join(f"(SELECT policy, min(z) AS worst_{c} FROM (SELECT policy, {c}, CAST(count(*) FILTER (got.ok) AS DOUBLE) / count(*) AS z FROM x{i} GROUP BY policy, {c}) GROUP BY policy) {c}_" for c in ("family", "tier"))
+            order = "exact DESC, worst_family DESC, worst_tier DESC, list_sum(list_transform(w, lambda v: abs(v))), w DESC"
+            rounds.append(f"""k{i} AS (
+  SELECT policy, w, cases, exact, worst_family, worst_tier FROM (
+    SELECT e{i}.*, w, worst_family, worst_tier, row_number() OVER (PARTITION BY sig ORDER BY {order}) AS o
+    FROM e{i} JOIN q USING (policy), {worst} WHERE family_.policy = e{i}.policy AND tier_.policy = e{i}.policy)
+  WHERE o = 1 ORDER BY {order} LIMIT {keep})""")
+            left = f"SELECT policy, w FROM k{i}"
+    last = len(SELECTOR_PANELS)
+    return f"""WITH {PANEL}, {TRUTH},
+d AS (SELECT id + 3 AS policy, [{weights}] AS w FROM range({2 * SELECTORS}) t(id)),
+q AS (SELECT min(policy) AS policy, w FROM (SELECT policy, w FROM d WHERE list_max(w) > 0 UNION ALL SELECT * FROM (VALUES {seeds}) v(policy, w)) GROUP BY w ORDER BY 1 LIMIT {SELECTORS}),
+a AS (
+  SELECT case_id, answer, count(DISTINCT slot) AS job_support, count(DISTINCT l_suppkey) AS strategy_support, count(DISTINCT stage) AS lens_support, count(*) FILTER (role = 'proposer') AS proposer_support,
+         count(*) FILTER (role <> 'proposer') AS reviewer_support, CAST(sum(confidence) AS DOUBLE) / count(*) AS mean_confidence, CAST(max(confidence) AS DOUBLE) AS max_confidence
+  FROM panel GROUP BY case_id, answer),
+b AS (SELECT *, {', '.join(f"{total(c)} AS {c}_total" for c in SHARES)} FROM a),
+c AS (SELECT case_id, answer, [CAST(v AS BIGINT) FOR v IN [{feats}]] AS f, answer = truth AS ok, family, tier, CAST('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000 AS pm FROM b JOIN truth USING (case_id)),
+{', '.join(rounds)}
+SELECT k.policy, k.cases, k.exact, k.worst_family, k.worst_tier, h.cases AS holdout_cases, h.exact AS holdout_exact FROM k{last - 1} k LEFT JOIN e{last} h USING (policy)"""
+
+
+EVO06_SELECTORS = _selectors_sql()
+
+
 def evo01(s, d):
     """A generation from the best two brands' genes: mutants and crosses, made on the driver."""
     best = read(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p_type")).alias("types")).orderBy(F.desc("n"), "p_brand").limit(2).collect()
@@ -297,7 +368,7 @@ def ext_windows(s, d):
 EXT = "SELECT CAST(CAST(CAST(ts AS DATE) AS TIMESTAMP) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
 
 QUERIES = {
-    "AGG23_subset_search": (agg23, AGG23), "AGG23_forty": (agg23_forty, None), "AGG23_transfer": (agg23_transfer, AGG23_TRANSFER), "EVO01_generation": (evo01, None), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, EVO06_RACE),
+    "AGG23_subset_search": (agg23, AGG23), "AGG23_forty": (agg23_forty, None), "AGG23_transfer": (agg23_transfer, AGG23_TRANSFER), "EVO01_generation": (evo01, None), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, EVO06_RACE), "EVO06_selectors": (evo06_selectors, EVO06_SELECTORS),
     "AUD01_manifests": (aud01, AUD01), "AUD02_structure": (aud02, AUD02), "AUD04_recompute": (aud04, AUD04), "AUD05_suite": (aud05, AUD05), "AUD07_chain": (aud07, AUD07), "AUD10_cumulative": (aud10, AUD10), "AUD11_roles": (aud11, AUD11), "AUD12_reconcile": (aud12, AUD12),
     "AUD13_completeness": (aud13, AUD13), "AUD14_concurrency": (aud14, _aud14()), "AUD17_file_classes": (aud17, AUD17), "REP01_accuracy": (rep01, REP01), "REP02_families": (rep02, REP02), "EXT_event_windows": (ext_windows, EXT),
 }
