@@ -52,6 +52,43 @@ def next_generation(ranked: Sequence[tuple[str, list[str]]], choices: Sequence[s
     return out
 
 
+def mutated(genes: Column, choices: Column, *label: Column | str) -> Column:
+    """mutate() of a column: the genes with one locus changed to another of the locus's choices, an array of arrays; a locus without another choice keeps its gene."""
+
+    def changed(at: Column) -> Column:
+        others = F.filter(F.get(choices, at), lambda g: g != F.get(genes, at))
+        other = F.get(others, draws.below(F.greatest(F.size(others), F.lit(1)).cast("long"), *label, F.lit("gene")).cast("int"))
+        return draws.let(F.coalesce(other, F.get(genes, at)), lambda gene: F.transform(genes, lambda g, i: F.when(i == at, gene).otherwise(g)))
+
+    return draws.let(draws.below(F.size(genes).cast("long"), *label, F.lit("locus")).cast("int"), changed)
+
+
+def crossed(a: Column, b: Column, *label: Column | str) -> Column:
+    """cross() of columns: each of up to 52 loci from b where the label's digest has its bit, else from a."""
+    return draws.let(draws.words(*label, F.lit("mask"))[0], lambda mask: F.transform(a, lambda g, i: F.when(F.call_function("shiftright", mask, i) % 2 == 1, F.get(b, i)).otherwise(g)))
+
+
+def generations(population: DataFrame, group: str, genes: str, order: Sequence[Column], choices: Column, seed: str, mutants: int = 4, crosses: int = 2, tries: int = 16) -> DataFrame:
+    """(group, slot, child): next_generation() of all groups at once, each from its best two by `order`; a group of one crosses with itself.
+
+    A slot takes its first try that is neither in the group nor in an earlier slot; mutants come of both parents by turns. A slot
+    whose tries are all known stays empty. Equal genes of a group count as one individual each. Only the best two of a group
+    leave a task for the ranks; the whole population meets the tries by an equality of group and genes.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    of = lambda k: F.max(F.when(F.col("place") == k, F.col("own")))
+    best = population.select(group, F.col(genes).alias("own"), choices.alias("choices"), place.alias("place")).where("place <= 2").groupBy(group).agg(of(1).alias("a"), F.coalesce(of(2), of(1)).alias("b"), F.first("choices").alias("choices"))
+    tried = best.select("*", F.explode(F.sequence(F.lit(0), F.lit(mutants + crosses - 1))).alias("slot")).select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
+    label = (F.lit(seed), group, "slot", "attempt")
+    parent = F.when(F.col("slot") % 2 == 0, F.col("a")).otherwise(F.col("b"))
+    child = F.when(F.col("slot") < mutants, mutated(parent, F.col("choices"), *label)).otherwise(crossed(F.col("a"), F.col("b"), *label))
+    fresh = tried.select(group, "slot", "attempt", child.alias("child")).join(population.select(group, F.col(genes).alias("child")), [group, "child"], "left_anti")
+    each = fresh.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("slot", "attempt", "child"))).alias("tried"))  # slots x tries
+    none = F.filter("tried", lambda x: F.lit(False))
+    taken = F.aggregate("tried", none, lambda out, x: F.when(F.exists(out, lambda k: (k["slot"] == x["slot"]) | (k["child"] == x["child"])), out).otherwise(F.array_append(out, x)))
+    return each.select(group, F.explode(taken).alias("t")).select(group, "t.slot", "t.child")
+
+
 def challenge(parents: DataFrame, children: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per slot the child if its key, larger being better, is strictly better than the parent's, else the parent."""
     p = parents.select("slot", F.col("id").alias("parent"), F.struct(*keys).alias("pk"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.functions import draws
+
 
 def contiguity(attempts: DataFrame, key: str, number: str, order: Sequence[str]) -> DataFrame:
     """Rows whose attempt number is not their place in order."""
@@ -86,3 +88,27 @@ def pick_and_pop(ids: list[str], seed: str) -> list[str]:
         at = int(hashlib.sha256(f"{seed}|{len(out)}".encode()).hexdigest(), 16) % len(left)
         out.append(left.pop(at))
     return out
+
+
+def digest_modulo(digest: Column, n: Column) -> Column:
+    """The whole number that 64 hex digits write, modulo n below 2 to the power 31: eight digits at a time."""
+
+    def rest(hex_: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(8):
+            out = (out * F.lit(1 << 32) + F.conv(F.substring(hex_, 8 * i + 1, 8), 16, 10).cast("long")) % n
+        return out
+
+    return draws.let(digest, rest)
+
+
+def popped(ids: Column, seed: Column) -> Column:
+    """pick_and_pop() of a column of lists, in order of their values; a row's list is short, as each step copies what is left."""
+    none = F.filter(ids, lambda x: F.lit(False))
+    start = F.struct(F.array_sort(ids).alias("left"), none.alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        at = digest_modulo(F.sha2(F.concat_ws("|", seed, k).cast("binary"), 256), F.size(s["left"]).cast("long")).cast("int")
+        return draws.let(at, lambda i: F.struct(F.filter(s["left"], lambda x, j: j != i).alias("left"), F.array_append(s["out"], F.get(s["left"], i)).alias("out")))
+
+    return F.when(F.size(ids) > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(ids), F.lit(1)) - 1), start, step, lambda s: s["out"])).otherwise(ids)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import programs as programs_
 from quorate.functions import sequences
-from quorate.operators import audits, decisions, evolution, recognisers, scores, validators, votes
+from quorate.operators import audits, decisions, recognisers, scores, validators, votes
 from quorate.operators import cases as sampling
 from quorate.operators.lineage import cut
 from quorate.plans.fixtures import PANEL, SMALL, TRUTH, panel, plurality_sql, read, small_panel, truth
@@ -160,19 +160,37 @@ def fn09(s, d):
 
 
 def fn12(s, d):
-    """Named sequences by recurrence: Catalan, Motzkin, involutions, and a row of Stirling numbers of two parts."""
-    n = s.range(12).select(F.col("id").alias("n"))
-    catalan = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n")), F.lit(1).cast("long"), lambda c, k: F.when(k == F.col("n"), c).otherwise((c * (4 * k + 2) / (k + 2)).cast("long")))
+    """Named sequences at the numbers that parts' sizes give (modulo 16), by their recurrences."""
+    n, long = F.col("n"), lambda v: F.lit(v).cast("long")
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    one = F.lit(1).cast("long")
-    steps = F.filter(F.sequence(F.lit(2).cast("long"), F.greatest(F.col("n"), F.lit(2).cast("long"))), lambda k: k <= F.col("n"))
-    motzkin = F.aggregate(steps, pair(one, one), lambda s_, k: pair(s_["b"], (((2 * k + 1) * s_["b"] + (3 * k - 3) * s_["a"]) / (k + 2)).cast("long")), lambda s_: s_["b"])
-    involutions = F.aggregate(steps, pair(one, one), lambda s_, k: pair(s_["b"], s_["b"] + (k - 1) * s_["a"]), lambda s_: s_["b"])
-    stirling = F.when(F.col("n") >= 2, (F.pow(F.lit(2.0), F.col("n") - 1) - 1).cast("long")).otherwise(F.lit(0).cast("long"))
-    return n.select("n", catalan.alias("catalan"), motzkin.alias("motzkin"), involutions.alias("involutions"), stirling.alias("stirling2"))
-
-
-FN12 = "SELECT unnest(range(12)) AS n, unnest([1, 1, 2, 5, 14, 42, 132, 429, 1430, 4862, 16796, 58786]) AS catalan, unnest([1, 1, 2, 4, 9, 21, 51, 127, 323, 835, 2188, 5798]) AS motzkin, unnest([1, 1, 2, 4, 10, 26, 76, 232, 764, 2620, 9496, 35696]) AS involutions, unnest([0, 0, 1, 3, 7, 15, 31, 63, 127, 255, 511, 1023]) AS stirling2"
+    upto = lambda first: F.filter(F.sequence(long(0), n), lambda k: k >= first)
+    div = lambda a, b: F.call_function("div", a, b)
+    second = lambda step: F.aggregate(upto(2), pair(long(1), long(1)), lambda x, k: pair(x["b"], step(x, k)), lambda x: x["b"])
+    columns = {
+        "catalan": F.aggregate(upto(1), long(1), lambda c, k: div(c * (4 * k - 2), k + 1)),
+        "motzkin": second(lambda x, k: div((2 * k + 1) * x["b"] + (3 * k - 3) * x["a"], k + 2)),
+        "involutions": second(lambda x, k: x["b"] + (k - 1) * x["a"]),
+        "central_trinomial": second(lambda x, k: div((2 * k - 1) * x["b"] + (3 * k - 3) * x["a"], k)),
+        "stirling2": F.aggregate(upto(2), long(0), lambda x, k: 2 * x + 1),
+        # a row of partial sums of the row before, read backwards
+        "zigzag": F.aggregate(upto(1), F.array(long(1)), lambda row, k: F.aggregate(F.reverse(row), F.array(long(0)), lambda out, v: F.array_append(out, F.element_at(out, -1) + v)), lambda row: F.element_at(row, -1)),
+        "cayley": F.aggregate(upto(3), long(1), lambda x, k: x * n),
+    }
+    numbers = read(s, d, "part").groupBy((F.col("p_size") % 16).cast("long").alias("n")).agg(F.count("*").alias("parts"))
+    return numbers.select("n", "parts", *[c.alias(name) for name, c in columns.items()])
+
+
+FN12 = """WITH RECURSIVE z(m, a) AS (
+  SELECT 1, [CAST(1 AS HUGEINT), 1]
+  UNION ALL SELECT m + 1, list_append(a, CAST(list_sum(list_transform(range(m + 1), lambda k: factorial(CAST(m AS INTEGER)) // (factorial(CAST(k AS INTEGER)) * factorial(CAST(m - k AS INTEGER))) * a[k + 1] * a[m - k + 1])) AS HUGEINT) // 2) FROM z WHERE m < 15),
+n AS (SELECT CAST(p_size % 16 AS BIGINT) AS n, count(*) AS parts FROM part GROUP BY 1),
+s AS (
+  SELECT n, sum(factorial(n::INTEGER) // (factorial((n - 2 * k)::INTEGER) * factorial(k::INTEGER) * factorial((k + 1)::INTEGER))) AS motzkin,
+         sum(factorial(n::INTEGER) // (factorial((n - 2 * k)::INTEGER) * factorial(k::INTEGER) * (1 << k))) AS involutions, sum(factorial(n::INTEGER) // (factorial((n - 2 * k)::INTEGER) * factorial(k::INTEGER) * factorial(k::INTEGER))) AS trinomial
+  FROM n, range(8) t(k) WHERE 2 * k <= n GROUP BY n)
+SELECT n, parts, CAST(factorial((2 * n)::INTEGER) // (factorial(n::INTEGER) * factorial((n + 1)::INTEGER)) AS BIGINT) AS catalan, CAST(motzkin AS BIGINT) AS motzkin, CAST(involutions AS BIGINT) AS involutions, CAST(trinomial AS BIGINT) AS central_trinomial,
+       CASE WHEN n = 0 THEN 0 ELSE ((1 << n) - 2) // 2 END AS stirling2, CAST((SELECT a FROM z WHERE m = 15)[n + 1] AS BIGINT) AS zigzag, CASE WHEN n < 3 THEN 1 ELSE CAST(list_product(list_transform(range(n - 2), lambda k: n)) AS BIGINT) END AS cayley
+FROM n JOIN s USING (n)"""
 
 
 def fn15(s, d):
@@ -286,16 +304,9 @@ g AS (SELECT case_id, coalesce(count(*) FILTER (role = 'judge') = 2 AND count(DI
 SELECT block, count(*) AS cases, count(*) FILTER (CASE WHEN ok THEN a ELSE v.answer END = truth) AS exact, count(*) FILTER (ok) AS opened FROM g LEFT JOIN v ON g.case_id = v.case_id JOIN truth ON truth.case_id = g.case_id GROUP BY block"""
 
 
-def evo02(s, d):
-    """Crosses of neighbouring brands' genes on the driver, by a mask of their names' digest."""
-    brands = [r[0] for r in read(s, d, "part").select("p_brand").distinct().orderBy("p_brand").collect()]  # brands are few
-    genes = {b: [f"{b}-{i}" for i in range(5)] for b in brands}
-    return s.createDataFrame([(a, evolution.cross(genes[a], genes[b], f"{a}|{b}")) for a, b in zip(brands, brands[1:], strict=False)], "brand string, genes array<string>")
-
-
 QUERIES = {
     "SEQ02_families": (seq02_families, None), "SEQ03_families": (seq03_families, None), "SEQ04_families": (seq04_families, None), "SEQ05_families": (seq05_families, None), "SEQ06_families": (seq06_families, None), "SEQ08_families": (seq08_families, None),
     "SEQ02_programs": (seq02, SEQ02), "SEQ06_rejection_sampling": (cases, SEQ06), "SEQ08_regeneration": (seq08, SEQ08), "FN09_random_numbers": (fn09, None), "FN12_named_sequences": (fn12, FN12), "FN15_iso_times": (fn15, FN15),
-    "VAL08_scored_items": (val08, VAL08), "VAL09_compliance": (val09, VAL09), "EVO02_crossover": (evo02, None), "EVO07_founders": (evo07, EVO07), "AUD03_provenance": (aud03, AUD03), "AUD08_reproduction": (aud08, AUD08), "AUD09_replacement": (aud09, _aud09()),
+    "VAL08_scored_items": (val08, VAL08), "VAL09_compliance": (val09, VAL09), "EVO07_founders": (evo07, EVO07), "AUD03_provenance": (aud03, AUD03), "AUD08_reproduction": (aud08, AUD08), "AUD09_replacement": (aud09, _aud09()),
     "AUD15_scoring_checks": (aud15, AUD15), "AUD16_development_gate": (aud16, AUD16), "SNK05_summary": (snk05, SNK05),
 }

@@ -150,8 +150,23 @@ WIN14 = "SELECT c_mktsegment, c_custkey, CAST((row_number() OVER (PARTITION BY c
 
 
 def win15(s, d):
-    names = [r[0] for r in read(s, d, "nation").select("n_name").collect()]  # 25 rows
-    return s.createDataFrame([(i, n) for i, n in enumerate(ranks.pick_and_pop(names, "quorate"))], "place int, n_name string")
+    """Each order's suppliers in the order in which digests of the order's key pick them."""
+    c = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("ids"))  # an order's lines are few
+    return c.select("l_orderkey", F.array_join(ranks.popped(F.col("ids"), F.concat_ws("|", F.lit("quorate"), "l_orderkey")), ",").alias("picked"))
+
+
+def _win15() -> str:
+    at = "CAST(0 AS BIGINT)"
+    for i in range(8):
+        at = f"(({at} * {1 << 32} + CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) % len(rest))"
+    return f"""WITH RECURSIVE r(l_orderkey, rest, got, k) AS (
+  SELECT l_orderkey, list_sort(list(l_suppkey)), CAST([] AS BIGINT[]), 0 FROM lineitem GROUP BY l_orderkey
+  UNION ALL SELECT l_orderkey, list_slice(rest, 1, pos) || list_slice(rest, pos + 2, len(rest)), list_append(got, rest[pos + 1]), k + 1
+  FROM (SELECT *, {at} AS pos FROM (SELECT *, sha256('quorate|' || l_orderkey || '|' || k) AS h FROM r WHERE len(rest) > 0)))
+SELECT l_orderkey, array_to_string(got, ',') AS picked FROM r WHERE len(rest) = 0"""
+
+
+WIN15 = _win15()
 
 
 def set01(s, d):
@@ -312,7 +327,7 @@ AGG15 = f"WITH {LEDGER} SELECT event_type, {RELIABLE} FROM ledger GROUP BY event
 QUERIES = {
     "WIN01_contiguity": (win01, WIN01), "WIN02_hash_ties": (win02, WIN02), "WIN03_peak_concurrency": (win03, WIN03), "WIN04_route_disagreement": (win04, WIN04), "WIN05_route_support": (win05, WIN05), "WIN06_route_recovery": (win06, WIN06),
     "WIN07_route_refinement": (win07, WIN07), "WIN08_scopes": (win08, WIN08), "WIN09_finalists": (win09, WIN09), "WIN10_anonymous_order": (win10, WIN10), "WIN11_seeded_shuffle": (win11, WIN11), "WIN12_race": (win12, WIN12),
-    "WIN14_split_blocks": (win14, WIN14), "WIN15_pick_and_pop": (win15, None),
+    "WIN14_split_blocks": (win14, WIN14), "WIN15_pick_and_pop": (win15, WIN15),
     "SET01_overlap": (set01, SET01), "SET02_checked_union": (set02, SET02), "SET03_retry_merge": (set03, SET03), "SET04_difference": (set04, SET04), "SET05_balance": (set05, SET05), "SET06_panels": (set06, SET06),
     "LEDG01_lineage": (ledg01, LEDG01), "LEDG02_job_state": (ledg02, LEDG02), "LEDG03_problems": (ledg03, LEDG03), "LEDG04_selected": (ledg04, LEDG04), "LEDG05_closed_gate": (ledg05, LEDG05), "LEDG06_last_event": (ledg06, LEDG06), "LEDG08_replay": (ledg08, LEDG08),
     "AGG13_reliability": (agg13, AGG13), "AGG14_call_rollup": (agg14, AGG14), "AGG15_ledger_totals": (agg15, AGG15),

@@ -210,13 +210,73 @@ SELECT k.policy, k.cases, k.exact, k.worst_family, k.worst_tier, h.cases AS hold
 EVO06_SELECTORS = _selectors_sql()
 
 
+def genomes(s, d):
+    """Parts as individuals, brands as populations: genes are the two words of a part's name, its type and its size by tens; each locus's choices are all that occur."""
+    words = F.split("p_name", " ")
+    g = read(s, d, "part").select("p_partkey", "p_brand", "p_retailprice", F.array(F.get(words, 0), F.get(words, 1), "p_type", F.floor(F.col("p_size") / 10).cast("string")).alias("genes"))
+    choices = g.agg(F.array(*[F.array_sort(F.collect_set(F.get("genes", i))) for i in range(4)]).alias("choices"))  # four vocabularies
+    return g.crossJoin(F.broadcast(choices))
+
+
+GENOMES = """g AS (SELECT p_partkey, p_brand, p_retailprice, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type, CAST(p_size // 10 AS VARCHAR)] AS genes FROM part),
+ch AS (SELECT [list_sort(list(DISTINCT genes[1])), list_sort(list(DISTINCT genes[2])), list_sort(list(DISTINCT genes[3])), list_sort(list(DISTINCT genes[4]))] AS choices FROM g)"""
+
+
+def mutated_sql(source: str, genes: str, label: list[str]) -> str:
+    """Rows of source with `mutant`, as evolution.mutated() makes it of genes and choices."""
+    return f"""SELECT *, list_transform(range(1, 5), lambda i: CASE WHEN i = locus + 1 THEN coalesce(others[pick + 1], {genes}[i]) ELSE {genes}[i] END) AS mutant
+FROM (SELECT *, {draws.between_sql("greatest(len(others), 1)", *label, "'gene'")} AS pick
+FROM (SELECT *, list_filter(choices[locus + 1], lambda x: x <> {genes}[locus + 1]) AS others FROM (SELECT *, {draws.between_sql("4", *label, "'locus'")} AS locus FROM {source})))"""
+
+
+def crossed_sql(a: str, b: str, label: list[str]) -> str:
+    mask = f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(label)}, 'mask')), 1, 13) AS BIGINT)"
+    return f"list_transform(range(1, 5), lambda i: CASE WHEN ({mask} >> (i - 1)) % 2 = 1 THEN {b}[i] ELSE {a}[i] END)"
+
+
 def evo01(s, d):
-    """A generation from the best two brands' genes: mutants and crosses, made on the driver."""
-    best = read(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p_type")).alias("types")).orderBy(F.desc("n"), "p_brand").limit(2).collect()
-    choices = sorted({t for r in best for t in r.types})
-    ranked = [(r.p_brand, [choices[(i * 7 + k) % len(choices)] for i in range(9)]) for k, r in enumerate(best)]
-    children = evolution.next_generation(ranked, choices, "quorate")
-    return s.createDataFrame([(i, c) for i, c in enumerate(children)], "child int, genes array<string>")
+    """Every part with one gene changed."""
+    child = evolution.mutated(F.col("genes"), F.col("choices"), F.lit("evo01"), "p_partkey")
+    return genomes(s, d).select("p_partkey", F.array_join("genes", "|").alias("parent"), F.array_join(child, "|").alias("child"))
+
+
+EVO01 = f"WITH {GENOMES} SELECT p_partkey, array_to_string(genes, '|') AS parent, array_to_string(mutant, '|') AS child FROM ({mutated_sql('(SELECT * FROM g, ch)', 'genes', [chr(39) + 'evo01' + chr(39), 'p_partkey'])})"
+
+
+def evo02(s, d):
+    """Parts of even keys crossed with the next ones."""
+    pair = genomes(s, d).groupBy(F.expr("p_partkey div 2").alias("pair")).agg(F.min_by("genes", "p_partkey").alias("a"), F.max_by("genes", "p_partkey").alias("b"), F.count("*").alias("n")).where("n = 2")
+    return pair.select("pair", F.array_join(evolution.crossed(F.col("a"), F.col("b"), F.lit("evo02"), "pair"), "|").alias("child"))
+
+
+EVO02 = f"""WITH {GENOMES}, p AS (SELECT p_partkey // 2 AS pair, arg_min(genes, p_partkey) AS a, arg_max(genes, p_partkey) AS b FROM g GROUP BY 1 HAVING count(*) = 2)
+SELECT pair, array_to_string({crossed_sql('a', 'b', [chr(39) + 'evo02' + chr(39), 'pair'])}, '|') AS child FROM p"""
+
+
+def evo03(s, d):
+    """The next generation of each brand from its two dearest parts: four mutants and two crosses, none that is there."""
+    g = genomes(s, d)
+    out = evolution.generations(g, "p_brand", "genes", [F.desc("p_retailprice"), F.col("p_partkey")], F.col("choices"), "evo03")
+    return out.select("p_brand", "slot", F.array_join("child", "|").alias("child"))
+
+
+def _evo03() -> str:
+    label = ["'evo03'", "p_brand", "slot", "attempt"]
+    taken = []
+    for k in range(6):
+        earlier = " UNION ALL ".join(f"SELECT * FROM k{j}" for j in range(k))
+        unlike = f" AND (p_brand, child) NOT IN (SELECT (p_brand, child) FROM ({earlier}))" if k else ""
+        taken.append(f"k{k} AS (SELECT p_brand, {k} AS slot, arg_min(child, attempt) AS child FROM f WHERE slot = {k}{unlike} GROUP BY p_brand)")
+    return f"""WITH {GENOMES},
+b AS (SELECT p_brand, max(genes) FILTER (o = 1) AS a, coalesce(max(genes) FILTER (o = 2), max(genes) FILTER (o = 1)) AS b FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS o FROM g) GROUP BY p_brand),
+t AS (SELECT *, CASE WHEN slot % 2 = 0 THEN a ELSE b END AS parent FROM b, ch, range(6) s(slot), range(16) n(attempt)),
+m AS (SELECT p_brand, slot, attempt, CASE WHEN slot < 4 THEN mutant ELSE {crossed_sql('a', 'b', label)} END AS child FROM ({mutated_sql('t', 'parent', label)})),
+f AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.p_brand = m.p_brand AND g.genes = m.child)),
+{', '.join(taken)}
+SELECT p_brand, CAST(slot AS INTEGER) AS slot, array_to_string(child, '|') AS child FROM ({' UNION ALL '.join(f'SELECT * FROM k{k}' for k in range(6))})"""
+
+
+EVO03 = _evo03()
 
 
 def manifests(s, d):
@@ -368,7 +428,7 @@ def ext_windows(s, d):
 EXT = "SELECT CAST(CAST(CAST(ts AS DATE) AS TIMESTAMP) AS VARCHAR) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"
 
 QUERIES = {
-    "AGG23_subset_search": (agg23, AGG23), "AGG23_forty": (agg23_forty, None), "AGG23_transfer": (agg23_transfer, AGG23_TRANSFER), "EVO01_generation": (evo01, None), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, EVO06_RACE), "EVO06_selectors": (evo06_selectors, EVO06_SELECTORS),
+    "AGG23_subset_search": (agg23, AGG23), "AGG23_forty": (agg23_forty, None), "AGG23_transfer": (agg23_transfer, AGG23_TRANSFER), "EVO01_mutation": (evo01, EVO01), "EVO02_crossover": (evo02, EVO02), "EVO01_generation": (evo03, EVO03), "EVO04_challenge": (evo04, EVO04), "EVO05_champion": (evo05, EVO05), "EVO06_policies": (evo06, EVO06), "EVO06_race": (evo06_race, EVO06_RACE), "EVO06_selectors": (evo06_selectors, EVO06_SELECTORS),
     "AUD01_manifests": (aud01, AUD01), "AUD02_structure": (aud02, AUD02), "AUD04_recompute": (aud04, AUD04), "AUD05_suite": (aud05, AUD05), "AUD07_chain": (aud07, AUD07), "AUD10_cumulative": (aud10, AUD10), "AUD11_roles": (aud11, AUD11), "AUD12_reconcile": (aud12, AUD12),
     "AUD13_completeness": (aud13, AUD13), "AUD14_concurrency": (aud14, _aud14()), "AUD17_file_classes": (aud17, AUD17), "REP01_accuracy": (rep01, REP01), "REP02_families": (rep02, REP02), "EXT_event_windows": (ext_windows, EXT),
 }
