@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.llm import decontamination, jaccard_join, language_id, mixing, token_files
-from quorate.llm.common import Workspace
+from quorate.llm.common import Workspace, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document below this cosine to every language's prototype, or without a letter, is rejected.
 LEAST_COSINE = 0.02
+#: Rows of a batch for Python: workers live on from stage to stage, so that what one stage's batches need adds to the next one's.
+BATCH = 250
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = ws.save(stage(spark, docs, sf_dir), name)
+    with small_batches(spark, BATCH):
+        for name, stage in STAGES:
+            docs = ws.save(stage(spark, docs, sf_dir), name)
     return docs
