@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quorate.functions.draws import let
+
 #: A whole number without sign for zero, without leading zeros; \z also rejects a trailing line feed.
 CANONICAL = r"^(0|-?[1-9][0-9]*)\z"
 
@@ -64,12 +66,17 @@ def differences(values: Column) -> Column:
 
 
 def fit_binomial(values: Column, degree: int) -> Column:
-    """Coefficients of the binomial polynomial through the first degree + 1 values if it meets all values, else null."""
-    heads, d = [], values
-    for _ in range(degree + 1):
-        heads.append(F.get(d, F.lit(0)))
-        d = differences(d)
-    return F.when((F.size(values) > degree) & F.forall(d, lambda x: x == 0), F.array(*heads))
+    """Coefficients of the binomial polynomial through the first degree + 1 values if it meets all values, else null.
+
+    Each row of differences is made once, in a chain of lambdas; as plain expressions in each other it would be made four times for each row above it.
+    """
+
+    def fitted(first: Column, d: Column, heads: list[Column]) -> Column:
+        if len(heads) > degree:
+            return F.when((F.size(first) > degree) & F.forall(d, lambda x: x == 0), F.array(*heads))
+        return let(differences(d), lambda own: fitted(first, own, [*heads, F.get(d, F.lit(0))]))
+
+    return let(values, lambda own: fitted(own, own, []))
 
 
 def floor_div(a: Column, b: Column) -> Column:
