@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quorate.operators import ledgers, ranks, sets
-from quorate.plans.fixtures import LEDGER, PANEL, TRUTH, ledger, panel, read, truth
+from quorate.plans.fixtures import LEDGER, PANEL, TRUTH, ledger, panel, read, read_dealt, truth
 
 VOTES, INTS = "count(*)", "CAST({} AS INTEGER)"
 
@@ -200,8 +200,8 @@ SET03 = f"WITH {LEDGER}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id
 
 
 def set04(s, d):
-    o = read(s, d, "orders").select(F.col("o_orderkey").alias("id")).where("id % 11 <> 0")
-    return sets.difference(o, read(s, d, "lineitem").select(F.col("l_orderkey").alias("id")), "id")
+    o = read_dealt(s, d, "orders", "o_orderkey").select(F.col("o_orderkey").alias("id")).where("id % 11 <> 0")
+    return sets.difference(o, read_dealt(s, d, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("id")), "id")
 
 
 SET04 = "SELECT DISTINCT o_orderkey AS id, 'missing' AS kind FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'extra' FROM lineitem WHERE l_orderkey % 11 = 0"

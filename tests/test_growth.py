@@ -1,8 +1,11 @@
 """Steps whose work is to grow no faster than their input."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quorate.functions import scalars
+from quorate.operators import lineage
+from quorate.plans import fixtures, ranks
 
 
 def shown(df):
@@ -16,3 +19,11 @@ def test_fit_binomial_makes_each_row_of_differences_once(spark):
     got = {r.id: r.c for r in df.select("id", scalars.fit_binomial(F.col("vals"), 2).alias("c")).collect()}
     assert got == {1: [1, 2, 2], 2: None, 3: None, 4: [2, 2, 2], 5: None, 6: None}
     assert shown(df.select(scalars.fit_binomial(F.col("vals"), 5).alias("c"))).count("vals#") <= 4
+
+
+def test_panels_and_truths_are_dealt_in_parts_of_bounded_rows(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(lineage, "TASK_ROWS", 500)
+    assert fixtures.panel(spark, d).rdd.getNumPartitions() == 12  # 6,000 lines
+    assert "REPARTITION_BY_NUM" in ranks.set04(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert ranks.set04(spark, d).where("kind = 'missing'").select("id").distinct().count() == duckdb.sql(f"SELECT count(*) FROM '{d}/orders.parquet' WHERE o_orderkey % 11 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM '{d}/lineitem.parquet')").fetchall()[0][0]
