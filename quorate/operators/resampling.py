@@ -6,14 +6,16 @@ grows with replicates and classes, not with cases. Classes of few cases are put
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import itertools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorate.functions.draws import let, unit, words
+from quorate.functions.draws import BITS, let, unit, words
 from quorate.operators.lineage import cut
 
 #: A class of fewer cases goes to a pool; a pool has about so many cases.
@@ -24,8 +26,10 @@ ONE_BY_ONE = 20
 EXPECTED, REJECTIONS = 10, 64
 #: With fewer expected, no more than so many come up (a chance below 1e-90).
 WALK = 127
-#: Replicates that meet a pool together, and draws that are made at once.
-PART, BLOCK = 1000, 1_000_000
+#: Replicates that meet a stratum's tree or a pool together, and splits or draws that are made at once (in the processor's cache).
+PART, BLOCK = 1000, 1 << 16
+#: Splits and draws of a task, about.
+TASK_SPLITS, TASK_DRAWS = 1 << 21, 1 << 26
 #: SplitMix64's step and multipliers.
 GAMMA, MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: ln k! less (k + 1/2) ln(k + 1) - (k + 1) + ln(2 pi) / 2, for k from 0 to 9.
@@ -108,30 +112,124 @@ def items(cases: DataFrame, metrics: Sequence[str], stratum: str = "stratum") ->
     return both.select("stratum", (F.row_number().over(order) - 1).cast("long").alias("item"), (F.col("pool") >= 0).alias("pool"), "n", "cells")
 
 
-def counts(items_: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """(replicate, stratum, item, k): how many of a replicate's draws fall on each item, where any do; a stratum has as many draws as cases."""
-    spark = items_.sparkSession
-    depth = max(1, ((items_.agg(F.max("item")).first()[0] or 0)).bit_length())
-    sizes = items_.groupBy("stratum").agg(F.sum("n").alias("k"))
-    rows = spark.range(replicates).select(F.col("id").cast("int").alias("replicate")).join(F.broadcast(sizes)).select("replicate", "stratum", F.lit(0).cast("long").alias("node"), "k") if not sizes.isEmpty() else sizes.select(F.lit(0).alias("replicate"), "stratum", F.lit(0).cast("long").alias("node"), "k")
-    for level in range(depth):
-        below = depth - level - 1
-        left = F.shiftright("item", below).bitwiseAND(F.lit(1)) == 0
-        splits = items_.groupBy(F.col("stratum").alias("s_stratum"), F.shiftright("item", below + 1).alias("s_node")).agg(F.sum(F.when(left, F.col("n")).otherwise(0)).alias("part"), F.sum("n").alias("whole"))
-        met = rows.join(splits, F.col("stratum").eqNullSafe(F.col("s_stratum")) & (F.col("node") == F.col("s_node")))
-        one = binomial(F.col("k"), F.col("part"), F.col("whole"), F.lit(seed), F.col("replicate"), F.coalesce("stratum", F.lit("")), F.lit(level), F.col("node"))
-        drawn = met.withColumn("x", one)
-        kids = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("x").alias("k")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("k") - F.col("x")).alias("k"))))
-        rows = drawn.select("replicate", "stratum", kids.alias("y")).select("replicate", "stratum", "y.node", "y.k").where("k > 0")
-    return rows.withColumnRenamed("node", "item")
-
-
-def mixed(base: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Word j, of 52 bits, of the streams that SplitMix64 makes of the bases."""
-    z = base.astype(np.uint64) + (j.astype(np.uint64) + np.uint64(1)) * np.uint64(GAMMA)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[0])
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[1])
-    return (z ^ (z >> np.uint64(31))) >> np.uint64(12)
+def _digests(labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two units a label from its MD5, as unit() makes them of words()."""
+    whole = np.frombuffer(b"".join([hashlib.md5(x.encode(), usedforsecurity=False).digest() for x in labels]), ">u8").astype(np.uint64)
+    high, low = whole[::2], whole[1::2]
+    both = high >> np.uint64(12), ((high & np.uint64(0xFFF)) << np.uint64(40)) | (low >> np.uint64(24))
+    return tuple((w.astype(np.float64) + 0.5) / float(1 << BITS) for w in both)
+
+
+def _rests(k: np.ndarray) -> np.ndarray:
+    x = (k + 1).astype(np.float64)
+    series = (1.0 / 12 - (1.0 / 360 - 1.0 / 1260 / (x * x)) / (x * x)) / x
+    return np.where(k < len(FACTORIAL_RESTS), np.array(FACTORIAL_RESTS)[np.clip(k, 0, len(FACTORIAL_RESTS) - 1)], series)
+
+
+def binomials(n: np.ndarray, part: np.ndarray, whole: np.ndarray, label: Callable[[int], str]) -> np.ndarray:
+    """binomial() of arrays: the same numbers, label(i) being the text of row i's label."""
+    less = np.minimum(part, whole - part)
+    p = less / whole.astype(np.float64)
+    out = np.zeros(len(n), np.int64)
+    some = (n > 0) & (less > 0)
+    single = some & (n <= ONE_BY_ONE)
+    walked = some & ~single & (n * p < EXPECTED)
+    if single.any():
+        at = np.flatnonzero(single)
+        words_ = (n[at] + 1) // 2
+        row, j = np.repeat(at, words_), np.arange(words_.sum()) - np.repeat(np.cumsum(words_) - words_, words_)
+        one, two = _digests([f"{label(i)}|{x}" for i, x in zip(row.tolist(), j.tolist(), strict=True)])
+        np.add.at(out, row, (one < p[row]).astype(np.int64) + ((two < p[row]) & (2 * j + 1 < n[row])))
+    if walked.any():
+        at = np.flatnonzero(walked)
+        u, m, q = _digests([f"{label(i)}|walk" for i in at.tolist()])[0], n[at], p[at]
+        pmf = np.exp(m * np.log1p(-q))
+        cdf, k, odds = pmf.copy(), np.zeros(len(at), np.int64), q / (1 - q)
+        for most in range(1, WALK + 1):
+            on = np.flatnonzero((cdf <= u) & (m >= most))
+            if not len(on):
+                break
+            pmf[on] = pmf[on] * (m[on] - k[on]) / (k[on] + 1) * odds[on]
+            cdf[on] += pmf[on]
+            k[on] += 1
+        out[at] = k
+    left = np.flatnonzero(some & ~single & ~walked)
+    for attempt in itertools.count():
+        if not len(left):
+            break
+        u, v = _digests([f"{label(i)}|{attempt}" for i in left.tolist()])
+        k, good = _tried(n[left], p[left], u - 0.5, v)
+        out[left[good]] = k[good]
+        left = left[~good]
+    return np.where(part * 2 > whole, n - out, out)
+
+
+def _tried(n: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A try of _refused(), and whether it is taken."""
+    spread = np.sqrt(n * p * (1 - p))
+    b = 1.15 + 2.53 * spread
+    a, alpha, m, r = -0.0873 + 0.0248 * b + 0.01 * p, (2.83 + 5.1 / b) * spread, np.floor((n + 1) * p).astype(np.int64), p / (1 - p)
+    us = 0.5 - np.abs(u)
+    k = np.floor((2 * a / us + b) * u + (n * p + 0.5)).astype(np.int64)
+    good = (us >= 0.07) & (v <= 0.92 - 4.2 / b)
+    at = np.flatnonzero(~good & (k >= 0) & (k <= n))
+    n, k_, m, r = n[at], k[at], m[at], r[at]
+    bound = (m + 0.5) * np.log((m + 1) / (r * (n - m + 1))) + (n + 1) * np.log((n - m + 1) / (n - k_ + 1)) + (k_ + 0.5) * np.log(r * (n - k_ + 1) / (k_ + 1))
+    bound = bound + _rests(m) + _rests(n - m) - _rests(k_) - _rests(n - k_)
+    good[at] = np.log(v[at] * alpha[at] / (a[at] / (us[at] * us[at]) + b[at])) <= bound
+    return k, good
+
+
+def _split(names: list[str], depth: int, replicates: int, seed: str):
+    """A part's replicates of one stratum from its items (stratum, none, part, item, pool, n, metrics): a row with the sums over classes, and one for each pool that is met.
+
+    Counts of as many replicates as a BLOCK allows go down the tree together, a level at a time.
+    """
+
+    def run(items_: pd.DataFrame) -> pd.DataFrame:
+        items_ = items_.sort_values("item")
+        stratum, none, part = items_.stratum.iloc[0], items_.none.iloc[0], int(items_.part.iloc[0])
+        upto, pool = np.concatenate([[0], np.cumsum(items_.n.to_numpy())]), items_.pool.to_numpy()
+        values = [items_[m].to_numpy()[~pool] for m in names]
+        size, out = len(items_), []
+        step = max(1, BLOCK // size)
+        last = min(replicates, (part + 1) * PART)
+        for first in range(part * PART, last, step):
+            ids = np.arange(first, min(first + step, last))
+            k = np.full((len(ids), 1), upto[-1])
+            for level in range(depth):
+                below = depth - level - 1
+                node = np.arange(k.shape[1])
+                start, middle, end = (upto[np.minimum(x << below, size)] for x in (2 * node, 2 * node + 1, 2 * node + 2))
+                row, at = np.nonzero(k)
+                named, nodes, own = ids[row].tolist(), at.tolist(), f"|{stratum}|{level}|"
+                x = binomials(k[row, at], (middle - start)[at], (end - start)[at], lambda i: f"{seed}|{named[i]}{own}{nodes[i]}")  # noqa: B023
+                kids = np.zeros((len(ids), 2 * k.shape[1]), np.int64)
+                kids[row, 2 * at], kids[row, 2 * at + 1] = x, k[row, at] - x
+                k = kids[:, : ((size - 1) >> below) + 1]
+            if not pool.all():
+                heavy = k[:, ~pool]
+                out.append(pd.DataFrame({"replicate": ids, "item": -1, "k": heavy.sum(1), **{m: heavy @ v for m, v in zip(names, values, strict=True)}}))
+            row, at = np.nonzero(k * pool)
+            out.append(pd.DataFrame({"replicate": ids[row], "item": items_.item.to_numpy()[at], "k": k[row, at], **{m: np.zeros(len(row), v.dtype) for m, v in zip(names, values, strict=True)}}))
+        return pd.concat(out).assign(stratum=stratum, none=none, part=part)[["stratum", "none", "part", "replicate", "item", "k", *names]]
+
+    return run
+
+
+def mixed(base: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first counts[i] words, of 52 bits, of the stream that SplitMix64 makes of base[i], one stream after the other."""
+    starts = np.cumsum(counts) - counts
+    z = np.repeat(base.astype(np.uint64) - starts.astype(np.uint64) * np.uint64(GAMMA), counts)
+    z += np.arange(1, len(z) + 1, dtype=np.uint64) * np.uint64(GAMMA)
+    t = z >> np.uint64(30)
+    z ^= t
+    z *= np.uint64(MIX[0])
+    z ^= np.right_shift(z, np.uint64(27), out=t)
+    z *= np.uint64(MIX[1])
+    z ^= np.right_shift(z, np.uint64(31), out=t)
+    z >>= np.uint64(12)
+    return z
 
 
 def _drawn(names: list[str]):
@@ -146,9 +244,10 @@ def _drawn(names: list[str]):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, "right")))
             n = k[at:to]
             starts = np.cumsum(n) - n
-            place = mixed(np.repeat(rows.base.to_numpy()[at:to], n), np.arange(n.sum()) - np.repeat(starts, n)) % np.uint64(len(cells[0]))
+            place, many = mixed(rows.base.to_numpy()[at:to], n), np.uint64(len(cells[0]))
+            place -= place // many * many  # numpy divides by one number faster than it takes remainders
             for o, c in zip(out, cells, strict=True):
-                o[at:to] = np.add.reduceat(c[place.astype(np.int64)], starts)  # every k is above 0
+                o[at:to] = np.add.reduceat(c.take(place.view(np.int64)), starts)  # every k is above 0
             at = to
         return rows[["replicate", "k"]].assign(**dict(zip(names, out, strict=True)))
 
@@ -158,23 +257,31 @@ def _drawn(names: list[str]):
 def bootstrap(cases: DataFrame, metrics: Sequence[str], replicates: int, seed: str = "", stratum: str = "stratum") -> DataFrame:
     """Means of each metric per replicate; all metrics of a replicate share its draws, and strata keep their sizes.
 
-    Null metrics add nothing to a sum, but their cases count. An empty table gives no row. A pool meets the replicates in PARTS of
-    them, so that no task has more than a pool and the numbers of a part's replicates.
+    Null metrics add nothing to a sum, but their cases count. An empty table gives no row. Strata and pools meet the replicates in
+    PARTS of them: a task has the sizes of a stratum's items, or a pool, and the numbers of a part's replicates. Of classes only
+    their sums leave a task, a row a replicate and stratum.
     """
-    found = cut(items(cases, metrics, stratum))
-    kinds, names = [_summed(cases, m) for m in metrics], [f"m{i}" for i in range(len(metrics))]
-    k = cut(counts(found, replicates, seed).toDF("replicate", "in", "at", "k"))
-    of = F.col("in").eqNullSafe(F.col("stratum")) & (F.col("at") == F.col("item"))
+    found = cut(items(cases, metrics, stratum)).withColumns({"none": F.col("stratum").isNull(), "stratum": F.coalesce("stratum", F.lit(""))})
+    spark, kinds, names = cases.sparkSession, [_summed(cases, m) for m in metrics], [f"m{i}" for i in range(len(metrics))]
+    size = found.agg(F.max("item").alias("most"), F.count("*").alias("items"), F.coalesce(F.sum(F.when(F.col("pool"), F.col("n"))), F.lit(0)).alias("light")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda work, of: max(least, -(-work * replicates // of))
     value = lambda c, m, kind: F.coalesce(c[m], F.lit(0)).cast(kind)
     picked = lambda m, kind: lambda c: value(c, m, kind)
-    whole = k.join(found.where(~F.col("pool")), of).select("replicate", "k", *[(value(F.col("cells")[0], m, kind) * F.col("k")).alias(n) for m, kind, n in zip(metrics, kinds, names, strict=True)])
-    pools = found.where("pool").select(F.coalesce("stratum", F.lit("")).alias("stratum"), F.col("stratum").isNull().alias("none"), "item", *[F.transform("cells", picked(m, kind)).alias(n) for m, kind, n in zip(metrics, kinds, names, strict=True)])
+    typed = list(zip(metrics, kinds, names, strict=True))
+    own = ", ".join(["replicate int", "k long", *[f"{n} {kind}" for n, kind in zip(names, kinds, strict=True)]])
     parts = -(-replicates // PART)
-    pools = pools.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, parts - 1)))))
-    ask = k.join(found.where("pool").select("stratum", "item"), of).select(F.coalesce("in", F.lit("")).alias("stratum"), F.col("in").isNull().alias("none"), F.col("at").alias("item"), "replicate", "k")
-    ask = ask.withColumn("part", F.floor(F.col("replicate") / PART).cast("int")).withColumn("base", words(F.lit(seed), "replicate", "stratum", F.lit("pool"), "item")[0])
-    keys = ["stratum", "none", "item", "part"]
-    single = ask.groupBy(*keys).cogroup(pools.groupBy(*keys)).applyInPandas(_drawn(names), ", ".join(["replicate int, k long", *[f"{n} {kind}" for n, kind in zip(names, kinds, strict=True)]]))
+    each = F.explode(F.sequence(F.lit(0), F.lit(max(0, parts - 1)))).alias("part")
+    # numbers of parts are given, as Spark would put these few bytes into few tasks, whatever work they make
+    shares = found.select("stratum", "none", "item", "pool", "n", *[F.when(~F.col("pool"), value(F.col("cells")[0], m, kind)).otherwise(F.lit(0).cast(kind)).alias(n) for m, kind, n in typed], each)
+    strata = ["stratum", "none", "part"]
+    split = _split(names, max(1, (size.most or 0).bit_length()), replicates, seed)
+    k = cut(shares.repartition(tasks(size["items"], TASK_SPLITS), *strata).groupBy(*strata).applyInPandas(split, f"stratum string, none boolean, part int, replicate int, item long, {own.partition(', ')[2]}"))
+    pools = found.where("pool").select("stratum", "none", "item", *[F.transform("cells", picked(m, kind)).alias(n) for m, kind, n in typed], each)
+    ask = k.where("item >= 0").select("stratum", "none", "item", "replicate", "k", "part", words(F.lit(seed), "replicate", "stratum", F.lit("pool"), "item")[0].alias("base"))
+    keys, many = ["stratum", "none", "item", "part"], tasks(size.light, TASK_DRAWS)
+    single = ask.repartition(many, *keys).groupBy(*keys).cogroup(pools.repartition(many, *keys).groupBy(*keys)).applyInPandas(_drawn(names), own)
+    whole = k.where("item < 0").select("replicate", "k", *names)
     return whole.union(single).groupBy("replicate").agg(*[(F.sum(n) / F.sum("k")).alias(m) for n, m in zip(names, metrics, strict=True)])
 
 
@@ -183,7 +290,7 @@ def _summed(cases: DataFrame, metric: str) -> str:
 
 
 def binomial_sql(rows: str, splits: str, seed: str) -> str:
-    """CTE tree (replicate, stratum, level, node, k, attempt) in DuckDB, as counts() makes it; rows names (replicate, stratum, k), splits (stratum, level, node, part, whole)."""
+    """CTE tree (replicate, stratum, level, node, k, attempt) in DuckDB, as _split() makes it; rows names (replicate, stratum, k), splits (stratum, level, node, part, whole)."""
     w = lambda at, *label: f"((CAST('0x' || substr(md5(concat_ws('|', {', '.join(label)})), {at}, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE)"
     label = (f"'{seed}'", "replicate", "stratum", "level", "node")
     rests = ", ".join(f"{x}::DOUBLE" for x in FACTORIAL_RESTS)

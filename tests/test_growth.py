@@ -1,10 +1,11 @@
 """Steps whose work is to grow no faster than their input."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from quorate.functions import scalars
-from quorate.operators import evolution, lineage
+from quorate.operators import evolution, lineage, resampling
 from quorate.plans import fixtures, ranks
 
 
@@ -43,3 +44,20 @@ def test_sets_meet_cases_without_being_sorted(spark):
     out = evolution.set_scores(votes, t, spark.createDataFrame([(3, 2), ((1 << 39) | 1, 2)], "subset long, size int"))
     assert "RepartitionByExpression" not in shown(out)
     assert {(r.subset, r.block): (r.exact, r.terms) for r in out.collect()} == {(3, "b"): (1, 2), (3, "c"): (0, 0), ((1 << 39) | 1, "b"): (1, 2), ((1 << 39) | 1, "c"): (0, 1)}
+
+
+def test_splits_of_arrays_are_those_of_columns(spark):
+    cases = [(0, 1, 2), (5, 0, 3), (5, 3, 3), (1, 1, 2), (7, 1, 3), (20, 9, 10), (50, 1, 20), (2000, 1, 1000), (300, 99, 100), (64, 1, 2), (400, 2, 7), (1_000_000, 3, 5), (10**9, 1, 10**9)] * 40
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i long, n long, part long, whole long")
+    want = [r.k for r in rows.select("i", resampling.binomial(F.col("n"), F.col("part"), F.col("whole"), F.lit("seed"), F.col("i")).alias("k")).orderBy("i").collect()]
+    assert resampling.binomials(*np.array(cases).T, lambda i: f"seed|{i}").tolist() == want
+
+
+def test_replicates_meet_pools_in_as_many_tasks_as_their_draws_need(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "TASK_DRAWS", 10_000, raising=False)
+    cases = spark.range(900).select(F.lit("all").alias("stratum"), F.when(F.col("id") < 300, F.col("id")).otherwise(F.col("id") % 20).alias("v"))
+    out = resampling.bootstrap(cases, ["v"], 300, "tasks")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and ", 9)" in plan  # 300 light cases x 300 draws
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan  # no row a replicate and class is joined
+    assert out.count() == 300
