@@ -8,9 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorate.operators.lineage import cut
 
 #: Replicates of a bootstrap and random sign patterns, unless the caller asks for other numbers.
 REPLICATES, FLIPS = 50_000, 100_000
+#: Words of a round that are counted together, and words of a task, about.
+PLACES, TASK_WORDS = 256, 1 << 22
 
 
 def floor_percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
@@ -83,14 +86,18 @@ def sign_flip_sampled(differences: DataFrame, rounds: int = FLIPS, seed: str = "
     """p from random sign patterns, (extreme + 1) / (rounds + 1).
 
     Differences of equal size are one class, and a round needs only how many of a class change sign: so many bits of MD5
-    words of seed, round, size and place are counted, 60 differences a word.
+    words of seed, round, size and place are counted, 60 differences a word. PLACES words of a thousand rounds are counted
+    together, so that a thousand rows of them leave a task.
     """
     spark = differences.sparkSession
     sizes = differences.where(F.col(value) != 0).groupBy(F.abs(value).cast("double").alias("size")).agg(F.count("*").alias("n"), F.sum(F.signum(value)).cast("long").alias("net"))
-    words = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 60) - 1)).alias("place"))
-    each = words.select("*", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 1000))).alias("part")).repartition("size", "place", "part")
-    each = each.select("*", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.lit(rounds - 1)))).alias("round"))
-    word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "round", F.round(F.col("size"), 6).cast("decimal(38,6)"), "place").cast("binary")), 1, 15), 16, 10).cast("long")
+    sizes = cut(sizes.withColumn("text", F.round("size", 6).cast("decimal(38,6)").cast("string")).withColumn("last", F.ceil(F.col("n") / 60) - 1))
+    made = sizes.agg(F.coalesce(F.sum(F.col("last") + 1), F.lit(0))).first()[0] * rounds
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made // TASK_WORDS))  # given, as Spark would put these few bytes into few tasks
+    runs = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / PLACES))).alias("run")).select("*", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // 1000))).alias("part"))
+    each = runs.repartition(tasks, "size", "run", "part").select("*", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.lit(rounds - 1)))).alias("round"))
+    each = each.select("*", F.explode(F.sequence(F.col("run") * PLACES, F.least((F.col("run") + 1) * PLACES - 1, F.col("last")))).alias("place"))
+    word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "round", "text", "place").cast("binary")), 1, 15), 16, 10).cast("long")
     kept = F.when(F.col("n") - F.col("place") * 60 < 60, F.expr("shiftleft(1L, cast(n - place * 60 as int)) - 1")).otherwise(F.lit((1 << 60) - 1))
     ones = each.groupBy("round", "size").agg(F.sum(F.bit_count(word.bitwiseAND(kept))).alias("ones"), F.first("n").alias("n"), F.first("net").alias("net"))
     sums = ones.groupBy("round").agg(F.abs(F.sum(F.col("size") * (F.col("n") - 2 * F.col("ones")))).alias("s"), F.abs(F.sum(F.col("size") * F.col("net"))).alias("t"))

@@ -1,11 +1,13 @@
 """Steps whose work is to grow no faster than their input."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from quorate.functions import scalars
-from quorate.operators import evolution, lineage, resampling
+from quorate.operators import evolution, lineage, resampling, stats
 from quorate.plans import fixtures, ranks
 
 
@@ -61,3 +63,16 @@ def test_replicates_meet_pools_in_as_many_tasks_as_their_draws_need(spark, monke
     assert plan.count("REPARTITION_BY_NUM") == 2 and ", 9)" in plan  # 300 light cases x 300 draws
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan  # no row a replicate and class is joined
     assert out.count() == 300
+
+
+def test_sign_flips_are_counted_in_as_many_tasks_as_their_words_need(spark, monkeypatch):
+    monkeypatch.setattr(stats, "TASK_WORDS", 5000, raising=False)
+    monkeypatch.setattr(stats, "PLACES", 3, raising=False)
+    cases = spark.range(1000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(1).alias("diff"))
+    out = stats.sign_flip_sampled(cases, 2500, "seed")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 9)" in plan  # 17 words x 2500 rounds
+    word = lambda r, at: int(hashlib.md5(f"seed|{r}|1.000000|{at}".encode()).hexdigest()[:15], 16)
+    ones = lambda r: sum((word(r, at) & ((1 << min(60, 1000 - 60 * at)) - 1)).bit_count() for at in range(17))
+    want = sum(abs(1000 - 2 * ones(r)) >= 332 for r in range(2500))
+    assert out.first().p == (want + 1) / 2501
