@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorate.operators.documents import check
-from quorate.operators.lineage import cut
+from quorate.operators.documents import TASK_DOCUMENTS, checked
+from quorate.operators.lineage import cut, spread
 
 # Fixed values of a strategy batch.
 ROLES = ("proposer", "critic", "verifier", "judge", "auditor", "challenger", "juror", "integrator")
@@ -45,7 +45,7 @@ def strategy_errors(batch: DataFrame, lenses: DataFrame, doc: str = "doc", value
     a proposer, calls are MOST_CALLS at most, weights aren't empty, and of strategies that share an id only the first by doc
     has it. Parts that the schema refuses are left out of these rules. Lenses are joined, so a catalog may be of any size.
     """
-    docs = cut(batch.select(F.col(doc).alias("doc"), F.col(value).alias("value")).where("value is not null"))
+    docs = cut(spread(batch.select(F.col(doc).alias("doc"), F.col(value).alias("value")), TASK_DOCUMENTS, "doc").where("value is not null"))
     got = lambda p, kind: F.try_variant_get("value", p, kind)
     stage = lambda p, kind: F.try_variant_get("stage", p, kind)
     ids = docs.select("doc", got("$.strategy_id", "string").alias("id")).where("id is not null")
@@ -66,7 +66,7 @@ def strategy_errors(batch: DataFrame, lenses: DataFrame, doc: str = "doc", value
     none = objects.where("coalesce(proposers, 0) = 0").select("doc", F.lit("$.stages: no proposer").alias("error"))
     many = objects.where(F.col("calls") > MOST_CALLS).select("doc", F.lit("$.stages: too many calls").alias("error"))
     empty = docs.where((got("$.selector.mode", "string") == "weighted_plurality") & (F.size(got("$.selector.role_weights", "map<string,variant>")) == 0)).select("doc", F.lit("$.selector.role_weights: empty").alias("error"))
-    out = check(docs, SCHEMA)
+    out = checked(docs, SCHEMA)
     for more in (again, twice, ahead, odd, unknown, none, many, empty):
         out = out.union(more)
     return out

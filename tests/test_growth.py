@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quorate.functions import scalars
-from quorate.operators import evolution, lineage, resampling, stats
+from quorate.operators import documents, evolution, lineage, resampling, stats, strategies
 from quorate.plans import fixtures, ranks
 
 
@@ -76,3 +76,18 @@ def test_sign_flips_are_counted_in_as_many_tasks_as_their_words_need(spark, monk
     ones = lambda r: sum((word(r, at) & ((1 << min(60, 1000 - 60 * at)) - 1)).bit_count() for at in range(17))
     want = sum(abs(1000 - 2 * ones(r)) >= 332 for r in range(2500))
     assert out.first().p == (want + 1) / 2501
+
+
+def test_documents_are_checked_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    own = []
+    monkeypatch.setattr(documents, "TASK_DOCUMENTS", 25, raising=False)
+    monkeypatch.setattr(strategies, "TASK_DOCUMENTS", 25, raising=False)
+    for module in (documents, strategies):
+        monkeypatch.setattr(module, "cut", lambda df: own.append(lineage.cut(df).rdd.getNumPartitions()) or lineage.cut(df))
+    rows = spark.range(100).repartition(1).select(F.col("id").alias("doc"), F.try_parse_json(F.lit('{"strategy_id":"","stages":[],"selector":{"mode":"base_plurality"}}')).alias("value"))
+    got = strategies.strategy_errors(rows, spark.createDataFrame([("l1",)], "lens_id string")).groupBy("error").count().collect()
+    assert {r.error: r["count"] for r in got} == {"$.strategy_id: minLength": 100, "$.strategy_id: repeated": 99, "$.stages: minItems": 100, "$.stages: no proposer": 100}
+    assert min(own) == 4
+    own.clear()
+    assert documents.check(rows, {"type": "object", "properties": {"strategy_id": {"minLength": 1}}}).count() == 100
+    assert own[-1] == 4
