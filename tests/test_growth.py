@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quorate.functions import scalars
-from quorate.operators import documents, evolution, lineage, resampling, stats, strategies
+from quorate.operators import documents, evolution, lineage, resampling, scores, stats, strategies
 from quorate.plans import fixtures, ranks
 
 
@@ -91,3 +91,11 @@ def test_documents_are_checked_in_as_many_tasks_as_they_need(spark, monkeypatch)
     own.clear()
     assert documents.check(rows, {"type": "object", "properties": {"strategy_id": {"minLength": 1}}}).count() == 100
     assert own[-1] == 4
+
+
+def test_archives_count_distinct_ones_without_dealing_records_out_again(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 7, 0, "judge"), (1, "a", 1, 8, 0, "critic"), (1, "a", None, 8, 2, "judge"), (1, "b", 2, None, 1, "proposer"), (2, "a", None, None, None, "verifier")], "part long, answer string, job long, strategy long, lens int, role string")
+    out = scores.archive(rows.withColumn("confidence", F.lit("0.5").cast("decimal(12,4)")).repartition(3, "part"), "part", "job", "strategy", "lens")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan
+    assert {(r.part, r.answer): tuple(r)[2:] for r in out.collect()} == {(1, "a"): (1, 2, 2, 0, 1, 0, 2, 0.5, 0.5, "0,2"), (1, "b"): (1, 0, 1, 1, 0, 0, 0, 0.5, 0.5, "1"), (2, "a"): (0, 0, 0, 0, 0, 1, 0, 0.5, 0.5, "")}
