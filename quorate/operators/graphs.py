@@ -7,13 +7,16 @@ from collections import defaultdict
 from collections.abc import Sequence
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.operators.lineage import cut
+from quorate.operators.lineage import TASK_ROWS, cut, dealt
 
-#: Jobs of a group that isn't one chain; such a group is a row.
+#: Jobs of a group that is a row of a task; a larger one must be one chain.
 MOST_JOBS = 200_000
 
 
@@ -171,78 +174,143 @@ def _hashed(kind: str, of: Column, seed: str | None) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _in_turn(groups: pd.Series) -> pd.Series:
-    """Of each group's (job, digest, needs) the jobs in the order in which a heap of ready ones by digest gives them; null where a cycle leaves some."""
+def _in_turn(jobs: pa.Array, needs: pa.Array) -> pa.Array:
+    """Of each group's jobs by digest, and what each needs, the jobs in the order in which a heap of ready ones gives them; null where a cycle or another group's job leaves some or one is repeated.
 
-    def order(rows) -> list[str] | None:
-        waits = {r["job"]: len(r["needs"]) for r in rows}
-        digest, after, out = {r["job"]: r["digest"] for r in rows}, defaultdict(list), []
-        for r in rows:
-            for x in r["needs"]:
-                after[x].append(r["job"])
-        heap = [(digest[j], j) for j, n in waits.items() if not n]
-        heapq.heapify(heap)
+    A group whose jobs all come after what they need has this order already, so that only the others need the heap. Jobs are told apart by number.
+    """
+    sizes, names, lists = pc.list_value_length(jobs).to_numpy(), jobs.flatten(), needs.flatten()
+    counts = pc.list_value_length(lists).to_numpy()
+    first, edge = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(counts)])
+    group, job = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(names)), counts)
+    at = pc.index_in(lists.flatten(), value_set=names).fill_null(-1).to_numpy()
+    own = (at >= 0) & (group[at] == group[job]) if len(names) else at >= 0
+    order, bad = np.arange(len(names)), np.zeros(len(sizes), bool)
+    bad[group[job[~own]]] = True
+    bad[group[pc.index_in(names, value_set=names).to_numpy() != order]] = True
+    later = np.zeros(len(sizes), bool)
+    later[group[job[own & (at >= job)]]] = True
+    lows, edges, waiting = first.tolist(), edge.tolist(), counts.tolist()
+    for g in np.flatnonzero(later & ~bad).tolist():
+        low, high = lows[g], lows[g + 1]
+        begin, end = edges[low], edges[high]
+        after, out = defaultdict(list), []
+        for j, x in zip(job[begin:end].tolist(), at[begin:end].tolist(), strict=True):
+            after[x].append(j)
+        heap = [j for j in range(low, high) if not waiting[j]]  # in order, so a heap
         while heap:
-            _, job = heapq.heappop(heap)
-            out.append(job)
-            for x in after[job]:
-                waits[x] -= 1
-                if not waits[x]:
-                    heapq.heappush(heap, (digest[x], x))
-        return out if len(out) == len(rows) else None
+            j = heapq.heappop(heap)
+            out.append(j)
+            for x in after.get(j, ()):
+                waiting[x] -= 1
+                if not waiting[x]:
+                    heapq.heappush(heap, x)
+        if len(out) == high - low:
+            order[low:high] = out
+        else:
+            bad[g] = True
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), names.take(pa.array(order)), mask=pa.array(bad))
+
+
+def _long_chains(known: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(job, group, turn) of known (job, group, needs), groups of more than MOST_JOBS of all jobs, which must be chains."""
+    of = jobs.select(F.col("job").alias("x"), F.col("group").alias("of"))
+    links = cut(known.select("job", "group", F.explode_outer("needs").alias("x")).join(of, "x", "left").withColumnRenamed("x", "needs"))
+    if not links.where("needs is not null and of is null").isEmpty():
+        raise ValueError("an unknown dependency")
+    if not links.where("of <> group").isEmpty():
+        raise ValueError("a dependency of another group")
+    used = links.where("needs is not null").groupBy("group", "needs").count().where("count > 1")
+    starts = links.groupBy("group").agg(F.count_if(F.col("needs").isNull()).alias("n")).where("n <> 1")
+    if not known.where(F.size("needs") > 1).isEmpty() or not used.isEmpty() or not starts.isEmpty():
+        raise ValueError(f"a group of more than {MOST_JOBS} jobs that is no chain")
+    return depths(links.where("needs is not null").select("job", "needs"), known.select("job", "group")).withColumnRenamed("depth", "turn")
+
+
+def _ordered(groups: DataFrame, seed: str | None) -> DataFrame:
+    """groups with the order of their rows' jobs in place of the rows; null where there is none."""
+    by_digest = F.sort_array(F.transform("rows", lambda r: F.struct(_hashed("call", r.job, seed).alias("digest"), r.job.alias("job"), r.needs.alias("needs"))))
+    groups = groups.withColumn("rows", by_digest)
+    return cut(groups.withColumn("order", F.arrow_udf(_in_turn, "array<string>")("rows.job", "rows.needs")).drop("rows"))
+
+
+def _flat(ordered: DataFrame) -> DataFrame:
+    return ordered.select("group", F.posexplode("order").alias("turn", "job")).select("job", "group", "turn")
 
-    return groups.map(order)
+
+def turns_of(groups: DataFrame, seed: str | None = None) -> DataFrame:
+    """turns() of groups that lie together already, (group, rows), its rows being an array of (job, needs), needs an array of jobs of the group, each once.
+
+    No row is shuffled. Groups are to be named once, and their jobs too; within a group a repeated job is an error, as is a cycle or a dependency that isn't the group's.
+    """
+    ordered = _ordered(groups.select("group", "rows"), seed)
+    if not ordered.where("order is null").isEmpty():
+        raise ValueError("a cycle, a repeated job or a dependency that is not of the group")
+    return _flat(ordered)
 
 
 def turns(jobs: DataFrame, edges: DataFrame, seed: str | None = None) -> DataFrame:
     """(job, group, turn): the order, from 0, in which a group's jobs come up if its turn always goes to the ready job of smallest SHA-256.
 
-    Jobs are (job, group), edges (job, needs); repeated edges count once. Groups that are one chain may be of any length: their
-    order is found by rounds of doubling. Any other group is one row of a task, and has MOST_JOBS jobs at most. A repeated
-    job, a dependency that isn't a job or is of another group, a cycle and a larger group raise ValueError.
+    Jobs are (job, group), edges (job, needs); repeated edges count once. A group is one row of a task if it has MOST_JOBS jobs at
+    most; larger ones must be one chain and may be of any length: their order is found by rounds of doubling. A repeated
+    job, a dependency that isn't a job or is of another group, a cycle and a larger group that is no chain raise ValueError.
+
+    Jobs meet their edges in parts by job, and then their group in parts by group, that don't grow with the tables.
     """
-    e = edges.select(F.col("job").alias("j"), "needs").distinct()
-    known = jobs.select(F.col("job").alias("needs"), F.col("group").alias("of"))
-    links = cut(jobs.join(e, F.col("job") == F.col("j"), "left").join(known, "needs", "left").select("job", "group", "needs", "of"))
-    strange = e.join(jobs.select(F.col("job").alias("j")), "j", "left_anti")
-    if not jobs.groupBy("job").count().where("count > 1").isEmpty():
-        raise ValueError("a repeated job")
-    if not links.where("needs is not null and of is null").isEmpty() or not strange.isEmpty():
-        raise ValueError("an unknown dependency")
-    if not links.where("of <> group").isEmpty():
-        raise ValueError("a dependency of another group")
-    per = links.groupBy("group", "job").agg(F.count("needs").alias("n_needs"))
-    used = links.where("needs is not null").groupBy("group", "needs").agg(F.count("*").alias("n_used")).groupBy("group").agg(F.max("n_used").alias("most_used"))
-    sizes = per.groupBy("group").agg(F.count("*").alias("n"), F.max("n_needs").alias("most_needs"), F.count_if(F.col("n_needs") == 0).alias("starts"))
-    shape = sizes.join(used, "group", "left").select("group", "n", ((F.col("most_needs") <= 1) & (F.coalesce("most_used", F.lit(0)) <= 1) & (F.col("starts") == 1)).alias("chain"))
-    shape = cut(shape)
-    if not shape.where(~F.col("chain") & (F.col("n") > MOST_JOBS)).isEmpty():
-        raise ValueError(f"a group of more than {MOST_JOBS} jobs that is no chain")
-    chains = shape.where("chain").select("group")
-    lined = links.join(chains, "group", "left_semi")
-    in_chains = depths(lined.where("needs is not null").select("job", "needs"), lined.select("job", "group")).withColumnRenamed("depth", "turn")
-    job = F.struct("job", _hashed("call", F.col("job"), seed).alias("digest"), "needs")
-    rows = links.join(chains, "group", "left_anti").groupBy("group", "job").agg(F.collect_list("needs").alias("needs")).groupBy("group").agg(F.collect_list(job).alias("rows"))
-    ordered = cut(rows.select("group", F.pandas_udf(_in_turn, "array<string>")("rows").alias("order")))
-    if not ordered.where("order is null").isEmpty():
-        raise ValueError("a cycle")
-    return in_chains.select("job", "group", "turn").union(ordered.select("group", F.posexplode("order").alias("turn", "job")).select("job", "group", "turn"))
+    sizes = jobs.groupBy("group").agg(F.count("*").alias("n"))
+    n, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    none = F.lit(None).cast("string")
+    flat = jobs.select("job", "group", none.alias("needs"), F.lit(1).alias("n")).unionByName(edges.select("job", none.alias("group"), "needs", F.lit(0).alias("n")))
+    known = dealt(flat, n, "job").groupBy("job").agg(F.max("group").alias("group"), F.collect_set("needs").alias("needs"), F.sum("n").alias("n"))
+    chains = None
+    if most > MOST_JOBS:
+        large = cut(sizes.where(F.col("n") > MOST_JOBS).select(F.col("group").alias("g")))  # a row per MOST_JOBS jobs at most
+        known = cut(known)
+        if not known.where("n > 1").isEmpty():
+            raise ValueError("a repeated job")
+        if not known.where("n < 1").isEmpty():
+            raise ValueError("an unknown dependency")
+        is_large = F.col("group").eqNullSafe(F.col("g"))
+        chains, known = known.join(F.broadcast(large), is_large, "left_semi"), known.join(F.broadcast(large), is_large, "left_anti")
+    rows = dealt(known, n, "group").groupBy("group").agg(F.collect_list(F.struct("job", "needs")).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"))
+    fault = F.when(F.col("most") > 1, "a repeated job").when(F.col("least") < 1, "an unknown dependency")
+    ordered = _ordered(rows.select("group", "rows", fault.alias("fault")), seed)
+    wrong = ordered.where("order is null or fault is not null")
+    if not wrong.isEmpty():
+        fault = wrong.agg(F.min("fault")).first()[0]  # a repeated job comes first
+        raise ValueError(fault or _fault(jobs, edges))
+    small = _flat(ordered)
+    return small if chains is None else small.union(_long_chains(chains, jobs))
+
+
+def _fault(jobs: DataFrame, edges: DataFrame) -> str:
+    """What is wrong with graphs of which some group has no order."""
+    of = jobs.select(F.col("job").alias("x"), F.col("group").alias("of"))
+    links = edges.where("needs is not null").join(jobs, "job").join(of, F.col("needs") == F.col("x"), "left")
+    if not links.where("x is null").isEmpty():
+        return "an unknown dependency"
+    return "a cycle" if links.where(~F.col("of").eqNullSafe(F.col("group"))).isEmpty() else "a dependency of another group"
 
 
 def places(turned: DataFrame, seed: str | None = None) -> DataFrame:
     """turned (job, group, turn) with place, from 0: all groups' first turns by the groups' SHA-256, then their second ones, and so on.
 
     As a group has a ready job until it ends, this is the order that taking turns gives. Places are counted by partition of
-    the sorted jobs, so that no task sees them all.
+    the sorted jobs, so that no task sees them all. Jobs are sorted by a number, of turn and first digits; only where that is equal is a digest made and compared.
     """
-    ordered = turned.orderBy("turn", _hashed("group", F.col("group"), seed)).withColumn("id", F.monotonically_increasing_id())
-    ordered = cut(ordered.select(*turned.columns, F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("at")))
+    digest = _hashed("group", F.col("group"), seed)
+    key = F.shiftleft(F.col("turn").cast("long"), 32).bitwiseOR(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
+    parts = max(1, -(-turned.count() // TASK_ROWS))
+    keyed = turned.withColumn("key", F.coalesce(key, F.shiftleft(F.col("turn").cast("long"), 32)))
+    ordered = keyed.repartitionByRange(parts, "key").sortWithinPartitions("key", digest).select(*turned.columns, F.monotonically_increasing_id().alias("id"))
+    ordered = cut(ordered).withColumn("part", F.shiftright("id", 33).cast("int"))
     starts, n = [], 0
     for r in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
         starts.append((r.part, n))
         n += r.n
     start = ordered.sparkSession.createDataFrame(starts, "part int, start long")
-    return ordered.join(F.broadcast(start), "part").select(*turned.columns, (F.col("start") + F.col("at")).alias("place"))
+    return ordered.join(F.broadcast(start), "part").select(*turned.columns, (F.col("start") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("place"))
 
 
 def _tail(most: int, first: int, room: int):
