@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,21 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
+def at_most(spark: SparkSession, rows: int) -> None:
+    """From now on the session sends rows to Python in batches of at most so many: for frames that a caller runs later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    if before <= 0 or before > rows:
+        spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """At a task's end in a Python worker: memory that it freed goes back to the system, as workers live on and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Workspace:
     """Tables written in a folder of their own below the shared one; what is read back has no lineage and survives lost executors."""
 

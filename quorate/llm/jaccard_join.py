@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorate.llm.common import Workspace, components, small_batches
+from quorate.llm.common import Workspace, components, give_back, small_batches
 
 SHINGLE, PERCENT = 5, 80
 PERMUTATIONS = 8
@@ -165,6 +165,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, permutations: int = PERMUTATIO
         if counts.any():
             for c, x in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kinds[:5]], pa.array([c], pa.int32()), pa.array([_narrow(x)])], names)
+        give_back()
 
     return docs.mapInArrow(signed, "id long, n long, h1 long, h2 long, minima array<long>, chunk int, counts binary")
 
@@ -211,6 +212,7 @@ def keys(docs: DataFrame, sketch: np.ndarray, small: int, k: int = SHINGLE, perc
                 subsets.append(np.array([xxhash.xxh64_intdigest(np.array(x, np.uint64).tobytes(), seed=c) for c in sizes for x in combinations(s.tolist(), c)], np.uint64))
             yield _batched(("id", batch.column(0)), ("listed", _lists(listed)), ("subsets", _lists(subsets)))
         _words.clear()
+        give_back()
 
     return docs.mapInArrow(keyed, "id long, listed array<long>, subsets array<long>")
 
@@ -233,6 +235,9 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, k: int
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common) and len(x) > 0)
             yield _batched(("a", batch.column(0)), ("b", batch.column(1))).filter(pa.array(keep, pa.bool_()))
+        held.clear()
+        _words.clear()
+        give_back()
 
     return ws.save(both.mapInArrow(linked, "a long, b long").distinct(), name)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorate.llm.common import Workspace
+from quorate.llm.common import Workspace, give_back
 
 LENGTH, BATCH = 2048, 64
 FILE_TOKENS, FILE_DOCS = 8_000_000, 200_000
@@ -38,7 +38,7 @@ RANGE_BYTES, MOST_RANGES = 24_000_000, 20_000
 MEMORY, ENTRY, LONGEST = 80_000_000, 220, 64
 
 #: So many bytes of text are encoded at once, unless a text is longer.
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _kept: dict = {}
 
@@ -49,7 +49,7 @@ class Encoder:
     A byte-level tokenizer with the usual split into words never joins what stands before a single space with what stands
     from it on, unless white space follows that space; so the ids of a text are those of its pieces, each with the space
     before it. Texts in which white space or the end follows a space go to the tokenizer whole, as do all texts of a
-    tokenizer of another kind. Pieces are remembered from task to task, up to MEMORY bytes.
+    tokenizer of another kind. Pieces are remembered up to MEMORY bytes.
     """
 
     def __init__(self, path: str):
@@ -269,6 +269,9 @@ def write(docs: DataFrame, ws: Workspace, tokenizer: str, key: str = "doc_id", t
                     file, k = None, k + 1
         if file is not None:
             yield row()
+        file = None
+        enc.forget()  # the worker lives on
+        give_back()
 
     ranges = min(MOST_RANGES, max(1, -(-total // RANGE_BYTES)))
     ordered = rows.repartitionByRange(ranges, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
